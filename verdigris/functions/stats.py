@@ -72,6 +72,21 @@ def normal_cdf(x: Column) -> Column:
     return F.when(x > 0, 1 - tail).otherwise(tail)
 
 
+def normal_cdf_sql(x: str) -> str:
+    """normal_cdf as SQL text over a column name, for plans that are rebuilt many times."""
+
+    def poly(coefs):
+        return reduce(lambda acc, k: f"({acc} * abs({x}) + {k!r}D)", coefs[1:], f"{coefs[0]!r}D")
+
+    deep = reduce(
+        lambda acc, k: f"(abs({x}) + {k!r}D / {acc})", (4.0, 3.0, 2.0, 1.0), f"(abs({x}) + 0.65D)"
+    )
+    near = f"exp(-{x} * {x} / 2) * {poly(HART_NUM)} / {poly(HART_DEN)}"
+    far = f"exp(-{x} * {x} / 2) / {deep} / 2.506628274631D"
+    tail = f"(CASE WHEN abs({x}) < 7.07106781186547D THEN {near} ELSE {far} END)"
+    return f"(CASE WHEN {x} > 0 THEN 1 - {tail} ELSE {tail} END)"
+
+
 def normal_pdf(x: Column) -> Column:
     return F.exp(-x * x / 2) / math.sqrt(2 * math.pi)
 

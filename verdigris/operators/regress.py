@@ -12,13 +12,12 @@ from functools import reduce
 import numpy as np
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from verdigris.functions.rules import p_stars
-from verdigris.functions.stats import Z80, Z975, normal_cdf, normal_pdf, two_sided_p
+from verdigris.functions.stats import Z80, Z975, normal_cdf, normal_cdf_sql, two_sided_p
 from verdigris.session import cut_lineage
 
 COEF_SCHEMA = T.StructType(
@@ -84,45 +83,70 @@ def linear_index(names: list[str], beta) -> Column:
     )
 
 
+def _probit_sums(pats: DataFrame, xs: list[str], beta) -> tuple[float, np.ndarray, np.ndarray]:
+    """Log-likelihood, score and observed information at beta: one aggregate over the patterns."""
+    # Text expressions keep plan building cheap, and beta enters as one array value, so every step
+    # runs the same generated code.
+    b = ", ".join(f"{float(v)!r}D" for v in beta)
+    x = ["1.0D", *[f"`{c}`" for c in xs]]
+    row = (
+        pats.selectExpr(
+            "*", f"aggregate(zip_with(array({', '.join(x)}), array({b}), (a, c) -> a * c), 0.0D, (s, v) -> s + v) AS xb"
+        )
+        .selectExpr(
+            "*", "exp(-xb * xb / 2) / sqrt(2 * pi()) AS phi", f"{normal_cdf_sql('xb')} AS up",
+            "__n - __k AS rest",
+        )
+        .selectExpr("*", f"{normal_cdf_sql('(-xb)')} AS down")
+        .selectExpr(
+            "*",
+            "if(__k > 0, __k * ln(up), 0D) + if(rest > 0, rest * ln(down), 0D) AS ll",
+            "if(__k > 0, __k * phi / up, 0D) - if(rest > 0, rest * phi / down, 0D) AS s",
+            "if(__k > 0, __k * phi / up * (phi / up + xb), 0D) + if(rest > 0, rest * phi / down * (phi / down - xb), 0D) AS w",
+        )
+        .selectExpr(
+            "sum(ll) AS ll",
+            *[f"sum(s * {v}) AS s{i}" for i, v in enumerate(x)],
+            *[f"sum(w * {x[i]} * {x[j]}) AS m{i}_{j}" for i in range(len(x)) for j in range(i, len(x))],
+        )
+        .first()
+    )
+    values = [row["ll"], *[row[f"s{i}"] for i in range(len(x))]]
+    if any(v is None for v in values):
+        return -np.inf, np.full(len(x), np.nan), np.full((len(x), len(x)), np.nan)
+    return row["ll"], np.array(values[1:]), _matrix(row, len(x))
+
+
 def fit_probit(df: DataFrame, y: str, xs: list[str], spec: str, min_rows: int = 1) -> Fit | None:
     """Probit fit with standard errors from the observed information; None where the data are too
-    few or the maximum does not exist."""
+    few or the maximum does not exist.
+
+    The log-likelihood is concave, so a few steps of score over information reach the top; each
+    step is one aggregate over the pattern table."""
     pats = cut_lineage(patterns(df, y, xs))
     size = pats.agg(F.sum("__n").alias("n"), F.sum("__k").alias("k")).first()
     n, k1 = size["n"] or 0, size["k"] or 0
     if n < max(min_rows, len(xs) + 1) or k1 == 0 or k1 == n:
         return None
-    outcomes = F.array(
-        F.struct(F.lit(1.0).alias("label"), F.col("__k").cast("double").alias("w")),
-        F.struct(F.lit(0.0).alias("label"), (F.col("__n") - F.col("__k")).cast("double").alias("w")),
-    )
-    long = pats.withColumn("o", F.explode(outcomes)).select(*xs, "o.label", "o.w").filter("w > 0")
-    data = VectorAssembler(inputCols=xs, outputCol="features").transform(long)
-    glr = GeneralizedLinearRegression(
-        family="binomial", link="probit", weightCol="w", maxIter=60, tol=1e-12
-    )
-    try:
-        model = glr.fit(data)
-    except Exception as exc:  # singular design or diverging weights
-        if "singular" in str(exc) or "not finite" in str(exc) or "infinity" in str(exc).lower():
+    beta = np.zeros(len(xs) + 1)
+    ll, score, info = _probit_sums(pats, xs, beta)
+    for _ in range(40):
+        if not np.all(np.isfinite(info)) or np.linalg.cond(info) > 1e14:
             return None
-        raise
-    beta = np.array([model.intercept, *model.coefficients.toArray()])
-    if not np.all(np.isfinite(beta)) or np.max(np.abs(beta)) > 1e3:
-        return None
-    q = 2 * F.col("label") - 1
-    xb = linear_index(xs, beta)
-    lam = q * normal_pdf(xb) / normal_cdf(q * xb)
-    second = long.agg(
-        F.sum(F.col("w") * F.log(normal_cdf(q * xb))).alias("ll"),
-        *_outer_sums(xs, F.col("w") * lam * (lam + xb)),
-    ).first()
-    info = _matrix(second, len(xs) + 1)
-    if np.linalg.matrix_rank(info) < len(xs) + 1:
-        return None
+        step = np.linalg.solve(info, score)
+        for _ in range(30):
+            new_ll, new_score, new_info = _probit_sums(pats, xs, beta + step)
+            if new_ll >= ll - 1e-9 * abs(ll):
+                break
+            step = step / 2
+        beta, ll, score, info = beta + step, new_ll, new_score, new_info
+        if np.max(np.abs(step) / (1 + np.abs(beta))) < 1e-8:
+            break
+    else:
+        return None  # still climbing: the outcomes are separated
     p = k1 / n
     ll0 = n * (p * np.log(p) + (1 - p) * np.log(1 - p))
-    return Fit(spec, ["Intercept", *xs], beta, np.linalg.inv(info), int(n), float(1 - second["ll"] / ll0))
+    return Fit(spec, ["Intercept", *xs], beta, np.linalg.inv(info), int(n), float(1 - ll / ll0))
 
 
 def tidy(spark: SparkSession, fits, digits: int = 4) -> DataFrame:

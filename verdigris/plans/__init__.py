@@ -1,6 +1,6 @@
 """Registered queries over the given tables, grouped as in the operator inventory."""
 
-from verdigris.plans import projections, statistics  # noqa: F401
+from verdigris.plans import models, projections, statistics  # noqa: F401
 from verdigris.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

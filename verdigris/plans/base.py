@@ -119,7 +119,7 @@ drafts AS (SELECT *, {_AUTHORS_SQL.format(known="wp % 5 <> 0")} AS authors FROM
 
 # ---------------------------------------------------------------- statistics
 VARIABLES = [
-    "leverage", "treat x post", "log(assets)", "market beta", "reform dummy", "ROA", "", "year 2004",
+    "leverage", "treat x post", "log(asset)", "market beta", "reform dummy", "ROA", "", "year 2004",
     "firm fixed effects", "size * treat",
 ]
 TABLE_NAMES = ["Table 1: summary statistics", "Table 2 main results", "Robustness checks", "Appendix", ""]

@@ -254,7 +254,7 @@ def _(spark, d):
     )
 
 
-CONTROL_NAMES = ["leverage", "log(assets)", "market beta", "ROA", "year 2004", "firm fixed effects"]
+CONTROL_NAMES = ["leverage", "log(asset)", "market beta", "ROA", "year 2004", "firm fixed effects"]
 
 
 @query("f8_control_variables", sql_with(STATS, f"SELECT variable, variable IN {sql_in(CONTROL_NAMES)} AS is_control, count(*) AS n FROM stats GROUP BY ALL"))

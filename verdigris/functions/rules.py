@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from verdigris.functions import lexicon as lx
-from verdigris.functions.stats import normal_quantile
+from verdigris.functions.stats import bound, normal_quantile
 from verdigris.functions.text import as_col, text_or_empty, title_words, word_count
 
 
@@ -77,10 +77,10 @@ def quoted_statistic(c) -> Column:
         F.when(level == "1", F.lit(lx.STAT_LEVEL_VALUE["1"])),
     )
     return F.coalesce(
-        F.when(tz.between(0.5, 20), tz),
-        F.when((f > 0) & (f <= 400), F.sqrt(f)),
-        F.when((chi > 0) & (chi <= 400), F.sqrt(chi)),
-        F.when((p > 0) & (p < 0.5), F.abs(normal_quantile(p / 2))),
+        bound(tz, lambda v: F.when(v.between(0.5, 20), v)),
+        bound(f, lambda v: F.when((v > 0) & (v <= 400), F.sqrt(v))),
+        bound(chi, lambda v: F.when((v > 0) & (v <= 400), F.sqrt(v))),
+        bound(p, lambda v: F.when((v > 0) & (v < 0.5), F.abs(normal_quantile(v / 2)))),
         by_level,
     )
 

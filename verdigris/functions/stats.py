@@ -100,16 +100,29 @@ def chi2_1_sf(x: Column) -> Column:
     return 2 * normal_cdf(-F.sqrt(x))
 
 
+def bound(value: Column, body) -> Column:
+    """body(value) with the value computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
 def normal_quantile(p: Column) -> Column:
-    q = p - 0.5
-    r = F.lit(0.180625) - q * q
-    centre = q * _poly(r, AS241_CENTRE_NUM) / _poly(r, AS241_CENTRE_DEN)
-    s = F.sqrt(-F.log(F.least(p, 1 - p)))
-    m, f = s - 1.6, s - 5.0
-    outer = F.when(s <= 5.0, _poly(m, AS241_MID_NUM) / _poly(m, AS241_MID_DEN)).otherwise(
-        _poly(f, AS241_FAR_NUM) / _poly(f, AS241_FAR_DEN)
-    )
-    return F.when(F.abs(q) <= 0.425, centre).otherwise(F.when(q < 0, -outer).otherwise(outer))
+    def centre(q: Column) -> Column:
+        return q * bound(
+            F.lit(0.180625) - q * q, lambda r: _poly(r, AS241_CENTRE_NUM) / _poly(r, AS241_CENTRE_DEN)
+        )
+
+    def outer(s: Column) -> Column:
+        mid = bound(s - 1.6, lambda m: _poly(m, AS241_MID_NUM) / _poly(m, AS241_MID_DEN))
+        far = bound(s - 5.0, lambda f: _poly(f, AS241_FAR_NUM) / _poly(f, AS241_FAR_DEN))
+        return F.when(s <= 5.0, mid).otherwise(far)
+
+    def whole(v: Column) -> Column:
+        tail = bound(F.sqrt(-F.log(F.least(v, 1 - v))), outer)
+        return F.when(F.abs(v - 0.5) <= 0.425, bound(v - 0.5, centre)).otherwise(
+            F.when(v < 0.5, -tail).otherwise(tail)
+        )
+
+    return bound(p, whole)
 
 
 def wilson(k: Column, n: Column, z: float = Z975) -> tuple[Column, Column]:

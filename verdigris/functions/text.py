@@ -75,7 +75,7 @@ def search_key(title, authors) -> Column:
     kept = F.slice(
         F.filter(title_words(title, lx.STOP_WORDS_SHORT), lambda w: F.length(w) > 2), 1, 8
     )
-    last = F.element_at(words(F.split_part(text_or_empty(authors), F.lit(","), F.lit(1))), -1)
+    last = F.try_element_at(words(F.split_part(text_or_empty(authors), F.lit(","), F.lit(1))), F.lit(-1))
     return F.concat_ws(" ", kept, last)
 
 
@@ -109,7 +109,7 @@ def surnames(c) -> Column:
 
 def surnames_any_separator(c) -> Column:
     """Last word of each ';' or ',' part, final dots dropped."""
-    parts = F.transform(F.split(text_or_empty(c), "[;,]"), F.trim)
+    parts = F.transform(F.split(text_or_empty(c), "[;,]"), lambda p: F.trim(p))
     lasts = F.transform(
         F.filter(parts, lambda p: p != ""),
         lambda p: F.regexp_replace(F.lower(F.element_at(F.split(p, r"\s+"), -1)), r"\.+$", ""),

@@ -581,10 +581,10 @@ def sql_phrase_count(x, phrases):
 
 
 @query("a53_hedge_phrases", sql_with(PAPERS, f"""
-, c AS (SELECT published, {sql_word_count("abstract")} AS w, {sql_phrase_count("abstract", STYLE)} AS s, {sql_phrase_count("abstract", NULLS)} AS u FROM papers WHERE lang = 'en')
+, c AS (SELECT published, {sql_word_count("abstract")} AS w, {sql_phrase_count("abstract", STYLE)} AS s, {sql_phrase_count("abstract", NULLS)} AS u FROM papers)
 SELECT published, count(*) AS n, {s4("avg(w)")} AS avg_words, {s4("avg(s)")} AS style, {s4("avg(100.0 * s / nullif(w, 0))")} AS style_100, {s4("avg(u)")} AS nulls, {s4("avg(100.0 * u / nullif(w, 0))")} AS nulls_100 FROM c GROUP BY 1"""))
 def _(spark, d):
-    p = papers(spark, d).filter("lang = 'en'").select(
+    p = papers(spark, d).select(
         "published", tx.word_count("abstract").alias("w"), ru.phrase_count("abstract", STYLE).alias("s"), ru.phrase_count("abstract", NULLS).alias("u")
     )
     w = F.nullif(F.col("w"), F.lit(0))

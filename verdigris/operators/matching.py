@@ -6,36 +6,34 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.operators.windows import best, hash_number, hashed_rank
+from verdigris.operators.windows import best, hash_number, hashed_rank, range_rank
 from verdigris.session import cut_lineage
 
 
-def greedy_one_to_one(edges: DataFrame, left: str, right: str, order: list[tuple[str, bool]]) -> DataFrame:
-    """Pairs chosen as if edges were taken one by one in the given order, each side used once.
+def ordered_one_to_one(left: DataFrame, right: DataFrame, edges: DataFrame) -> DataFrame:
+    """One-to-one pairs as if the left rows chose one after another, in id order, the best right
+    row still free.
 
-    order lists (column, descending) and must be total. An edge that comes first at both of its
-    ends is taken by the sequential rule too, so every round takes all such edges at once and drops
-    their neighbours; the result equals the sequential one."""
-    spark = edges.sparkSession
-    keys = [F.desc(c) if d else F.asc(c) for c, d in order]
-    live = cut_lineage(edges)
-    taken = []
+    left(id, l_key), right(id, r_key), edges(l_key, r_key, score): equal keys are one group on
+    either side, so copies never meet pairwise. A right group has as many places as rows. Every
+    left row asks for its best group; a group keeps its earliest askers and turns the others away
+    for good; this repeats until nobody is turned away. All groups rank the askers alike, so the
+    outcome is the sequential one. Groups of equal score are tried in the order of their first id."""
+    places = right.groupBy("r_key").agg(F.count("*").alias("places"), F.min("id").alias("first_id"))
+    live = cut_lineage(
+        left.join(edges, "l_key").join(places, "r_key").select("id", "r_key", "score", "places", "first_id")
+    )
     while True:
-        at_left = best(live, [left], keys)
-        at_right = best(live, [right], keys).select(left, right)
-        won = cut_lineage(at_left.join(at_right, [left, right]))
-        if won.isEmpty():
+        asks = best(live, ["id"], [F.desc("score"), F.asc("first_id")])
+        ranked = cut_lineage(range_rank(asks, ["r_key"], "id", "place"))
+        refused = ranked.filter("place > places").select("id", "r_key")
+        if refused.isEmpty():
             break
-        taken.append(won)
-        live = cut_lineage(
-            live.join(won.select(left), left, "left_anti").join(won.select(right), right, "left_anti")
-        )
-    if not taken:
-        return spark.createDataFrame([], edges.schema)
-    out = taken[0]
-    for t in taken[1:]:
-        out = out.unionByName(t)
-    return out.select(*edges.columns)
+        live = cut_lineage(live.join(refused, ["id", "r_key"], "left_anti"))
+    numbered = range_rank(right.select("id", "r_key"), ["r_key"], "id", "place")
+    return ranked.join(numbered.withColumnRenamed("id", "match_id"), ["r_key", "place"]).select(
+        "id", "match_id", "score"
+    )
 
 
 def _assign_strata(pdf: pd.DataFrame) -> pd.DataFrame:

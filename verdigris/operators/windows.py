@@ -56,6 +56,16 @@ def hashed_rank(df: DataFrame, keys: list[str], number: str, tie: str, rank_col:
     )
 
 
+def range_rank(df: DataFrame, keys: list[str], order: str, rank_col: str) -> DataFrame:
+    """Row number per key in the order of a distinct whole number, built from even value ranges in
+    the manner of hashed_rank."""
+    ends = df.agg(F.min(order).alias("lo"), F.max(order).alias("hi"))
+    lo, hi = ends.select("lo").scalar(), ends.select("hi").scalar()
+    scaled = F.floor((F.col(order) - lo) / (hi - lo + 1) * F.lit(4294967296.0))
+    d = df.withColumn("__n", scaled.cast("bigint"))
+    return hashed_rank(d, keys, "__n", order, rank_col).drop("__n")
+
+
 def running_totals(df: DataFrame, order: str, sums: dict[str, str], partitions: int | None = None) -> DataFrame:
     """Sum of each column over all earlier rows of a table with distinct order values.
 

@@ -180,8 +180,8 @@ raters AS (SELECT paper_id, lang, source, published, direction AS r1,
 
 
 # ---------------------------------------------------------------- SQL pieces
-def sql_with(ctes: str, body: str) -> str:
-    return f"WITH {ctes.strip()}\n{body.strip()}"
+def sql_with(*parts: str) -> str:
+    return "WITH " + "\n".join(p.strip() for p in parts)
 
 
 def s4(x: str, digits: int = 4) -> str:

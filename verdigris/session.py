@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,3 +42,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     scan nor lose their input when an executor dies."""
     checkpoint_root(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder beside the checkpoints, which every executor can reach."""
+    return f"{checkpoint_root(spark)}/verdigris/{name}-{uuid.uuid4().hex}"

@@ -168,4 +168,5 @@ def supports_title(title, abstract, n: int = 2) -> Column:
     long_words = F.filter(
         F.array_distinct(title_words(title, lx.STOP_WORDS_SHORT)), lambda w: F.length(w) >= 4
     )
-    return F.size(F.filter(long_words, lambda w: body.contains(w))) >= n
+    found = bound(body, lambda b: F.filter(long_words, lambda w: b.contains(w)))
+    return F.size(found) >= n

@@ -16,6 +16,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from verdigris.functions.text import bound
+
 # ---- fixed values: rational approximation of the normal tail (Hart 1968), high order first
 HART_NUM = [
     3.52624965998911e-02, 0.700383064443688, 6.37396220353165, 33.912866078383,
@@ -100,11 +102,6 @@ def chi2_1_sf(x: Column) -> Column:
     return 2 * normal_cdf(-F.sqrt(x))
 
 
-def bound(value: Column, body) -> Column:
-    """body(value) with the value computed once, however often the body uses it."""
-    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
-
-
 def normal_quantile(p: Column) -> Column:
     def centre(q: Column) -> Column:
         return q * bound(

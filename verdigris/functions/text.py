@@ -18,6 +18,11 @@ def text_or_empty(c) -> Column:
     return F.coalesce(as_col(c), F.lit(""))
 
 
+def bound(value: Column, body) -> Column:
+    """body(value) with the value computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
 def words(c) -> Column:
     """Whitespace-separated words; an empty array for a blank or missing text."""
     c = F.trim(F.regexp_replace(text_or_empty(c), r"\s+", " "))
@@ -151,8 +156,10 @@ def first_lastname(c) -> Column:
 
 def mentions_any(names, text) -> Column:
     """Any of the names inside the text; true where no name is known."""
-    low = F.lower(text_or_empty(text))
-    return (F.size(as_col(names)) == 0) | F.exists(as_col(names), lambda s: low.contains(F.lower(s)))
+    found = bound(
+        F.lower(text_or_empty(text)), lambda t: F.exists(as_col(names), lambda s: t.contains(F.lower(s)))
+    )
+    return (F.size(as_col(names)) == 0) | found
 
 
 def shares_surname(a, b) -> Column:

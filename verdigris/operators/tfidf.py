@@ -8,9 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType
 
+from verdigris.functions.stats import bound
 from verdigris.functions.text import text_or_empty
 from verdigris.operators.similarity import cell_splits, meet
 from verdigris.operators.windows import top_k
+from verdigris.session import cut_lineage
 
 WORD = r"[\p{L}\p{N}\p{M}_]{2,}"
 
@@ -83,10 +85,9 @@ def unit_vectors(weighted: DataFrame, cut: float) -> DataFrame:
     rows = weighted.groupBy("rec").agg(
         F.sort_array(F.collect_list(F.struct("df", "term", "w"))).alias("t")
     )
-    norm = F.sqrt(F.aggregate("t", F.lit(0.0), lambda a, x: a + x["w"] * x["w"]))
-    scaled = rows.withColumn("ws", F.transform("t", lambda x: x["w"])).withColumn(
-        "ws", F.transform("ws", lambda v: v / norm)
-    )
+    raw = F.transform("t", lambda x: x["w"])
+    norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda a, v: a + v * v))
+    scaled = rows.withColumn("ws", bound(norm, lambda n: F.transform(raw, lambda v: v / n)))
     return scaled.select(
         "rec",
         F.transform("t", lambda x: F.xxhash64(x["term"])).alias("ids"),
@@ -145,9 +146,9 @@ def tfidf_best(
     both = l.select(F.concat(F.lit("l"), F.col("rec").cast("string")).alias("rec"), "text", "copies").unionAll(
         r.select(F.concat(F.lit("r"), F.col("rec").cast("string")).alias("rec"), "text", "copies")
     )
-    counts = term_counts(both)
+    counts = cut_lineage(term_counts(both))
     vocab = vocabulary(counts, both.select("rec", "copies"), min_df, max_features)
-    vecs = unit_vectors(weights(counts, vocab), min_cosine)
+    vecs = cut_lineage(unit_vectors(weights(counts, vocab), min_cosine))
     lv, rv = vecs.filter("rec like 'l%'"), vecs.filter("rec like 'r%'")
     pairs = cosine_pairs(lv, rv, min_cosine).select(
         F.substring("l_rec", 2, 40).cast("bigint").alias("l_rec"),
@@ -180,10 +181,10 @@ def tfidf_candidates(
     the pool alone. queries(id, text), pool(id, text). Returns (id, match_id, cosine, rank)."""
     q, q_all = _distinct_texts(queries, [])
     p, p_all = _distinct_texts(pool, [])
-    counts = term_counts(p, stop_words=stop_words)
+    counts = cut_lineage(term_counts(p, stop_words=stop_words))
     vocab = vocabulary(counts, p.select("rec", "copies"), min_df, max_features)
-    pv = unit_vectors(weights(counts, vocab), above)
-    qv = unit_vectors(weights(term_counts(q, stop_words=stop_words), vocab), above)
+    pv = cut_lineage(unit_vectors(weights(counts, vocab), above))
+    qv = cut_lineage(unit_vectors(weights(term_counts(q, stop_words=stop_words), vocab), above))
     pairs = cosine_pairs(qv, pv, above, strict=True)
     rows = top_k(p_all.join(p.select("__k", "rec"), "__k"), ["rec"], [F.col("id")], top)
     wide = pairs.join(rows.select(F.col("rec").alias("r_rec"), F.col("id").alias("match_id")), "r_rec")

@@ -260,3 +260,9 @@ def sql_lcs(short: str, long: str) -> str:
         f"(length({short}) - bit_count(list_reduce(list_prepend({full}, {masks}), "
         f"lambda v, m: ((v + (v & m)) | (v - (v & m))) & {full})))"
     )
+
+
+def sql_strip_page(x: str) -> str:
+    """Visible text of a piece of markup: tags out, entities back, spaces squeezed."""
+    plain = f"trim(regexp_replace(regexp_replace({x}, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'))"
+    return f"trim(regexp_replace({sql_unescape(plain)}, '\\s+', ' ', 'g'))"

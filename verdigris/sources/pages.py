@@ -45,20 +45,22 @@ def tag_stream(html, tags: list[str]) -> Column:
 
 def _sections(stream: Column, heads: list[str]) -> Column:
     """Stream cut before every head tag: array of sub-arrays, the first without a head."""
-    n = F.size(stream)
-    starts = F.filter(
-        F.transform(stream, lambda s, i: F.when(s["tag"].isin(*heads), i)), lambda i: i.isNotNull()
-    )
-    bounds = F.concat(F.array(F.lit(0)), starts, F.array(n))
-    spots = F.sequence(F.lit(1), F.size(bounds) - 1)
-    return F.transform(
-        spots,
-        lambda k: F.slice(
-            stream,
-            F.element_at(bounds, k) + 1,
-            F.greatest(F.element_at(bounds, k + 1) - F.element_at(bounds, k), F.lit(0)),
-        ),
-    )
+
+    def cut_at(st: Column, bounds: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(1), F.size(bounds) - 1),
+            lambda k: F.slice(
+                st,
+                F.element_at(bounds, k) + 1,
+                F.greatest(F.element_at(bounds, k + 1) - F.element_at(bounds, k), F.lit(0)),
+            ),
+        )
+
+    def starts(st: Column) -> Column:
+        spots = F.transform(st, lambda s, i: F.when(s["tag"].isin(*heads), i))
+        return F.concat(F.array(F.lit(0)), F.filter(spots, lambda i: i.isNotNull()), F.array(F.size(st)))
+
+    return tx.bound(stream, lambda st: tx.bound(starts(st), lambda b: cut_at(st, b)))
 
 
 def heading_layout(

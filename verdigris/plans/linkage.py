@@ -244,7 +244,7 @@ def _(spark, d):
 @query("j16_partial_ratio_check")
 def _(spark, d):
     q = drafts(spark, d).select(F.col("wp").alias("id"), tx.normalise_title("title").alias("q"), tx.surnames("authors").alias("names"))
-    c = articles(spark, d).select(F.col("paper_id").alias("id"), F.substring("abstract", 1, 300).alias("context"))
+    c = articles(spark, d).select(F.col("paper_id").alias("id"), F.concat_ws(" ", "title", "authors").alias("context"))
     j = q.join(c, "id")
     score = sc.partial_udf("q", tx.normalise_title("context"))
     return rounded(j.filter(tx.mentions_any("names", "context")).select("id", score.alias("score")), "score")

@@ -133,7 +133,7 @@ def _(spark, d):
 
 @query("s12_heading_layout", f"""
 WITH t AS (SELECT page_id, {sql_strip_page("regexp_extract(html, '(?is)<title>(.*?)<', 1)")} AS session, {sql_strip_page("regexp_extract(html, '(?is)<h1>(.*?)</h1>', 1)")} AS title,
-  {sql_strip_page("regexp_extract(html, '(?is)</h1>\\s*<p>(.*?)(?:<p>|</p>)', 1)")} AS authors FROM pages)
+  {sql_strip_page("regexp_extract(html, '(?is)</h1>\\s*<p>(.*?)(?:<p>|</p>|</article>)', 1)")} AS authors FROM pages)
 SELECT page_id, session, title, authors FROM t WHERE length(title) >= 5 AND authors <> '' AND NOT starts_with(lower(authors), 'president')""")
 def _(spark, d):
     rows = pg.heading_layout(table(spark, d, "pages"), "page_id", "html", ["title"], "h1")
@@ -164,9 +164,16 @@ def _(spark, d):
     return pg.paragraph_layout(table(spark, d, "pages"), "page_id", "html", institution=line).select("page_id", "session", "title", "authors")
 
 
-@query("s15_inline_title_layout")
+@query("s15_inline_title_layout", f"""
+WITH t AS (SELECT page_id, {sql_strip_page("regexp_extract(html, '(?is)<h1>(.*?)</h1>', 1)")} AS title FROM pages)
+SELECT page_id, 'Session: morning' AS session, title, 'A. Author; Univ' AS authors FROM t
+WHERE {sql_word_count("title")} >= 3 AND NOT regexp_matches(lower(title), '^(discussant|session|president|location:)')""")
 def _(spark, d):
-    return pg.inline_title_layout(table(spark, d, "pages"), "page_id", "html", "a", par_tag="li", session_tags=("strong",)).select("page_id", "session", "title", "authors")
+    html = F.regexp_replace(F.regexp_replace("html", "<h1>", "<p><strong>Session: morning</strong></p><p><i>"), "</h1>", "</i>, A. Author; Univ</p>")
+    html = F.regexp_replace(html, "(?s)</i>, A. Author; Univ</p>.*", "</i>, A. Author; Univ</p>")
+    p = table(spark, d, "pages").select("page_id", html.alias("html"))
+    # session lines start with "Session:", so only the tag decides here
+    return pg.inline_title_layout(p, "page_id", "html", "i").select("page_id", "session", "title", "authors")
 
 
 @query("s16_session_filtered_layout", """

@@ -30,7 +30,7 @@ def tag_stream(html, tags: list[str]) -> Column:
     cut = F.regexp_replace(
         _visible(html), rf"(?i)<(/?(?:{names}|article|footer|div|body))\b[^>]*>", f"{MARK}$1{END}"
     )
-    parts = F.slice(F.split(cut, MARK), 2, 2147483647)
+    parts = F.slice(F.split(cut, MARK), 2, 1_000_000_000)
     return F.filter(
         F.transform(
             parts,
@@ -154,7 +154,9 @@ def inline_title_layout(df: DataFrame, page_id: str, html: str, title_tag: str,
         F.col("raw").rlike(rf"(?i)<({marks})\b").alias("bold"),
     )
     w = Window.partitionBy(page_id).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    is_head = F.col("bold") & (F.col("title") == "") & ~ru.is_skip_line("full")
+    # lines that name people are no headings, but a bold "Session: ..." line is one
+    speaker = ru.is_skip_line("full") & ~F.lower("full").startswith("session:")
+    is_head = F.col("bold") & (F.col("title") == "") & ~speaker
     rows = rows.withColumn("session", F.coalesce(F.last(F.when(is_head, F.col("full")), True).over(w), F.lit("")))
     rest = F.when(
         F.col("full").startswith(F.col("title")), F.substr("full", F.length("title") + 1)
@@ -167,7 +169,7 @@ def inline_title_layout(df: DataFrame, page_id: str, html: str, title_tag: str,
 def _class_blocks(html, tag: str, cls: str) -> Column:
     """Text after each opening tag of a class, up to the next one of the same class."""
     cut = F.regexp_replace(_visible(html), rf"(?i)<{tag}\b[^>]*class=[\"'][^\"']*\b{cls}\b[^\"']*[\"'][^>]*>", MARK)
-    return F.slice(F.split(cut, MARK), 2, 2147483647)
+    return F.slice(F.split(cut, MARK), 2, 1_000_000_000)
 
 
 def _class_text(block: Column, tag: str, cls: str) -> Column:

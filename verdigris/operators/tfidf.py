@@ -10,7 +10,7 @@ from pyspark.sql.types import DoubleType, IntegerType
 
 from verdigris.functions.stats import bound
 from verdigris.functions.text import text_or_empty
-from verdigris.operators.similarity import cell_splits, meet
+from verdigris.operators.similarity import cell_splits, meet, spread
 from verdigris.operators.windows import top_k
 from verdigris.session import cut_lineage
 
@@ -116,8 +116,7 @@ def cosine_pairs(left: DataFrame, right: DataFrame, cut: float, strict: bool = F
         )
 
     scored = (
-        cands.join(vectors(left, "l"), "l_rec")
-        .join(vectors(right, "r"), "r_rec")
+        spread(cands.join(vectors(left, "l"), "l_rec").join(vectors(right, "r"), "r_rec"), "l_rec", "r_rec")
         .select("l_rec", "r_rec", _dot("l_ids", "l_ws", "r_ids", "r_ws").alias("cosine"))
     )
     return scored.filter(F.col("cosine") > cut if strict else F.col("cosine") >= cut)

@@ -25,8 +25,8 @@ def bound(value: Column, body) -> Column:
 
 def words(c) -> Column:
     """Whitespace-separated words; an empty array for a blank or missing text."""
-    c = F.trim(F.regexp_replace(text_or_empty(c), r"\s+", " "))
-    return F.when(c == "", F.array().cast("array<string>")).otherwise(F.split(c, " "))
+    empty = F.array().cast("array<string>")
+    return bound(squeeze(c), lambda t: F.when(t == "", empty).otherwise(F.split(t, " ")))
 
 
 def word_count(c) -> Column:

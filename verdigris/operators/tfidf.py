@@ -24,9 +24,13 @@ def terms(c, bigrams: bool = True, stop_words=()) -> Column:
         t = F.filter(t, lambda w: ~w.isin(*stop_words))
     if not bigrams:
         return t
-    heads = F.slice(t, 1, F.greatest(F.size(t) - 1, F.lit(0)))
-    pairs = F.zip_with(heads, F.slice(t, 2, F.greatest(F.size(t) - 1, F.lit(1))), lambda a, b: F.concat_ws(" ", a, b))
-    return F.when(F.size(t) >= 2, F.concat(t, pairs)).otherwise(t)
+
+    def with_pairs(w: Column) -> Column:
+        n = F.greatest(F.size(w) - 1, F.lit(0))
+        pairs = F.zip_with(F.slice(w, 1, n), F.slice(w, 2, n), lambda a, b: F.concat_ws(" ", a, b))
+        return F.concat(w, pairs)
+
+    return bound(t, with_pairs)
 
 
 def term_counts(df: DataFrame, **kw) -> DataFrame:
@@ -92,6 +96,7 @@ def unit_vectors(weighted: DataFrame, cut: float) -> DataFrame:
         "rec",
         F.transform("t", lambda x: F.xxhash64(x["term"])).alias("ids"),
         "ws",
+        F.transform("t", lambda x: x["df"]).alias("dfs"),
         F.transform(
             F.slice("t", 1, _prefix_len("ws", F.lit(float(cut)))),
             lambda x: F.struct(x["df"].alias("df"), x["term"].alias("term")),
@@ -99,8 +104,8 @@ def unit_vectors(weighted: DataFrame, cut: float) -> DataFrame:
     )
 
 
-def cosine_pairs(left: DataFrame, right: DataFrame, cut: float, strict: bool = False) -> DataFrame:
-    """All pairs of unit_vectors tables with cosine at least (or above) the cut."""
+def cosine_pairs(left: DataFrame, right: DataFrame, cut: float) -> DataFrame:
+    """All pairs of unit_vectors tables with cosine at least the cut."""
 
     def postings(side: DataFrame, name: str) -> DataFrame:
         return side.select(F.col("rec").alias(name), F.explode("prefix").alias("p")).select(
@@ -119,7 +124,23 @@ def cosine_pairs(left: DataFrame, right: DataFrame, cut: float, strict: bool = F
         spread(cands.join(vectors(left, "l"), "l_rec").join(vectors(right, "r"), "r_rec"), "l_rec", "r_rec")
         .select("l_rec", "r_rec", _dot("l_ids", "l_ws", "r_ids", "r_ws").alias("cosine"))
     )
-    return scored.filter(F.col("cosine") > cut if strict else F.col("cosine") >= cut)
+    return scored.filter(F.col("cosine") >= cut)
+
+
+def cosine_sums(left: DataFrame, right: DataFrame, above: float) -> DataFrame:
+    """All pairs with cosine above a low floor, as grouped sums of weight products.
+
+    Under such a floor nearly every term must be looked at, so prefixes would save nothing and
+    carrying vectors per pair would cost more than the products themselves."""
+
+    def rows(side: DataFrame, name: str, w: str) -> DataFrame:
+        return side.select(F.col("rec").alias(name), F.explode(F.arrays_zip("ids", "ws", "dfs")).alias("t")).select(
+            name, F.col("t.ids").alias("tid"), F.col("t.ws").alias(w), cell_splits(F.col("t.dfs")).alias("splits")
+        )
+
+    met = meet(rows(left, "l_rec", "lw"), rows(right, "r_rec", "rw"), ["tid"], "l_rec", "r_rec")
+    dots = met.groupBy("l_rec", "r_rec").agg(F.sum(F.col("lw") * F.col("rw")).alias("cosine"))
+    return dots.filter(F.col("cosine") > above)
 
 
 def _distinct_texts(df: DataFrame, gates: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -184,7 +205,7 @@ def tfidf_candidates(
     vocab = vocabulary(counts, p.select("rec", "copies"), min_df, max_features)
     pv = cut_lineage(unit_vectors(weights(counts, vocab), above))
     qv = cut_lineage(unit_vectors(weights(term_counts(q, stop_words=stop_words), vocab), above))
-    pairs = cosine_pairs(qv, pv, above, strict=True)
+    pairs = cosine_sums(qv, pv, above)
     rows = top_k(p_all.join(p.select("__k", "rec"), "__k"), ["rec"], [F.col("id")], top)
     wide = pairs.join(rows.select(F.col("rec").alias("r_rec"), F.col("id").alias("match_id")), "r_rec")
     ranked = top_k(wide, ["l_rec"], [F.desc(F.round("cosine", 12)), F.col("match_id")], top, "rank")

@@ -219,7 +219,7 @@ def sql_caliper(by, src="valid", lo=1.645, mid=1.96, hi=2.275, open_low=False):
 
 
 @query("a14_caliper_naive", sql_with(STATS, f"""
-, c AS ({sql_caliper("subset")}) SELECT *, {s4("2 * " + sql_ncdf("(-sqrt((below - above) * (below - above) / (below + above)))"))} AS p FROM c"""))
+, c AS ({sql_caliper("subset")}) SELECT *, CASE WHEN above > 0 THEN {s4("2 * " + sql_ncdf("(-sqrt((below - above) * (below - above) / (below + above)))"))} END AS p FROM c"""))
 def _(spark, d):
     return rounded(ca.caliper(valid(spark, d), ["subset"]), "ratio", "chi2", "p", "pct_sig")
 

@@ -19,8 +19,8 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def r4(c, digits: int = 4) -> Column:
-    """Rounded away from ties, so that both engines print the same digits."""
-    return F.round(tx.as_col(c) + F.lit(1e-9), digits)
+    """Rounded away from ties and without negative zero, so that both engines print the same."""
+    return F.round(tx.as_col(c) + F.lit(1e-9), digits) + F.lit(0.0)
 
 
 def rounded(df: DataFrame, *cols: str, digits: int = 4) -> DataFrame:
@@ -185,7 +185,7 @@ def sql_with(*parts: str) -> str:
 
 
 def s4(x: str, digits: int = 4) -> str:
-    return f"round({x} + 1e-9::DOUBLE, {digits})"
+    return f"(round({x} + 1e-9::DOUBLE, {digits}) + 0.0::DOUBLE)"
 
 
 def sql_in(values) -> str:

@@ -304,20 +304,6 @@ def _(spark, d):
     return coef_table(spark, [run(conf, "pub", xs, s) for s, xs in CONF_FITS])
 
 
-@query("a40_truncated_recoding")
-def _(spark, d):
-    """Directions read from the first hundred words against those from the whole text."""
-    lists = dict(null=LOCAL_NULL, positive=LOCAL_POSITIVE, negative=LOCAL_NEGATIVE)
-    p = design(spark, d).withColumns(
-        {
-            "full_code": ru.direction_from_abstract("abstract", **lists),
-            "short_code": ru.direction_from_abstract(tx.first_words("abstract", 100), **lists),
-        }
-    )
-    df = p.withColumn("far", (F.col("short_code") != 0).cast("int"))
-    return coef_table(spark, [run(df, "pub", ["far"], "truncated"), run(df, "pub", ["far", "year_c"], "truncated_year")])
-
-
 def _sql_direction(x):
     from verdigris.plans.base import sql_contains_any
 
@@ -335,6 +321,24 @@ def _sql_first_words(x, n):
     return f"array_to_string({sql_words(x)}[1:{n}], ' ')"
 
 
+RECODED = DESIGN + f", recoded AS (SELECT *, CAST(({_sql_direction(_sql_first_words('abstract', 100))}) <> 0 AS INT) AS far FROM design)"
+
+
+@query("a40_truncated_recoding", sql_probits(RECODED, [
+    ("SELECT * FROM recoded", "pub", ["far"], "truncated"), ("SELECT * FROM recoded", "pub", ["far", "year_c"], "truncated_year")]))
+def _(spark, d):
+    """Directions read from the first hundred words against those from the whole text."""
+    lists = dict(null=LOCAL_NULL, positive=LOCAL_POSITIVE, negative=LOCAL_NEGATIVE)
+    p = design(spark, d).withColumns(
+        {
+            "full_code": ru.direction_from_abstract("abstract", **lists),
+            "short_code": ru.direction_from_abstract(tx.first_words("abstract", 100), **lists),
+        }
+    )
+    df = p.withColumn("far", (F.col("short_code") != 0).cast("int"))
+    return coef_table(spark, [run(df, "pub", ["far"], "truncated"), run(df, "pub", ["far", "year_c"], "truncated_year")])
+
+
 @query("a40_truncated_agreement", sql_with(PAPERS, f"""
 SELECT full_code, short_code, count(*) AS n FROM (SELECT {_sql_direction("abstract")} AS full_code, {_sql_direction(_sql_first_words("abstract", 100))} AS short_code FROM papers) q GROUP BY 1, 2"""))
 def _(spark, d):

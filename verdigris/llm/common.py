@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -29,21 +30,17 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Characters at which str.split() cuts too, although the contracts count them as part of a word.
+_OTHER_BLANKS = re.compile("[" + "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c not in BLANKS) + "]")
+
+
 def words_of(text: str | None) -> list[str]:
-    """The maximal runs of characters other than BLANKS."""
+    """The maximal runs of characters other than BLANKS; none for null."""
     if not text:
         return []
-    return [w for w in text.translate(_TO_SPACE).split(" ") if w] if _odd(text) else text.split()
-
-
-#: Characters at which str.split() also splits although the contracts count them as part of a word.
-_MORE_BLANKS = (
-    "\x1c\x1d\x1e\x1f\x85\xa0                　"
-)
-
-
-def _odd(text: str) -> bool:
-    return not text.isascii() and any(c in text for c in _MORE_BLANKS[4:]) or any(c in text for c in _MORE_BLANKS[:4])
+    if _OTHER_BLANKS.search(text):
+        return [w for w in text.translate(_TO_SPACE).split(" ") if w]
+    return text.split()
 
 
 def slices(texts: pd.Series, most: int = 2_000_000) -> Iterator[slice]:

@@ -9,7 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdigris.llm.common import table
+from verdigris.llm.language_id import fit, predict
+from verdigris.llm.packing import pack
+from verdigris.llm.pivot_index import search
 from verdigris.llm.token_counts import count_tokens
+from verdigris.llm.warc import archive_folder, read_archives, write_archives
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -20,6 +24,26 @@ def query(fn):
     return fn
 
 
+@query
+def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best partners of every fiftieth vector by whole-number inner product."""
+    return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
+
+
+ORACLES["op8_top_k"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda c: CAST(floor(256 * CAST(c AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(CAST(q.x AS DOUBLE[]), CAST(c.x AS DOUBLE[])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+), r AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
 @query
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document; SQL cannot express merges, tests compare with the library."""
@@ -27,3 +51,28 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"))
     n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
     return counted.select("doc_id", n_bytes.alias("n_bytes"), "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
+
+
+@query
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learnt from three quarters of them; tests check held-out accuracy."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4, F.lit(2)) == 2
+    model = fit(docs.where(~held_out), public_tokenizers.path("piece_bpe_32k.model"))
+    found = predict(docs.select("doc_id", "text", held_out.alias("held_out")), model)
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to archives and read back; SQL cannot read archives, tests check the round trip."""
+    pages = table(spark, sf_dir, "pages")
+    found = read_archives(write_archives(pages, archive_folder(pages)), keep_payload=False)
+    return found.drop("url", "html")
+
+
+@query
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 2048 tokens; tests check ids, cuts and places."""
+    docs = table(spark, sf_dir, "documents")
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=2048, end_id=0)

@@ -9,10 +9,11 @@ from __future__ import annotations
 import math
 import os
 import zlib
-from bisect import bisect_left
+from bisect import bisect_left, insort
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -22,9 +23,12 @@ from pyspark.sql import functions as F
 from verdigris.llm.common import saved, slices
 
 #: Distinct words kept per worker and rows ranked by one task at a time; both bound memory only.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 1_500_000
 RANKED_AT_ONCE = 2_000
 
+#: Signs that are one token each and end many words.
+SIGNS = ".,"
+
 #: More than the pieces of any one length, so that (length, rank) can be one whole number.
 RANKS = 1 << 44
 
@@ -44,16 +48,32 @@ class WordIds:
         self.index: dict[str, int] = {}
         self.starts, self.lengths, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
-    def learn(self, words: set[str]) -> None:
-        new = list(words)
-        ids = [e.ids for e in self.tokenizer.encode_batch(new, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for w in ids for i in w), np.uint32, int(lengths.sum()))
-        self.index.update(zip(new, range(len(self.index), len(self.index) + len(new)), strict=True))
+    def add(self, words: list[str], lengths: np.ndarray, flat: np.ndarray) -> None:
+        self.index.update(zip(words, range(len(self.index), len(self.index) + len(words)), strict=True))
         self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(lengths) - lengths])
         self.lengths = np.concatenate([self.lengths, lengths])
         self.pool = np.concatenate([self.pool, flat])
 
+    def gather(self, at: np.ndarray, more: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words at these places one after the other, each with room for `more` ids, and all ends."""
+        lengths = self.lengths[at] + more
+        ends = np.cumsum(lengths)
+        place = np.arange(lengths.sum()) - np.repeat(ends - lengths - self.starts[at], lengths)
+        return self.pool[np.minimum(place, len(self.pool) - 1)] if len(place) else self.pool[:0], ends
+
+    def learn(self, words: set[str]) -> None:
+        """A sign behind a letter is a token of its own, so such words are their stem's ids and the sign's."""
+        signed = [w for w in words if len(w) > 1 and w[-1] in SIGNS and w[-2].isalpha()]
+        own = list((words.difference(signed) | {w[:-1] for w in signed} | {w[-1] for w in signed}) - self.index.keys())
+        ids = [e.ids for e in self.tokenizer.encode_batch(own, add_special_tokens=False)]
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.add(own, lengths, np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum())))
+        at = np.fromiter((self.index[w[:-1]] for w in signed), np.int64, len(signed))
+        signs = np.fromiter((self.index[w[-1]] for w in signed), np.int64, len(signed))
+        flat, ends = self.gather(at, more=1)
+        flat[ends - 1] = self.pool[self.starts[signs]]
+        self.add(signed, self.lengths[at] + 1, flat)
+
     @staticmethod
     def words(text: str | None) -> list[str]:
         """Words that can be encoded alone; a text with separators that only str.split() knows stays whole."""
@@ -65,11 +85,9 @@ class WordIds:
         if len(self.index) > CACHE_WORDS:
             self.forget()
         split = [self.words(t) for t in texts]
-        self.learn({w for ws in split for w in ws} - self.index.keys())
-        at = np.fromiter((self.index[w] for ws in split for w in ws), np.int64, sum(map(len, split)))
-        lengths = self.lengths[at]
-        ends = np.cumsum(lengths)
-        flat = self.pool[np.arange(lengths.sum()) + np.repeat(self.starts[at] - ends + lengths, lengths)]
+        self.learn(set(chain.from_iterable(split)) - self.index.keys())
+        at = np.fromiter(map(self.index.__getitem__, chain.from_iterable(split)), np.int64, sum(map(len, split)))
+        flat, ends = self.gather(at)
         cuts = np.concatenate([[0], ends])[np.cumsum([0, *map(len, split)])]
         return [flat[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
@@ -139,40 +157,47 @@ def _fill(by_room: dict[int, Counter], room: int, bins: tuple, m: int, length: i
     return left - full * each - rest
 
 
-def local_search(bins: Counter, capacity: int, steps: int = 20_000) -> Counter:
+def local_search(bins: Counter, capacity: int, steps: int = 5_000) -> Counter:
     """Moves pieces between underfull bins so that squared fill grows, until a bin is empty and again.
 
     The emptiest kind of bin gives: a piece moves over, one piece is exchanged for a smaller one, two
     for one, or one for two. Equal bins act together. It ends at the least possible number of
     sequences, or where no such step is left, or after `steps` steps, which bounds effort, not the result's
     validity."""
-    bins = +bins
-    total = sum(sum(b) * m for b, m in bins.items())
-    stuck: set[tuple] = set()
+    least = math.ceil(sum(sum(b) * m for b, m in bins.items()) / capacity)
+    number = sum(bins.values())
+    full = Counter({b: m for b, m in bins.items() if sum(b) == capacity})
+    under = dict(+bins - full)
+    line = sorted((sum(b), b) for b in under)
+
+    def add(kind: tuple, m: int) -> None:
+        nonlocal number
+        number += m if kind else 0
+        if not kind or sum(kind) == capacity:
+            full[kind] += m if kind else 0
+            return
+        if kind not in under:
+            insort(line, (sum(kind), kind))
+        under[kind] = under.get(kind, 0) + m
+        if not under[kind]:
+            del under[kind]
+            line.pop(bisect_left(line, (sum(kind), kind)))
+
     for _ in range(steps):
-        if sum(bins.values()) <= math.ceil(total / capacity):
-            break
-        open_bins = sorted((b for b in bins if sum(b) < capacity and b not in stuck), key=lambda b: (sum(b), b))
-        if not open_bins:
-            break
-        giver = open_bins[0]
-        takers = sorted((b for b in bins if sum(b) < capacity and (b != giver or bins[b] > 1)), key=lambda b: (-sum(b), b))
-        step = next((s for b in takers if (s := exchange(giver, b, capacity))), None)
+        pairs = ((g, t, e) for _, g in line for _, t in reversed(line) if (t != g or under[g] > 1) and (sum(t), t) >= (sum(g), g) and (e := exchange(g, t, capacity)))
+        step = next(pairs, None) if number > least else None
         if step is None:
-            stuck.add(giver)
-            continue
-        taker, new_giver, new_taker = step
-        m = bins[giver] // 2 if taker == giver else min(bins[giver], bins[taker])
-        for kind, n in ((giver, -m), (taker, -m), (new_giver, m), (new_taker, m)):
-            if kind:
-                bins[kind] += n
-        bins = +bins
-        stuck.clear()
-    return bins
-
-
-def exchange(giver: tuple, taker: tuple, capacity: int) -> tuple[tuple, tuple, tuple] | None:
-    """The step between two bins that fills the taker most; the taker is at least as full as the giver."""
+            break
+        giver, taker, (left, filled) = step
+        m = under[giver] // 2 if taker == giver else min(under[giver], under[taker])
+        for kind, n in ((giver, -m), (taker, -m), (left, m), (filled, m)):
+            add(kind, n)
+    return +(full + Counter(under))
+
+
+@lru_cache(maxsize=1 << 17)
+def exchange(giver: tuple, taker: tuple, capacity: int) -> tuple[tuple, tuple] | None:
+    """Both bins after the step that fills the taker most; the taker is at least as full as the giver."""
     room = capacity - sum(taker)
     out_one, out_two = _choices(giver)
     in_one, in_two = _choices(taker)
@@ -186,7 +211,8 @@ def exchange(giver: tuple, taker: tuple, capacity: int) -> tuple[tuple, tuple, t
         return None
     _, out, back = best
     left, filled = Counter(giver) - Counter(out) + Counter(back), Counter(taker) - Counter(back) + Counter(out)
-    return taker, *(tuple(sorted(x.elements(), reverse=True)) for x in (left, filled))
+    left, filled = (tuple(sorted(x.elements(), reverse=True)) for x in (left, filled))
+    return left, filled
 
 
 @lru_cache(maxsize=50_000)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections.abc import Iterator
 
@@ -12,11 +11,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 from verdigris.session import checkpoint_root
 
-#: Word separators of the contracts: space and the ASCII control blanks 09 to 0D.
-BLANKS = "".join(map(chr, (32, 9, 10, 11, 12, 13)))
-_TO_SPACE = {ord(c): " " for c in BLANKS}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -30,17 +24,11 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Characters at which str.split() cuts too, although the contracts count them as part of a word.
-_OTHER_BLANKS = re.compile("[" + "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c not in BLANKS) + "]")
-
+def words_of(text: str | None) -> list[bytes]:
+    """The maximal runs of characters other than space and 09 to 0D, in UTF-8; none for null.
 
-def words_of(text: str | None) -> list[str]:
-    """The maximal runs of characters other than BLANKS; none for null."""
-    if not text:
-        return []
-    if _OTHER_BLANKS.search(text):
-        return [w for w in text.translate(_TO_SPACE).split(" ") if w]
-    return text.split()
+    Splitting bytes cuts at exactly these six characters."""
+    return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
 def slices(texts: pd.Series, most: int = 2_000_000) -> Iterator[slice]:
@@ -64,11 +52,11 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(words: list[str], seed: str = "verdigris-words!") -> np.ndarray:
+def word_hashes(words: list, seed: str = "verdigris-words!") -> np.ndarray:
     """64-bit hash of every word; equal words get equal hashes in every task."""
     if not words:
         return np.zeros(0, np.uint64)
-    codes, distinct = pd.factorize(np.array(words, dtype=object))
+    codes, distinct = pd.factorize(np.array([*words, None], dtype=object)[:-1])
     return pd.util.hash_array(distinct, hash_key=seed, categorize=False)[codes]
 
 

@@ -12,6 +12,7 @@ from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -29,7 +30,7 @@ BLOCKS = 1024
 BLOCK_SIZE = 128
 
 #: Distinct words whose scores a worker keeps, and letters x words of one lattice; both bound memory only.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_200_000
 LATTICE = 200_000
 
 
@@ -195,8 +196,8 @@ class Scorer:
         if len(self.index) > CACHE_WORDS:
             self.forget()
         found = [WORD.findall(t.lower()) if t else [] for t in texts]
-        self.learn({w for ws in found for w in ws} - self.index.keys())
-        at = np.fromiter((self.index[w] for ws in found for w in ws), np.int64, sum(map(len, found)))
+        self.learn(set(chain.from_iterable(found)) - self.index.keys())
+        at = np.fromiter(map(self.index.__getitem__, chain.from_iterable(found)), np.int64, sum(map(len, found)))
         doc = np.repeat(np.arange(len(found)), [len(ws) for ws in found])
         n = np.bincount(doc, self.letters[at], len(found))
         total = np.stack([np.bincount(doc, self.scores[at, j], len(found)) for j in range(self.scores.shape[1])], axis=1)

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdigris.llm.common import table
+from verdigris.llm.jaccard_join import link
 from verdigris.llm.language_id import fit, predict
 from verdigris.llm.packing import pack
 from verdigris.llm.pivot_index import search
+from verdigris.llm.recompression import digest_repeats
 from verdigris.llm.token_counts import count_tokens
 from verdigris.llm.warc import archive_folder, read_archives, write_archives
 
@@ -44,6 +46,12 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+@query
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents that share three quarters of their 5-word shingles; tests compare all pairs."""
+    return link(table(spark, sf_dir, "documents"), shingle=5, percent=75)
+
+
 @query
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document; SQL cannot express merges, tests compare with the library."""
@@ -63,6 +71,13 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score")
 
 
+@query
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the 50-word windows that a document of smaller id has; tests compare with all windows."""
+    found = digest_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), window=50)
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 @query
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written to archives and read back; SQL cannot read archives, tests check the round trip."""

@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from verdigris.llm import weak_labels
 from verdigris.llm.common import table
+from verdigris.llm.decontamination import find_leaks
 from verdigris.llm.jaccard_join import link
 from verdigris.llm.language_id import fit, predict
 from verdigris.llm.packing import pack
@@ -71,6 +73,21 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score")
 
 
+@query
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that documents hold, with score and place; tests align every pair of a small corpus."""
+    found = find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "score", "first_word", "last_word")
+
+
+@query
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bad quality and toxicity of every document by weak labels; tests check held-out labels."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = weak_labels.fit(docs, table(spark, sf_dir, "labels"))
+    return weak_labels.score(docs, model).select("doc_id", "bad_quality", "toxic", "kept")
+
+
 @query
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the 50-word windows that a document of smaller id has; tests compare with all windows."""

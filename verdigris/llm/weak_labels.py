@@ -160,7 +160,6 @@ def train(d: np.ndarray, f: np.ndarray, x: np.ndarray, q: np.ndarray, least: int
     d, f, x = d[kept][order], f[kept][order], x[kept][order]
     names, g = np.unique(f, return_inverse=True)
     w, bias, sums, bias_sum = np.zeros(len(names)), 0.0, np.full(len(names), 1e-6), 1e-6
-    weight = 1 + q * (1 / max(mean, 1e-3) - 2) if 0 < mean < 0.5 else np.ones(len(q))  # both classes weigh alike
     edges = np.searchsorted(d, np.arange(0, len(q) + batch, batch))
     for _ in range(epochs):
         for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
@@ -169,7 +168,7 @@ def train(d: np.ndarray, f: np.ndarray, x: np.ndarray, q: np.ndarray, least: int
                 continue
             i, c, v = d[a:b] - own.start, g[a:b], x[a:b]
             p = 1 / (1 + np.exp(-np.clip(np.bincount(i, w[c] * v, own.stop - own.start) + bias, -50, 50)))
-            e = weight[own] * (p - q[own])
+            e = p - q[own]
             used, place = np.unique(c, return_inverse=True)
             step, at_bias = np.bincount(place, e[i] * v, len(used)), e.sum()
             sums[used], bias_sum = sums[used] + step**2, bias_sum + at_bias**2

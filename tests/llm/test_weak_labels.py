@@ -54,11 +54,11 @@ def test_query_on_held_out_labels(spark):
 
 
 def test_nulls_repeats_clashing_names_and_empty_tables(spark):
-    rows = [(1, "plain words here", 1), (None, None, 1), (2, "", 1), (2, "", 1), (3, "x " * 60, 1)]
+    rows = [(1, "plain words here", 1), (None, None, 1), (2, "", 1), (2, "", 1), (3, "x " * 60, 1), (4, "more plain words", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, kept int")
-    labels = spark.createDataFrame([(1, 1, 0, 5), (1, 1, None, 5), (3, 0, 0, 5), (None, 0, 1, 5), (99, None, 1, 5)], "doc_id long, quality int, toxic int, text int")
+    labels = spark.createDataFrame([(1, 1, 0, 5), (1, 1, None, 5), (3, 0, 0, 5), (4, 1, 0, 5), (None, 0, 1, 5), (99, None, 1, 5)], "doc_id long, quality int, toxic int, text int")
     for own in (labels, labels.limit(0)):
         got = score(docs, fit(docs, own)).collect()
-        assert [r.doc_id for r in got] == [1, None, 2, 2, 3]
+        assert [r.doc_id for r in got] == [1, None, 2, 2, 3, 4]
         assert all(r.kept is True and r.bad_quality == 0.0 for r in got[1:4]) and got[0].kept
     assert score(docs.limit(0), fit(docs.limit(0), labels)).select(F.col("kept")).count() == 0

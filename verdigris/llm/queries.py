@@ -15,6 +15,7 @@ from verdigris.llm.jaccard_join import link
 from verdigris.llm.language_id import fit, predict
 from verdigris.llm.packing import pack
 from verdigris.llm.pivot_index import search
+from verdigris.llm.quotations import conversations
 from verdigris.llm.recompression import digest_repeats
 from verdigris.llm.token_counts import count_tokens
 from verdigris.llm.warc import archive_folder, read_archives, write_archives
@@ -73,6 +74,12 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score")
 
 
+@query
+def op2_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All messages without quotes, in reply order; tests check links and order on small conversations."""
+    return conversations(table(spark, sf_dir, "conversations"))
+
+
 @query
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items that documents hold, with score and place; tests align every pair of a small corpus."""

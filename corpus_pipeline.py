@@ -1,14 +1,73 @@
-"""The corpus pipeline: stages that each apply one operator to what the stage before kept."""
+"""The corpus pipeline: five stages, each applying one operator to all that the stage before kept."""
 
 from __future__ import annotations
 
-STAGES: list = []
+from collections.abc import Callable
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from verdigris.llm import weak_labels
+from verdigris.llm.common import saved, table
+from verdigris.llm.decontamination import without_leaks
+from verdigris.llm.jaccard_join import link
+from verdigris.llm.packing import pack
+from verdigris.llm.recompression import drop_repeats
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the weak-label scorers find neither bad nor toxic."""
+    model = weak_labels.fit(docs, table(spark, sf_dir, "labels"))
+    return weak_labels.score(docs.select(*COLUMNS), model).where("kept").select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, the one with the smallest id; documents without words and
+    rows without an id are in no group and stay."""
+    found = link(docs, shingle=5, percent=75)
+    gone = found.where("component_id < doc_id").select("doc_id").distinct()
+    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the 50-word passages that a document of smaller id has. Texts that lose nothing stay as they
+    are, blanks included; n_chars follows the text."""
+    found = drop_repeats(docs.select(*COLUMNS), window=50)
+    changed = F.col("n_removed") > 0
+    return found.withColumns({
+        "text": F.when(changed, F.col("kept_text")).otherwise(F.col("text")),
+        "n_chars": F.when(changed, F.length("kept_text").cast("long")).otherwise(F.col("n_chars")),
+    }).select(*COLUMNS)
+
+
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no copy, exact or edited, of a benchmark item."""
+    return without_leaks(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark")).select(*COLUMNS)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of at most 2048 tokens: a row per piece with its place."""
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=2048, end_id=0)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", quality),
+    ("near_duplicates", near_duplicates),
+    ("repeated_passages", repeated_passages),
+    ("benchmark_leaks", benchmark_leaks),
+    ("packing", packing),
+]
+
+#: SQL cannot train the scorers nor encode tokens; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    """Documents through all stages."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of sf_dir through all stages; each stage's result is written and read again by the next."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = saved(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -7,6 +7,7 @@ functions over the standard library.
 
 from __future__ import annotations
 
+import itertools
 import math
 from functools import reduce
 from statistics import NormalDist
@@ -133,36 +134,68 @@ def wilson(k: Column, n: Column, z: float = Z975) -> tuple[Column, Column]:
 
 
 # ------------------------------------------------ tails for single result rows
-def _beta_fraction(a: float, b: float, x: float) -> float:
+#: Steps after which a fraction counts as divergent; at n trials it needs about the root of n.
+MOST_STEPS = 50_000_000
+
+
+def _fraction(terms, start: float) -> float:
+    """Continued fraction by forward evaluation; terms yields (numerator, denominator) for ever. Raises
+    where it does not settle."""
     tiny = 1e-300
-    c, d = 1.0, 1.0 - (a + b) * x / (a + 1.0)
-    d = 1.0 / (d if abs(d) > tiny else tiny)
-    h = d
-    for m in range(1, 500):
-        for num in (
-            m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
-            -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)),
-        ):
-            d = 1.0 + num * d
-            d = 1.0 / (d if abs(d) > tiny else tiny)
-            c = 1.0 + num / c
-            c = c if abs(c) > tiny else tiny
-            h *= d * c
+    h = c = start or tiny
+    d = 0.0
+    for step, (num, den) in enumerate(terms):
+        d = den + num * d
+        d = 1.0 / (d if abs(d) > tiny else tiny)
+        c = den + num / c
+        c = c if abs(c) > tiny else tiny
+        h *= d * c
         if abs(d * c - 1.0) < 1e-15:
-            break
-    return h
+            return h
+        if step > MOST_STEPS:
+            raise ArithmeticError("a tail probability does not converge")
+
+
+def _beta_terms(a: float, b: float, x: float):
+    yield 1.0, 1.0
+    yield -(a + b) * x / (a + 1.0), 1.0
+    for m in itertools.count(1):
+        yield m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), 1.0
+        yield -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)), 1.0
+
+
+def _stirling_rest(n: float) -> float:
+    """log n! minus Stirling's formula, which keeps its digits where n is large."""
+    if n < 16:
+        return math.lgamma(n + 1) - (n + 0.5) * math.log(n) + n - 0.5 * math.log(2 * math.pi)
+    return (1 / 12 - (1 / 360 - (1 / 1260 - 1 / 1680 / n**2) / n**2) / n**2) / n
+
+
+def _deviance(x: float, mean: float) -> float:
+    """x log(x / mean) + mean - x without cancellation near the mean."""
+    v = (x - mean) / (x + mean)
+    if abs(v) > 0.1:
+        return x * math.log(x / mean) + mean - x
+    total, term, j = (x - mean) * v, 2 * x * v, 0
+    while True:
+        j += 1
+        term *= v * v
+        new = total + term / (2 * j + 1)
+        if new == total:
+            return new
+        total = new
 
 
 def beta_inc(a: float, b: float, x: float) -> float:
     """Regularised incomplete beta."""
     if x <= 0.0 or x >= 1.0:
         return 0.0 if x <= 0.0 else 1.0
-    front = math.exp(
-        math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
-    )
-    if x < (a + 1.0) / (a + b + 2.0):
-        return front * _beta_fraction(a, b, x) / a
-    return 1.0 - front * _beta_fraction(b, a, 1.0 - x) / b
+    n = a + b
+    log = _stirling_rest(n) - _stirling_rest(a) - _stirling_rest(b) - _deviance(a, n * x) - _deviance(b, n * (1 - x))
+    front = math.exp(log) * math.sqrt(a * b / n / (2 * math.pi))
+    if x < (a + 1.0) / (n + 2.0):
+        return front * _fraction(_beta_terms(a, b, x), 0.0) / a
+    return 1.0 - front * _fraction(_beta_terms(b, a, 1.0 - x), 0.0) / b
 
 
 def t_two_sided(t: float, df: float) -> float:
@@ -191,7 +224,7 @@ def chi2_sf_scalar(x: float, df: float) -> float:
     a, x = df / 2.0, x / 2.0
     if x <= 0:
         return 1.0
-    front = math.exp(-x + a * math.log(x) - math.lgamma(a))
+    front = math.exp(-_stirling_rest(a) - _deviance(a, x)) * math.sqrt(a / (2 * math.pi))
     if x < a + 1:
         term = total = 1.0 / a
         k = a
@@ -200,19 +233,8 @@ def chi2_sf_scalar(x: float, df: float) -> float:
             term *= x / k
             total += term
         return 1.0 - total * front
-    tiny = 1e-300
-    b = x + 1 - a
-    c, d = 1 / tiny, 1 / b
-    h = d
-    for i in range(1, 1000):
-        an = -i * (i - a)
-        b += 2
-        d = 1 / (an * d + b)
-        c = b + an / c
-        h *= d * c
-        if abs(d * c - 1) < 1e-15:
-            break
-    return front * h
+    terms = ((-i * (i - a) if i else 1.0, x + 1 - a + 2 * i) for i in itertools.count())
+    return front * _fraction(terms, 0.0)
 
 
 def _lift(fn, *series):

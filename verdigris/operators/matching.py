@@ -18,7 +18,8 @@ def ordered_one_to_one(left: DataFrame, right: DataFrame, edges: DataFrame) -> D
     either side, so copies never meet pairwise. A right group has as many places as rows. Every
     left row asks for its best group; a group keeps its earliest askers and turns the others away
     for good; this repeats until nobody is turned away. All groups rank the askers alike, so the
-    outcome is the sequential one. Groups of equal score are tried in the order of their first id."""
+    outcome is the sequential one as long as a left row's groups have distinct scores. Groups of equal
+    score are tried in the order of their first id, even where that row is taken."""
     places = right.groupBy("r_key").agg(F.count("*").alias("places"), F.min("id").alias("first_id"))
     live = cut_lineage(
         left.join(edges, "l_key").join(places, "r_key").select("id", "r_key", "score", "places", "first_id")

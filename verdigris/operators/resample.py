@@ -3,11 +3,14 @@
 Rows are reduced to per-paper counts first. Two ways to draw:
   draws     one seeded md5 number per (replicate, paper); any engine can repeat them
   profiles  papers with equal counts are one profile with a multiplicity, and each replicate draws
-            the multiplicities; work grows with distinct profiles, not papers
+            how often the profile counts; work grows with distinct profiles, not papers
 """
 
 from __future__ import annotations
 
+import itertools
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -16,12 +19,8 @@ from pyspark.sql import functions as F
 from verdigris.operators.windows import hash_number, hashed_rank, uniform
 
 BLOCK = 250
-MAX_PROFILES = 20_000
-# ---- fixed values: cumulative probabilities of a Poisson(1) count of 0, 1, 2, ...
-POISSON_STEPS = [
-    0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462,
-    0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253,
-]
+#: Cumulative probabilities of a Poisson(1) count of 0, 1, 2, ... until a 32-bit number cannot tell the rest from 1.
+POISSON_STEPS = list(itertools.takewhile(lambda p: 1 - p > 2**-33, itertools.accumulate(math.exp(-1) / math.factorial(k) for k in range(20))))
 
 
 def poisson_one(u: Column) -> Column:
@@ -72,34 +71,28 @@ def _schema(df: DataFrame, by: list, extra: str) -> str:
 
 
 def bootstrap_by_profiles(papers: DataFrame, by: list, n_iter: int, seed: int) -> DataFrame:
-    """(by, iter, b, a): papers drawn with replacement, as one multinomial over profiles."""
-    rows = _profile_arrays(papers.filter("nb + na > 0"), by, n_iter)
+    """(by, iter, b, a): the same weights drawn per profile: m papers of equal counts weigh a Poisson(m)
+    number of times. Profiles are rows with a seed of their own, wherever they lie; a task sends on a sum
+    per group and replicate."""
+    rows = profiles(papers.filter("nb + na > 0"), by).select(*by, "nb", "na", "m")
 
     def draw(batches):
+        sums: dict[tuple, np.ndarray] = {}
         for pdf in batches:
-            for _, r in pdf.iterrows():
-                m = np.asarray(r["m"], dtype=np.int64)
-                rng = np.random.default_rng([seed, int(r["block"])])
-                size = min(BLOCK, n_iter - int(r["block"]) * BLOCK)
-                k = rng.multinomial(int(m.sum()), m / m.sum(), size=size)
-                out = {c: r[c] for c in by}
-                yield pd.DataFrame(
-                    {
-                        **out,
-                        "iter": int(r["block"]) * BLOCK + np.arange(size),
-                        "b": k @ np.asarray(r["nb"]),
-                        "a": k @ np.asarray(r["na"]),
-                    }
-                )
+            for r in pdf.itertuples(index=False):
+                nb, na, m = r[-3:]
+                w = np.random.default_rng([seed, int(nb), int(na)]).poisson(m, n_iter)
+                at = sums.setdefault(tuple(r[:-3]), np.zeros((2, n_iter)))
+                at += [w * nb, w * na]
+        for key, (b, a) in sums.items():
+            yield pd.DataFrame({**dict(zip(by, key)), "iter": np.arange(n_iter), "b": b, "a": a})
 
-    return rows.mapInPandas(draw, _schema(papers, by, "iter long, b double, a double"))
+    parts = rows.mapInPandas(draw, _schema(papers, by, "iter long, b double, a double"))
+    return parts.groupBy(*by, "iter").agg(F.sum("b").alias("b"), F.sum("a").alias("a"))
 
 
-def cluster_bootstrap(papers: DataFrame, by: list, paper: str, n_iter: int = 10_000, seed: int = 42, method: str = "auto") -> DataFrame:
+def cluster_bootstrap(papers: DataFrame, by: list, paper: str, n_iter: int = 10_000, seed: int = 42, method: str = "profiles") -> DataFrame:
     """Observed ratio, one-sided p against the centred replicates, and 95% interval per group."""
-    if method == "auto":
-        most = profiles(papers, by).groupBy(*by).count().agg(F.max("count")).first()[0] or 0
-        method = "profiles" if most <= MAX_PROFILES else "draws"
     reps = (
         bootstrap_by_profiles(papers, by, n_iter, seed)
         if method == "profiles"

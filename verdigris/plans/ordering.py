@@ -1,5 +1,6 @@
 """Windows (W), ordering (O), set operations (U) and incremental work (T)."""
 
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -91,27 +92,38 @@ def _(spark, d):
     )
 
 
-def accumulate(pages_col, limit):
-    """Pages gathered until their scores pass a limit, then a new group begins: one running state
-    over the document's own array, so no group of rows is ever collected."""
-    start = F.struct(F.lit(0).alias("total"), F.lit(0).alias("grp"), F.array().cast("array<int>").alias("groups"))
-
-    def step(acc, score):
-        full = acc["total"] > limit
-        total = F.when(full, score).otherwise(acc["total"] + score)
-        grp = acc["grp"] + F.when(full, 1).otherwise(0)
-        return F.struct(total.cast("int").alias("total"), grp.cast("int").alias("grp"), F.concat(acc["groups"], F.array(grp.cast("int"))).alias("groups"))
-
-    return F.aggregate(pages_col, start, step, lambda a: a["groups"])
-
-
-@query("w9_score_batches")
-def _(spark, d):
-    scores = F.transform(F.split("text", "\n"), lambda t: F.regexp_count(t, F.lit(",")))
-    docs = table(spark, d, "documents").select("doc_id", scores.alias("s"))
-    rows = docs.select("doc_id", F.posexplode(F.arrays_zip(F.col("s"), accumulate(F.col("s"), 30).alias("g"))).alias("page", "x"))
+def accumulate(limit: int):
+    """Group numbers of scores gathered until their sum passes a limit, when a new group begins: one running
+    sum along each document's own array."""
+
+    @F.pandas_udf("array<int>")
+    def groups(scores: pd.Series) -> pd.Series:
+        out = []
+        for own in scores:
+            total, group, found = 0, 0, []
+            for s in own:
+                total, group = (s, group + 1) if total > limit else (total + s, group)
+                found.append(group)
+            out.append(found)
+        return pd.Series(out)
+
+    return groups
+
+
+@query("w9_score_batches", sql_with(LINES, """
+, p AS (SELECT doc_id, page, score, row_number() OVER (PARTITION BY doc_id ORDER BY page) AS r FROM scored WHERE score > 0),
+g AS (SELECT doc_id, page, score, r, score AS total, 0 AS batch FROM p WHERE r = 1 UNION ALL
+  SELECT p.doc_id, p.page, p.score, p.r, CASE WHEN g.total > 30 THEN p.score ELSE g.total + p.score END, g.batch + CASE WHEN g.total > 30 THEN 1 ELSE 0 END
+  FROM g JOIN p ON p.doc_id = g.doc_id AND p.r = g.r + 1)
+SELECT doc_id, batch, min(page) AS first_page, max(page) AS last_page, sum(score) AS score FROM g GROUP BY 1, 2""").replace("WITH", "WITH RECURSIVE", 1))
+def _(spark, d):
+    # pages without score are in no batch
+    score = lambda t: F.regexp_count(t, F.lit(","))
+    pages = F.filter(F.transform(F.split("text", "\n"), lambda t, i: F.struct(i.alias("page"), score(t).alias("score"))), lambda x: x["score"] > 0)
+    docs = table(spark, d, "documents").select("doc_id", pages.alias("p")).withColumn("g", accumulate(30)(F.col("p.score")))
+    rows = docs.select("doc_id", F.explode(F.arrays_zip("p", "g")).alias("x"))
     return rows.groupBy("doc_id", F.col("x.g").alias("batch")).agg(
-        F.min("page").alias("first_page"), F.max("page").alias("last_page"), F.sum("x.s").alias("score")
+        F.min("x.p.page").alias("first_page"), F.max("x.p.page").alias("last_page"), F.sum("x.p.score").alias("score")
     )
 
 

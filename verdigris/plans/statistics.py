@@ -247,7 +247,7 @@ def sql_poisson(u):
 
 @query("a17_cluster_bootstrap_draws", sql_with(STATS, f"""
 , pp AS (SELECT subset, paper_id, {NB} AS nb, {NA} AS na FROM valid GROUP BY 1, 2),
-draws AS (SELECT subset, iter, nb, na, {sql_hash("b1", "iter", "paper_id")} / 4294967296.0::DOUBLE AS u FROM pp, range(200) t(iter) WHERE nb + na > 0),
+draws AS (SELECT subset, iter, nb, na, {sql_hash("b1", "iter", "paper_id")} / 4294967296.0::DOUBLE AS u FROM pp, range(10000) t(iter) WHERE nb + na > 0),
 reps AS (SELECT subset, iter, sum({sql_poisson("u")} * nb) AS b, sum({sql_poisson("u")} * na) AS a FROM draws GROUP BY 1, 2),
 r AS (SELECT subset, b / a AS r, avg(b / a) OVER (PARTITION BY subset) AS m FROM reps WHERE a > 0),
 o AS (SELECT subset, count(*) FILTER (WHERE nb + na > 0) AS n_papers, sum(nb)::BIGINT AS below, sum(na)::BIGINT AS above FROM pp GROUP BY 1)
@@ -256,7 +256,7 @@ SELECT subset, n_papers, below, above, {s4("avg(CASE WHEN r - m + 1.0 >= below /
 FROM r JOIN o USING (subset) GROUP BY subset, n_papers, below, above"""))
 def _(spark, d):
     pp = ca.per_paper(valid(spark, d), ["subset"], "paper_id")
-    out = rs.cluster_bootstrap(pp, ["subset"], "paper_id", n_iter=200, seed="b1", method="draws")
+    out = rs.cluster_bootstrap(pp, ["subset"], "paper_id", n_iter=10_000, seed="b1", method="draws")
     return rounded(out, "p_boot", "ci_low", "ci_high", "ratio")
 
 
@@ -308,12 +308,12 @@ def per_paper_t(spark, d):
 @query("a20_cross_group_permutation_draws", sql_with(STATS, f"""
 , pp AS (SELECT corpus, paper_id, {NB} AS nb, {NA} AS na FROM valid GROUP BY 1, 2),
 k AS (SELECT count(*) AS n1, sum(nb) / sum(na) AS ratio FROM pp WHERE corpus = 'published'),
-d AS (SELECT iter, nb, na, row_number() OVER (PARTITION BY iter ORDER BY {sql_hash("x9", "iter", "paper_id")}, paper_id) AS rk FROM pp, range(200) t(iter)),
+d AS (SELECT iter, nb, na, row_number() OVER (PARTITION BY iter ORDER BY {sql_hash("x9", "iter", "paper_id")}, paper_id) AS rk FROM pp, range(10000) t(iter)),
 r AS (SELECT iter, sum(nb) AS b, sum(na) AS a FROM d WHERE rk <= (SELECT n1 FROM k) GROUP BY 1)
 SELECT {s4("ratio")} AS ratio, count(*) AS n_iter, {s4("avg(CASE WHEN b / a >= ratio THEN 1.0 ELSE 0.0 END)")} AS p_cross FROM r, k WHERE a > 0 GROUP BY ratio"""))
 def _(spark, d):
     pp = ca.per_paper(valid(spark, d), ["corpus"], "paper_id")
-    out = rs.cross_group_p(pp, "paper_id", F.col("corpus") == "published", n_iter=200, seed="x9", method="draws")
+    out = rs.cross_group_p(pp, "paper_id", F.col("corpus") == "published", n_iter=10_000, seed="x9", method="draws")
     return rounded(out, "ratio", "p_cross")
 
 

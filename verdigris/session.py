@@ -26,13 +26,17 @@ def build_session(master: str = "local[*]", app: str = "verdigris", partitions:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """Shared checkpoint folder named by the cluster; a private one only where none is set."""
+    """Shared checkpoint folder named by the cluster. Only a session in this one process may do without:
+    it gets a private folder; on a cluster executors could not read it, so that is an error."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    root = configured or tempfile.mkdtemp(prefix="spark-ckpt-", dir="/tmp")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="spark-ckpt-", dir="/tmp")
     sc.setCheckpointDir(root)
     return root
 

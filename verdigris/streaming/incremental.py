@@ -17,7 +17,9 @@ def unprocessed(df: DataFrame, done: DataFrame, key: str) -> DataFrame:
 
 
 def last_write_wins(old: DataFrame, new: DataFrame, key: str, version: str) -> DataFrame:
-    return best(old.unionByName(new, allowMissingColumns=True), [key], [F.desc(version)])
+    """The row of the highest version per key; of equal versions the one with the greater hash of its values."""
+    rows = old.unionByName(new, allowMissingColumns=True)
+    return best(rows, [key], [F.desc(version), F.desc(F.xxhash64(*sorted(rows.columns)))])
 
 
 def new_hits(papers: DataFrame, hit: Column, labelled: DataFrame, key: str) -> DataFrame:
@@ -68,7 +70,7 @@ def stream_upsert(
             old = read_upserted(batch.sparkSession, target, before=batch_id)
         except FileNotFoundError:
             old = None
-        merged = best(fresh, [key], [F.desc(version)])
+        merged = last_write_wins(fresh.limit(0), fresh, key, version)
         if old is not None:
             merged = last_write_wins(old.join(touched, "bucket", "left_semi"), fresh, key, version)
         merged.repartition(buckets, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(

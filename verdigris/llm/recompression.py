@@ -177,14 +177,17 @@ def repeated_windows(docs: DataFrame, window: int, rounds: int) -> DataFrame:
     are repeats as a whole, the model's windows are compared one by one with other models of the anchor."""
     found = saved(anchors(docs, window, rounds), "anchors")
     by_key = found.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
-    shared = saved(found.join(by_key.where("least < most").select("key"), "key"), "shared")
+    # sums are written before they are joined, so that a join reads both sides from a shuffle of its own and a
+    # hot key can be split
+    keys = saved(by_key.where("least < most").select("key"), "keys")
+    shared = saved(found.join(keys, "key"), "shared")
 
     place = F.struct("doc_id", "mark", "first", "n")
     models = saved(shared.groupBy("key", "content").agg(F.min(place).alias("model")), "models")
     with_model = shared.join(models.select("key", "content", F.col("model.doc_id").alias("model_doc")), ["key", "content"])
     whole = with_model.where("doc_id > model_doc").select("doc_id", "mark", "first", "n")
 
-    several = models.groupBy("key").count().where("count > 1").select("key")
+    several = saved(models.groupBy("key").count().where("count > 1").select("key"), "several")
     open_models = models.join(several, "key").select("key", "content", "model.*")
 
     def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -222,7 +222,8 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: i
     classes = spark.sparkContext.broadcast(frequency_classes(facts))
     sets = facts.where("row < 0").select("doc_id", "n", "k1", "k2", "map")
     named = sets.where("doc_id IS NOT NULL AND n > 0")
-    least = named.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"))
+    # written before it is joined, so that a hot class can be split
+    least = saved(named.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep")), "classes")
     labels = saved(named.select("doc_id", "n", "k1", "k2").join(least, ["n", "k1", "k2"]).select("doc_id", "rep", "n").distinct(), "labels")
     models = least.withColumnRenamed("rep", "doc_id")
     sizes = named.join(models, ["doc_id", "n", "k1", "k2"]).select(F.col("doc_id").alias("rep"), "n", "map").dropDuplicates(["rep", "n"])

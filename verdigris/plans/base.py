@@ -266,3 +266,15 @@ def sql_strip_page(x: str) -> str:
     """Visible text of a piece of markup: tags out, entities back, spaces squeezed."""
     plain = f"trim(regexp_replace(regexp_replace({x}, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'))"
     return f"trim(regexp_replace({sql_unescape(plain)}, '\\s+', ' ', 'g'))"
+
+
+def sql_t_tails(src: str) -> str:
+    """CTE tails(key, p) for rows (key, t, df) of src: two-sided p of Student's t by the finite series in the
+    angle atan(t / sqrt(df)), one for even and one for odd degrees of freedom."""
+    return f"""
+logs AS (SELECT j, sum(CASE WHEN j = 0 THEN 0 ELSE ln((2 * j - 1) / (2.0 * j)) END) OVER (ORDER BY j) AS even,
+  sum(CASE WHEN j = 0 THEN 0 ELSE ln(2 * j / (2 * j + 1.0)) END) OVER (ORDER BY j) AS odd FROM range(0, (SELECT max(df)::BIGINT // 2 + 1 FROM {src})) r(j)),
+angles AS (SELECT key, df::BIGINT AS df, atan(abs(t) / sqrt(df)) AS th FROM {src}),
+series AS (SELECT key, df, th, sum(CASE WHEN df % 2 = 0 THEN exp(even + 2 * j * ln(cos(th))) ELSE exp(odd + (2 * j + 1) * ln(cos(th))) END)
+  FILTER (WHERE 2 * j <= CASE WHEN df % 2 = 0 THEN df - 2 ELSE df - 3 END) AS s FROM angles, logs GROUP BY 1, 2, 3),
+tails AS (SELECT key, 1 - CASE WHEN df % 2 = 0 THEN sin(th) * s ELSE 2 / pi() * (th + sin(th) * coalesce(s, 0)) END AS p FROM series)"""

@@ -13,7 +13,7 @@ from verdigris.operators import resample as rs
 from verdigris.operators.windows import sample_rows
 from verdigris.plans.base import (
     PAPERS, RATERS, STATS, papers, r4, raters, rounded, s4, sql_contains_any, sql_hash, sql_in, sql_ncdf,
-    sql_with, sql_word_count, stats, table,
+    sql_t_tails, sql_with, sql_word_count, stats, table,
 )
 from verdigris.plans.projections import (
     EXPECTED, LOCAL_AMBIGUOUS, LOCAL_PHRASES, TABLE_KIND_SQL, CONTROL_NAMES, internal_consistency,
@@ -293,7 +293,11 @@ def _(spark, d):
     return per_paper_t(spark, d).drop("p")
 
 
-@query("a19_per_paper_ratio_p")
+@query("a19_per_paper_ratio_p", sql_with(STATS, f"""
+, pp AS (SELECT corpus, paper_id, {NB} AS nb, {NA} AS na FROM valid GROUP BY 1, 2),
+q AS (SELECT corpus AS key, count(*) AS n, count(*) - 1 AS df, avg(nb / na) AS m, (avg(nb / na) - 1) / (stddev_samp(nb / na) / sqrt(count(*))) AS t
+  FROM pp WHERE na > 0 GROUP BY 1 HAVING count(*) >= 3), {sql_t_tails("q")}
+SELECT key AS corpus, n, {s4("m")} AS mean_ratio, {s4("t")} AS t, {s4("p")} AS p FROM q JOIN tails USING (key)"""))
 def _(spark, d):
     return per_paper_t(spark, d)
 

@@ -14,7 +14,7 @@ from verdigris.functions import stats as st
 from verdigris.functions import text as tx
 from verdigris.plans.base import (
     ARTICLES, DRAFTS, PAPERS, STATS, articles, drafts, papers, r4, s4, sql_contains_any, sql_in, sql_lcs,
-    sql_ncdf, sql_norm, sql_sorted_title, sql_surnames, sql_title_words, sql_unescape, sql_with,
+    sql_ncdf, sql_norm, sql_sorted_title, sql_surnames, sql_t_tails, sql_title_words, sql_unescape, sql_with,
     sql_word_count, sql_words, stats, table,
 )
 from verdigris.plans.models import _sql_direction
@@ -383,7 +383,13 @@ def _(spark, d):
     return q.select("event_id", r4(st.normal_cdf(F.col("q")), 6).alias("p"))
 
 
-@query("x28_other_tails")
+@query("x28_other_tails", sql_with(STATS, f"""
+, q AS (SELECT subset AS key, count(*) AS n, avg(z) AS m, avg(z) / 10 AS t, count(*) - 1 AS df FROM stats GROUP BY 1), {sql_t_tails("q")},
+lf AS (SELECT k, sum(CASE WHEN k = 0 THEN 0 ELSE ln(k) END) OVER (ORDER BY k) AS v FROM range(0, (SELECT max(n) + 1 FROM q)) t(k)),
+x AS (SELECT key, n, unnest(range(n // 2, n + 1)) AS k FROM q),
+b AS (SELECT key, sum(exp(a.v - b.v - c.v - n * ln(2))) AS p FROM x JOIN lf a ON a.k = n JOIN lf b ON b.k = x.k JOIN lf c ON c.k = n - x.k GROUP BY 1)
+SELECT key AS subset, {s4("tails.p", 6)} AS t_p, {s4("2 * " + sql_ncdf("(-sqrt(m))") + " + sqrt(2 * m / pi()) * exp(-m / 2)", 6)} AS chi2_p,
+  {s4("b.p", 6)} AS binomial_p FROM q JOIN tails USING (key) JOIN b USING (key)"""))
 def _(spark, d):
     t = stats(spark, d).groupBy("subset").agg(F.count("*").cast("double").alias("n"), F.avg("z").alias("m"))
     return t.select(

@@ -37,7 +37,7 @@ def test_scorer_learns_soft_labels():
     x = rng.random((600, 30)) < 0.3
     y = x[:, 3] | x[:, 7]
     d, f = np.nonzero(x)
-    w, bias = train(d, f, np.ones(len(d)), np.where(y, 0.9, 0.05), least=5)
+    w, bias = train(d, f, np.ones(len(d)), np.where(y, 0.9, 0.05))
     assert (((x @ w[:30] + bias) > 0) == y).mean() > 0.99
 
 

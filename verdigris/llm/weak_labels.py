@@ -149,15 +149,11 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100, prior:
     return q, rate
 
 
-def train(d: np.ndarray, f: np.ndarray, x: np.ndarray, q: np.ndarray, least: int, strength: float = 0.0, epochs: int = 20, batch: int = 100, rate: float = 0.3) -> tuple[np.ndarray, float]:
-    """Logistic regression on soft labels by small batches with per-feature steps; features of fewer than
-    `least` texts, or whose texts' classes deviate from the mean by less than `strength` standard errors, keep
-    weight 0. Batches cycle through the texts in their order."""
-    texts, mean = np.bincount(f, minlength=FEATURES), q.mean() if len(q) else 0.0
-    error = np.sqrt(texts * max(mean * (1 - mean), 1e-9)) + 1e-9
-    kept = ((texts >= least) & (np.abs(np.bincount(f, q[d], FEATURES) - texts * mean) / error >= strength))[f]
-    order = np.argsort(d[kept], kind="stable")
-    d, f, x = d[kept][order], f[kept][order], x[kept][order]
+def train(d: np.ndarray, f: np.ndarray, x: np.ndarray, q: np.ndarray, epochs: int = 20, batch: int = 100, rate: float = 0.3) -> tuple[np.ndarray, float]:
+    """Logistic regression on soft labels by small batches with per-feature steps. Batches cycle through the
+    texts in their order; features that do not occur keep weight 0."""
+    order = np.argsort(d, kind="stable")
+    d, f, x = d[order], f[order], x[order]
     names, g = np.unique(f, return_inverse=True)
     w, bias, sums, bias_sum = np.zeros(len(names)), 0.0, np.full(len(names), 1e-6), 1e-6
     edges = np.searchsorted(d, np.arange(0, len(q) + batch, batch))
@@ -188,15 +184,37 @@ class Model:
     rates: dict[str, np.ndarray] = field(default_factory=dict)
 
 
-def lexicon(texts: list[str], toxic: np.ndarray, least: int, share: float) -> tuple[set[str], set[str]]:
+def lexicon(rows: DataFrame, least: int, share: float) -> tuple[set[str], set[str]]:
     """Words and stems that occur in at least `least` labelled texts, nearly all of them toxic."""
-    found = []
-    for t, y in zip(texts, toxic, strict=True):
-        words = {w for w in map(word_of, t.split()) if len(w) >= STEM}
-        found += [(k, x, y) for k, xs in (("word", words), ("stem", {w[:STEM] for w in words})) for x in xs]
-    table = pd.DataFrame(found, columns=["kind", "name", "y"]).groupby(["kind", "name"])["y"].agg(["size", "mean"]).reset_index()
-    chosen = table[(table["size"] >= least) & (table["mean"] >= share)]
-    return tuple(set(chosen.loc[chosen["kind"] == k, "name"]) for k in ("word", "stem"))
+
+    def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for t, y in zip(batch["t"], batch["toxic"], strict=True):
+                words = {w for w in map(word_of, set(t.split())) if len(w) >= STEM}
+                names = [("word", w) for w in words] + [("stem", w) for w in {w[:STEM] for w in words}]
+                yield pd.DataFrame(names, columns=["kind", "name"]).assign(y=float(y or 0))
+
+    each = rows.select("t", F.coalesce("toxic", F.lit(0)).alias("toxic")).mapInPandas(found, "kind string, name string, y double")
+    table = each.groupBy("kind", "name").agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("y")).where((F.col("n") >= least) & (F.col("y") >= share)).toPandas()
+    return tuple(set(table.loc[table["kind"] == k, "name"]) for k in ("word", "stem"))
+
+
+def features(rows: DataFrame, words: set[str], stems: set[str], posteriors: dict[str, dict[tuple, float]]) -> DataFrame:
+    """doc_id, task, feature, value, q: the features of labelled texts with the posteriors of their votes."""
+
+    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for part in slices(batch["t"], 500_000):
+                own = batch.iloc[part]
+                f, d, again = _features.of(list(own["t"]))
+                given = [[ABSTAIN if pd.isna(v) else int(v) for v in own[c]] for c in ("quality", "toxic")]
+                bad = [(*quality_votes(t), ABSTAIN if y == ABSTAIN else 1 - y) for t, y in zip(own["t"], given[0], strict=True)]
+                hits = [(*toxic_votes(t, words, stems), y) for t, y in zip(own["t"], given[1], strict=True)]
+                for task, v, (d, g, x) in (("quality", bad, quality_parts(f, d, again, len(own))), ("toxic", hits, toxic_parts(f, d, len(own)))):
+                    q = np.array([posteriors[task].get(k, 0.0) for k in v])
+                    yield pd.DataFrame({"doc_id": own["doc_id"].to_numpy()[d], "task": task, "feature": g, "value": x, "q": q[d]})
+
+    return rows.mapInPandas(emit, "doc_id long, task string, feature long, value double, q double")
 
 
 def votes(docs: DataFrame, labels: DataFrame, words: set[str], stems: set[str], doc_id: str, text: str) -> DataFrame:
@@ -220,7 +238,9 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 
     labels has doc_id, quality and toxic, 1 or 0 or null; of rows of one id the worse counts, and ids without a
     text are no matter. The sample is the labelled rows with the least hashes of their ids; the lexicon of toxic
-    words and the scorers are fitted on it on the driver, and `sample` bounds what is sent there. Without
+    words and the choice of features are counted on it by Spark. Features in fewer than `least` texts, and for
+    toxicity those whose texts deviate from the mean by less than STRENGTH standard errors, take no part. The
+    driver gets the others' entries, at most `sample` times the few that a text has, and trains on them. Without
     labelled rows the heuristics' posteriors are still estimated, but nothing is scored as bad. The voting
     patterns, at most 3 to the power of the labellers, are counted over all documents."""
     given = labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
@@ -228,31 +248,30 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     )
     chosen = given.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("t")).where("t IS NOT NULL")
-    rows = own.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).toPandas()
-    toxic = rows["toxic"].fillna(0).to_numpy(np.float64)
-    words, stems = lexicon(list(rows["t"]), toxic, least, share)
+    rows = saved(own.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min(F.struct("t", "quality", "toxic")).alias("r")).select("doc_id", "r.*"), "labelled")
+    words, stems = lexicon(rows, least, share)
     cast = votes(docs, given, words, stems, doc_id, text).groupBy(*QUALITY, *TOXIC).count().toPandas()
     model = Model((np.zeros(FEATURES), -1.0), (np.zeros(FEATURES), -1.0))
-    if not len(rows):
-        return model
-    features, parts = WordFeatures(), []
-    for part in slices(rows["t"]):
-        f, d, again = features.of(list(rows["t"].iloc[part]))
-        n = part.stop - part.start
-        parts.append([tuple((q + part.start if i == 0 else q) for i, q in enumerate(p)) for p in (quality_parts(f, d, again, n), toxic_parts(f, d, n))])
-    heuristic = np.array([quality_votes(t) for t in rows["t"]], int).reshape(-1, 5)
-    hits = np.array([toxic_votes(t, words, stems) for t in rows["t"]], int).reshape(-1, 3)
-    q_label = (1 - rows["quality"]).fillna(ABSTAIN).to_numpy(int)
-    t_label = rows["toxic"].fillna(ABSTAIN).to_numpy(int)
-    for task, names, mine, k in (("quality", QUALITY, np.column_stack([heuristic, q_label]), 0), ("toxic", TOXIC, np.column_stack([hits, t_label]), 1)):
+    posteriors = {}
+    for task, names in (("quality", QUALITY), ("toxic", TOXIC)):
         counted = cast.groupby(list(names))["count"].sum().reset_index()
         patterns = counted[list(names)].to_numpy(int)
         q, rate = estimate(patterns, counted["count"].to_numpy(float))
-        posterior = {tuple(p): x for p, x in zip(patterns.tolist(), q, strict=True)}
-        soft = np.array([posterior.get(tuple(v), 0.0) for v in mine.tolist()])
-        d, f, x = (np.concatenate([p[k][i] for p in parts]) for i in range(3))
-        setattr(model, task, train(d, f, x, soft, least, strength=0.0 if task == "quality" else STRENGTH))
+        posteriors[task] = {tuple(p): float(x) for p, x in zip(patterns.tolist(), q, strict=True)}
         model.rates |= dict(zip(names, rate, strict=True))
+    found = saved(features(rows, words, stems, posteriors), "features")
+    for task, strength in (("quality", 0.0), ("toxic", STRENGTH)):
+        own = found.where(F.col("task") == task)
+        texts = own.groupBy("doc_id").agg(F.first("q").alias("q")).orderBy("doc_id").toPandas()
+        if not len(texts):
+            continue
+        mean = float(texts["q"].mean())
+        kept = own.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.sum("q").alias("s")).where(
+            (F.col("n") >= least) & (F.abs(F.col("s") - F.col("n") * mean) >= strength * F.sqrt(F.col("n") * max(mean * (1 - mean), 1e-9)))
+        )
+        used = own.join(kept.select("feature"), "feature").select("doc_id", "feature", "value").orderBy("doc_id", "feature").toPandas()
+        d = np.searchsorted(texts["doc_id"].to_numpy(), used["doc_id"].to_numpy())
+        setattr(model, task, train(d, used["feature"].to_numpy(), used["value"].to_numpy(), texts["q"].to_numpy()))
     return model
 
 

@@ -213,8 +213,9 @@ SELECT user_id, max_by(event_type, event_id) AS event_type, max(event_id) AS eve
 def _(spark, d):
     landing, target, ckpt = (scratch_path(spark, n) for n in ("landing", "upserted", "offsets"))
     e = table(spark, d, "events").select("user_id", "event_type", "event_id")
+    # four files that share users, one to a micro-batch: all but the first merge with what is there
     e.repartition(4).write.parquet(landing)
-    inc.stream_upsert(spark, landing, e.schema, "user_id", "event_id", target, ckpt).awaitTermination()
+    inc.stream_upsert(spark, landing, e.schema, "user_id", "event_id", target, ckpt, files_per_batch=1).awaitTermination()
     return inc.read_upserted(spark, target).select("user_id", "event_type", "event_id")
 
 

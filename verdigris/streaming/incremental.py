@@ -54,9 +54,10 @@ def cached_value(df: DataFrame, cache: DataFrame, key: str, value: str) -> DataF
 
 def stream_upsert(
     spark: SparkSession, landing: str, schema, key: str, version: str, target: str, checkpoint: str,
-    transform=None, buckets: int = 16,
+    transform=None, buckets: int = 16, files_per_batch: int | None = None,
 ):
-    """Starts a query that upserts every landed file into a bucketed parquet table.
+    """Starts a query that upserts every landed file into a bucketed parquet table; buckets should grow with the
+    table, and files_per_batch bounds a micro-batch.
 
     Rows are spread over hash buckets of the key; a micro-batch rewrites only buckets it touches,
     each into a new generation folder, and the table is the newest generation of every bucket."""
@@ -77,9 +78,11 @@ def stream_upsert(
             f"{target}/generation={batch_id}"
         )
 
+    reader = spark.readStream.schema(schema)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return (
-        spark.readStream.schema(schema)
-        .parquet(landing)
+        reader.parquet(landing)
         .writeStream.foreachBatch(upsert)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)

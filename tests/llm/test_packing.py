@@ -21,6 +21,7 @@ def test_word_ids_equal_the_library():
     t, rng = Tokenizer.from_file(PATH), random.Random(5)
     letters = "aabcdeéÈßİñ тест 漢字🙂́ \n\t\r\x0b\x1c\x1f\x85\xa0 　'stre,.!?0123"
     texts = ["", None, "don't we'll", "x<|endoftext|>y <|startoftext|>", "a" * 3000]
+    texts += ["İx ŉ ab", "Ǆ ﬁ ΣΑΣ", " ".join(f"w{chr(97 + i % 26)}{'x' * (i % 7)}" for i in range(3000)), "ａ" * 40]
     texts += ["".join(rng.choices(letters, k=rng.randrange(1, 50))) for _ in range(2000)]
     for s, ids in zip(texts, word_ids(PATH).ids(texts), strict=True):
         assert ids.tolist() == t.encode(s or "", add_special_tokens=False).ids, repr(s)

@@ -26,8 +26,12 @@ from verdigris.llm.common import saved, slices
 CACHE_WORDS = 1_500_000
 RANKED_AT_ONCE = 2_000
 
-#: Signs that are one token each and end many words.
-SIGNS = ".,"
+#: The mark of pieces that end a word, and words of letters that are encoded as one text.
+END, JOINED = "</w>", 1_000
+
+#: Signs that are one token each and end many words, and the first letter behind which that is not sure, as
+#: lower-casing gives it a mark.
+SIGNS, PLAIN = ".,", "\u0130"
 
 #: More than the pieces of any one length, so that (length, rank) can be one whole number.
 RANKS = 1 << 44
@@ -42,6 +46,9 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for piece, i in vocabulary.items() if piece.endswith(END)]] = True
         self.forget()
 
     def forget(self) -> None:
@@ -63,17 +70,32 @@ class WordIds:
 
     def learn(self, words: set[str]) -> None:
         """A sign behind a letter is a token of its own, so such words are their stem's ids and the sign's."""
-        signed = [w for w in words if len(w) > 1 and w[-1] in SIGNS and w[-2].isalpha()]
-        own = list((words.difference(signed) | {w[:-1] for w in signed} | {w[-1] for w in signed}) - self.index.keys())
-        ids = [e.ids for e in self.tokenizer.encode_batch(own, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.add(own, lengths, np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum())))
+        signed = [w for w in words if len(w) > 1 and w[-1] in SIGNS and w[-2] < PLAIN and w[-2].isalpha()]
+        own = (words.difference(signed) | {w[:-1] for w in signed} | {w[-1] for w in signed}) - self.index.keys()
+        letters = [w for w in own if w.isalpha()]
+        for i in range(0, len(letters), JOINED):
+            self.encode_joined(letters[i : i + JOINED])
+        self.encode_alone(list(own.difference(letters)))
         at = np.fromiter((self.index[w[:-1]] for w in signed), np.int64, len(signed))
         signs = np.fromiter((self.index[w[-1]] for w in signed), np.int64, len(signed))
         flat, ends = self.gather(at, more=1)
         flat[ends - 1] = self.pool[self.starts[signs]]
         self.add(signed, self.lengths[at] + 1, flat)
 
+    def encode_alone(self, words: list[str]) -> None:
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.add(words, lengths, np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum())))
+
+    def encode_joined(self, words: list[str]) -> None:
+        """Words of letters as one text, cut after the pieces that end a word; alone, if lower-casing or composing
+        made more or fewer words of them."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        if len(cuts) != len(words) or len(ids) != cuts[-1]:
+            return self.encode_alone(words)
+        self.add(words, np.diff(cuts, prepend=0), ids)
+
     @staticmethod
     def words(text: str | None) -> list[str]:
         """Words that can be encoded alone; a text with separators that only str.split() knows stays whole."""

@@ -71,7 +71,7 @@ class WordIds:
     def learn(self, words: set[str]) -> None:
         """A sign behind a letter is a token of its own, so such words are their stem's ids and the sign's."""
         signed = [w for w in words if len(w) > 1 and w[-1] in SIGNS and w[-2] < PLAIN and w[-2].isalpha()]
-        own = (words.difference(signed) | {w[:-1] for w in signed} | {w[-1] for w in signed}) - self.index.keys()
+        own = (words.difference(signed) | {w[:-1] for w in signed} | {w[-1] for w in signed}).difference(self.index)
         letters = [w for w in own if w.isalpha()]
         for i in range(0, len(letters), JOINED):
             self.encode_joined(letters[i : i + JOINED])
@@ -107,7 +107,7 @@ class WordIds:
         if len(self.index) > CACHE_WORDS:
             self.forget()
         split = [self.words(t) for t in texts]
-        self.learn(set(chain.from_iterable(split)) - self.index.keys())
+        self.learn(set(chain.from_iterable(split)).difference(self.index))
         at = np.fromiter(map(self.index.__getitem__, chain.from_iterable(split)), np.int64, sum(map(len, split)))
         flat, ends = self.gather(at)
         cuts = np.concatenate([[0], ends])[np.cumsum([0, *map(len, split)])]

@@ -196,7 +196,7 @@ class Scorer:
         if len(self.index) > CACHE_WORDS:
             self.forget()
         found = [WORD.findall(t.lower()) if t else [] for t in texts]
-        self.learn(set(chain.from_iterable(found)) - self.index.keys())
+        self.learn(set(chain.from_iterable(found)).difference(self.index))
         at = np.fromiter(map(self.index.__getitem__, chain.from_iterable(found)), np.int64, sum(map(len, found)))
         doc = np.repeat(np.arange(len(found)), [len(ws) for ws in found])
         n = np.bincount(doc, self.letters[at], len(found))

@@ -100,7 +100,7 @@ class WordFeatures:
         if len(self.index) > CACHE_WORDS:
             self.forget()
         split = [t.split() if t else [] for t in texts]
-        new = list(set(chain.from_iterable(split)) - self.index.keys())
+        new = list(set(chain.from_iterable(split)).difference(self.index))
         rows = np.array([(hashed("shape", shape_of(w)), hashed("stem", (x := word_of(w))[:STEM]), hashed("word", x)) for w in new], np.int64).reshape(-1, 3)
         self.index.update(zip(new, range(len(self.index), len(self.index) + len(new)), strict=True))
         self.table = np.vstack([self.table, rows])

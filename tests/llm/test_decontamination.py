@@ -55,6 +55,30 @@ def test_finds_what_aligning_every_pair_finds(spark):
     assert {k for k, s in want.items() if s >= 0.6} <= set(got)
 
 
+def test_finds_copies_with_an_edit_every_few_words_down_to_the_limit(spark):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(3000)]
+    items = [(i, " ".join(rng.choices(words, k=14 + i))) for i in range(30)]
+    docs = []
+    for i, t in items:
+        for every in (4, 5, 6):
+            for kind in range(3):
+                copy = t.split()
+                for k in reversed(range(every - 1, len(copy), every)):
+                    copy[k : k + 1] = [[], ["new"], [copy[k], "new"]][kind]
+                while smith_waterman(t.split(), copy[:-1]) >= 0.5 * MATCH * len(t.split()):
+                    copy.pop()
+                docs += [copy, copy[:-1]]
+    docs = [(d, " ".join([*rng.choices(words, k=40), *copy, *rng.choices(words, k=40)])) for d, copy in enumerate(docs)]
+    found = find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = {}
+    for i, t in items:
+        scores, _ = align([word_hashes(t.split())] * len(docs), [word_hashes(x.split()) for _, x in docs])
+        want |= {(d, i): s / (MATCH * len(t.split())) for (d, _), s in zip(docs, scores, strict=True) if s >= 0.5 * MATCH * len(t.split())}
+    assert len(want) >= 270 and min(want.values()) == 0.5
+    assert {(r.doc_id, r.item_id): r.score for r in found} == want
+
+
 def test_query_finds_every_verbatim_item(spark):
     sf = "/root/testdata/sf0.01"
     docs = {r.doc_id: " ".join(norm_words(r.text)) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}

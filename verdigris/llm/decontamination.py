@@ -1,8 +1,8 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-An item's seeds are the n-grams that are rarest in the corpus among every few neighbours, so that each stretch
-of an item has one, however frequent its n-grams are. Documents and items that share seeds at matching
-distances are aligned word by word; the score tells how much of the item an edited copy still holds."""
+Every n-gram that a document and an item share is a seed: which n-grams of an item edits leave intact is known
+only from the document. Around the seeds both are aligned word by word; the score tells how much of the item an
+edited copy still holds."""
 
 from __future__ import annotations
 
@@ -21,9 +21,12 @@ WORD = re.compile(r"[^\W_]+")
 #: Bits of the filter of item n-grams that every task holds: a fixed size; what passes it is joined exactly.
 FILTER_BITS = 1 << 22
 
-#: Width of the diagonal bands in which seeds are counted together; bands overlap by half.
+#: Width of the diagonal bands in which seeds share a window of the document.
 BAND = 32
 
+#: Item texts whose words a worker keeps at most, between batches.
+CACHE_ITEMS = 10_000
+
 #: Alignment: a common word, a differing word, a word that only one side has.
 MATCH, MISMATCH, GAP = 2, -1, -1
 
@@ -79,21 +82,6 @@ def hits(docs: DataFrame, present, n: int) -> DataFrame:
     return texts.mapInPandas(find, "doc_id string, mark int, at long, gram long").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
-def choose_seeds(grams: DataFrame, frequency: DataFrame, span: int) -> DataFrame:
-    """item_id, length, pos, gram: of every `span` neighbouring n-grams of an item the rarest."""
-
-    def rarest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for i, length, g in zip(batch["item_id"], batch["length"], batch["g"], strict=True):
-                own = sorted((r["pos"], r["n"], r["gram"]) for r in g)
-                chosen = {min(own[a : a + span], key=lambda r: (r[1], r[0])) for a in range(max(1, len(own) - span + 1))}
-                yield pd.DataFrame([(i, length, p, h) for p, _, h in sorted(chosen)], columns=["item_id", "length", "pos", "gram"])
-
-    counted = grams.join(frequency, "gram", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    lists = counted.groupBy("item_id", "length").agg(F.collect_list(F.struct("pos", "n", "gram")).alias("g"))
-    return lists.mapInPandas(rarest, "item_id long, length int, pos int, gram long")
-
-
 def align(items: list[np.ndarray], passages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Smith-Waterman scores of pairs of word sequences, and where in the passage each best alignment ends.
 
@@ -119,7 +107,7 @@ def align(items: list[np.ndarray], passages: list[np.ndarray]) -> tuple[np.ndarr
 
 
 def find_leaks(
-    docs: DataFrame, items: DataFrame, least: float = 0.5, n: int = 3, span: int = 4, doc_id: str = "doc_id", text: str = "text",
+    docs: DataFrame, items: DataFrame, least: float = 0.5, n: int = 3, doc_id: str = "doc_id", text: str = "text",
     item_id: str = "item_id", item_text: str = "text",
 ) -> DataFrame:
     """doc_id, mark, item_id, score, first_word, last_word: items of which a document holds a copy, edited or
@@ -131,43 +119,53 @@ def find_leaks(
     like others. mark tells rows of one id apart by their text; repeated rows answer once. Ties go to the first
     place. Empty tables give no rows; other columns are not read.
 
-    One pass over the texts emits the n-grams that a fixed-size filter of item n-grams lets through; counts,
-    choice of seeds and candidates work on these few. Only documents with candidates meet their text again."""
+    One shared n-gram makes a candidate, and the window around it holds whatever can still reach `least`: at most
+    2 * (1 - least) words per item word can stand between a copy's words. So every copy is found, unless its best
+    alignment has no n matching words in a row. Windows that hold too few of an item's words are not aligned.
+
+    One pass over the texts emits the n-grams that a fixed-size filter of item n-grams lets through; candidates
+    are joined from these few. Only documents with candidates meet their text again."""
     spark = docs.sparkSession
     t = F.col(text)
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), mark_of(t).alias("mark"), t.alias("t"))
     grams = saved(item_grams(items, item_id, item_text, n), "grams")
     present = spark.sparkContext.broadcast(bit_filter(grams))
     found = saved(hits(own, present, n), "hits")
-    frequency = found.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    seeds = saved(choose_seeds(grams, frequency, span), "seeds")
-
-    # a seed on both sides names a diagonal; a copy has its seeds on neighbouring ones
-    pairs = found.join(seeds, "gram").withColumn("diagonal", F.col("at") - F.col("pos"))
-    band = F.floor(F.col("diagonal") / BAND)
-    bands = pairs.withColumn("band", F.explode(F.array(band, band - 1))).groupBy("doc_id", "mark", "item_id", "length", "band").agg(
-        F.count_distinct("pos").alias("n"), F.min("diagonal").alias("low"), F.max("diagonal").alias("high")
+
+    # a seed on both sides names a diagonal; seeds of one band share a window
+    pairs = found.join(grams, "gram").withColumn("diagonal", F.col("at") - F.col("pos"))
+    close = pairs.groupBy("doc_id", "mark", "item_id", F.floor(F.col("diagonal") / BAND).alias("band")).agg(
+        F.min("diagonal").alias("low"), F.max("diagonal").alias("high")
     )
-    number = seeds.groupBy("item_id", "length").agg(F.count_distinct("pos").alias("seeds"))
-    close = bands.join(number, ["item_id", "length"]).where(F.col("n") >= F.least(F.lit(2), F.col("seeds")))
     words = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("item")).dropDuplicates()
     wanted = close.join(words, "item_id").groupBy("doc_id", "mark").agg(F.collect_set(F.struct("item_id", "item", "low", "high")).alias("wanted"))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[str, tuple[list[str], set[str]]] = {}
         for batch in batches:
+            if len(known) > CACHE_ITEMS:
+                known.clear()
             for d, mark, t, rows in zip(batch["doc_id"], batch["mark"], batch["t"], batch["wanted"], strict=True):
-                h, out = word_hashes(norm_words(t)), []
+                words_of_text, out = norm_words(t), []
                 rows = sorted(rows, key=lambda r: (r["item_id"], r["item"], r["low"]))
                 for k in range(0, len(rows), 256):
-                    part = rows[k : k + 256]
-                    a = [word_hashes(norm_words(r["item"])) for r in part]
-                    slack = [len(x) // 2 + BAND for x in a]
-                    begin = [max(0, r["low"] - s) for r, s in zip(part, slack, strict=True)]
-                    b = [h[i : max(0, r["high"] + len(x) + s)] for i, r, x, s in zip(begin, part, a, slack, strict=True)]
-                    value, end = align(a, b)
-                    for r, x, i, v, e in zip(part, a, begin, value, end, strict=True):
+                    part = []
+                    for r in rows[k : k + 256]:
+                        if r["item"] not in known:
+                            known[r["item"]] = (own_words := norm_words(r["item"])), set(own_words)
+                        x, names = known[r["item"]]
+                        slack = int(MATCH * (1 - least) * len(x) / -GAP) + 1
+                        begin = max(0, r["low"] - slack)
+                        y = words_of_text[begin : max(0, r["high"] + len(x) + slack)]
+                        absent = names.difference(y)
+                        if sum(w not in absent for w in x) >= least * len(x):
+                            part.append((r["item_id"], word_hashes(x), begin, word_hashes(y)))
+                    if not part:
+                        continue
+                    value, end = align([x for _, x, _, _ in part], [y for _, _, _, y in part])
+                    for (item, x, i, _), v, e in zip(part, value, end, strict=True):
                         if v >= least * MATCH * len(x):
-                            out.append((d, mark, r["item_id"], v / (MATCH * len(x)), int(i + e - min(len(x), e)), int(i + e - 1)))
+                            out.append((d, mark, item, v / (MATCH * len(x)), int(i + e - min(len(x), e)), int(i + e - 1)))
                 yield pd.DataFrame(out, columns=["doc_id", "mark", "item_id", "score", "first_word", "last_word"])
 
     texts = own.join(

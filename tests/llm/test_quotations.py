@@ -29,6 +29,22 @@ def test_links_within_and_between_conversations(spark):
     assert {r.thread for k, r in got.items() if k[0] < 3} == {1}
 
 
+def test_nested_interleaved_trimmed_short_and_unspaced_quotes(spark):
+    rows = [
+        (1, 0, "user", "What is the plan for today?"), (1, 1, "assistant", "First some words.\n> What is the plan for today?\nThen some others."),
+        (1, 2, "user", "Nothing quoted."), (1, 3, "assistant", "> First some words.\n> > What is the plan for today?\n> Then some others.\nAll of it quoted."),
+        (1, 4, "user", "One paragraph of text.\n\nAnother paragraph of text.\n\nYes."), (1, 5, "assistant", "Between."),
+        (1, 6, "user", "> Another paragraph of text.\nOnly that."), (1, 7, "assistant", "> One paragraph of text.\nA.\n> Yes.\nB."), (1, 8, "user", "> Between.\nShort."),
+        (2, 0, "user", "今天我们做什么"), (3, 0, "user", "> 今天我们做什么\n好的"),
+        (4, 0, "user", "> Then some others.\nOutside."),
+        (5, 0, "user", "> First some words.\n>\n> Then some others.\nOutside, whole."),
+    ]
+    parent = {k: (r.parent_conv, r.parent_turn) for k, r in run(spark, rows).items()}
+    assert parent[1, 1] == (1, 0) and parent[1, 3] == (1, 1)
+    assert parent[1, 6] == parent[1, 7] == (1, 4) and parent[1, 8] == (1, 5)
+    assert parent[3, 0] == (2, 0) and parent[4, 0] == parent[5, 0] == (1, 1)
+
+
 def test_a_long_chain_is_in_reply_order(spark):
     got = run(spark, [(9, t, "user", f"message number {t}") for t in range(40)])
     assert [got[9, t].depth for t in range(40)] == list(range(40))

@@ -18,6 +18,10 @@ def test_shapes():
     assert [shape_of(w) for w in ("Word.", "THE!!", "ab***", "12", "|")] == ["Aa.", "A!", "a*", "0", "|"]
 
 
+def test_shapes_cover_whole_words():
+    assert shape_of("a" * 64 + "1#") == "a0#"
+
+
 def test_em_finds_the_accuracies_of_planted_labellers():
     rng = np.random.default_rng(3)
     truth = rng.random(40_000) < 0.3

@@ -74,7 +74,7 @@ def word_of(word: str) -> str:
 def shape_of(word: str) -> str:
     """The word with runs of capitals, small letters, digits and equal signs as one sign each."""
     out = []
-    for c in word[:64]:
+    for c in word:
         s = "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
         if not out or out[-1] != s:
             out.append(s)

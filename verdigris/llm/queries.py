@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from verdigris.llm import weak_labels
 from verdigris.llm.common import table
 from verdigris.llm.decontamination import find_leaks
+from verdigris.llm.filter_audit import audit
 from verdigris.llm.jaccard_join import link
 from verdigris.llm.language_id import fit, predict
 from verdigris.llm.packing import pack
@@ -115,3 +116,43 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 2048 tokens; tests check ids, cuts and places."""
     docs = table(spark, sf_dir, "documents")
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=2048, end_id=0)
+
+
+@query
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five document filters remove under every order, for every language."""
+    return audit(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), table(spark, sf_dir, "labels"))
+
+
+ORACLES["op13_filter_audit"] = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, part, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM d),
+first AS (SELECT text, min(doc_id) AS first_id FROM d GROUP BY 1),
+marks AS (SELECT doc_id, max(coalesce(quality, 0) = 1) AS good, max(coalesce(toxic, 0) = 1) AS toxic FROM labels GROUP BY 1),
+f AS (
+  SELECT w.part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, map {
+    'A': len(words) < 100, 'B': 100 * len(list_distinct(words)) < 80 * len(words),
+    'C': 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text), 'D': regexp_matches(text, '[#$%&*|]'),
+    'E': coalesce(w.doc_id > first_id, false)} AS fails
+  FROM w JOIN first USING (text) LEFT JOIN marks USING (doc_id)
+), x(x) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+orders AS (SELECT a.x || b.x || c.x || d.x || e.x AS o FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps AS (SELECT o, CAST(s AS INTEGER) AS step, substr(o, CAST(s AS INTEGER), 1) AS this, substr(o, 1, CAST(s AS INTEGER) - 1) AS before FROM orders, range(1, 6) r(s)),
+sets AS (SELECT part, good, toxic, fails, count(*) AS n FROM f GROUP BY ALL),
+told AS (
+  SELECT part, o AS filter_order, step, this, n, good, toxic, fails[this] AS bad,
+    len(list_filter(string_split(before, ''), lambda v: v <> '' AND fails[v])) > 0 AS gone,
+    len(list_filter(['A', 'B', 'C', 'D', 'E'], lambda v: fails[v])) AS bad_count
+  FROM sets, steps
+), tally AS (
+  SELECT part, filter_order, step, this, sum(n) FILTER (NOT bad AND NOT gone) AS kept, sum(n) FILTER (bad AND NOT gone) AS removed,
+    sum(n) FILTER (bad AND gone) AS redundant, sum(n) FILTER (bad AND bad_count = 1) AS unique_fails,
+    sum(n) FILTER (bad AND NOT gone AND good) AS good_lost, sum(n) FILTER (bad AND NOT gone AND toxic) AS toxic_lost
+  FROM told GROUP BY 1, 2, 3, 4
+)
+SELECT part, filter_order, step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed,
+  CAST(coalesce(redundant, 0) AS BIGINT) AS redundant, CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails,
+  CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+  CAST(coalesce(sum(removed) OVER (PARTITION BY part, this), 0) AS BIGINT) AS shapley
+FROM tally
+"""

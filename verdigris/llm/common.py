@@ -15,12 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """df written once to the shared folder and read back: later steps neither recompute it nor
-    depend on an executor's disk."""
+def saved(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """df written once to the shared folder, in a subfolder per value of `by`, and read back: later steps neither
+    recompute it nor depend on an executor's disk."""
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/llm/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -14,6 +14,7 @@ from verdigris.llm.decontamination import find_leaks
 from verdigris.llm.filter_audit import audit
 from verdigris.llm.jaccard_join import link
 from verdigris.llm.language_id import fit, predict
+from verdigris.llm.line_runs import drop_shared_lines
 from verdigris.llm.packing import pack
 from verdigris.llm.pivot_index import search
 from verdigris.llm.quotations import conversations
@@ -118,6 +119,25 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=2048, end_id=0)
 
 
+@query
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that three documents share, but where the largest id holds them."""
+    found = drop_shared_lines(table(spark, sf_dir, "documents"), least_docs=3, least_chars=20)
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+ORACLES["op11_line_dedup"] = r"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM d),
+k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+f AS (SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= 20 GROUP BY 1 HAVING count(DISTINCT doc_id) >= 3),
+m AS (SELECT doc_id, i, line, keeper IS NOT NULL AND doc_id <> keeper AS lost FROM k LEFT JOIN f USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (lost) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT lost), '')) AS kept_sha256
+FROM m GROUP BY doc_id
+"""
+
+
 @query
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What five document filters remove under every order, for every language."""

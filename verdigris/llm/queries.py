@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdigris.llm import weak_labels
+from verdigris.llm.collocations import collocations
 from verdigris.llm.common import table
 from verdigris.llm.decontamination import find_leaks
 from verdigris.llm.filter_audit import audit
@@ -138,6 +139,36 @@ FROM m GROUP BY doc_id
 """
 
 
+@query
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 strongest phrases of two to four words in every language."""
+    return collocations(table(spark, sf_dir, "documents"), least=30, longest=4, covered=80, top=2000)
+
+
+ORACLES["op12_collocations"] = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents WHERE text IS NOT NULL
+), w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+totals AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM w GROUP BY 1),
+g AS (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, range(1, 5) r(k) WHERE len(ws) >= k),
+f AS (SELECT lang, k, array_to_string(ws[i : i + k - 1], ' ') AS phrase, count(*) AS f FROM g GROUP BY 1, 2, 3 HAVING count(*) >= 30),
+cuts AS (
+  SELECT c.lang, c.k, c.phrase, c.f AS a, l.f AS l, r.f AS r, h AS cut, CAST(CAST(2000000 AS HUGEINT) * c.f // (l.f + r.f) AS BIGINT) AS score
+  FROM f c JOIN range(1, 4) x(h) ON h < c.k
+  JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(string_split(c.phrase, ' ')[:h], ' ')
+  JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(string_split(c.phrase, ' ')[h + 1 :], ' ')
+), lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+inner_parts AS (
+  SELECT lang, f AS whole, array_to_string(string_split(phrase, ' ')[CAST(s AS INTEGER) : CAST(s + m - 1 AS INTEGER)], ' ') AS phrase
+  FROM f, range(2, 4) y(m), range(1, 4) z(s) WHERE m < k AND s + m - 1 <= k
+), covered AS (SELECT DISTINCT f.lang, f.phrase FROM f JOIN inner_parts t ON t.lang = f.lang AND t.phrase = f.phrase WHERE 100 * t.whole >= 80 * f.f)
+SELECT lang, CAST(row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS INTEGER) AS rank, phrase, a, l, r, n, score
+FROM lowest ANTI JOIN covered USING (lang, phrase) JOIN totals USING (lang)
+QUALIFY rank <= 2000
+"""
+
+
 @query
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What five document filters remove under every order, for every language."""

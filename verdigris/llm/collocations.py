@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from verdigris.llm.common import mix, saved
 
 CHUNK_BYTES, HELD_BYTES = 2_000_000, 16_000_000
-TILE, DENSE_FROM, MOST_DENSE = 512, 8_192, 32
+TILE, DENSE_FROM, MOST_DENSE = 512, 8_192, 16
 FILTER_BITS = 1 << 24
 ENDS = b".,;:!?\n\x0b\x0c\r"
 CAPITALS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -114,29 +115,46 @@ def packed(seq: np.ndarray) -> tuple[bytes, bytes]:
 LEVEL = "chunk long, lang string, ids binary, codes binary"
 
 
+def level_row(chunk: int, lang: str, seq: np.ndarray) -> pa.Table:
+    ids, codes = packed(seq)
+    return pa.table({"chunk": pa.array([chunk], pa.int64()), "lang": pa.array([lang], pa.string()), "ids": pa.array([ids], pa.binary()), "codes": pa.array([codes], pa.binary())})
+
+
+def ordered(hits: pa.Table, key: str) -> tuple[np.ndarray, np.ndarray]:
+    """A chunk's places (or pairs) that have a number, in order, and their numbers."""
+    keys, ids = hits.column(key).to_numpy(), hits.column("id").to_numpy()
+    order = np.argsort(keys, kind="stable")
+    return keys[order], ids[order]
+
+
 def first_level(cut: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(chunk, lang, ids, codes): the chunks in numbers of frequent words."""
     slots = cut.select("chunk", "lang", F.posexplode("words").alias("slot", "word"))
-    found = slots.join(vocabulary.select("lang", "word", "id"), ["lang", "word"]).groupBy("chunk").agg(F.collect_list(F.struct("slot", "id")).alias("hits"))
-    known = found.select("chunk", F.col("hits.slot").alias("slots"), F.col("hits.id").alias("found"))
+    hits = slots.join(vocabulary.select("lang", "word", "id"), ["lang", "word"]).select(F.col("chunk").alias("of"), "slot", "id")
 
-    def rename(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                codes = np.frombuffer(row.codes, np.int32)
-                table = np.full(codes.max(initial=-1) + 2, -1, np.int64)  # its last cell serves code -1
-                table[np.asarray(row.slots, np.int64)] = row.found
-                ids, places = packed(table[codes])
-                yield pd.DataFrame({"chunk": [row.chunk], "lang": [row.lang], "ids": [ids], "codes": [places]})
+    def rename(own: pa.Table, known: pa.Table) -> pa.Table:
+        codes = np.frombuffer(own.column("codes")[0].as_buffer(), np.int32)
+        slots, ids = ordered(known, "slot")
+        table = np.full(max(codes.max(initial=-1), slots.max(initial=-1)) + 2, -1, np.int64)  # the last cell serves code -1
+        table[slots] = ids
+        return level_row(own.column("chunk")[0].as_py(), own.column("lang")[0].as_py(), table[codes])
+
+    return cut.select("chunk", "lang", "codes").groupBy("chunk").cogroup(hits.groupBy("of")).applyInArrow(rename, LEVEL)
 
-    return cut.select("chunk", "lang", "codes").join(known, "chunk").mapInPandas(rename, LEVEL)
 
+def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, str, np.ndarray, np.ndarray]]:
+    """chunk, lang, ids and codes of a level, row by row and without copies."""
+    for batch in batches:
+        columns = [batch.column(batch.schema.get_field_index(c)) for c in ("chunk", "lang", "ids", "codes")]
+        for chunk, lang, ids, codes in zip(*columns):
+            yield chunk.as_py(), lang.as_py(), np.frombuffer(ids.as_buffer(), np.int64), np.frombuffer(codes.as_buffer(), np.int32)
 
-def local_pairs(ids: bytes, codes: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Numbers of a chunk; for each pair of neighbouring places its joint code, -1 where a place is empty."""
-    known, places = np.frombuffer(ids, np.int64), np.frombuffer(codes, np.int32).astype(np.int64)
+
+def joint_codes(known: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """One code for each pair of neighbouring places, -1 where a place is empty."""
+    places = codes.astype(np.int64)
     a, b = places[:-1], places[1:]
-    return known, places, np.where((a >= 0) & (b >= 0), a * max(len(known), 1) + b, -1)
+    return np.where((a >= 0) & (b >= 0), a * max(len(known), 1) + b, -1)
 
 
 class Tiles:
@@ -186,16 +204,20 @@ class Tiles:
 def pair_counts(level: DataFrame) -> DataFrame:
     """(lang, a, b, f): how often number b follows number a, over all chunks of a level."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tiles = Tiles()
-        frame = lambda part: pd.DataFrame({"lang": part[0], "a": part[1], "b": part[2], "c": part[3]})
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                known, _, joint = local_pairs(row.ids, row.codes)
-                yield from map(frame, tiles.count(row.lang, known, joint[joint >= 0]))
+
+        def frame(part) -> pa.RecordBatch:
+            lang, a, b, c = part
+            names = pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(a), np.int32)), pa.array([lang], pa.string())).cast(pa.string())
+            return pa.RecordBatch.from_arrays([names, pa.array(a), pa.array(b), pa.array(c)], ["lang", "a", "b", "c"])
+
+        for _, lang, known, codes in rows_of(batches):
+            joint = joint_codes(known, codes)
+            yield from map(frame, tiles.count(lang, known, joint[joint >= 0]))
         yield from map(frame, tiles.rest())
 
-    return level.select("lang", "ids", "codes").mapInPandas(count, "lang string, a long, b long, c long").groupBy("lang", "a", "b").agg(F.sum("c").alias("f"))
+    return level.mapInArrow(count, "lang string, a long, b long, c long").groupBy("lang", "a", "b").agg(F.sum("c").alias("f"))
 
 
 def cells_of(lang: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -226,32 +248,29 @@ def next_level(level: DataFrame, pairs: DataFrame) -> DataFrame:
     """The chunks in numbers of frequent pairs: place p holds the pair of places p and p + 1."""
     bits = level.sparkSession.sparkContext.broadcast(pair_filter(pairs))
 
-    def candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                known, _, joint = local_pairs(row.ids, row.codes)
-                codes = np.unique(joint[joint >= 0])
-                a, b = known[codes // max(len(known), 1)], known[codes % max(len(known), 1)]
-                cell = cells_of(row.lang, a, b)
-                kept = (bits.value[cell >> 3] >> (cell & 7).astype(np.uint8) & 1).astype(bool)
-                yield pd.DataFrame({"chunk": row.chunk, "lang": row.lang, "joint": codes[kept], "a": a[kept], "b": b[kept]})
-
-    met = level.mapInPandas(candidates, "chunk long, lang string, joint long, a long, b long").join(pairs.select("lang", "a", "b", "id"), ["lang", "a", "b"])
-    found = met.groupBy("chunk").agg(F.collect_list(F.struct("joint", "id")).alias("hits"))
-    known = found.select("chunk", F.col("hits.joint").alias("joints"), F.col("hits.id").alias("found"))
-
-    def rename(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                _, _, joint = local_pairs(row.ids, row.codes)
-                joints, found = np.asarray(row.joints, np.int64), np.asarray(row.found, np.int64)
-                order = np.argsort(joints)
-                joints, found = joints[order], found[order]
-                at = np.minimum(np.searchsorted(joints, joint), len(joints) - 1)
-                ids, codes = packed(np.where(joints[at] == joint, found[at], -1))
-                yield pd.DataFrame({"chunk": [row.chunk], "lang": [row.lang], "ids": [ids], "codes": [codes]})
-
-    return level.join(known, "chunk").mapInPandas(rename, LEVEL)
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, lang, known, codes in rows_of(batches):
+            joint = joint_codes(known, codes)
+            pairs_here = np.unique(joint[joint >= 0])
+            a, b = known[pairs_here // max(len(known), 1)], known[pairs_here % max(len(known), 1)]
+            cell = cells_of(lang, a, b)
+            kept = (bits.value[cell >> 3] >> (cell & 7).astype(np.uint8) & 1).astype(bool)
+            n = int(kept.sum())
+            names = pa.array([lang] * n, pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk, np.int64)), names, pa.array(pairs_here[kept]), pa.array(a[kept]), pa.array(b[kept])], ["chunk", "lang", "joint", "a", "b"])
+
+    met = level.mapInArrow(candidates, "chunk long, lang string, joint long, a long, b long").join(pairs.select("lang", "a", "b", "id"), ["lang", "a", "b"])
+
+    def rename(own: pa.Table, known: pa.Table) -> pa.Table:
+        ids, codes = (np.frombuffer(own.column(c)[0].as_buffer(), kind) for c, kind in (("ids", np.int64), ("codes", np.int32)))
+        joint, (joints, found) = joint_codes(ids, codes), ordered(known, "joint")
+        seq = np.full(len(joint), -1, np.int64)
+        if len(joints):
+            at = np.minimum(np.searchsorted(joints, joint), len(joints) - 1)
+            seq = np.where(joints[at] == joint, found[at], -1)
+        return level_row(own.column("chunk")[0].as_py(), own.column("lang")[0].as_py(), seq)
+
+    return level.groupBy("chunk").cogroup(met.select(F.col("chunk").alias("of"), "joint", "id").groupBy("of")).applyInArrow(rename, LEVEL)
 
 
 def named(longer: DataFrame, shorter: DataFrame, k: int) -> DataFrame:

@@ -151,8 +151,13 @@ WITH p AS (
   FROM documents WHERE text IS NOT NULL
 ), w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
 totals AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM w GROUP BY 1),
-g AS (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, range(1, 5) r(k) WHERE len(ws) >= k),
-f AS (SELECT lang, k, array_to_string(ws[i : i + k - 1], ' ') AS phrase, count(*) AS f FROM g GROUP BY 1, 2, 3 HAVING count(*) >= 30),
+t AS (SELECT lang, piece, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (SELECT lang, ws, row_number() OVER () AS piece FROM w) q),
+s AS (SELECT lang, w AS a, lead(w) OVER o AS b, lead(w, 2) OVER o AS c, lead(w, 3) OVER o AS d FROM t WINDOW o AS (PARTITION BY piece ORDER BY i)),
+g AS (
+  SELECT lang, 1 AS k, a AS phrase FROM s UNION ALL SELECT lang, 2, a || ' ' || b FROM s WHERE b IS NOT NULL
+  UNION ALL SELECT lang, 3, a || ' ' || b || ' ' || c FROM s WHERE c IS NOT NULL
+  UNION ALL SELECT lang, 4, a || ' ' || b || ' ' || c || ' ' || d FROM s WHERE d IS NOT NULL
+), f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY 1, 2, 3 HAVING count(*) >= 30),
 cuts AS (
   SELECT c.lang, c.k, c.phrase, c.f AS a, l.f AS l, r.f AS r, h AS cut, CAST(CAST(2000000 AS HUGEINT) * c.f // (l.f + r.f) AS BIGINT) AS score
   FROM f c JOIN range(1, 4) x(h) ON h < c.k

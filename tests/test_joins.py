@@ -44,6 +44,8 @@ def test_edit_pairs_match_brute_force(spark, cut):
 def test_hot_tokens_are_split_without_loss(spark, monkeypatch):
     left, right = titles(3, 50), titles(4, 50)
     monkeypatch.setattr(si, "CELL_ROWS", 5)
+    monkeypatch.setattr(si, "KEY_CELL", 5)
+    monkeypatch.setattr(si, "PAIR_CHUNK", 7)
 
     def side(ts):
         return spark.createDataFrame(list(enumerate(ts)), "rec long, key string").withColumn("blocks", F.array(F.lit("#")))

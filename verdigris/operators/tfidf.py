@@ -1,16 +1,14 @@
-"""Weighted-term vectors and cosine joins, all built from exploded (record, term, weight) rows."""
+"""Weighted-term vectors, and cosine joins as products of blocks of sparse vectors."""
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType
 
 from verdigris.functions.stats import bound
 from verdigris.functions.text import text_or_empty
-from verdigris.operators.similarity import cell_splits, meet, spread
 from verdigris.operators.windows import top_k
 from verdigris.session import cut_lineage
 
@@ -43,7 +41,8 @@ def term_counts(df: DataFrame, **kw) -> DataFrame:
 
 
 def vocabulary(counts: DataFrame, copies: DataFrame, min_df: int, max_features: int | None) -> DataFrame:
-    """(term, idf) over a corpus of distinct records, each standing for `copies` equal ones."""
+    """(term, tid, idf) over a corpus of distinct records, each standing for `copies` equal ones. tid is a number of
+    its own for every term of the written table."""
     n = copies.agg(F.sum("copies"))
     per_term = (
         counts.join(copies, "rec")
@@ -54,93 +53,127 @@ def vocabulary(counts: DataFrame, copies: DataFrame, min_df: int, max_features:
     if max_features is not None:
         per_term = per_term.orderBy(F.desc("total"), "term").limit(max_features)
     idf = F.log((1 + n.scalar()) / (1 + F.col("df"))) + 1
-    return per_term.select("term", "df", idf.alias("idf"))
-
-
-def weights(counts: DataFrame, vocab: DataFrame) -> DataFrame:
-    """(rec, term, df, w) with logarithmic counts, not yet scaled to unit length."""
-    return counts.join(vocab, "term").select(
-        "rec", "term", "df", ((1 + F.log("tf")) * F.col("idf")).alias("w")
-    )
-
-
-@F.pandas_udf(IntegerType())
-def _prefix_len(w: pd.Series, cut: pd.Series) -> pd.Series:
-    """How many leading terms leave a rest of length below the cut."""
-    out = []
-    for row, c in zip(w, cut):
-        rest = np.sqrt(np.cumsum(np.square(np.asarray(row, dtype=float))[::-1])[::-1])
-        out.append(int((rest >= c - 1e-12).sum()))
-    return pd.Series(out, dtype="int32")
-
-
-@F.pandas_udf(DoubleType())
-def _dot(ta: pd.Series, wa: pd.Series, tb: pd.Series, wb: pd.Series) -> pd.Series:
-    out = np.zeros(len(ta))
-    for k, (a, x, b, y) in enumerate(zip(ta, wa, tb, wb)):
-        _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-        out[k] = float(np.dot(np.asarray(x)[i], np.asarray(y)[j]))
-    return pd.Series(out)
-
-
-def unit_vectors(weighted: DataFrame, cut: float) -> DataFrame:
-    """(rec, ids, ws, prefix): unit vector by term id, and the rarest terms any record with cosine
-    >= cut must share: the rest of the vector is shorter than the cut."""
-    rows = weighted.groupBy("rec").agg(
-        F.sort_array(F.collect_list(F.struct("df", "term", "w"))).alias("t")
-    )
-    raw = F.transform("t", lambda x: x["w"])
-    norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda a, v: a + v * v))
-    scaled = rows.withColumn("ws", bound(norm, lambda n: F.transform(raw, lambda v: v / n)))
-    return scaled.select(
-        "rec",
-        F.transform("t", lambda x: F.xxhash64(x["term"])).alias("ids"),
-        "ws",
-        F.transform("t", lambda x: x["df"]).alias("dfs"),
-        F.transform(
-            F.slice("t", 1, _prefix_len("ws", F.lit(float(cut)))),
-            lambda x: F.struct(x["df"].alias("df"), x["term"].alias("term")),
-        ).alias("prefix"),
-    )
-
-
-def cosine_pairs(left: DataFrame, right: DataFrame, cut: float) -> DataFrame:
-    """All pairs of unit_vectors tables with cosine at least the cut."""
-
-    def postings(side: DataFrame, name: str) -> DataFrame:
-        return side.select(F.col("rec").alias(name), F.explode("prefix").alias("p")).select(
-            name, "p.term", cell_splits(F.col("p.df")).alias("splits")
-        )
-
-    cands = meet(postings(left, "l_rec"), postings(right, "r_rec"), ["term"], "l_rec", "r_rec")
-    cands = cands.select("l_rec", "r_rec").distinct()
-
-    def vectors(side: DataFrame, p: str) -> DataFrame:
-        return side.select(
-            F.col("rec").alias(p + "_rec"), F.col("ids").alias(p + "_ids"), F.col("ws").alias(p + "_ws")
-        )
-
-    scored = (
-        spread(cands.join(vectors(left, "l"), "l_rec").join(vectors(right, "r"), "r_rec"), "l_rec", "r_rec")
-        .select("l_rec", "r_rec", _dot("l_ids", "l_ws", "r_ids", "r_ws").alias("cosine"))
-    )
-    return scored.filter(F.col("cosine") >= cut)
-
-
-def cosine_sums(left: DataFrame, right: DataFrame, above: float) -> DataFrame:
-    """All pairs with cosine above a low floor, as grouped sums of weight products.
-
-    Under such a floor nearly every term must be looked at, so prefixes would save nothing and
-    carrying vectors per pair would cost more than the products themselves."""
-
-    def rows(side: DataFrame, name: str, w: str) -> DataFrame:
-        return side.select(F.col("rec").alias(name), F.explode(F.arrays_zip("ids", "ws", "dfs")).alias("t")).select(
-            name, F.col("t.ids").alias("tid"), F.col("t.ws").alias(w), cell_splits(F.col("t.dfs")).alias("splits")
-        )
-
-    met = meet(rows(left, "l_rec", "lw"), rows(right, "r_rec", "rw"), ["tid"], "l_rec", "r_rec")
-    dots = met.groupBy("l_rec", "r_rec").agg(F.sum(F.col("lw") * F.col("rw")).alias("cosine"))
-    return dots.filter(F.col("cosine") > above)
+    listed = cut_lineage(per_term.select("term", idf.alias("idf")))
+    return listed.withColumn("tid", F.monotonically_increasing_id())
+
+
+def vectors(counts: DataFrame, vocab: DataFrame) -> DataFrame:
+    """(rec, ids, ws): a row per record with logarithmic counts times idf, not yet scaled to unit length."""
+    rows = counts.join(vocab, "term").select("rec", "tid", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
+    packed = rows.groupBy("rec").agg(F.collect_list(F.struct("tid", "w")).alias("t"))
+    return packed.select("rec", F.col("t.tid").alias("ids"), F.col("t.w").alias("ws"))
+
+
+# ---------------------------------------------------------------- products of blocks
+#: Vectors and weights of one block at most, on average; a term is multiplied densely where listing the pairs of its
+#: records would be more than DENSE_GAIN times a row of the dense product.
+BLOCK_ROWS, BLOCK_WEIGHTS, DENSE_GAIN = 1_024, 4_000_000, 150
+
+
+def _unit_entries(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Records, and per weight of their unit vectors its row, term and value."""
+    ids, ws = table.column("ids").combine_chunks(), table.column("ws").combine_chunks()
+    if isinstance(ids, pa.ChunkedArray):
+        ids, ws = pa.concat_arrays(ids.chunks), pa.concat_arrays(ws.chunks)
+    sizes = np.diff(ids.offsets.to_numpy())
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    w = ws.flatten().to_numpy()
+    norm = np.sqrt(np.bincount(row, w * w, minlength=len(sizes)))
+    return table.column("rec").to_numpy(), row, ids.flatten().to_numpy(), w / norm[row]
+
+
+def _listed_products(l_row, l_w, l_begin, l_count, r_row, r_w, r_begin, r_count, shape, most: int = 4_000_000) -> np.ndarray:
+    """Sum of weight products per pair of rows, over terms given by their stretches of entries on both sides."""
+    out = np.zeros(shape[0] * shape[1])
+    at = np.repeat(np.arange(len(l_count)), l_count)
+    entry = np.arange(int(l_count.sum())) - np.repeat(np.cumsum(l_count) - l_count, l_count) + l_begin[at]
+    n = r_count[at]
+    edges = np.concatenate([[0], np.cumsum(n)])
+    start = 0
+    while start < len(entry):
+        end = max(start + 1, int(np.searchsorted(edges, edges[start] + most, "right")) - 1)
+        k = n[start:end]
+        partner = np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k) + np.repeat(r_begin[at[start:end]], k)
+        own = np.repeat(entry[start:end], k)
+        out += np.bincount(l_row[own] * shape[1] + r_row[partner], l_w[own] * r_w[partner], minlength=len(out))
+        start = end
+    return out.reshape(shape)
+
+
+def block_product(left: pa.Table, right: pa.Table, cut: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Cosines of all pairs of a left and a right block that can reach the cut: left row, right row, cosine.
+
+    Terms that few records of the blocks share are multiplied pair by pair. What the rest, the common terms, can add
+    to a pair is at most the product of the lengths that are left of its vectors; only if some pair may still reach
+    the cut are they multiplied, as dense columns."""
+    _, l_row, l_ids, l_w = _unit_entries(left)
+    _, r_row, r_ids, r_w = _unit_entries(right)
+    shape = (left.num_rows, right.num_rows)
+    l_order, r_order = np.argsort(l_ids, kind="stable"), np.argsort(r_ids, kind="stable")
+    l_row, l_ids, l_w = l_row[l_order], l_ids[l_order], l_w[l_order]
+    r_row, r_ids, r_w = r_row[r_order], r_ids[r_order], r_w[r_order]
+    lt, l_begin, l_count = np.unique(l_ids, return_index=True, return_counts=True)
+    rt, r_begin, r_count = np.unique(r_ids, return_index=True, return_counts=True)
+    _, li, ri = np.intersect1d(lt, rt, assume_unique=True, return_indices=True)
+    l_begin, l_count, r_begin, r_count = l_begin[li], l_count[li], r_begin[ri], r_count[ri]
+    dense = l_count * r_count * DENSE_GAIN > shape[0] * shape[1]
+    thin = ~dense
+    total = _listed_products(l_row, l_w, l_begin[thin], l_count[thin], r_row, r_w, r_begin[thin], r_count[thin], shape)
+    if dense.any():
+
+        def columns(rows, row, w, begin, count):
+            at = np.repeat(np.arange(len(count)), count)
+            entry = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + begin[at]
+            out = np.zeros((rows, len(count)))
+            out[row[entry], at] = w[entry]
+            return out
+
+        def length(rows, row, w, begin, count):
+            entry = np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+            return np.sqrt(np.bincount(row[entry], w[entry] ** 2, minlength=rows))
+
+        rest = length(shape[0], l_row, l_w, l_begin[dense], l_count[dense])[:, None] * length(shape[1], r_row, r_w, r_begin[dense], r_count[dense])
+        open_rows = np.flatnonzero((total + rest >= cut - 1e-9).any(axis=1))
+        for some in np.array_split(np.flatnonzero(dense), -(-int(dense.sum()) // 2_000)) if len(open_rows) else ():
+            a = columns(shape[0], l_row, l_w, l_begin[some], l_count[some])
+            b = columns(shape[1], r_row, r_w, r_begin[some], r_count[some])
+            total[open_rows] += a[open_rows] @ b.T
+    l, r = np.nonzero(total >= cut)
+    return l, r, total[l, r]
+
+
+def cosine_pairs(left: DataFrame, right: DataFrame, cut: float, top: int | None = None) -> DataFrame:
+    """(l_rec, r_rec, cosine): pairs of vectors(rec, ids, ws) with cosine at least the cut; with `top`, at least the
+    `top` best of each left record by cosine rounded to 12 places, then r_rec.
+
+    Both sides are dealt into blocks; a vector travels once to each block of the other side. A block keeps at most
+    `top` pairs of a left record, so what leaves it is bounded by its records."""
+
+    def dealt(side: DataFrame, name: str) -> tuple[DataFrame, int]:
+        size = side.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("ids")), F.lit(0)).alias("weights")).first()
+        blocks = max(1, -(-size["n"] // BLOCK_ROWS), -(-size["weights"] // BLOCK_WEIGHTS))
+        return side.withColumn(name, F.pmod(F.xxhash64("rec"), F.lit(blocks)).cast("int")), blocks
+
+    (l, l_blocks), (r, r_blocks) = dealt(left, "row"), dealt(right, "column")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    l, r = l.withColumn("column", every(r_blocks)), r.withColumn("row", every(l_blocks)).withColumnsRenamed({"row": "r_row", "column": "r_column"})
+
+    def multiply(a: pa.Table, b: pa.Table) -> pa.Table:
+        found = ([], [], [])
+        if a.num_rows and b.num_rows:
+            i, j, c = block_product(a, b, cut)
+            rl, rr = a.column("rec").to_numpy()[i], b.column("rec").to_numpy()[j]
+            if top is not None:
+                order = np.lexsort((rr, -np.round(c, 12), i))
+                first = np.searchsorted(i[order], i[order], "left")
+                kept = order[np.arange(len(order)) - first < top]
+                rl, rr, c = rl[kept], rr[kept], c[kept]
+            found = (rl, rr, c)
+        return pa.table({"l_rec": pa.array(found[0], pa.int64()), "r_rec": pa.array(found[1], pa.int64()), "cosine": pa.array(found[2], pa.float64())})
+
+    n = min(l_blocks * r_blocks, 10_000)
+    both = l.repartition(n, "row", "column").groupBy("row", "column").cogroup(r.repartition(n, "r_row", "r_column").groupBy("r_row", "r_column"))
+    return both.applyInArrow(multiply, "l_rec long, r_rec long, cosine double")
 
 
 def _distinct_texts(df: DataFrame, gates: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -163,18 +196,14 @@ def tfidf_best(
     looked at, as rows, before the gates. Returns (id, match_id, cosine)."""
     l, l_all = _distinct_texts(left, gates)
     r, r_all = _distinct_texts(right, gates)
-    both = l.select(F.concat(F.lit("l"), F.col("rec").cast("string")).alias("rec"), "text", "copies").unionAll(
-        r.select(F.concat(F.lit("r"), F.col("rec").cast("string")).alias("rec"), "text", "copies")
-    )
+    # one numbering for both sides: even numbers are left records, odd ones right records
+    both = l.select((F.col("rec") * 2).alias("rec"), "text", "copies").unionAll(r.select((F.col("rec") * 2 + 1).alias("rec"), "text", "copies"))
     counts = cut_lineage(term_counts(both))
     vocab = vocabulary(counts, both.select("rec", "copies"), min_df, max_features)
-    vecs = cut_lineage(unit_vectors(weights(counts, vocab), min_cosine))
-    lv, rv = vecs.filter("rec like 'l%'"), vecs.filter("rec like 'r%'")
-    pairs = cosine_pairs(lv, rv, min_cosine).select(
-        F.substring("l_rec", 2, 40).cast("bigint").alias("l_rec"),
-        F.substring("r_rec", 2, 40).cast("bigint").alias("r_rec"),
-        "cosine",
-    )
+    vecs = cut_lineage(vectors(counts, vocab))
+    is_left = F.pmod("rec", F.lit(2)) == 0
+    halved = lambda c: F.floor(F.col(c) / 2).cast("long").alias(c)
+    pairs = cosine_pairs(vecs.filter(is_left), vecs.filter(~is_left), min_cosine, top).select(halved("l_rec"), halved("r_rec"), "cosine")
     if top is not None:
         rows = top_k(r_all.join(r.select("__k", *gates, "rec"), ["__k", *gates]), ["rec"], [F.col("id")], top)
         pairs = pairs.join(rows.select(F.col("rec").alias("r_rec"), F.col("id").alias("r_id")), "r_rec")
@@ -203,9 +232,9 @@ def tfidf_candidates(
     p, p_all = _distinct_texts(pool, [])
     counts = cut_lineage(term_counts(p, stop_words=stop_words))
     vocab = vocabulary(counts, p.select("rec", "copies"), min_df, max_features)
-    pv = cut_lineage(unit_vectors(weights(counts, vocab), above))
-    qv = cut_lineage(unit_vectors(weights(term_counts(q, stop_words=stop_words), vocab), above))
-    pairs = cosine_sums(qv, pv, above)
+    pv = cut_lineage(vectors(counts, vocab))
+    qv = cut_lineage(vectors(term_counts(q, stop_words=stop_words), vocab))
+    pairs = cosine_pairs(qv, pv, above, top).filter(F.col("cosine") > above)
     rows = top_k(p_all.join(p.select("__k", "rec"), "__k"), ["rec"], [F.col("id")], top)
     wide = pairs.join(rows.select(F.col("rec").alias("r_rec"), F.col("id").alias("match_id")), "r_rec")
     ranked = top_k(wide, ["l_rec"], [F.desc(F.round("cosine", 12)), F.col("match_id")], top, "rank")

@@ -13,7 +13,7 @@ from verdigris.operators import updates as up
 from verdigris.operators.windows import best, top_k
 from verdigris.plans.base import (
     ARTICLES, DRAFTS, PAPERS, RATERS, STATS, articles, drafts, papers, r4, raters, rounded, s4, sql_hash,
-    sql_lcs, sql_norm, sql_sorted_title, sql_surnames, sql_title_words, sql_with, sql_word_count, stats, table,
+    sql_in, sql_lcs, sql_norm, sql_sorted_title, sql_surnames, sql_title_words, sql_with, sql_word_count, stats, table,
 )
 from verdigris.plans.models import _sql_direction
 from verdigris.plans.projections import LOCAL_NEGATIVE, LOCAL_NULL, LOCAL_POSITIVE
@@ -145,18 +145,22 @@ def _(spark, d):
 
 
 # ---------------------------------------------------------------- weighted-term joins
-def sql_terms(src, out, bigrams=True):
+def sql_terms(src, out, bigrams=True, stop=()):
+    found = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}\\p{M}_]{2,}')"
+    if stop:
+        found = f"list_filter({found}, lambda v: v NOT IN {sql_in(stop)})"
     two = "list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]))" if bigrams else "t"
     return f"""{out} AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest({two}) AS term FROM
-  (SELECT id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}\\p{{M}}_]{{2,}}') AS t FROM {src}) x) y GROUP BY 1, 2)"""
+  (SELECT id, {found} AS t FROM {src}) x) y GROUP BY 1, 2)"""
 
 
 def sql_vectors(counts, vocab, out):
     return f"""{out} AS (SELECT id, term, (1 + ln(tf)) * idf / sqrt(sum(pow((1 + ln(tf)) * idf, 2)) OVER (PARTITION BY id)) AS w FROM {counts} JOIN {vocab} USING (term))"""
 
 
-def sql_vocab(counts, n, out, min_df=2):
-    return f"{out} AS (SELECT term, ln((1 + ({n})) / (1 + count(*))) + 1 AS idf FROM {counts} GROUP BY 1 HAVING count(*) >= {min_df})"
+def sql_vocab(counts, n, out, min_df=2, most=None):
+    limit = f" ORDER BY sum(tf) DESC, term LIMIT {most}" if most else ""
+    return f"{out} AS (SELECT term, ln((1 + ({n})) / (1 + count(*))) + 1 AS idf FROM {counts} GROUP BY 1 HAVING count(*) >= {min_df}{limit})"
 
 
 @query("j11_tfidf_join", sql_with(BOTH + f""",
@@ -181,15 +185,13 @@ def _(spark, d):
 
 
 @query("j12_tfidf_candidates", f"""WITH q AS (SELECT item_id AS id, text FROM benchmark), p AS (SELECT doc_id AS id, text FROM documents),
-{sql_terms("q", "qc")}, {sql_terms("p", "pc")}, {sql_vocab("pc", "SELECT count(*) FROM p", "vo")}, {sql_vectors("qc", "vo", "qv")}, {sql_vectors("pc", "vo", "pv")},
-pr AS (SELECT x.id, y.id AS match_id, sum(x.w * y.w) AS cosine FROM qv x JOIN pv y USING (term) GROUP BY 1, 2 HAVING sum(x.w * y.w) > 0.05),
-k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(cosine, 12) DESC, match_id) AS rank FROM pr)
-SELECT id, match_id, {s4("cosine")} AS cosine, rank FROM k WHERE rank <= 40 AND match_id % 25 <= id % 25 + 1""")
+{sql_terms("q", "qc", stop=lx.FUNCTION_WORDS)}, {sql_terms("p", "pc", stop=lx.FUNCTION_WORDS)}, {sql_vocab("pc", "SELECT count(*) FROM p", "vo", most=50_000)}, {sql_vectors("qc", "vo", "qv")}, {sql_vectors("pc", "vo", "pv")},
+pr AS (SELECT x.id, y.id AS match_id, sum(x.w * y.w) AS cosine FROM qv x JOIN pv y USING (term) GROUP BY 1, 2 HAVING sum(x.w * y.w) > 0.05)
+SELECT id, match_id, {s4("cosine")} AS cosine, row_number() OVER (PARTITION BY id ORDER BY round(cosine, 12) DESC, match_id) AS rank FROM pr QUALIFY rank <= 40""")
 def _(spark, d):
     q = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text")
     p = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
-    c = tf.tfidf_candidates(q, p, top=40, above=0.05)
-    return rounded(c.filter(F.col("match_id") % 25 <= F.col("id") % 25 + 1), "cosine")
+    return rounded(tf.tfidf_candidates(q, p, top=40, above=0.05, max_features=50_000, stop_words=lx.FUNCTION_WORDS), "cosine")
 
 
 # ---------------------------------------------------------------- word-set joins

@@ -156,10 +156,11 @@ def cosine_pairs(left: DataFrame, right: DataFrame, cut: float, top: int | None
 
     (l, l_blocks), (r, r_blocks) = dealt(left, "row"), dealt(right, "column")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    l, r = l.withColumn("column", every(r_blocks)), r.withColumn("row", every(l_blocks)).withColumnsRenamed({"row": "r_row", "column": "r_column"})
+    l, r = l.withColumn("column", every(r_blocks)), r.withColumn("row", every(l_blocks))
+    r = r.select(*[F.col(c).alias(f"r_{c}") for c in ("rec", "ids", "ws", "row", "column")])  # names of its own, also where both sides are one table
 
     def multiply(a: pa.Table, b: pa.Table) -> pa.Table:
-        found = ([], [], [])
+        b, found = b.select(["r_rec", "r_ids", "r_ws"]).rename_columns(["rec", "ids", "ws"]), ([], [], [])
         if a.num_rows and b.num_rows:
             i, j, c = block_product(a, b, cut)
             rl, rr = a.column("rec").to_numpy()[i], b.column("rec").to_numpy()[j]

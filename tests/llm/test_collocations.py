@@ -97,5 +97,10 @@ def test_dense_tiles_make_room(monkeypatch):
 
 def test_stretches_without_numbers_are_one_place():
     ids, codes = col.packed(np.array([-1, -1, 7, 3, -1, -1, -1, 7, -1]))
-    assert np.frombuffer(ids, np.int64).tolist() == [3, 7]
-    assert np.frombuffer(codes, np.int32).tolist() == [1, 0, -1, 1, -1]
+    assert ids.tolist() == [3, 7]
+    assert codes.tolist() == [1, 0, -1, 1, -1]
+
+
+@pytest.mark.parametrize("values", [[], [-1], [0, 254, -1], [70_000, 255, 256], [2**40, -1, 5]])
+def test_blobs_give_back_their_numbers(values):
+    assert col.large(col.small(np.array(values, np.int64))).tolist() == values

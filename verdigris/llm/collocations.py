@@ -25,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -46,6 +47,21 @@ def words_and_borders(data: bytes) -> list[bytes]:
     return data.translate(PLAIN).replace(b"\n", b" " + BORDER + b" ").split()
 
 
+def small(values: np.ndarray) -> bytes:
+    """Whole numbers from -1 on as one byte of width and their compressed bytes, high bytes apart from low ones."""
+    shifted = (values + 1).astype(np.min_scalar_type(int(values.max(initial=-1)) + 1))
+    width = shifted.dtype.itemsize
+    planes = shifted.view(np.uint8).reshape(-1, width).T
+    return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
+
+
+def large(blob) -> np.ndarray:
+    """The numbers that small() packed."""
+    width = blob[0]
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[1:]), np.uint8).reshape(width, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(f"u{width}").astype(np.int64) - 1
+
+
 def chunks(docs: DataFrame) -> DataFrame:
     """(chunk, lang, words, counts, codes): texts of one language, cut into words. codes holds the place of each
     word in `words`, -1 between pieces."""
@@ -63,7 +79,7 @@ def chunks(docs: DataFrame) -> DataFrame:
             counts = np.bincount(codes, minlength=len(distinct))[1:]
             number += 1
             texts = [w.decode("utf-8", "surrogatepass") for w in distinct[1:]]
-            return pd.DataFrame({"chunk": [number], "lang": [lang], "words": [texts], "counts": [counts], "codes": [(codes[1:] - 1).astype(np.int32).tobytes()]})
+            return pd.DataFrame({"chunk": [number], "lang": [lang], "words": [texts], "counts": [counts], "codes": [small(codes[1:] - 1)]})
 
         for batch in batches:
             for lang, text in zip(batch["lang"], batch["text"]):
@@ -100,16 +116,16 @@ def frequent_words(cut: DataFrame, least: int) -> DataFrame:
     return numbered(rows.groupBy("lang", "word").agg(F.sum("c").alias("f")).where(F.col("f") >= least), ["word"], "words")
 
 
-def packed(seq: np.ndarray) -> tuple[bytes, bytes]:
+def packed(seq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct numbers of a sequence, and for each place which of them it holds (-1: none); stretches
     without any are one place."""
     held = seq >= 0
     keep = held.copy()
     keep[1:] |= held[:-1]
     seq, held = seq[keep], held[keep]
-    codes = np.full(len(seq), -1, np.int32)
+    codes = np.full(len(seq), -1, np.int64)
     ids, codes[held] = np.unique(seq[held], return_inverse=True)
-    return ids.astype(np.int64).tobytes(), codes.tobytes()
+    return ids, codes
 
 
 LEVEL = "chunk long, lang string, ids binary, codes binary"
@@ -117,11 +133,11 @@ LEVEL = "chunk long, lang string, ids binary, codes binary"
 
 def level_row(chunk: int, lang: str, seq: np.ndarray) -> pa.Table:
     ids, codes = packed(seq)
-    return pa.table({"chunk": pa.array([chunk], pa.int64()), "lang": pa.array([lang], pa.string()), "ids": pa.array([ids], pa.binary()), "codes": pa.array([codes], pa.binary())})
+    return pa.table({"chunk": pa.array([chunk], pa.int64()), "lang": pa.array([lang], pa.string()), "ids": pa.array([small(ids)], pa.binary()), "codes": pa.array([small(codes)], pa.binary())})
 
 
 def ordered(hits: pa.Table, key: str) -> tuple[np.ndarray, np.ndarray]:
-    """A chunk's places (or pairs) that have a number, in order, and their numbers."""
+    """A chunk's words (or pairs) that have a number, in order, and their numbers."""
     keys, ids = hits.column(key).to_numpy(), hits.column("id").to_numpy()
     order = np.argsort(keys, kind="stable")
     return keys[order], ids[order]
@@ -133,7 +149,7 @@ def first_level(cut: DataFrame, vocabulary: DataFrame) -> DataFrame:
     hits = slots.join(vocabulary.select("lang", "word", "id"), ["lang", "word"]).select(F.col("chunk").alias("of"), "slot", "id")
 
     def rename(own: pa.Table, known: pa.Table) -> pa.Table:
-        codes = np.frombuffer(own.column("codes")[0].as_buffer(), np.int32)
+        codes = large(own.column("codes")[0].as_py())
         slots, ids = ordered(known, "slot")
         table = np.full(max(codes.max(initial=-1), slots.max(initial=-1)) + 2, -1, np.int64)  # the last cell serves code -1
         table[slots] = ids
@@ -143,16 +159,15 @@ def first_level(cut: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
 
 def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, str, np.ndarray, np.ndarray]]:
-    """chunk, lang, ids and codes of a level, row by row and without copies."""
+    """chunk, lang, ids and codes of a level, row by row."""
     for batch in batches:
         columns = [batch.column(batch.schema.get_field_index(c)) for c in ("chunk", "lang", "ids", "codes")]
         for chunk, lang, ids, codes in zip(*columns):
-            yield chunk.as_py(), lang.as_py(), np.frombuffer(ids.as_buffer(), np.int64), np.frombuffer(codes.as_buffer(), np.int32)
+            yield chunk.as_py(), lang.as_py(), large(ids.as_py()), large(codes.as_py())
 
 
-def joint_codes(known: np.ndarray, codes: np.ndarray) -> np.ndarray:
+def joint_codes(known: np.ndarray, places: np.ndarray) -> np.ndarray:
     """One code for each pair of neighbouring places, -1 where a place is empty."""
-    places = codes.astype(np.int64)
     a, b = places[:-1], places[1:]
     return np.where((a >= 0) & (b >= 0), a * max(len(known), 1) + b, -1)
 
@@ -256,21 +271,24 @@ def next_level(level: DataFrame, pairs: DataFrame) -> DataFrame:
             cell = cells_of(lang, a, b)
             kept = (bits.value[cell >> 3] >> (cell & 7).astype(np.uint8) & 1).astype(bool)
             n = int(kept.sum())
-            names = pa.array([lang] * n, pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk, np.int64)), names, pa.array(pairs_here[kept]), pa.array(a[kept]), pa.array(b[kept])], ["chunk", "lang", "joint", "a", "b"])
+            names, slots = pa.array([lang] * n, pa.string()), np.flatnonzero(kept).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk, np.int64)), names, pa.array(slots), pa.array(a[kept]), pa.array(b[kept])], ["chunk", "lang", "slot", "a", "b"])
 
-    met = level.mapInArrow(candidates, "chunk long, lang string, joint long, a long, b long").join(pairs.select("lang", "a", "b", "id"), ["lang", "a", "b"])
+    met = level.mapInArrow(candidates, "chunk long, lang string, slot int, a long, b long").join(pairs.select("lang", "a", "b", "id"), ["lang", "a", "b"])
 
     def rename(own: pa.Table, known: pa.Table) -> pa.Table:
-        ids, codes = (np.frombuffer(own.column(c)[0].as_buffer(), kind) for c, kind in (("ids", np.int64), ("codes", np.int32)))
-        joint, (joints, found) = joint_codes(ids, codes), ordered(known, "joint")
+        ids, codes = (large(own.column(c)[0].as_py()) for c in ("ids", "codes"))
+        joint = joint_codes(ids, codes)
+        held = joint >= 0
+        pairs_here, at = np.unique(joint[held], return_inverse=True)
+        slots, found = ordered(known, "slot")
+        table = np.full(len(pairs_here), -1, np.int64)
+        table[slots] = found
         seq = np.full(len(joint), -1, np.int64)
-        if len(joints):
-            at = np.minimum(np.searchsorted(joints, joint), len(joints) - 1)
-            seq = np.where(joints[at] == joint, found[at], -1)
+        seq[held] = table[at]
         return level_row(own.column("chunk")[0].as_py(), own.column("lang")[0].as_py(), seq)
 
-    return level.groupBy("chunk").cogroup(met.select(F.col("chunk").alias("of"), "joint", "id").groupBy("of")).applyInArrow(rename, LEVEL)
+    return level.groupBy("chunk").cogroup(met.select(F.col("chunk").alias("of"), "slot", "id").groupBy("of")).applyInArrow(rename, LEVEL)
 
 
 def named(longer: DataFrame, shorter: DataFrame, k: int) -> DataFrame:

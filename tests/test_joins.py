@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -104,6 +106,23 @@ def test_propensity_pairs_are_one_to_one(spark):
     assert counts == {True: 100, False: 100} and out.select("id").distinct().count() == 200
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_controls_used_equal_one_by_one_matching(spark, seed):
+    rng = random.Random(seed)
+    scores = sorted({round(rng.random(), rng.choice([1, 2, 3])) for _ in range(60)})
+    strata = [(s, rng.choice([0, 0, 1, 2, 5]), rng.choice([0, 1, 2, 3, 6 if seed else 1])) for s in scores]
+    free, want = {s: c for s, _, c in strata}, dict.fromkeys(scores, 0)
+    for s, treated, _ in strata:
+        for _ in range(treated):
+            open_ = [(abs(s - o), o) for o, c in free.items() if c]
+            if open_:
+                o = min(open_)[1]
+                free[o] -= 1
+                want[o] += 1
+    df = spark.createDataFrame(strata, "score double, treated long, controls long")
+    assert {r.score: r.used for r in ma.controls_used(df).collect()} == want
+
+
 def test_ranks_equal_row_numbers(spark):
     df = spark.range(500).selectExpr("id", "id % 3 AS k", "(id * 7919) % 4294967291 AS h")
     w = Window.partitionBy("k").orderBy("h", "id")
@@ -121,3 +140,64 @@ def test_top_k_limits_before_the_shuffle(spark):
     df = wi.top_k(spark.range(1000).selectExpr("id % 2 AS k", "id"), ["k"], [F.asc("id")], 3)
     plan = df._jdf.queryExecution().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
+def test_token_set_pairs_match_brute_force(spark):
+    left, right = titles(11, 50), titles(12, 70)
+    keys = lambda ts: [" ".join(sorted(set(t.split()))) for t in ts]
+    blocks = lambda i: [f"n{i % 3}", "x"][: 1 + i % 2]
+
+    def side(ts):
+        return spark.createDataFrame([(i, k, blocks(i)) for i, k in enumerate(keys(ts))], "rec long, key string, blocks array<string>")
+
+    for cut in (60.0, 75.0, 90.0):
+        got = {(r.l_rec, r.r_rec): r.score for r in si.token_set_pairs(side(left), side(right), cut).collect()}
+        want = {(i, j): sc.token_set(a, b) for i, a in enumerate(left) for j, b in enumerate(right) if set(blocks(i)) & set(blocks(j))}
+        assert got == pytest.approx({k: v for k, v in want.items() if v >= cut})
+
+
+def test_names_inside_texts(spark):
+    names = spark.createDataFrame([("lee",), ("x",), ("ng",), ("smith",), ("",)], "name string")
+    texts = spark.createDataFrame([(1, "Sleeping NG"), (2, "smithson-x"), (3, ""), (4, None)], "rec long, text string")
+    got = {r.rec: set(r.found) for r in si.contained_names(names, texts).collect()}
+    assert got == {1: {"lee", "ng"}, 2: {"smith", "x"}}
+
+
+def test_partial_sees_every_window():
+    rng = random.Random(7)
+    for _ in range(400):
+        a, b = ("".join(rng.choice("abc ") for _ in range(rng.randrange(n))) for n in (12, 30))
+        a, b = sorted((a, b), key=len)
+        m, n = len(a), len(b)
+        every = [200.0 * sc.common_length(a, b[max(s, 0) : s + m]) / (m + min(s + m, n) - max(s, 0)) for s in range(1 - m, n)] if a else [0.0 if b else 100.0]
+        assert sc.partial(a, b) == pytest.approx(max(every))
+
+
+@pytest.mark.parametrize("letters", ["ab", "abcdefgh ", "äöüß漢字"])
+def test_lanes_equal_single_pairs(letters):
+    rng = random.Random(8)
+    pairs = [tuple("".join(rng.choice(letters) for _ in range(rng.choice([0, 1, 5, 63, 64, 65, 128, 129, 256, 257, 300]))) for _ in "ab") for _ in range(300)]
+    assert sc.common_lengths(*zip(*pairs)).tolist() == [sc.common_length(a, b) for a, b in pairs]
+
+
+@pytest.mark.parametrize("gain", [1, 150, 10**9])
+def test_block_products_equal_full_products(monkeypatch, gain):
+    monkeypatch.setattr(tf, "DENSE_GAIN", gain)
+    draw = np.random.default_rng(3)
+
+    def block(n):
+        ids = [np.unique(draw.geometric(0.02, draw.integers(5, 80))).tolist() for _ in range(n)]
+        return pa.table({"rec": range(n), "ids": pa.array(ids, pa.list_(pa.int64())), "ws": [[1 + draw.random() for _ in x] for x in ids]})
+
+    def full(t):
+        out = np.zeros((t.num_rows, 2_000))
+        for i, (ids, ws) in enumerate(zip(t["ids"].to_pylist(), t["ws"].to_pylist())):
+            out[i, ids] = ws
+        return out / np.linalg.norm(out, axis=1)[:, None]
+
+    a, b = block(60), block(90)
+    want = full(a) @ full(b).T
+    for cut in (0.01, 0.3, 0.6):
+        i, j, c = tf.block_product(a, b, cut)
+        assert set(zip(i.tolist(), j.tolist())) == set(zip(*(x.tolist() for x in np.nonzero(want >= cut))))
+        assert np.allclose(c, want[i, j])

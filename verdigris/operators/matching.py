@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from verdigris.operators.windows import best, hash_number, hashed_rank, range_rank
+from verdigris.operators.windows import best, hash_number, hashed_rank, range_rank, running_totals
 from verdigris.session import cut_lineage
 
 
@@ -37,43 +37,89 @@ def ordered_one_to_one(left: DataFrame, right: DataFrame, edges: DataFrame) -> D
     )
 
 
-def _assign_strata(pdf: pd.DataFrame) -> pd.DataFrame:
-    """How many controls of each score stratum nearest-first matching uses."""
-    pdf = pdf.sort_values("score").reset_index(drop=True)
-    left = pdf["controls"].tolist()
-    used = [0] * len(pdf)
-    scores = pdf["score"].tolist()
-    for i, need in enumerate(pdf["treated"]):
-        near = sorted(range(len(pdf)), key=lambda j: (abs(scores[j] - scores[i]), j))
-        for j in near:
-            take = min(int(need), left[j])
+def _use_controls(segment: pd.DataFrame) -> pd.DataFrame:
+    """How many controls of each score nearest-first matching uses within one segment: treated units in rising
+    order of score each take the nearest control left, the lower one of two equally near.
+
+    The strata at an open end never run out. Two pointers lead over used-up strata, so that each is passed once."""
+    rows = segment.sort_values("score").reset_index(drop=True)
+    scores, left = rows["score"].tolist(), [float("inf") if e else c for e, c in zip(rows["open_end"], rows["controls"])]
+    n, used = len(rows), [0] * len(rows)
+    below, above = [j - 1 for j in range(n)], [j + 1 for j in range(n)]
+    for i, need in enumerate(rows["treated"]):
+        need = 0 if rows["open_end"][i] else int(need)
+        while need:
+            lo, hi = _seek(i, left, below), _seek(i, left, above)
+            if lo < 0 and hi >= n:
+                break
+            j = lo if hi >= n or (lo >= 0 and scores[i] - scores[lo] <= scores[hi] - scores[i]) else hi
+            take = int(min(need, left[j]))
             left[j] -= take
             used[j] += take
             need -= take
-            if need == 0:
-                break
-    return pdf.assign(used=used)[["x", "used"]]
+    return pd.DataFrame({"score": rows["score"], "used": used})
+
+
+def _seek(j: int, left: list[float], lead: list[int]) -> int:
+    """The first stratum from j on, in the direction of `lead`, that has controls; the way to it is shortened."""
+    path = []
+    while 0 <= j < len(left) and left[j] == 0:
+        path.append(j)
+        j = lead[j]
+    for k in path:
+        lead[k] = j
+    return j
+
+
+def segments(strata: DataFrame) -> DataFrame:
+    """strata(score, treated, controls) with `segment`, `barrier` and `open_end`: parts of the score line that
+    matching can settle apart.
+
+    Where some stretch around a stratum holds at least as many treated units as controls, the stratum may run out.
+    Every other stratum is a barrier: whatever the choices, controls are left there, so no unit passes over it. It
+    belongs to the segments on both sides as an end that never runs out. Such stretches are found from running sums
+    of treated minus controls: one ends at or behind the stratum and starts before it where the largest sum from
+    there on is at least the smallest one before. Partitions by score range are summed on their own and shifted."""
+    spark = strata.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = cut_lineage(strata.repartitionByRange(n, "score").withColumn("part", F.spark_partition_id()))
+    upto = Window.partitionBy("part").orderBy("score").rowsBetween(Window.unboundedPreceding, 0)
+    onward = Window.partitionBy("part").orderBy("score").rowsBetween(0, Window.unboundedFollowing)
+    net = F.col("treated") - F.col("controls")
+    inside = parts.withColumn("after", F.sum(net).over(upto)).withColumn("before", F.col("after") - net)
+    whole = inside.groupBy("part").agg(F.sum(net).alias("total"), F.min("before").alias("low"), F.max("after").alias("high"))
+    earlier, later = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1), Window.orderBy("part").rowsBetween(1, Window.unboundedFollowing)
+    shifted = whole.withColumn("shift", F.coalesce(F.sum("total").over(earlier), F.lit(0)))
+    ends = shifted.select("part", "shift", F.min(F.col("shift") + F.col("low")).over(earlier).alias("low_before"), F.max(F.col("shift") + F.col("high")).over(later).alias("high_behind"))
+    low = F.least(F.col("shift") + F.min("before").over(upto), "low_before")
+    high = F.greatest(F.col("shift") + F.max("after").over(onward), "high_behind")
+    marked = inside.join(ends, "part").withColumn("barrier", (high < low).cast("int")).select("score", "treated", "controls", "barrier")
+    counted = cut_lineage(running_totals(marked, "score", {"segment": "barrier"}))
+    inner = counted.filter("barrier = 0").withColumn("open_end", F.lit(False))
+    rims = counted.filter("barrier = 1").withColumn("segment", F.explode(F.array("segment", F.col("segment") + 1))).withColumn("open_end", F.lit(True))
+    live = inner.select("segment").distinct()
+    return inner.unionByName(rims.join(live, "segment", "left_semi")).unionByName(counted.filter("barrier = 1").withColumns({"segment": F.lit(None).cast("long"), "open_end": F.lit(False)}))
+
+
+def controls_used(strata: DataFrame) -> DataFrame:
+    """(score, used): how many controls of each score nearest-first matching without replacement takes."""
+    split = cut_lineage(segments(strata))
+    settled = split.filter("segment is not null").groupBy("segment").applyInPandas(_use_controls, "score double, used long")
+    own = split.filter("segment is null").select("score", F.col("treated").alias("used"))
+    return settled.union(own).groupBy("score").agg(F.sum("used").alias("used"))
 
 
 def propensity_pairs(df: DataFrame, treat: str, x: str, id_col: str, scores: DataFrame, seed=42) -> DataFrame:
     """Treated rows and their matched controls, one for one without replacement.
 
-    Units with equal covariate share a score, so the nearest-first rule is settled on counts per
-    score stratum; inside a stratum the controls with the smallest hash numbers are taken."""
+    Units of equal score are one stratum, so the nearest-first rule is settled on counts per stratum, each segment of
+    the score line on its own; inside a stratum the controls with the smallest hash numbers are taken."""
     xd = F.col(x).cast("double")
-    strata = (
-        df.groupBy(xd.alias("x"))
-        .agg(
-            F.count_if(F.col(treat)).alias("treated"), F.count_if(~F.col(treat)).alias("controls")
-        )
-        .join(scores.withColumnRenamed(scores.columns[0], "x"), "x")
-    )
-    used = strata.groupBy(F.lit(1).alias("__one")).applyInPandas(_assign_strata, "x double, used long")
-    controls = hashed_rank(
-        df.filter(~F.col(treat)).withColumn("x", xd).withColumn("__h", hash_number(seed, id_col)),
-        ["x"], "__h", id_col, "__rank",
-    )
-    matched = controls.join(used, "x").filter(F.col("__rank") <= F.col("used")).select(*df.columns)
+    rated = df.withColumn("__x", xd).join(scores.toDF("__x", "__score"), "__x")
+    strata = rated.groupBy(F.col("__score").alias("score")).agg(F.count_if(F.col(treat)).alias("treated"), F.count_if(~F.col(treat)).alias("controls"))
+    used = controls_used(strata).withColumnRenamed("score", "__score")
+    controls = hashed_rank(rated.filter(~F.col(treat)).withColumn("__h", hash_number(seed, id_col)), ["__score"], "__h", id_col, "__rank")
+    matched = controls.join(used, "__score").filter(F.col("__rank") <= F.col("used")).select(*df.columns)
     return df.filter(F.col(treat)).unionByName(matched)
 
 

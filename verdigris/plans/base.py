@@ -262,6 +262,31 @@ def sql_lcs(short: str, long: str) -> str:
     )
 
 
+def sql_token_set(src: str, out: str, carry: str) -> str:
+    """CTEs that add `score`, the token_set score of two lists of distinct words wa and wb, to the columns `carry` of
+    src; the words of wa that wb lacks take at most 62 characters."""
+    rest = lambda x: f"array_to_string(list_sort(list_filter({x}, lambda v: NOT list_contains(common, v))), ' ')"
+    lcs = f"CASE WHEN ra = '' OR rb = '' THEN 0 ELSE {sql_lcs('ra', 'rb')} END"
+    return f"""
+{out}_1 AS (SELECT {carry}, wa, wb, list_intersect(wa, wb) AS common FROM {src}),
+{out}_2 AS (SELECT {carry}, len(common) AS k, len(wa) AS na, len(wb) AS nb, length(array_to_string(common, ' ')) AS base, {rest("wa")} AS ra, {rest("wb")} AS rb FROM {out}_1),
+{out}_3 AS (SELECT *, CASE WHEN k > 0 THEN base + 1 ELSE 0 END + length(ra) AS la, CASE WHEN k > 0 THEN base + 1 ELSE 0 END + length(rb) AS lb FROM {out}_2),
+{out} AS (SELECT {carry}, CASE WHEN na = 0 OR nb = 0 THEN 0.0 WHEN k > 0 AND (k = na OR k = nb) THEN 100.0
+  ELSE greatest(100.0::DOUBLE - 100.0::DOUBLE * (length(ra) + length(rb) - 2 * ({lcs})) / (la + lb),
+    CASE WHEN k > 0 THEN 200.0::DOUBLE * base / (base + la) ELSE 0 END, CASE WHEN k > 0 THEN 200.0::DOUBLE * base / (base + lb) ELSE 0 END) END AS score FROM {out}_3)"""
+
+
+def sql_partial(src: str, out: str, carry: str) -> str:
+    """CTEs that add `partial`, the best ratio of the shorter of the texts a and b (at most 62 characters) against all
+    windows of the longer one, to the columns `carry` of src."""
+    return f"""
+{out}_1 AS (SELECT {carry}, CASE WHEN length(a) <= length(b) THEN a ELSE b END AS s, CASE WHEN length(a) <= length(b) THEN b ELSE a END AS t FROM {src}),
+{out}_2 AS (SELECT {carry}, s, t, unnest(range(1 - length(s), length(t))) AS i FROM {out}_1),
+{out}_3 AS (SELECT {carry}, s, substr(t, greatest(i, 0) + 1, least(i + length(s), length(t)) - greatest(i, 0)) AS w FROM {out}_2),
+{out}_4 AS (SELECT {carry}, s, w, 200.0::DOUBLE * {sql_lcs("s", "w")} / (length(s) + length(w)) AS p FROM (SELECT DISTINCT * FROM {out}_3) q),
+{out} AS (SELECT {carry}, max(p) AS partial FROM {out}_4 GROUP BY ALL)"""
+
+
 def sql_strip_page(x: str) -> str:
     """Visible text of a piece of markup: tags out, entities back, spaces squeezed."""
     plain = f"trim(regexp_replace(regexp_replace({x}, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'))"

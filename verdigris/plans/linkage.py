@@ -13,7 +13,7 @@ from verdigris.operators import updates as up
 from verdigris.operators.windows import best, top_k
 from verdigris.plans.base import (
     ARTICLES, DRAFTS, PAPERS, RATERS, STATS, articles, drafts, papers, r4, raters, rounded, s4, sql_hash,
-    sql_in, sql_lcs, sql_norm, sql_sorted_title, sql_surnames, sql_title_words, sql_with, sql_word_count, stats, table,
+    sql_in, sql_lcs, sql_norm, sql_partial, sql_sorted_title, sql_surnames, sql_title_words, sql_token_set, sql_with, sql_word_count, stats, table,
 )
 from verdigris.plans.models import _sql_direction
 from verdigris.plans.projections import LOCAL_NEGATIVE, LOCAL_NULL, LOCAL_POSITIVE
@@ -225,25 +225,35 @@ def _(spark, d):
     return rounded(c, "jaccard")
 
 
-def candidate_lists(spark, d):
-    """Landed search results per query: distinct titles that open with the same two words."""
-    opening = lambda c: F.array_join(F.slice(tx.title_words(c), 1, 2), " ")
-    q = drafts(spark, d).select(F.col("wp").alias("id"), tx.normalise_title("title").alias("q"), tx.surnames("authors").alias("names"), opening("title").alias("o"))
-    c = articles(spark, d).groupBy("title", "authors").agg(F.min("paper_id").alias("cand"))
-    c = c.select("cand", tx.normalise_title("title").alias("c"), F.col("authors").alias("c_authors"), opening("title").alias("o"))
-    return q.filter("o <> ''").join(c, "o")
+def title_sides(spark, d):
+    l = drafts(spark, d).select(F.col("wp").alias("id"), tx.normalise_title("title").alias("title"), F.array_sort(tx.surnames("authors")).alias("names"))
+    r = articles(spark, d).select(F.col("paper_id").alias("id"), tx.normalise_title("title").alias("title"), "authors")
+    return l, r
 
 
-@query("j15_token_set_join")
+MENTION = "(len(names) = 0 OR len(list_filter(names, lambda v: contains(lower({text}), v))) > 0)"
+
+
+@query("j15_token_set_join", sql_with(BOTH + f""",
+l AS (SELECT {sql_norm("title")} AS q, {sql_surnames("authors")} AS names, min(wp) AS l_rec FROM drafts GROUP BY 1, 2),
+r AS (SELECT {sql_norm("title")} AS c, authors, min(paper_id) AS cand FROM articles GROUP BY 1, 2),
+g AS (SELECT l_rec, q, names, cand, c FROM l JOIN r ON q <> '' AND c <> '' AND (authors = '' OR {MENTION.format(text="c || ' ' || authors")})),
+tp AS (SELECT DISTINCT q, c, list_distinct(string_split(q, ' ')) AS wa, list_distinct(string_split(c, ' ')) AS wb FROM g),
+tl AS (SELECT * FROM (SELECT *, length(array_to_string(wa, ' ')) AS x, length(array_to_string(wb, ' ')) AS y, len(list_intersect(wa, wb)) AS k FROM tp) q1 WHERE k > 0 OR 200 * least(x, y) >= 75 * (x + y)),
+{sql_token_set("tl", "ts", "q, c")},
+sc AS (SELECT q, c, score, 200.0::DOUBLE * {sql_lcs("q", "c")} / (length(q) + length(c)) AS exact FROM ts WHERE score >= 75),
+b AS (SELECT q, names, cand, score, exact FROM g JOIN sc USING (q, c) QUALIFY row_number() OVER (PARTITION BY l_rec ORDER BY round(score * 1000 + exact, 9) DESC, cand) = 1)
+SELECT wp AS id, cand AS match_id, {s4("score")} AS score, {s4("exact")} AS exact FROM drafts JOIN b ON b.q = {sql_norm("title")} AND b.names = {sql_surnames("authors")}"""))
 def _(spark, d):
-    c = candidate_lists(spark, d)
-    scored = c.select("id", "cand", "names", "c", "c_authors", sc.token_set_udf("q", "c").alias("score"), sc.ratio_udf("q", "c").alias("exact"))
-    ok = (F.col("score") >= 75) & ((F.col("c_authors") == "") | tx.mentions_any("names", F.concat_ws(" ", "c", "c_authors")))
-    chosen = best(scored.filter(ok), ["id"], [F.desc(F.col("score") * 1000 + F.col("exact")), F.col("cand")])
-    return rounded(chosen.select("id", F.col("cand").alias("match_id"), "score", "exact"), "score", "exact")
+    return rounded(si.token_set_best(*title_sides(spark, d), 75.0), "score", "exact")
 
 
-@query("j16_partial_ratio_check")
+@query("j16_partial_ratio_check", sql_with(BOTH + f""",
+j AS (SELECT wp AS id, {sql_norm("d.title")} AS a, {sql_surnames("d.authors")} AS names, a.title || ' ' || a.authors AS context FROM drafts d JOIN articles a ON a.paper_id = d.wp),
+k AS (SELECT id, a, {sql_norm("context")} AS b FROM j WHERE {MENTION.format(text="context")}),
+kk AS (SELECT id, a, b FROM k WHERE a <> '' AND b <> ''),
+{sql_partial("kk", "pr", "id")}
+SELECT id, {s4("coalesce(partial, CASE WHEN a = b THEN 100 ELSE 0 END)")} AS score FROM k LEFT JOIN pr USING (id)"""))
 def _(spark, d):
     q = drafts(spark, d).select(F.col("wp").alias("id"), tx.normalise_title("title").alias("q"), tx.surnames("authors").alias("names"))
     c = articles(spark, d).select(F.col("paper_id").alias("id"), F.concat_ws(" ", "title", "authors").alias("context"))

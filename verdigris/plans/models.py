@@ -9,7 +9,9 @@ from verdigris.functions import text as tx
 from verdigris.operators import matching as ma
 from verdigris.operators import rates as ra
 from verdigris.operators import regress as re_
-from verdigris.plans.base import PAPERS, papers, r4, rounded, s4, sql_ncdf, sql_with, sql_word_count, table
+from verdigris.plans.base import (
+    PAPERS, papers, r4, rounded, s4, sql_hash, sql_ncdf, sql_t_tails, sql_with, sql_word_count, table,
+)
 from verdigris.plans.projections import (
     LOCAL_NEGATIVE, LOCAL_NULL, LOCAL_POSITIVE, period,
 )
@@ -413,7 +415,39 @@ def _(spark, d):
 
 
 # ---------------------------------------------------------------- J26
-@query("j26_propensity_matching")
+def sql_logistic(src: str, rounds: int = 12) -> str:
+    """CTEs fit(b0, b1) of a ridge logistic regression of `t` on `x` over src(x, n, t): Newton steps, unrolled."""
+    ctes = ["n0 AS (SELECT 0.0::DOUBLE AS b0, 0.0::DOUBLE AS b1)"]
+    for r in range(1, rounds + 1):
+        ctes.append(f"""
+n{r} AS (SELECT b0 + (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01) AS b0, b1 + (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) AS b1 FROM (
+  SELECT any_value(b0) AS b0, any_value(b1) AS b1, sum(t - n * p) AS g0, sum((t - n * p) * x) - any_value(b1) AS g1,
+    sum(n * p * (1 - p)) AS h00, sum(n * p * (1 - p) * x) AS h01, sum(n * p * (1 - p) * x * x) + 1 AS h11
+  FROM (SELECT *, 1 / (1 + exp(-(b0 + b1 * x))) AS p FROM {src}, n{r - 1}) e) z)""")
+    return ",\n".join([*ctes, f"fit AS (SELECT * FROM n{rounds})"])
+
+
+@query("j26_propensity_matching", "WITH RECURSIVE " + PAPERS.strip() + f""",
+u AS (SELECT paper_id, positive, CAST(published AS INT) AS pub, (year - avg(year) OVER ()) / stddev_samp(year) OVER () AS x FROM papers),
+pt AS (SELECT x, count(*)::DOUBLE AS n, count(*) FILTER (positive)::DOUBLE AS t FROM u GROUP BY 1),
+{sql_logistic("pt")},
+st AS (SELECT row_number() OVER (ORDER BY 1 / (1 + exp(-(b0 + b1 * x)))) AS i, x, 1 / (1 + exp(-(b0 + b1 * x))) AS score, CAST(t AS BIGINT) AS treated, CAST(n - t AS BIGINT) AS controls FROM pt, fit),
+steps AS (SELECT row_number() OVER (ORDER BY a.i, abs(a.score - b.score), b.i) AS k, a.i = lag(a.i) OVER (ORDER BY a.i, abs(a.score - b.score), b.i) AS same, a.treated, b.i AS j FROM st a, st b),
+walk AS (
+  SELECT 0::BIGINT AS k, (SELECT list(controls ORDER BY i) FROM st) AS free, 0::BIGINT AS need
+  UNION ALL
+  SELECT w.k + 1, list_transform(free, lambda c, pos: CASE WHEN pos = s.j THEN c - least(c, CASE WHEN s.same THEN need ELSE s.treated END) ELSE c END),
+    CASE WHEN s.same THEN need ELSE s.treated END - least(free[s.j], CASE WHEN s.same THEN need ELSE s.treated END)
+  FROM walk w JOIN steps s ON s.k = w.k + 1
+), done AS (SELECT free FROM walk ORDER BY k DESC LIMIT 1),
+kept AS (
+  SELECT pub, positive FROM u WHERE positive UNION ALL
+  SELECT pub, positive FROM (SELECT u.*, st.i, controls, row_number() OVER (PARTITION BY u.x ORDER BY {sql_hash(42, "paper_id")}, paper_id) AS r FROM u JOIN st ON st.x = u.x WHERE NOT positive) c, done WHERE r <= controls - free[i]
+), m AS (
+  SELECT count(*) FILTER (positive) AS n1, count(*) FILTER (NOT positive) AS n0, avg(pub) FILTER (positive) AS mean1, avg(pub) FILTER (NOT positive) AS mean0,
+    var_samp(pub) FILTER (positive) AS v1, var_samp(pub) FILTER (NOT positive) AS v0 FROM kept
+), tt AS (SELECT *, 1 AS key, n1 + n0 - 2 AS df, (mean1 - mean0) / sqrt(((n1 - 1) * v1 + (n0 - 1) * v0) / (n1 + n0 - 2) * (1.0::DOUBLE / n1 + 1.0::DOUBLE / n0)) AS t FROM m), {sql_t_tails("tt")}
+SELECT n1, n0, {s4("mean1")} AS mean1, {s4("mean0")} AS mean0, {s4("mean1 - mean0")} AS difference, {s4("t")} AS t, {s4("p")} AS p FROM tt JOIN tails USING (key)""")
 def _(spark, d):
     p = papers(spark, d)
     mean, sd = p.agg(F.avg("year")).scalar(), p.agg(F.stddev_samp("year")).scalar()

@@ -14,7 +14,8 @@ from verdigris.functions import stats as st
 from verdigris.functions import text as tx
 from verdigris.plans.base import (
     ARTICLES, DRAFTS, PAPERS, STATS, articles, drafts, papers, r4, s4, sql_contains_any, sql_in, sql_lcs,
-    sql_ncdf, sql_norm, sql_sorted_title, sql_surnames, sql_t_tails, sql_title_words, sql_unescape, sql_with,
+    sql_ncdf, sql_norm, sql_partial, sql_sorted_title, sql_surnames, sql_t_tails, sql_title_words, sql_token_set,
+    sql_unescape, sql_with,
     sql_word_count, sql_words, stats, table,
 )
 from verdigris.plans.models import _sql_direction
@@ -133,7 +134,16 @@ def _(spark, d):
     return p.select("a", "b", r4(sc.ratio_expression(F.col("a"), F.col("b"))).alias("ratio"))
 
 
-@query("x12_score_variants")
+SQL_WORD_LIST = "list_filter(string_split({x}, ' '), lambda v: v <> '')"
+
+
+@query("x12_score_variants", f"""WITH p AS (SELECT DISTINCT p_name AS a, lower(p_type) || ' ' || p_name || ' ' || lower(p_brand) AS b FROM part),
+w AS (SELECT a, b, {SQL_WORD_LIST.format(x="a")} AS la, {SQL_WORD_LIST.format(x="b")} AS lb FROM p),
+o AS (SELECT a, b, array_to_string(list_sort(la), ' ') AS sa, array_to_string(list_sort(lb), ' ') AS sb FROM w),
+t AS (SELECT a, b, 200.0::DOUBLE * {sql_lcs("sa", "sb")} / (length(sa) + length(sb)) AS token_sort FROM o),
+d AS (SELECT a, b, list_distinct(la) AS wa, list_distinct(lb) AS wb FROM w), {sql_token_set("d", "ts", "a, b")},
+x AS (SELECT a AS a0, b AS b0, a, b FROM p), {sql_partial("x", "pr", "a0, b0")}
+SELECT t.a, t.b, {s4("token_sort")} AS token_sort, {s4("score")} AS token_set, {s4("partial")} AS partial FROM t JOIN ts USING (a, b) JOIN pr ON a0 = t.a AND b0 = t.b""")
 def _(spark, d):
     p = table(spark, d, "part").select(F.col("p_name").alias("a"), F.concat_ws(" ", F.lower("p_type"), "p_name", F.lower("p_brand")).alias("b")).distinct()
     return p.select(

@@ -8,6 +8,7 @@ regressor only makes the pattern table longer. Only k x k moment matrices reach
 from __future__ import annotations
 
 from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.ml.classification import LogisticRegression
@@ -83,70 +84,115 @@ def linear_index(names: list[str], beta) -> Column:
     )
 
 
-def _probit_sums(pats: DataFrame, xs: list[str], beta) -> tuple[float, np.ndarray, np.ndarray]:
-    """Log-likelihood, score and observed information at beta: one aggregate over the patterns."""
-    # Text expressions keep plan building cheap, and beta enters as one array value, so every step
-    # runs the same generated code.
-    b = ", ".join(f"{float(v)!r}D" for v in beta)
-    x = ["1.0D", *[f"`{c}`" for c in xs]]
-    row = (
-        pats.selectExpr(
-            "*", f"aggregate(zip_with(array({', '.join(x)}), array({b}), (a, c) -> a * c), 0.0D, (s, v) -> s + v) AS xb"
-        )
-        .selectExpr(
-            "*", "exp(-xb * xb / 2) / sqrt(2 * pi()) AS phi", f"{normal_cdf_sql('xb')} AS up",
-            "__n - __k AS rest",
-        )
-        .selectExpr("*", f"{normal_cdf_sql('(-xb)')} AS down")
-        .selectExpr(
-            "*",
-            "if(__k > 0, __k * ln(up), 0D) + if(rest > 0, rest * ln(down), 0D) AS ll",
-            "if(__k > 0, __k * phi / up, 0D) - if(rest > 0, rest * phi / down, 0D) AS s",
-            "if(__k > 0, __k * phi / up * (phi / up + xb), 0D) + if(rest > 0, rest * phi / down * (phi / down - xb), 0D) AS w",
-        )
-        .selectExpr(
-            "sum(ll) AS ll",
-            *[f"sum(s * {v}) AS s{i}" for i, v in enumerate(x)],
-            *[f"sum(w * {x[i]} * {x[j]}) AS m{i}_{j}" for i in range(len(x)) for j in range(i, len(x))],
-        )
-        .first()
-    )
-    values = [row["ll"], *[row[f"s{i}"] for i in range(len(x))]]
-    if any(v is None for v in values):
-        return -np.inf, np.full(len(x), np.nan), np.full((len(x), len(x)), np.nan)
-    return row["ll"], np.array(values[1:]), _matrix(row, len(x))
+class _Climb:
+    """The way of one specification up its log-likelihood, which is concave: steps of score over information, halved
+    while they lead down."""
+
+    def __init__(self, spec: str, xs: list[str], rows: str, ones: str):
+        self.spec, self.xs, self.halved, self.steps = spec, xs, 0, 0
+        self.rows, self.ones = rows, ones  # SQL for how many rows and successes of a pattern count
+        self.beta, self.step, self.ll = np.zeros(len(xs) + 1), np.zeros(len(xs) + 1), -np.inf
+        self.score = self.info = None
+        self.done = self.failed = False
+
+    def take(self, ll: float, score: np.ndarray, info: np.ndarray) -> None:
+        """The sums at beta + step."""
+        if self.info is not None and ll < self.ll - 1e-9 * abs(self.ll) and self.halved < 30:
+            self.step, self.halved = self.step / 2, self.halved + 1
+            return
+        self.beta, self.ll, self.score, self.info = self.beta + self.step, ll, score, info
+        if self.steps and np.max(np.abs(self.step) / (1 + np.abs(self.beta))) < 1e-8:
+            self.done = True
+        elif self.steps == 40 or not np.all(np.isfinite(info)) or np.linalg.cond(info) > 1e14:
+            self.failed = True  # still climbing: the outcomes are separated
+        else:
+            self.step, self.halved, self.steps = np.linalg.solve(info, score), 0, self.steps + 1
+
+
+def _probit_sums(pats: DataFrame, climbs: list[_Climb]) -> list[tuple[float, np.ndarray, np.ndarray]]:
+    """Log-likelihood, score and observed information of every climb at its next place: one aggregate over the
+    patterns for all of them. A pattern counts where it has all values of a specification."""
+    # Text expressions keep plan building cheap, and the coefficients enter as one array value, so every step runs
+    # the same generated code.
+    rows, sums, designs = pats.selectExpr("*", *[f"{v} AS {name}{i}" for i, c in enumerate(climbs) for v, name in ((c.rows, "n"), (c.ones, "k"))]), [], []
+    for i, climb in enumerate(climbs):
+        b = ", ".join(f"{float(v)!r}D" for v in climb.beta + climb.step)
+        x = ["1.0D", *[f"`{c}`" for c in climb.xs]]
+        designs.append(x)
+        rows = rows.selectExpr("*", f"aggregate(zip_with(array({', '.join(x)}), array({b}), (a, c) -> a * c), 0.0D, (s, v) -> s + v) AS xb{i}")
+        sums += [f"sum(ll{i}) AS ll{i}", *[f"sum(s{i} * {v}) AS s{i}_{j}" for j, v in enumerate(x)]]
+        sums += [f"sum(w{i} * {x[j]} * {x[k]}) AS m{i}_{j}_{k}" for j in range(len(x)) for k in range(j, len(x))]
+    every = range(len(climbs))
+    rows = rows.selectExpr(
+        "*", *[f"n{i} - k{i} AS rest{i}" for i in every], *[f"exp(-xb{i} * xb{i} / 2) / sqrt(2 * pi()) AS phi{i}" for i in every],
+        *[f"{normal_cdf_sql(f'xb{i}')} AS up{i}" for i in every], *[f"{normal_cdf_sql(f'(-xb{i})')} AS down{i}" for i in every],
+    )
+    rows = rows.selectExpr(
+        "*", *[f"if(k{i} > 0, k{i} * ln(up{i}), 0D) + if(rest{i} > 0, rest{i} * ln(down{i}), 0D) AS ll{i}" for i in every],
+        *[f"if(k{i} > 0, k{i} * phi{i} / up{i}, 0D) - if(rest{i} > 0, rest{i} * phi{i} / down{i}, 0D) AS s{i}" for i in every],
+        *[f"if(k{i} > 0, k{i} * phi{i} / up{i} * (phi{i} / up{i} + xb{i}), 0D) + if(rest{i} > 0, rest{i} * phi{i} / down{i} * (phi{i} / down{i} - xb{i}), 0D) AS w{i}" for i in every],
+    )
+    found, out = rows.selectExpr(*sums).first(), []
+    for i, x in enumerate(designs):
+        k = len(x)
+        values = [found[f"ll{i}"], *[found[f"s{i}_{j}"] for j in range(k)]]
+        if any(v is None for v in values):
+            out.append((-np.inf, np.full(k, np.nan), np.full((k, k), np.nan)))
+            continue
+        info = np.array([[found[f"m{i}_{min(j, h)}_{max(j, h)}"] for h in range(k)] for j in range(k)])
+        out.append((values[0], np.array(values[1:]), info))
+    return out
+
+
+class Spec(NamedTuple):
+    """One model: its name, outcome, regressors, and the condition on its rows as SQL."""
+
+    name: str
+    y: str
+    xs: list[str]
+    where: str = "true"
+
+
+def fit_probits(df: DataFrame, specs: list[Spec], min_rows: int = 1) -> list[Fit | None]:
+    """Probit fits of several models with standard errors from the observed information; None where the data are too
+    few or the maximum does not exist.
 
+    The rows are read once, into a table of the patterns of all regressors and conditions; each step is one
+    aggregate over it for all models that still climb. A pattern counts for a model where it meets the condition and
+    has all values."""
+    every, outcomes = (list(dict.fromkeys(v)) for v in ((x for s in specs for x in s.xs), (s.y for s in specs)))
+    flags = {w: f"__f{i}" for i, w in enumerate(dict.fromkeys(s.where for s in specs))}
+    cols = [f"CAST(`{x}` AS DOUBLE) AS `{x}`" for x in every if x not in outcomes]
+    if both := set(every) & set(outcomes):
+        raise ValueError(f"outcome and regressor at once: {both}")
+    cols += [f"coalesce({w}, false) AS {name}" for w, name in flags.items()] + [f"CAST(`{y}` AS INT) AS `{y}`" for y in outcomes]
+    sums = [F.count(y).alias(f"__n_{y}") for y in outcomes] + [F.coalesce(F.sum(y), F.lit(0)).alias(f"__k_{y}") for y in outcomes]
+    pats = cut_lineage(df.selectExpr(*cols).groupBy(*every, *flags.values()).agg(*sums))
+    climbs, sizes = [], []
+    for i, s in enumerate(specs):
+        here = " and ".join([flags[s.where], *[f"`{x}` is not null" for x in s.xs]])
+        climbs.append(_Climb(s.name, s.xs, *[f"if({here}, `__{c}_{s.y}`, 0L)" for c in "nk"]))
+        sizes += [f"coalesce(sum({v}), 0L) AS {c}{i}" for v, c in ((climbs[-1].rows, "n"), (climbs[-1].ones, "k"))]
+    size = pats.selectExpr(*sizes).first()
+    for i, climb in enumerate(climbs):
+        climb.n, climb.k = size[f"n{i}"], size[f"k{i}"]
+        climb.failed = climb.n < max(min_rows, len(climb.xs) + 1) or climb.k in (0, climb.n)
+    while live := [c for c in climbs if not (c.done or c.failed)]:
+        for climb, sums in zip(live, _probit_sums(pats, live)):
+            climb.take(*sums)
+    fits = []
+    for c in climbs:
+        if c.failed:
+            fits.append(None)
+            continue
+        p = c.k / c.n
+        ll0 = c.n * (p * np.log(p) + (1 - p) * np.log(1 - p))
+        fits.append(Fit(c.spec, ["Intercept", *c.xs], c.beta, np.linalg.inv(c.info), int(c.n), float(1 - c.ll / ll0)))
+    return fits
 
-def fit_probit(df: DataFrame, y: str, xs: list[str], spec: str, min_rows: int = 1) -> Fit | None:
-    """Probit fit with standard errors from the observed information; None where the data are too
-    few or the maximum does not exist.
 
-    The log-likelihood is concave, so a few steps of score over information reach the top; each
-    step is one aggregate over the pattern table."""
-    pats = cut_lineage(patterns(df, y, xs))
-    size = pats.agg(F.sum("__n").alias("n"), F.sum("__k").alias("k")).first()
-    n, k1 = size["n"] or 0, size["k"] or 0
-    if n < max(min_rows, len(xs) + 1) or k1 == 0 or k1 == n:
-        return None
-    beta = np.zeros(len(xs) + 1)
-    ll, score, info = _probit_sums(pats, xs, beta)
-    for _ in range(40):
-        if not np.all(np.isfinite(info)) or np.linalg.cond(info) > 1e14:
-            return None
-        step = np.linalg.solve(info, score)
-        for _ in range(30):
-            new_ll, new_score, new_info = _probit_sums(pats, xs, beta + step)
-            if new_ll >= ll - 1e-9 * abs(ll):
-                break
-            step = step / 2
-        beta, ll, score, info = beta + step, new_ll, new_score, new_info
-        if np.max(np.abs(step) / (1 + np.abs(beta))) < 1e-8:
-            break
-    else:
-        return None  # still climbing: the outcomes are separated
-    p = k1 / n
-    ll0 = n * (p * np.log(p) + (1 - p) * np.log(1 - p))
-    return Fit(spec, ["Intercept", *xs], beta, np.linalg.inv(info), int(n), float(1 - ll / ll0))
+def fit_probit(df: DataFrame, y: str, xs: list[str], spec: str, min_rows: int = 1) -> Fit | None:
+    return fit_probits(df, [Spec(spec, y, xs)], min_rows)[0]
 
 
 def tidy(spark: SparkSession, fits, digits: int = 4) -> DataFrame:

@@ -112,6 +112,10 @@ def run(df, y, xs, spec, min_rows=20):
     return re_.fit_probit(df, y, xs, spec, min_rows)
 
 
+def run_all(df, y, specs, min_rows=20):
+    return re_.fit_probits(df, [re_.Spec(s, y, xs) for s, xs in specs], min_rows)
+
+
 ALL = "SELECT * FROM design"
 
 
@@ -120,7 +124,16 @@ def _(spark, d):
     return coef_table(spark, [run(design(spark, d), "pub", ["directional"], "bivariate")])
 
 
-@query("a28_probit_tidy")
+TIDY_XS = ["pos", "neg", "year_c"]
+TIDY_XB = " + ".join(["b0", *[f"b{i} * {x}" for i, x in enumerate(TIDY_XS, 1)]])
+
+
+@query("a28_probit_tidy", sql_with(DESIGN + ",", sql_probit("design", "pub", TIDY_XS, "tidy")[0], ", raw AS (" + " UNION ALL ".join(
+    f"SELECT '{name}' AS variable, b{i} AS b, sqrt(c{i}_{i}) AS se FROM fb9" for i, name in enumerate(["Intercept", *TIDY_XS])
+) + f"""), z AS (SELECT *, b / se AS z FROM raw), q AS (SELECT *, 2 * {sql_ncdf("(-abs(z))")} AS p FROM z),
+e AS (SELECT n, k, {TIDY_XB} AS xb FROM fp, fb9), l AS (SELECT sum(n) AS n, sum(k) AS k, sum(k * ln({sql_ncdf("xb")}) + (n - k) * ln({sql_ncdf("(-xb)")})) AS ll FROM e)
+SELECT 'tidy' AS spec, variable, round(b, 4) AS coef, round(se, 4) AS se, round(z, 4) AS z, round(p, 4) AS p, round(b - {st.Z975!r}::DOUBLE * se, 4) AS ci_low, round(b + {st.Z975!r}::DOUBLE * se, 4) AS ci_high,
+  CASE WHEN p < 0.01 THEN '***' WHEN p < 0.05 THEN '**' WHEN p < 0.1 THEN '*' ELSE '' END AS stars, CAST(n AS BIGINT) AS n, round(1 - ll / (k * ln(k / n) + (n - k) * ln(1 - k / n)), 4) AS pseudo_r2 FROM q, l"""))
 def _(spark, d):
     return re_.tidy(spark, [run(design(spark, d), "pub", ["pos", "neg", "year_c"], "tidy")])
 
@@ -144,7 +157,7 @@ NESTED = [
 @query("a29_primary_probit", sql_probits(DESIGN, [(ALL, "pub", xs, s) for s, xs in NESTED]))
 def _(spark, d):
     df = design(spark, d)
-    return coef_table(spark, [run(df, "pub", xs, s) for s, xs in NESTED])
+    return coef_table(spark, run_all(df, "pub", NESTED))
 
 
 THREEWAY = [
@@ -156,7 +169,7 @@ THREEWAY = [
 @query("a30_three_way_probit", sql_probits(DESIGN, [(ALL, "pub", xs, s) for s, xs in THREEWAY]))
 def _(spark, d):
     df = design(spark, d)
-    return coef_table(spark, [run(df, "pub", xs, s) for s, xs in THREEWAY])
+    return coef_table(spark, run_all(df, "pub", THREEWAY))
 
 
 JOURNALS = ["JF", "RFS", "JFE"]
@@ -172,14 +185,18 @@ def _(spark, d):
 
 def journal_fits(spark, d):
     df = design(spark, d)
-    own = {j: F.coalesce(F.col("journal") == j, F.lit(False)) for j in JOURNALS}
-    return [
-        run(df.filter(own[j] | ~F.col("published")).withColumn("pub_j", own[j].cast("int")), "pub_j", BY_JOURNAL, j)
-        for j in JOURNALS
-    ]
+    own = {f"pub_{j}": F.coalesce(F.col("journal") == j, F.lit(False)).cast("int") for j in JOURNALS}
+    return re_.fit_probits(df.withColumns(own), [re_.Spec(j, f"pub_{j}", BY_JOURNAL, f"pub_{j} = 1 or not published") for j in JOURNALS], 20)
+
+
+JOURNAL_FITS = [(f"SELECT *, CAST(coalesce(journal = '{j}', false) AS INT) AS pub_j FROM design WHERE journal = '{j}' OR NOT published", "pub_j") for j in JOURNALS]
+JOURNAL_CTES = ",\n".join(f"src{j} AS ({src}),\n" + sql_probit(f"src{j}", y, BY_JOURNAL, j, prefix=j)[0] for j, (src, y) in zip(JOURNALS, JOURNAL_FITS))
+POS = 1 + BY_JOURNAL.index("pos")
 
 
-@query("a32_coefficient_differences")
+@query("a32_coefficient_differences", sql_with(DESIGN + ",", JOURNAL_CTES, ", d AS (" + " UNION ALL ".join(
+    f"SELECT '{a} vs {b}' AS spec, x.b{POS} - y.b{POS} AS diff, sqrt(x.c{POS}_{POS} + y.c{POS}_{POS}) AS se FROM {a}b9 x, {b}b9 y" for a, b in (("JF", "RFS"), ("JF", "JFE"), ("RFS", "JFE"))
+) + f"), z AS (SELECT *, diff / se AS z FROM d) SELECT spec, {s4('diff')} AS diff, {s4('se')} AS se, {s4('z')} AS z, {s4('2 * ' + sql_ncdf('(-abs(z))'))} AS p FROM z"))
 def _(spark, d):
     jf, rfs, jfe = journal_fits(spark, d)
     out = None
@@ -191,7 +208,9 @@ def _(spark, d):
     return rounded(out, "diff", "se", "z", "p")
 
 
-@query("a33_wald_symmetry")
+@query("a33_wald_symmetry", sql_with(DESIGN + ",", sql_probit("design", "pub", ["pos", "neg"], "symmetry")[0], f"""
+, d AS (SELECT b1 - b2 AS diff, sqrt(c1_1 + c2_2 - 2 * c1_2) AS se FROM fb9), z AS (SELECT *, diff / se AS z FROM d)
+SELECT 'symmetry' AS spec, {s4("diff")} AS diff, {s4("se")} AS se, {s4("z * z")} AS chi2, {s4("2 * " + sql_ncdf("(-abs(z))"))} AS p, {s4(f"{st.Z975 + st.Z80!r}::DOUBLE * se")} AS mdd_80 FROM z"""))
 def _(spark, d):
     fit = run(design(spark, d), "pub", ["pos", "neg"], "symmetry")
     return rounded(re_.wald_equal(spark, fit, "pos", "neg"), "diff", "se", "chi2", "p", "mdd_80")
@@ -204,7 +223,7 @@ PERIODS = {"2000-2007": (2000, 2007), "2008-2015": (2008, 2015), "2016-2024": (2
     (f"SELECT * FROM design WHERE year BETWEEN {lo} AND {hi}", "pub", ["pos", "neg"], s) for s, (lo, hi) in PERIODS.items()]))
 def _(spark, d):
     df = design(spark, d)
-    return coef_table(spark, [run(df.filter(F.col("year").between(lo, hi)), "pub", ["pos", "neg"], s) for s, (lo, hi) in PERIODS.items()])
+    return coef_table(spark, re_.fit_probits(df, [re_.Spec(s, "pub", ["pos", "neg"], f"year between {lo} and {hi}") for s, (lo, hi) in PERIODS.items()], 20))
 
 
 LPM = [("bivariate", ["pos", "neg"]), ("year", ["pos", "neg", "year_c"])]
@@ -267,7 +286,7 @@ def _(spark, d):
             "pub_peers": F.coalesce(F.col("journal").isin("RFS", "JFE"), F.lit(False)).cast("int"),
         }
     )
-    return coef_table(spark, [run(df.filter(w), y, xs, s) for s, w, y, xs in SUBSETS])
+    return coef_table(spark, re_.fit_probits(df, [re_.Spec(s, y, xs, w) for s, w, y, xs in SUBSETS], 20))
 
 
 @query("a36_length_control", sql_probits(
@@ -303,7 +322,7 @@ def _(spark, d):
             "log_nauth_c": F.log1p(tx.author_count_comma("title")),
         }
     )
-    return coef_table(spark, [run(conf, "pub", xs, s) for s, xs in CONF_FITS])
+    return coef_table(spark, run_all(conf, "pub", CONF_FITS))
 
 
 def _sql_direction(x):
@@ -338,7 +357,7 @@ def _(spark, d):
         }
     )
     df = p.withColumn("far", (F.col("short_code") != 0).cast("int"))
-    return coef_table(spark, [run(df, "pub", ["far"], "truncated"), run(df, "pub", ["far", "year_c"], "truncated_year")])
+    return coef_table(spark, run_all(df, "pub", [("truncated", ["far"]), ("truncated_year", ["far", "year_c"])]))
 
 
 @query("a40_truncated_agreement", sql_with(PAPERS, f"""
@@ -372,8 +391,7 @@ long AS (SELECT 1 AS pub_s, CAST(dp <> 0 AS INT) AS far, year_c FROM pairs UNION
 @query("a42_matched_pair_probit", sql_probits(PAIRED, [("SELECT * FROM long", "pub_s", ["far"], "pairs"), ("SELECT * FROM long", "pub_s", ["far", "year_c"], "pairs_year")]))
 def _(spark, d):
     long = pair_rows(design(spark, d))
-    fits = [run(long, "pub_s", ["far"], "pairs"), run(long, "pub_s", ["far", "year_c"], "pairs_year")]
-    return coef_table(spark, fits)
+    return coef_table(spark, run_all(long, "pub_s", [("pairs", ["far"]), ("pairs_year", ["far", "year_c"])]))
 
 
 def pair_rows(p):
@@ -388,7 +406,9 @@ def pair_rows(p):
     return pairs.select("year_c", F.explode(versions).alias("v")).select("v.*", "year_c")
 
 
-@query("a43_marginal_effects")
+@query("a43_marginal_effects", sql_with(DESIGN + ",", sql_probit("design", "pub", ["directional", "year_c"], "margins")[0], f"""
+, e AS (SELECT b0 + b1 + b2 * year_c AS hi, b0 + b2 * year_c AS lo, b0 + b1 AS bhi, b0 AS blo FROM design, fb9)
+SELECT {s4(f"avg({sql_ncdf('hi')} - {sql_ncdf('lo')})")} AS average_effect, {s4(f"avg({sql_ncdf('bhi')} - {sql_ncdf('blo')})")} AS baseline_effect FROM e"""))
 def _(spark, d):
     df = design(spark, d)
     fit = run(df, "pub", ["directional", "year_c"], "margins")

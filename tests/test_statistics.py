@@ -3,6 +3,7 @@
 import math
 from statistics import NormalDist
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,11 +101,30 @@ def test_bootstrap_methods_agree(spark):
     assert abs(a.p_boot - b.p_boot) < 0.06 and abs(a.ci_low - b.ci_low) < 0.06
 
 
-def test_relabelling_methods_agree(spark):
-    papers = spark.range(200).selectExpr("id AS paper", "id % 5 AS nb", "1 + id % 3 AS na", "id < 80 AS f")
-    a = rs.cross_group_p(papers, "paper", F.col("f"), 2000, 3, "profiles").first()
-    b = rs.cross_group_p(papers, "paper", F.col("f"), 1000, 3, "draws").first()
-    assert abs(a.p_cross - b.p_cross) < 0.06
+@pytest.mark.parametrize("n", [200, 1500])
+def test_relabelling_equals_plain_shuffles(spark, n):
+    papers = spark.range(n).selectExpr("id AS paper", f"id % {5 if n < 500 else 31} AS nb", f"1 + id % {3 if n < 500 else 29} AS na", f"id < {2 * n // 5} AS f")
+    rows = papers.toPandas()
+    draw, size = np.random.default_rng(1), int(rows["f"].sum())
+    picks = [draw.permutation(n)[:size] for _ in range(2000)]
+    plain = np.array([[rows["nb"].to_numpy()[p].sum(), rows["na"].to_numpy()[p].sum()] for p in picks], float)
+    ratio = plain[:, 0] / plain[:, 1]
+    seen = rows[rows["f"]]
+    for uniforms in (rs.drawn_uniforms, rs.hash_uniforms):
+        reps = rs.label_permutation(papers, F.col("f"), 2000, 3, uniforms).toPandas()
+        assert len(reps) == 2000 and reps["iter"].is_unique
+        found = reps["b"] / reps["a"]
+        assert abs(found.mean() - ratio.mean()) < 4 * ratio.std() / 40 and abs(found.std() / ratio.std() - 1) < 0.1
+    p = rs.cross_group_p(papers, F.col("f"), 2000, 3).first().p_cross
+    assert abs(p - (ratio >= seen["nb"].sum() / seen["na"].sum()).mean()) < 0.05
+
+
+def test_hypergeometric_follows_its_distribution():
+    u = (np.arange(20_000) + 0.5) / 20_000
+    x = rs.hypergeometric(7, 13, np.full(len(u), 6), u)
+    exact = [math.comb(7, k) * math.comb(13, 6 - k) / math.comb(20, 6) for k in range(7)]
+    assert np.abs(np.bincount(x, minlength=7) / len(u) - exact).max() < 1e-3
+    assert rs.hypergeometric(5, 5, np.array([0, 10]), np.array([0.5, 0.5])).tolist() == [0, 5]
 
 
 def test_mann_whitney(spark):

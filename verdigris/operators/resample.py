@@ -8,6 +8,7 @@ Rows are reduced to per-paper counts first. Two ways to draw:
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import math
 
@@ -16,7 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from verdigris.operators.windows import hash_number, hashed_rank, uniform
+from verdigris.operators.windows import running_totals, uniform
+from verdigris.session import cut_lineage
 
 BLOCK = 250
 #: Cumulative probabilities of a Poisson(1) count of 0, 1, 2, ... until a 32-bit number cannot tell the rest from 1.
@@ -138,56 +140,113 @@ def within_window_draws(papers: DataFrame, by: list, n_iter: int, seed) -> DataF
     return obs.mapInPandas(draw, _schema(papers, by, "below long, above long, p_perm double"))
 
 
-def label_permutation_by_draws(papers: DataFrame, paper: str, first: Column, n_iter: int, seed) -> DataFrame:
-    """(iter, b, a) of the papers that a random relabelling calls `first`: in every replicate, the
-    n smallest hash numbers, n the size of that group."""
-    n_first = papers.filter(first).agg(F.count("*"))
-    drawn = _replicate(papers.select(paper, "nb", "na"), n_iter).withColumn(
-        "h", hash_number(seed, "iter", paper)
-    )
-    ranked = hashed_rank(drawn, ["iter"], "h", paper, "rk")
-    return (
-        ranked.filter(F.col("rk") <= n_first.scalar())
-        .groupBy("iter")
-        .agg(F.sum("nb").alias("b"), F.sum("na").alias("a"))
-    )
+#: Heights of the tree of profiles that one task settles on its own: 2**8 profiles.
+LEAF_HEIGHT = 8
+
+
+def hash_uniforms(seed, height: int, place: int, iters: np.ndarray) -> np.ndarray:
+    """One seeded md5 number per replicate and tree node, for comparison with other engines."""
+    texts = (f"{seed}|{i}|{height}|{place}" for i in iters.tolist())
+    return np.array([int(hashlib.md5(t.encode()).hexdigest()[:8], 16) for t in texts]) / 4294967296.0
+
+
+def drawn_uniforms(seed, height: int, place: int, iters: np.ndarray) -> np.ndarray:
+    return np.random.default_rng([seed, height, place, int(iters[0])]).random(len(iters))
 
 
-def label_permutation_by_profiles(papers: DataFrame, first: Column, n_iter: int, seed: int) -> DataFrame:
-    """The same draw as one multivariate hypergeometric per replicate over count profiles."""
+def hypergeometric(left: int, right: int, k: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """How many of k[i] items drawn from left + right come from the left, by inversion at u[i].
+
+    Probabilities follow from the ratio of neighbours, starting at the mode; 12 standard deviations on either side
+    hold all that a number of 53 bits can tell."""
+    out = np.zeros(len(k), np.int64)
+    for n in np.unique(k).tolist():
+        lo, hi = max(0, n - right), min(left, n)
+        total = left + right
+        spread = 12 * math.sqrt(n * (left / total) * (right / total) * (total - n) / max(total - 1, 1)) + 12 if total else 0
+        mode = min(max((n + 1) * (left + 1) // (total + 2), lo), hi)
+        lo, hi = max(lo, mode - int(spread)), min(hi, mode + int(spread))
+        x = np.arange(lo, hi)
+        steps = np.log((left - x) * (n - x)) - np.log((x + 1.0) * (right - n + x + 1.0))
+        weight = np.concatenate([[0.0], np.cumsum(steps)])
+        cdf = np.cumsum(np.exp(weight - weight.max()))
+        here = k == n
+        out[here] = lo + np.minimum(np.searchsorted(cdf / cdf[-1], u[here], "left"), hi - lo)
+    return out
+
+
+def _settle(height: int, place: int, sizes: np.ndarray, k: np.ndarray, draw) -> np.ndarray:
+    """Draws per profile (rows) and replicate (columns) below a node, halving it again and again; sizes has
+    2**height entries."""
+    if height == 0:
+        return k[None, :]
+    half = len(sizes) // 2
+    left, right = int(sizes[:half].sum()), int(sizes[half:].sum())
+    if left == 0 or right == 0:
+        x = k if right == 0 else np.zeros_like(k)
+    else:
+        x = hypergeometric(left, right, k, draw(height, place))
+    return np.concatenate([_settle(height - 1, 2 * place, sizes[:half], x, draw), _settle(height - 1, 2 * place + 1, sizes[half:], k - x, draw)])
+
+
+def label_permutation(papers: DataFrame, first: Column, n_iter: int, seed, uniforms=drawn_uniforms) -> DataFrame:
+    """(iter, b, a) of the papers that a random relabelling calls `first`, as many as are so called.
+
+    Papers with equal counts are one profile; how many of each a relabelling takes is one multivariate hypergeometric
+    number. It is drawn top-down over a binary tree of the profiles in order: a node's draws are divided between its
+    halves. The upper levels are joins of nodes with their sizes, a block of 2**LEAF_HEIGHT profiles is settled in
+    one task per block of replicates, and tasks send on sums. Each node and replicate has a number of its own, so
+    results do not depend on the partitioning."""
     flagged = papers.select(F.when(first, 1).otherwise(0).alias("f"), "nb", "na")
-    sizes = flagged.agg(F.sum("f").alias("n"))
-    rows = _profile_arrays(flagged.withColumn("g", F.lit(0)), ["g"], n_iter).withColumn(
-        "n_first", sizes.scalar()
-    )
+    counted = flagged.groupBy("nb", "na").agg(F.count("*").alias("m"), F.sum("f").alias("f"))
+    ordered = cut_lineage(counted.withColumn("order", F.col("nb").cast("long") * 2**31 + F.col("na")).withColumn("one", F.lit(1).cast("long")))
+    n_profiles, n_first = ordered.agg(F.count("*"), F.coalesce(F.sum("f"), F.lit(0))).first()
+    top = max(LEAF_HEIGHT, (max(n_profiles, 1) - 1).bit_length())
+    ranked = cut_lineage(running_totals(ordered, "order", {"rank": "one"}).withColumn("place", F.shiftright("rank", LEAF_HEIGHT)))
+    packed = ranked.groupBy("place").agg(F.sort_array(F.collect_list(F.struct("rank", "m", "nb", "na"))).alias("p"))
+    packed = packed.select("place", *[F.col(f"p.{c}").cast("array<long>").alias(c) for c in ("rank", "m", "nb", "na")])
+    size = ranked.groupBy("place").agg(F.sum("m").alias("m"))
+    blocks = F.explode(F.sequence(F.lit(0), F.lit((n_iter - 1) // BLOCK)))
+    share = F.least(F.lit(BLOCK), F.lit(n_iter) - F.col("block") * BLOCK)
+    one = papers.sparkSession.range(1).select(F.lit(0).cast("long").alias("place"), blocks.alias("block"))
+    draws = one.withColumn("k", F.array_repeat(F.lit(n_first).cast("long"), share.cast("int")))
+    for height in range(top, LEAF_HEIGHT, -1):
+        halves = size.groupBy(F.shiftright("place", height - 1 - LEAF_HEIGHT).alias("half")).agg(F.sum("m").alias("m"))
+        sides = halves.groupBy(F.shiftright("half", 1).alias("place")).agg(
+            *[F.coalesce(F.sum(F.when(F.col("half") % 2 == side, F.col("m"))), F.lit(0)).alias(name) for side, name in ((0, "left"), (1, "right"))]
+        )
+        draws = draws.join(sides, "place").mapInPandas(_halver(height, seed, uniforms), "place long, block int, k array<long>")
 
-    def draw(batches):
+    def settle(batches):
         for pdf in batches:
-            for _, r in pdf.iterrows():
-                m = np.asarray(r["m"], dtype=np.int64)
-                rng = np.random.default_rng([seed, int(r["block"])])
-                size = min(BLOCK, n_iter - int(r["block"]) * BLOCK)
-                k = rng.multivariate_hypergeometric(m, int(r["n_first"]), size=size, method="marginals")
-                yield pd.DataFrame(
-                    {
-                        "iter": int(r["block"]) * BLOCK + np.arange(size),
-                        "b": k @ np.asarray(r["nb"]),
-                        "a": k @ np.asarray(r["na"]),
-                    }
-                )
+            for r in pdf.itertuples(index=False):
+                sizes = np.zeros(1 << LEAF_HEIGHT, np.int64)
+                at = np.asarray(r.rank) & ((1 << LEAF_HEIGHT) - 1)
+                sizes[at] = r.m
+                iters = r.block * BLOCK + np.arange(len(r.k))
+                taken = _settle(LEAF_HEIGHT, r.place, sizes, np.asarray(r.k), lambda h, p: uniforms(seed, h, p, iters))[at]
+                yield pd.DataFrame({"iter": iters, "b": np.asarray(r.nb) @ taken, "a": np.asarray(r.na) @ taken})
 
-    return rows.mapInPandas(draw, "iter long, b double, a double")
+    parts = draws.join(packed, "place").repartition("place", "block").mapInPandas(settle, "iter long, b long, a long")
+    return parts.groupBy("iter").agg(F.sum("b").alias("b"), F.sum("a").alias("a"))
 
 
-def cross_group_p(papers: DataFrame, paper: str, first: Column, n_iter: int = 10_000, seed: int = 99, method: str = "profiles") -> DataFrame:
+def _halver(height: int, seed, uniforms):
+    def halve(batches):
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                k = np.asarray(r.k)
+                iters = r.block * BLOCK + np.arange(len(k))
+                x = hypergeometric(int(r.left), int(r.right), k, uniforms(seed, height, r.place, iters)) if r.left and r.right else np.where(r.right == 0, k, 0)
+                yield pd.DataFrame({"place": [2 * r.place, 2 * r.place + 1], "block": r.block, "k": [x, k - x]})
+
+    return halve
+
+
+def cross_group_p(papers: DataFrame, first: Column, n_iter: int = 10_000, seed=99, uniforms=drawn_uniforms) -> DataFrame:
     """Share of relabellings whose ratio reaches the observed one of the first group."""
     obs = papers.filter(first).agg((F.sum("nb") / F.sum("na")).alias("ratio"))
-    reps = (
-        label_permutation_by_draws(papers, paper, first, n_iter, seed)
-        if method == "draws"
-        else label_permutation_by_profiles(papers, first, n_iter, seed)
-    )
-    reps = reps.filter("a > 0").withColumn("ratio", obs.scalar())
+    reps = label_permutation(papers, first, n_iter, seed, uniforms).filter("a > 0").withColumn("ratio", obs.scalar())
     return reps.groupBy("ratio").agg(
         F.count("*").alias("n_iter"),
         F.avg((F.col("b") / F.col("a") >= F.col("ratio")).cast("double")).alias("p_cross"),

@@ -309,22 +309,38 @@ def per_paper_t(spark, d):
     return rounded(out.withColumn("p", st.t_p("t", (F.col("n") - 1).cast("double"))), "mean_ratio", "t", "p")
 
 
+def sql_label_permutation(seed: str, n_iter: int, top: int = 10) -> str:
+    """CTEs reps(iter, b, a) for pp(nb, na, ..) with k(n1): profiles in order as leaves of a tree of 2**top places; each
+    level divides a node's draws by inversion of the hypergeometric distribution, with one md5 number per node."""
+    ctes = [f"""pf AS (SELECT nb, na, count(*) AS m, row_number() OVER (ORDER BY nb, na) - 1 AS rk FROM pp GROUP BY 1, 2),
+h{top} AS (SELECT CAST(it AS BIGINT) AS iter, 0::BIGINT AS i, CAST(n1 AS BIGINT) AS k FROM range({n_iter}) t(it), k)"""]
+    comb = lambda n, x: f"(lgamma({n} + 1.0::DOUBLE) - lgamma({x} + 1.0::DOUBLE) - lgamma({n} - {x} + 1.0::DOUBLE))"
+    for h in range(top, 0, -1):
+        ctes.append(f"""
+z{h} AS (SELECT rk >> {h} AS i, coalesce(sum(m) FILTER ((rk >> {h - 1}) % 2 = 0), 0)::BIGINT AS l, coalesce(sum(m) FILTER ((rk >> {h - 1}) % 2 = 1), 0)::BIGINT AS r FROM pf GROUP BY 1),
+d{h} AS (SELECT i, k, l, r, unnest(range(greatest(0, k - r), least(l, k) + 1)) AS x FROM (SELECT DISTINCT i, k FROM h{h}) q JOIN z{h} USING (i)),
+c{h} AS (SELECT i, k, x, max(x) OVER (PARTITION BY i, k) AS most, sum(exp({comb("l", "x")} + {comb("r", "(k - x)")} - {comb("(l + r)", "k")})) OVER (PARTITION BY i, k ORDER BY x) AS c FROM d{h}),
+u{h} AS (SELECT iter, i, k, {sql_hash(seed, "iter", str(h), "i")} / 4294967296.0::DOUBLE AS u FROM h{h}),
+x{h} AS (SELECT iter, i, k, least(max(most), min(x) + count(*) FILTER (c < u)) AS x FROM u{h} JOIN c{h} USING (i, k) GROUP BY iter, i, k),
+h{h - 1} AS (SELECT iter, 2 * i AS i, x AS k FROM x{h} WHERE x > 0 UNION ALL SELECT iter, 2 * i + 1, k - x FROM x{h} WHERE k > x)""")
+    return ",".join([*ctes, "\nreps AS (SELECT iter, sum(k * nb) AS b, sum(k * na) AS a FROM h0 JOIN pf ON rk = i GROUP BY 1)"])
+
+
 @query("a20_cross_group_permutation_draws", sql_with(STATS, f"""
 , pp AS (SELECT corpus, paper_id, {NB} AS nb, {NA} AS na FROM valid GROUP BY 1, 2),
 k AS (SELECT count(*) AS n1, sum(nb) / sum(na) AS ratio FROM pp WHERE corpus = 'published'),
-d AS (SELECT iter, nb, na, row_number() OVER (PARTITION BY iter ORDER BY {sql_hash("x9", "iter", "paper_id")}, paper_id) AS rk FROM pp, range(10000) t(iter)),
-r AS (SELECT iter, sum(nb) AS b, sum(na) AS a FROM d WHERE rk <= (SELECT n1 FROM k) GROUP BY 1)
-SELECT {s4("ratio")} AS ratio, count(*) AS n_iter, {s4("avg(CASE WHEN b / a >= ratio THEN 1.0 ELSE 0.0 END)")} AS p_cross FROM r, k WHERE a > 0 GROUP BY ratio"""))
+{sql_label_permutation("x9", 10_000)}
+SELECT {s4("ratio")} AS ratio, count(*) AS n_iter, {s4("avg(CASE WHEN b / a >= ratio THEN 1.0 ELSE 0.0 END)")} AS p_cross FROM reps, k WHERE a > 0 GROUP BY ratio"""))
 def _(spark, d):
     pp = ca.per_paper(valid(spark, d), ["corpus"], "paper_id")
-    out = rs.cross_group_p(pp, "paper_id", F.col("corpus") == "published", n_iter=10_000, seed="x9", method="draws")
+    out = rs.cross_group_p(pp, F.col("corpus") == "published", n_iter=10_000, seed="x9", uniforms=rs.hash_uniforms)
     return rounded(out, "ratio", "p_cross")
 
 
 @query("a20_cross_group_permutation")
 def _(spark, d):
     pp = ca.per_paper(valid(spark, d), ["corpus"], "paper_id")
-    return rounded(rs.cross_group_p(pp, "paper_id", F.col("corpus") == "published"), "ratio", "p_cross")
+    return rounded(rs.cross_group_p(pp, F.col("corpus") == "published"), "ratio", "p_cross")
 
 
 WINDOWS = {"standard": (1.645, 1.96, 2.275), "narrow": (1.70, 1.96, 2.22), "wide": (1.50, 1.96, 2.42), "tight": (1.66, 1.96, 2.26)}

@@ -80,11 +80,13 @@ def test_cosine_prefix_loses_nothing(spark):
     assert far == near > 40
 
 
-def test_ordered_assignment_is_the_sequential_one(spark):
-    rng = random.Random(4)
-    lk, rk = [rng.choice("abcd") for _ in range(40)], [rng.choice("wxyz") for _ in range(30)]
-    score = {(a, b): float(s) for s, (a, b) in enumerate(rng.sample([(a, b) for a in "abcd" for b in "wxyz"], 12))}
-    free, want = set(range(30)), set()
+@pytest.mark.parametrize("levels", [12, 3, 1])
+def test_ordered_assignment_is_the_sequential_one(spark, levels):
+    rng = random.Random(levels)
+    lk, rk = [rng.choice("abcde") for _ in range(60)], [rng.choice("vwxyz") for _ in range(45)]
+    pairs = rng.sample([(a, b) for a in "abcde" for b in "vwxyz"], 14)
+    score = {p: float(s % levels) for s, p in enumerate(pairs)}
+    free, want = set(range(len(rk))), set()
     for i, a in enumerate(lk):
         options = [(-score[a, rk[j]], j) for j in free if (a, rk[j]) in score]
         if options:
@@ -98,6 +100,12 @@ def test_ordered_assignment_is_the_sequential_one(spark):
     assert got == want
 
 
+def test_ordered_assignment_without_edges(spark):
+    one = spark.createDataFrame([(1, "a")], "id long, l_key string")
+    none = spark.createDataFrame([], "l_key string, r_key string, score double")
+    assert ma.ordered_one_to_one(one, one.withColumnRenamed("l_key", "r_key"), none).collect() == []
+
+
 def test_propensity_pairs_are_one_to_one(spark):
     df = spark.range(400).selectExpr("id", "id % 4 = 0 AS treat", "CAST(id % 10 AS DOUBLE) AS x")
     scores = spark.createDataFrame([(float(i), i / 20.0) for i in range(10)], "x double, score double")

@@ -10,31 +10,48 @@ from verdigris.operators.windows import best, hash_number, hashed_rank, range_ra
 from verdigris.session import cut_lineage
 
 
+def _holders_before(asked: DataFrame, held: DataFrame) -> DataFrame:
+    """asked(id, r_key, ..) with `before`: how many rows of held(id, r_key) with a smaller id hold the same r_key.
+
+    Ids are cut into even ranges, so that a key that many rows hold is counted in many tasks."""
+    ends = asked.agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
+    lo, hi = ends.select("lo").scalar(), ends.select("hi").scalar()
+    bucket = F.floor((F.col("id") - lo) / (hi - lo + 1) * 1024).cast("int")
+    holds = held.select("id", "r_key", bucket.alias("bucket"))
+    counts = holds.groupBy("r_key", "bucket").count()
+    keys = asked.select("r_key", bucket.alias("bucket")).distinct()
+    marks = keys.withColumn("count", F.lit(0).cast("long")).unionByName(counts)
+    upto = Window.partitionBy("r_key").orderBy("bucket").rangeBetween(Window.unboundedPreceding, -1)
+    offsets = marks.groupBy("r_key", "bucket").agg(F.sum("count").alias("count")).select("r_key", "bucket", F.coalesce(F.sum("count").over(upto), F.lit(0)).alias("offset"))
+    both = asked.withColumns({"bucket": bucket, "holds": F.lit(0)}).unionByName(holds.withColumn("holds", F.lit(1)), allowMissingColumns=True)
+    smaller = Window.partitionBy("r_key", "bucket").orderBy("id").rangeBetween(Window.unboundedPreceding, -1)
+    counted = both.withColumn("inside", F.coalesce(F.sum("holds").over(smaller), F.lit(0))).filter("holds = 0")
+    return counted.join(offsets, ["r_key", "bucket"]).withColumn("before", F.col("offset") + F.col("inside")).drop("bucket", "holds", "inside", "offset")
+
+
 def ordered_one_to_one(left: DataFrame, right: DataFrame, edges: DataFrame) -> DataFrame:
-    """One-to-one pairs as if the left rows chose one after another, in id order, the best right
-    row still free.
-
-    left(id, l_key), right(id, r_key), edges(l_key, r_key, score): equal keys are one group on
-    either side, so copies never meet pairwise. A right group has as many places as rows. Every
-    left row asks for its best group; a group keeps its earliest askers and turns the others away
-    for good; this repeats until nobody is turned away. All groups rank the askers alike, so the
-    outcome is the sequential one as long as a left row's groups have distinct scores. Groups of equal
-    score are tried in the order of their first id, even where that row is taken."""
-    places = right.groupBy("r_key").agg(F.count("*").alias("places"), F.min("id").alias("first_id"))
-    live = cut_lineage(
-        left.join(edges, "l_key").join(places, "r_key").select("id", "r_key", "score", "places", "first_id")
-    )
+    """One-to-one pairs as if the left rows chose one after another, in id order, the best right row still free, of
+    equally good ones that with the smallest id.
+
+    left(id, l_key), right(id, r_key), edges(l_key, r_key, score): equal keys are one group on either side, so copies
+    never meet pairwise. The rows of a right group are taken in id order, so all that a left row must know of a group
+    is how many rows with smaller ids hold it: that names the row it would get. In each round every left row chooses
+    anew against what the rows before it chose in the last round. Once nothing changes, each choice is right given
+    those before it, which only the sequential outcome is; every round settles at least one more row, and a chain
+    of refusals one row per round only where each refusal causes the next."""
+    places = right.groupBy("r_key").agg(F.count("*").alias("places"))
+    numbered = cut_lineage(range_rank(right.select("id", "r_key"), ["r_key"], "id", "place").withColumnRenamed("id", "match_id"))
+    live = cut_lineage(left.join(edges, "l_key").join(places, "r_key").select("id", "r_key", "score", "places"))
+    held = None
     while True:
-        asks = best(live, ["id"], [F.desc("score"), F.asc("first_id")])
-        ranked = cut_lineage(range_rank(asks, ["r_key"], "id", "place"))
-        refused = ranked.filter("place > places").select("id", "r_key")
-        if refused.isEmpty():
-            break
-        live = cut_lineage(live.join(refused, ["id", "r_key"], "left_anti"))
-    numbered = range_rank(right.select("id", "r_key"), ["r_key"], "id", "place")
-    return ranked.join(numbered.withColumnRenamed("id", "match_id"), ["r_key", "place"]).select(
-        "id", "match_id", "score"
-    )
+        asked = live.withColumn("before", F.lit(0).cast("long")) if held is None else _holders_before(live, held)
+        open_ = asked.filter("before < places").withColumn("place", F.col("before") + 1).join(numbered, ["r_key", "place"])
+        now = cut_lineage(best(open_, ["id"], [F.desc("score"), F.asc("match_id")]).select("id", "r_key", "match_id", "score"))
+        if held is not None:
+            old = held.select("id", F.col("match_id").alias("old_id"))
+            if now.join(old, "id", "full_outer").filter(~F.col("match_id").eqNullSafe(F.col("old_id"))).isEmpty():
+                return now.select("id", "match_id", "score")
+        held = now
 
 
 def _use_controls(segment: pd.DataFrame) -> pd.DataFrame:

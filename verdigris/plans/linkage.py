@@ -262,7 +262,18 @@ def _(spark, d):
     return rounded(j.filter(tx.mentions_any("names", "context")).select("id", score.alias("score")), "score")
 
 
-@query("j17_one_to_one")
+@query("j17_one_to_one", "WITH RECURSIVE " + KEYS.strip() + f""",
+pr AS (SELECT DISTINCT w.key AS lk, a.key AS rk FROM w JOIN a ON w.year = a.year AND w.key <> '' AND a.key <> '' AND 200.0 * least(length(w.key), length(a.key)) >= 75 * (length(w.key) + length(a.key))),
+sc AS (SELECT * FROM (SELECT lk, rk, 200.0::DOUBLE * {sql_lcs("lk", "rk")} / (length(lk) + length(rk)) AS score FROM pr) q WHERE score >= 75),
+cand AS (SELECT w.id AS l, list(a.id ORDER BY score DESC, a.id) AS c, list(score ORDER BY score DESC, a.id) AS s FROM w JOIN sc ON sc.lk = w.key JOIN a ON a.key = sc.rk AND a.year = w.year GROUP BY 1),
+turn AS (SELECT *, row_number() OVER (ORDER BY l) AS k FROM cand),
+walk AS (
+  SELECT 0::BIGINT AS k, []::BIGINT[] AS used, NULL::BIGINT AS id, NULL::BIGINT AS match_id, NULL::DOUBLE AS score
+  UNION ALL
+  SELECT k, CASE WHEN p IS NULL THEN used ELSE list_append(used, p) END, l, p, s[list_position(c, p)]
+  FROM (SELECT t.k, t.l, t.c, t.s, w.used, list_filter(t.c, lambda v: NOT list_contains(w.used, v))[1] AS p FROM walk w JOIN turn t ON t.k = w.k + 1) z
+)
+SELECT id, match_id, {s4("score")} AS score FROM walk WHERE match_id IS NOT NULL""")
 def _(spark, d):
     """Drafts fill articles of the same year, one to one, in draft order."""
 

@@ -63,12 +63,3 @@ def link_by_file_name(files: DataFrame, papers: DataFrame) -> DataFrame:
         ), "k"
     ).select("file", "paper_id", F.lit("number").alias("how"))
     return first_source_wins([by_suffix, by_number], "file", [F.col("paper_id")]).drop("priority")
-
-
-def link_by_location(records: DataFrame, id_col: str, rec_col: str, drafts: DataFrame) -> DataFrame:
-    """Article records linked to the drafts whose ids their locations mention."""
-    from verdigris.sources.records import location_link
-
-    return records.select(id_col, location_link(F.col(rec_col)).alias("wp_number")).filter(
-        F.col("wp_number").isNotNull()
-    ).join(drafts.select("wp_number"), "wp_number", "left_semi")

@@ -305,24 +305,68 @@ def _(spark, d):
     return m.join(a, "match_id", "left").select("id", F.when(ru.usable_abstract("abstract"), F.md5("abstract")).alias("h"))
 
 
-@query("j19_location_links", """
-SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'w' || doc_id WHEN doc_id % 3 = 1 THEN 'h' || doc_id ELSE 'w9' || doc_id END AS wp_number FROM documents WHERE doc_id % 4 <> 3""")
-def _(spark, d):
-    from verdigris.sources.records import LOCATION_RECORD, location_link
-
-    i = F.col("doc_id").cast("string")
-    m, none = F.col("doc_id") % 3, F.col("doc_id") % 4 == 3
-    loc = lambda u: F.struct(F.lit("").alias("url"), u.alias("pdf_url"), F.lit("x").alias("landing_page_url"))
-    first = F.when(m == 0, F.concat(F.lit("https://www.nber.org/papers/w"), i)).otherwise(F.lit("https://a.org/1"))
-    second = F.when(m == 1, F.concat(F.lit("https://doi.org/10.3386/H"), i)).otherwise(F.lit(None).cast("string"))
-    third = F.when(m == 2, F.concat(F.lit("https://www.nber.org/paper/w9"), i))
-    rec = F.to_json(
-        F.when(~none, F.struct(loc(first).alias("best_oa_location"), F.array(loc(F.lit("b")), loc(second)).alias("locations"), F.struct(third.alias("oa_url")).alias("open_access")))
-        .otherwise(F.struct(loc(F.lit("z")).alias("best_oa_location"), F.array(loc(F.lit("b")), loc(F.lit(None).cast("string"))).alias("locations"), F.struct(F.lit(None).cast("string").alias("oa_url")).alias("open_access")))
-    )
-    landed = table(spark, d, "documents").select("doc_id", rec.alias("json"))
-    parsed = landed.select("doc_id", F.from_json("json", LOCATION_RECORD).alias("r"))
-    return parsed.select("doc_id", location_link(F.col("r")).alias("wp_number")).filter("wp_number is not null")
+def landed_records(spark, d):
+    """Landed look-up results: a record per document, by turns of the three article shapes (one in eight names
+    nothing), and one per page in the two draft shapes. Documents point at page doc_id // 2, pages at document
+    5 * page_id; other links in a record lead nowhere."""
+    none = F.lit(None).cast("string")
+    doc = table(spark, d, "documents").select("doc_id", F.split_part("text", F.lit(" "), F.lit(1)).alias("word"))
+    turn, n = F.col("doc_id") % 8, F.floor(F.col("doc_id") / 2).cast("string")
+    url = F.concat(F.lit("https://www.nber.org/papers/w"), n)
+    place = lambda a, b, c, names=("url", "pdf_url", "landing_page_url"): F.struct(*[v.alias(k) for v, k in zip((a, b, c), names)])
+    other = F.concat(F.lit("https://a.org/"), F.coalesce("word", F.lit("")))
+    article = F.to_json(F.struct(
+        place(other, F.when(turn == 0, url), none).alias("best_oa_location"),
+        F.array(place(other, none, none), place(none, F.when(turn == 1, F.concat(F.lit("https://doi.org/10.3386/W"), n)), none)).alias("locations"),
+        F.struct(F.when(turn == 2, url).alias("oa_url")).alias("open_access"),
+    ))
+    names = ("url", "url_for_pdf", "url_for_landing_page")
+    open_ = F.to_json(F.struct(
+        F.array(place(other, none, none, names), place(none, F.when(turn == 3, url), none, names)).alias("oa_locations"),
+        place(none, none, F.when(turn == 4, url), names).alias("best_oa_location"),
+    ))
+    item = lambda kind, v: F.struct(F.lit(kind).alias("id-type"), v.alias("id"))
+    decoys = F.transform(F.sequence(F.lit(1), F.when(F.col("doc_id") % 16 == 14, 30).otherwise(29)), lambda k: F.struct(F.concat(F.lit("10.1/"), k.cast("string")).alias("DOI")))
+    draft_doi = F.concat(F.lit("10.3386/w"), n)
+    relation = F.to_json(F.struct(
+        F.create_map(F.lit("has-preprint"), F.array(item("uri", F.lit("10.3386/w1")), item("doi", F.when(turn == 5, draft_doi).otherwise(F.lit("10.2/x"))))).alias("relation"),
+        F.concat(decoys, F.array(F.struct(F.when(turn == 6, draft_doi).alias("DOI")))).alias("reference"),
+    ))
+    shape = F.when(turn < 3, "article").when(turn < 5, "open").when(turn < 8, "relation")
+    json = F.when(turn < 3, article).when(turn < 5, open_).otherwise(relation)
+    of_documents = doc.select(shape.alias("shape"), F.concat(F.lit("10.1111/jf."), F.col("doc_id").cast("string")).alias("key"), json.alias("json"))
+    page = table(spark, d, "pages").select("page_id", "url")
+    side = F.col("page_id") % 4
+    doi = F.concat(F.lit("10.1111/jf."), (F.col("page_id") * 5).cast("string"))
+    back = F.to_json(F.struct(F.create_map(F.lit("is-version-of"), F.array(item("doi", F.lit("10.9/none")), item("doi", F.upper(doi)))).alias("relation")))
+    spot = lambda a, b, c: F.struct(a.alias("doi"), b.alias("url"), c.alias("landing_page_url"))
+    versions = F.to_json(F.struct(
+        F.array(spot(F.lit("https://doi.org/10.9/none"), F.col("url"), none), spot(F.when(side == 1, F.concat(F.lit("https://doi.org/"), doi)), none, F.when(side == 2, F.concat(F.lit("https://b.org/"), doi, F.lit("."))))).alias("locations"),
+        F.when(side == 3, F.concat(F.lit("https://doi.org/"), doi)).alias("doi"),
+    ))
+    of_pages = page.select(F.when(side == 0, "draft relation").otherwise("draft versions").alias("shape"), F.concat(F.lit("w"), F.col("page_id").cast("string")).alias("key"), F.when(side == 0, back).otherwise(versions).alias("json"))
+    return of_documents.unionByName(of_pages)
+
+
+def location_links(spark, d):
+    """(paper_id, wp, shape) from landed records of all shapes."""
+    from verdigris.sources.records import location_edges
+
+    a = table(spark, d, "documents").select(F.col("doc_id").alias("paper_id"), F.concat(F.lit("10.1111/jf."), F.col("doc_id").cast("string")).alias("doi"))
+    w = table(spark, d, "pages").select(F.col("page_id").alias("wp"), F.concat(F.lit("w"), F.col("page_id").cast("string")).alias("wp_number"))
+    return location_edges(landed_records(spark, d), a, w).join(a, "doi").join(w, "wp_number").select("paper_id", "wp", "shape")
+
+
+LOCATION_EDGES = """
+edges AS (
+  SELECT doc_id AS paper_id, page_id AS wp, CASE WHEN doc_id % 8 < 3 THEN 'article' WHEN doc_id % 8 < 5 THEN 'open' ELSE 'relation' END AS shape
+  FROM documents JOIN pages ON page_id = doc_id // 2 WHERE doc_id % 8 < 7 AND doc_id % 16 <> 14
+  UNION ALL SELECT doc_id, page_id, CASE WHEN page_id % 4 = 0 THEN 'draft relation' ELSE 'draft versions' END FROM pages JOIN documents ON doc_id = 5 * page_id)"""
+
+
+@query("j19_location_links", sql_with(LOCATION_EDGES, "SELECT * FROM edges"))
+def _(spark, d):
+    return location_links(spark, d)
 
 
 @query("j20_file_name_links", sql_with(PAPERS, """
@@ -368,22 +412,27 @@ def _(spark, d):
     return up.keep_longer(old, new, "paper_id", "abstract").select("paper_id", F.md5("abstract").alias("h"))
 
 
-CASCADE = BOTH + """,
-s1 AS (SELECT a.paper_id, min(d.wp) AS wp, 0 AS priority FROM articles a JOIN drafts d ON a.title = d.title GROUP BY 1),
-s2 AS (SELECT paper_id, wp, 1 AS priority FROM articles a JOIN drafts d ON a.paper_id = d.wp WHERE a.paper_id % 2 = 0),
-s3 AS (SELECT paper_id, paper_id // 10 AS wp, 2 AS priority FROM articles)"""
+CASCADE_SHAPES = ["article", "relation", "open"]
 
 
-@query("j22_strategy_cascade", sql_with(CASCADE, """
-SELECT paper_id, wp, priority FROM (SELECT * FROM s1 UNION ALL SELECT * FROM s2 UNION ALL SELECT * FROM s3) u
-QUALIFY row_number() OVER (PARTITION BY paper_id ORDER BY priority, wp) = 1"""))
+@query("j22_strategy_cascade", sql_with(KEYS + "," + LOCATION_EDGES + ", fz AS (WITH " + sql_fuzzy("a", "w", 75).lstrip() + f"""),
+u AS (
+  SELECT id AS paper_id, match_id AS wp, score, quality, 'fuzzy' AS source, 0 AS priority FROM fz WHERE match_id IS NOT NULL
+  UNION ALL SELECT paper_id, wp, 0.0, 'api', shape, list_position({CASCADE_SHAPES}, shape) FROM edges WHERE shape IN {sql_in(CASCADE_SHAPES)}
+), b AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY paper_id ORDER BY priority, wp) = 1)
+SELECT a.id AS paper_id, wp, coalesce(score, 0.0) AS score, coalesce(quality, 'none') AS quality, coalesce(source, 'none') AS source FROM a LEFT JOIN b ON b.paper_id = a.id"""))
 def _(spark, d):
-    a, w = articles(spark, d), drafts(spark, d)
-    per_title = w.groupBy("title").agg(F.min("wp").alias("wp"))
-    s1 = a.join(per_title, "title").select("paper_id", "wp")
-    s2 = a.filter("paper_id % 2 = 0").select("paper_id").join(w.select(F.col("wp").alias("paper_id")), "paper_id").select("paper_id", F.col("paper_id").alias("wp"))
-    s3 = a.select("paper_id", F.floor(F.col("paper_id") / 10).alias("wp"))
-    return up.first_source_wins([s1, s2, s3], "paper_id", [F.col("wp")]).select("paper_id", "wp", "priority")
+    keys = article_keys(spark, d)
+    fuzzy = rounded(si.fuzzy_best(keys, draft_keys(spark, d), 75.0), "score").filter("match_id is not null")
+    found = [fuzzy.select(F.col("id").alias("paper_id"), F.col("match_id").alias("wp"), "score", "quality", F.lit("fuzzy").alias("source"))]
+    links = location_links(spark, d)
+    for shape in CASCADE_SHAPES:
+        found.append(links.filter(F.col("shape") == shape).select("paper_id", "wp", F.lit(0.0).alias("score"), F.lit("api").alias("quality"), F.col("shape").alias("source")))
+    first = up.first_source_wins(found, "paper_id", [F.col("wp")]).drop("priority")
+    none = F.lit("none")
+    return keys.select(F.col("id").alias("paper_id")).join(first, "paper_id", "left").select(
+        "paper_id", "wp", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("quality", none).alias("quality"), F.coalesce("source", none).alias("source")
+    )
 
 
 @query("j23_label_cascade", sql_with(PAPERS, f"""

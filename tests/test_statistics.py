@@ -93,12 +93,21 @@ def test_kappa_degenerate_and_plain(spark):
     assert ag.linear_kappa(df, "a", "b").first().kappa == pytest.approx(1 - obs / exp)
 
 
-def test_bootstrap_methods_agree(spark):
+def test_bootstrap_equals_plain_resampling(spark):
     papers = spark.range(300).selectExpr("id AS paper", "id % 5 AS nb", "(id * 7) % 4 AS na")
-    a = rs.cluster_bootstrap(papers, [], "paper", 2000, 1, "profiles").first()
-    b = rs.cluster_bootstrap(papers, [], "paper", 2000, 1, "draws").first()
-    assert a.ratio == b.ratio
-    assert abs(a.p_boot - b.p_boot) < 0.06 and abs(a.ci_low - b.ci_low) < 0.06
+    rows = papers.toPandas()
+    w = np.random.default_rng(2).poisson(1.0, (2000, len(rows)))
+    plain = (w @ rows["nb"].to_numpy()) / (w @ rows["na"].to_numpy())
+    for uniforms in (rs.drawn_uniforms, rs.hash_uniforms):
+        found = rs.cluster_bootstrap(papers, [], 2000, 1, uniforms).first()
+        assert found.ratio == rows["nb"].sum() / rows["na"].sum()
+        assert abs(found.ci_low - np.quantile(plain, 0.025)) < 0.05 and abs(found.ci_high - np.quantile(plain, 0.975)) < 0.05
+
+
+@pytest.mark.parametrize("m", [1, 7, 400, 100_000])
+def test_poisson_follows_its_distribution(m):
+    x = rs.poisson(m, (np.arange(50_000) + 0.5) / 50_000)
+    assert abs(x.mean() - m) < 0.01 * math.sqrt(m) and abs(x.var() / m - 1) < 0.01
 
 
 @pytest.mark.parametrize("n", [200, 1500])

@@ -1,15 +1,13 @@
 """Bootstrap and permutation tests on per-paper counts.
 
-Rows are reduced to per-paper counts first. Two ways to draw:
-  draws     one seeded md5 number per (replicate, paper); any engine can repeat them
-  profiles  papers with equal counts are one profile with a multiplicity, and each replicate draws
-            how often the profile counts; work grows with distinct profiles, not papers
+Rows are reduced to per-paper counts, and papers with equal counts to a profile with a multiplicity: work grows with
+distinct profiles, not papers. Numbers are drawn by inversion from uniform ones of a profile, group or tree node,
+either from a generator or from md5, which SQL can repeat.
 """
 
 from __future__ import annotations
 
 import hashlib
-import itertools
 import math
 
 import numpy as np
@@ -17,73 +15,57 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from verdigris.operators.windows import running_totals, uniform
+from verdigris.operators.windows import running_totals
 from verdigris.session import cut_lineage
 
 BLOCK = 250
-#: Cumulative probabilities of a Poisson(1) count of 0, 1, 2, ... until a 32-bit number cannot tell the rest from 1.
-POISSON_STEPS = list(itertools.takewhile(lambda p: 1 - p > 2**-33, itertools.accumulate(math.exp(-1) / math.factorial(k) for k in range(20))))
-
-
-def poisson_one(u: Column) -> Column:
-    """Poisson(1) weight of a uniform number."""
-    out = F.when(u < POISSON_STEPS[0], F.lit(0))
-    for k, step in enumerate(POISSON_STEPS[1:], start=1):
-        out = out.when(u < step, F.lit(k))
-    return out.otherwise(F.lit(len(POISSON_STEPS)))
+def hash_uniforms(seed, place: tuple, iters: np.ndarray) -> np.ndarray:
+    """One seeded md5 number per replicate at a place (a group, a profile, a tree node): any engine can repeat them."""
+    tail = "".join(f"|{x}" for x in place)
+    texts = (f"{seed}|{i}{tail}" for i in iters.tolist())
+    return np.array([int(hashlib.md5(t.encode()).hexdigest()[:8], 16) for t in texts]) / 4294967296.0
 
 
-def _replicate(df: DataFrame, n_iter: int) -> DataFrame:
-    return df.withColumn("iter", F.explode(F.sequence(F.lit(0), F.lit(n_iter - 1))))
-
-
-def bootstrap_by_draws(papers: DataFrame, by: list, paper: str, n_iter: int, seed) -> DataFrame:
-    """(by, iter, b, a): each paper counts a Poisson(1) number of times, the large-sample form of
-    drawing papers with replacement. Sums combine per task, so the shuffle carries
-    groups x replicates rows at most per task whatever the number of papers."""
-    return (
-        _replicate(papers.filter("nb + na > 0"), n_iter)
-        .withColumn("w", poisson_one(uniform(seed, "iter", paper)))
-        .groupBy(*by, "iter")
-        .agg(F.sum(F.col("w") * F.col("nb")).alias("b"), F.sum(F.col("w") * F.col("na")).alias("a"))
-    )
+def drawn_uniforms(seed, place: tuple, iters: np.ndarray) -> np.ndarray:
+    """The same from a generator with a seed of its own per place and block of replicates."""
+    text = "|".join(map(str, (seed, *place, int(iters[0]))))
+    return np.random.default_rng(int.from_bytes(hashlib.md5(text.encode()).digest(), "little")).random(len(iters))
 
 
 def profiles(papers: DataFrame, by: list) -> DataFrame:
     return papers.groupBy(*by, "nb", "na").agg(F.count("*").alias("m"))
 
 
-def _profile_arrays(papers: DataFrame, by: list, n_iter: int) -> DataFrame:
-    p = profiles(papers, by)
-    packed = p.groupBy(*by).agg(
-        F.sort_array(F.collect_list(F.struct("nb", "na", "m"))).alias("p")
-    )
-    blocks = F.sequence(F.lit(0), F.lit((n_iter - 1) // BLOCK))
-    return packed.select(
-        *by,
-        F.transform("p", lambda x: x["nb"].cast("double")).alias("nb"),
-        F.transform("p", lambda x: x["na"].cast("double")).alias("na"),
-        F.transform("p", lambda x: x["m"]).alias("m"),
-        F.explode(blocks).alias("block"),
-    ).repartition(*by, "block")
+def _inverted(weights: np.ndarray, lo: int, u: np.ndarray) -> np.ndarray:
+    """The least number from lo on whose cumulative weight reaches u."""
+    cdf = np.cumsum(weights)
+    return lo + np.minimum(np.searchsorted(cdf / cdf[-1], u, "left"), len(cdf) - 1)
+
+
+def poisson(m: int, u: np.ndarray) -> np.ndarray:
+    """Poisson(m) numbers by inversion; what lies 12 standard deviations off is less than a number of 53 bits can tell."""
+    reach = int(12 * math.sqrt(m)) + 40
+    lo, hi = max(0, m - reach), m + reach
+    logs = np.concatenate([[0.0], np.cumsum(math.log(m) - np.log(np.arange(lo + 1, hi + 1)))])
+    return _inverted(np.exp(logs - logs.max()), lo, u)
 
 
 def _schema(df: DataFrame, by: list, extra: str) -> str:
     return ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by] + [extra])
 
 
-def bootstrap_by_profiles(papers: DataFrame, by: list, n_iter: int, seed: int) -> DataFrame:
-    """(by, iter, b, a): the same weights drawn per profile: m papers of equal counts weigh a Poisson(m)
-    number of times. Profiles are rows with a seed of their own, wherever they lie; a task sends on a sum
-    per group and replicate."""
+def bootstrap(papers: DataFrame, by: list, n_iter: int, seed, uniforms=drawn_uniforms) -> DataFrame:
+    """(by, iter, b, a): each paper counts a Poisson(1) number of times, the large-sample form of drawing papers with
+    replacement, so that m papers of equal counts, one profile, count a Poisson(m) number of times. Profiles are rows
+    with numbers of their own in every group, wherever they lie; a task sends on a sum per group and replicate."""
     rows = profiles(papers.filter("nb + na > 0"), by).select(*by, "nb", "na", "m")
 
     def draw(batches):
         sums: dict[tuple, np.ndarray] = {}
         for pdf in batches:
             for r in pdf.itertuples(index=False):
-                nb, na, m = r[-3:]
-                w = np.random.default_rng([seed, int(nb), int(na)]).poisson(m, n_iter)
+                nb, na, m = map(int, r[-3:])
+                w = poisson(m, uniforms(seed, (*r[:-3], nb, na), np.arange(n_iter)))
                 at = sums.setdefault(tuple(r[:-3]), np.zeros((2, n_iter)))
                 at += [w * nb, w * na]
         for key, (b, a) in sums.items():
@@ -93,13 +75,9 @@ def bootstrap_by_profiles(papers: DataFrame, by: list, n_iter: int, seed: int) -
     return parts.groupBy(*by, "iter").agg(F.sum("b").alias("b"), F.sum("a").alias("a"))
 
 
-def cluster_bootstrap(papers: DataFrame, by: list, paper: str, n_iter: int = 10_000, seed: int = 42, method: str = "profiles") -> DataFrame:
+def cluster_bootstrap(papers: DataFrame, by: list, n_iter: int = 10_000, seed=42, uniforms=drawn_uniforms) -> DataFrame:
     """Observed ratio, one-sided p against the centred replicates, and 95% interval per group."""
-    reps = (
-        bootstrap_by_profiles(papers, by, n_iter, seed)
-        if method == "profiles"
-        else bootstrap_by_draws(papers, by, paper, n_iter, seed)
-    )
+    reps = bootstrap(papers, by, n_iter, seed, uniforms)
     obs = papers.groupBy(*by).agg(
         F.count_if(F.col("nb") + F.col("na") > 0).alias("n_papers"),
         F.sum("nb").alias("below"),
@@ -123,18 +101,20 @@ def cluster_bootstrap(papers: DataFrame, by: list, paper: str, n_iter: int = 10_
     )
 
 
-def within_window_draws(papers: DataFrame, by: list, n_iter: int, seed) -> DataFrame:
+def within_window_draws(papers: DataFrame, by: list, n_iter: int, seed, uniforms=drawn_uniforms) -> DataFrame:
     """Simulated p of the fair-coin split of all in-window statistics, per group."""
     obs = papers.groupBy(*by).agg(F.sum("nb").alias("below"), F.sum("na").alias("above"))
 
     def draw(batches):
         for pdf in batches:
             out = []
-            for b, a in zip(pdf["below"], pdf["above"]):
-                n, rng = int(b + a), np.random.default_rng(seed)
-                x = rng.binomial(n, 0.5, size=n_iter)
+            for r in pdf.itertuples(index=False):
+                below, above = int(r[-2]), int(r[-1])
+                n, u = below + above, uniforms(seed, tuple(r[:-2]), np.arange(n_iter))
+                logs = np.concatenate([[0.0], np.cumsum(np.log(np.arange(n, 0, -1)) - np.log(np.arange(1, n + 1)))])
+                x = _inverted(np.exp(logs - logs.max()), 0, u)
                 ok = x < n
-                out.append(float(((x[ok] / (n - x[ok])) >= b / a).mean()) if a > 0 else None)
+                out.append(float(((x[ok] / (n - x[ok])) >= below / above).mean()) if above > 0 and ok.any() else None)
             yield pdf.assign(p_perm=out)
 
     return obs.mapInPandas(draw, _schema(papers, by, "below long, above long, p_perm double"))
@@ -144,16 +124,6 @@ def within_window_draws(papers: DataFrame, by: list, n_iter: int, seed) -> DataF
 LEAF_HEIGHT = 8
 
 
-def hash_uniforms(seed, height: int, place: int, iters: np.ndarray) -> np.ndarray:
-    """One seeded md5 number per replicate and tree node, for comparison with other engines."""
-    texts = (f"{seed}|{i}|{height}|{place}" for i in iters.tolist())
-    return np.array([int(hashlib.md5(t.encode()).hexdigest()[:8], 16) for t in texts]) / 4294967296.0
-
-
-def drawn_uniforms(seed, height: int, place: int, iters: np.ndarray) -> np.ndarray:
-    return np.random.default_rng([seed, height, place, int(iters[0])]).random(len(iters))
-
-
 def hypergeometric(left: int, right: int, k: np.ndarray, u: np.ndarray) -> np.ndarray:
     """How many of k[i] items drawn from left + right come from the left, by inversion at u[i].
 
@@ -169,9 +139,8 @@ def hypergeometric(left: int, right: int, k: np.ndarray, u: np.ndarray) -> np.nd
         x = np.arange(lo, hi)
         steps = np.log((left - x) * (n - x)) - np.log((x + 1.0) * (right - n + x + 1.0))
         weight = np.concatenate([[0.0], np.cumsum(steps)])
-        cdf = np.cumsum(np.exp(weight - weight.max()))
         here = k == n
-        out[here] = lo + np.minimum(np.searchsorted(cdf / cdf[-1], u[here], "left"), hi - lo)
+        out[here] = _inverted(np.exp(weight - weight.max()), lo, u[here])
     return out
 
 
@@ -185,7 +154,7 @@ def _settle(height: int, place: int, sizes: np.ndarray, k: np.ndarray, draw) ->
     if left == 0 or right == 0:
         x = k if right == 0 else np.zeros_like(k)
     else:
-        x = hypergeometric(left, right, k, draw(height, place))
+        x = hypergeometric(left, right, k, draw((height, place)))
     return np.concatenate([_settle(height - 1, 2 * place, sizes[:half], x, draw), _settle(height - 1, 2 * place + 1, sizes[half:], k - x, draw)])
 
 
@@ -224,7 +193,7 @@ def label_permutation(papers: DataFrame, first: Column, n_iter: int, seed, unifo
                 at = np.asarray(r.rank) & ((1 << LEAF_HEIGHT) - 1)
                 sizes[at] = r.m
                 iters = r.block * BLOCK + np.arange(len(r.k))
-                taken = _settle(LEAF_HEIGHT, r.place, sizes, np.asarray(r.k), lambda h, p: uniforms(seed, h, p, iters))[at]
+                taken = _settle(LEAF_HEIGHT, r.place, sizes, np.asarray(r.k), lambda node: uniforms(seed, node, iters))[at]
                 yield pd.DataFrame({"iter": iters, "b": np.asarray(r.nb) @ taken, "a": np.asarray(r.na) @ taken})
 
     parts = draws.join(packed, "place").repartition("place", "block").mapInPandas(settle, "iter long, b long, a long")
@@ -237,7 +206,7 @@ def _halver(height: int, seed, uniforms):
             for r in pdf.itertuples(index=False):
                 k = np.asarray(r.k)
                 iters = r.block * BLOCK + np.arange(len(k))
-                x = hypergeometric(int(r.left), int(r.right), k, uniforms(seed, height, r.place, iters)) if r.left and r.right else np.where(r.right == 0, k, 0)
+                x = hypergeometric(int(r.left), int(r.right), k, uniforms(seed, (height, r.place), iters)) if r.left and r.right else np.where(r.right == 0, k, 0)
                 yield pd.DataFrame({"place": [2 * r.place, 2 * r.place + 1], "block": r.block, "k": [x, k - x]})
 
     return halve

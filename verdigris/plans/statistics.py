@@ -240,30 +240,37 @@ def _(spark, d):
     return rounded(ca.discontinuity(valid(spark, d), ["subset"]), "z_stat", "p")
 
 
-def sql_poisson(u):
-    whens = " ".join(f"WHEN {u} < {s!r} THEN {k}" for k, s in enumerate(rs.POISSON_STEPS))
-    return f"(CASE {whens} ELSE {len(rs.POISSON_STEPS)} END)"
-
-
-@query("a17_cluster_bootstrap_draws", sql_with(STATS, f"""
-, pp AS (SELECT subset, paper_id, {NB} AS nb, {NA} AS na FROM valid GROUP BY 1, 2),
-draws AS (SELECT subset, iter, nb, na, {sql_hash("b1", "iter", "paper_id")} / 4294967296.0::DOUBLE AS u FROM pp, range(10000) t(iter) WHERE nb + na > 0),
-reps AS (SELECT subset, iter, sum({sql_poisson("u")} * nb) AS b, sum({sql_poisson("u")} * na) AS a FROM draws GROUP BY 1, 2),
-r AS (SELECT subset, b / a AS r, avg(b / a) OVER (PARTITION BY subset) AS m FROM reps WHERE a > 0),
-o AS (SELECT subset, count(*) FILTER (WHERE nb + na > 0) AS n_papers, sum(nb)::BIGINT AS below, sum(na)::BIGINT AS above FROM pp GROUP BY 1)
-SELECT subset, n_papers, below, above, {s4("avg(CASE WHEN r - m + 1.0 >= below / above THEN 1.0 ELSE 0.0 END)")} AS p_boot,
+def sql_bootstrap(seed: str, corpus: str) -> str:
+    """The bootstrap by profiles per group of `corpus`: Poisson(m) numbers by inversion of md5 numbers."""
+    return sql_with(STATS, f"""
+, pp AS (SELECT {corpus} AS grp, paper_id, {NB} AS nb, {NA} AS na FROM valid GROUP BY 1, 2),
+pf AS (SELECT grp, nb, na, count(*) AS m FROM pp WHERE nb + na > 0 GROUP BY 1, 2, 3),
+pk AS (SELECT m, unnest(range(0, m + CAST(12 * sqrt(m) AS BIGINT) + 40)) AS x FROM (SELECT DISTINCT m FROM pf) q),
+pc AS (SELECT m, x, sum(exp(x * ln(m) - m - lgamma(x + 1.0::DOUBLE))) OVER (PARTITION BY m ORDER BY x) AS c FROM pk),
+pl AS (SELECT m, list(c ORDER BY x) AS cs FROM pc WHERE c < 1 - 1e-12 GROUP BY 1),
+draws AS (SELECT grp, iter, nb, na, len(list_filter(cs, lambda c: c < u)) AS w FROM (
+  SELECT grp, iter, nb, na, m, {sql_hash(seed, "iter", "grp", "nb", "na")} / 4294967296.0::DOUBLE AS u FROM pf, range(10000) t(iter)) q JOIN pl USING (m)),
+reps AS (SELECT grp, iter, sum(w * nb) AS b, sum(w * na) AS a FROM draws GROUP BY 1, 2),
+r AS (SELECT grp, b / a AS r, avg(b / a) OVER (PARTITION BY grp) AS m FROM reps WHERE a > 0),
+o AS (SELECT grp, count(*) FILTER (WHERE nb + na > 0) AS n_papers, sum(nb)::BIGINT AS below, sum(na)::BIGINT AS above FROM pp GROUP BY 1)
+SELECT grp AS {corpus}, n_papers, below, above, {s4("avg(CASE WHEN r - m + 1.0 >= below / above THEN 1.0 ELSE 0.0 END)")} AS p_boot,
   {s4("quantile_cont(r, 0.025)")} AS ci_low, {s4("quantile_cont(r, 0.975)")} AS ci_high, {s4("below / above")} AS ratio
-FROM r JOIN o USING (subset) GROUP BY subset, n_papers, below, above"""))
+FROM r JOIN o USING (grp) GROUP BY grp, n_papers, below, above""")
+
+
+def bootstrap_by(spark, d, group, seed):
+    pp = ca.per_paper(valid(spark, d), [group], "paper_id")
+    return rounded(rs.cluster_bootstrap(pp, [group], seed=seed, uniforms=rs.hash_uniforms), "p_boot", "ci_low", "ci_high", "ratio")
+
+
+@query("a17_cluster_bootstrap_draws", sql_bootstrap("b1", "subset"))
 def _(spark, d):
-    pp = ca.per_paper(valid(spark, d), ["subset"], "paper_id")
-    out = rs.cluster_bootstrap(pp, ["subset"], "paper_id", n_iter=10_000, seed="b1", method="draws")
-    return rounded(out, "p_boot", "ci_low", "ci_high", "ratio")
+    return bootstrap_by(spark, d, "subset", "b1")
 
 
-@query("a17_cluster_bootstrap")
+@query("a17_cluster_bootstrap", sql_bootstrap("42", "subset"))
 def _(spark, d):
-    pp = ca.per_paper(valid(spark, d), ["subset"], "paper_id")
-    return rounded(rs.cluster_bootstrap(pp, ["subset"], "paper_id"), "p_boot", "ci_low", "ci_high", "ratio")
+    return bootstrap_by(spark, d, "subset", "42")
 
 
 @query("a18_within_window_permutation", sql_with(STATS, f"""
@@ -279,10 +286,17 @@ def _(spark, d):
     return c.withColumn("p_perm", r4(p))
 
 
-@query("a18_within_window_draws")
+@query("a18_within_window_draws", sql_with(STATS, f"""
+, o AS (SELECT subset, {NB}::BIGINT AS below, {NA}::BIGINT AS above, {NB} + {NA} AS n FROM valid GROUP BY 1),
+x AS (SELECT subset, n, unnest(range(0, n + 1)) AS k FROM o),
+c AS (SELECT subset, k, sum(exp(lgamma(n + 1.0::DOUBLE) - lgamma(k + 1.0::DOUBLE) - lgamma(n - k + 1.0::DOUBLE) - n * ln(2))) OVER (PARTITION BY subset ORDER BY k) AS c FROM x),
+l AS (SELECT subset, list(c ORDER BY k) AS cs FROM c GROUP BY 1),
+u AS (SELECT subset, below, above, n, {sql_hash("42", "iter", "subset")} / 4294967296.0::DOUBLE AS u FROM o, range(10000) t(iter)),
+d AS (SELECT subset, below, above, n, least(n, len(list_filter(cs, lambda v: v < u))) AS k FROM u JOIN l USING (subset))
+SELECT subset, below, above, CASE WHEN above > 0 THEN {s4("avg(CASE WHEN k / (n - k) >= below / above THEN 1.0 ELSE 0.0 END)")} END AS p_perm FROM d WHERE k < n GROUP BY 1, 2, 3"""))
 def _(spark, d):
     pp = ca.per_paper(valid(spark, d), ["subset"], "paper_id")
-    return rs.within_window_draws(pp, ["subset"], 10_000, 42)
+    return rounded(rs.within_window_draws(pp, ["subset"], 10_000, 42, rs.hash_uniforms), "p_perm")
 
 
 @query("a19_per_paper_ratio_t", sql_with(STATS, f"""
@@ -326,21 +340,25 @@ h{h - 1} AS (SELECT iter, 2 * i AS i, x AS k FROM x{h} WHERE x > 0 UNION ALL SEL
     return ",".join([*ctes, "\nreps AS (SELECT iter, sum(k * nb) AS b, sum(k * na) AS a FROM h0 JOIN pf ON rk = i GROUP BY 1)"])
 
 
-@query("a20_cross_group_permutation_draws", sql_with(STATS, f"""
+def sql_cross_group(seed: str) -> str:
+    return sql_with(STATS, f"""
 , pp AS (SELECT corpus, paper_id, {NB} AS nb, {NA} AS na FROM valid GROUP BY 1, 2),
 k AS (SELECT count(*) AS n1, sum(nb) / sum(na) AS ratio FROM pp WHERE corpus = 'published'),
-{sql_label_permutation("x9", 10_000)}
-SELECT {s4("ratio")} AS ratio, count(*) AS n_iter, {s4("avg(CASE WHEN b / a >= ratio THEN 1.0 ELSE 0.0 END)")} AS p_cross FROM reps, k WHERE a > 0 GROUP BY ratio"""))
+{sql_label_permutation(seed, 10_000)}
+SELECT {s4("ratio")} AS ratio, count(*) AS n_iter, {s4("avg(CASE WHEN b / a >= ratio THEN 1.0 ELSE 0.0 END)")} AS p_cross FROM reps, k WHERE a > 0 GROUP BY ratio""")
+
+
+@query("a20_cross_group_permutation_draws", sql_cross_group("x9"))
 def _(spark, d):
     pp = ca.per_paper(valid(spark, d), ["corpus"], "paper_id")
     out = rs.cross_group_p(pp, F.col("corpus") == "published", n_iter=10_000, seed="x9", uniforms=rs.hash_uniforms)
     return rounded(out, "ratio", "p_cross")
 
 
-@query("a20_cross_group_permutation")
+@query("a20_cross_group_permutation", sql_cross_group("99"))
 def _(spark, d):
     pp = ca.per_paper(valid(spark, d), ["corpus"], "paper_id")
-    return rounded(rs.cross_group_p(pp, F.col("corpus") == "published"), "ratio", "p_cross")
+    return rounded(rs.cross_group_p(pp, F.col("corpus") == "published", seed=99, uniforms=rs.hash_uniforms), "ratio", "p_cross")
 
 
 WINDOWS = {"standard": (1.645, 1.96, 2.275), "narrow": (1.70, 1.96, 2.22), "wide": (1.50, 1.96, 2.42), "tight": (1.66, 1.96, 2.26)}
@@ -563,7 +581,19 @@ def _(spark, d):
     return rounded(ag.audit_summary(raters(spark, d), ["published"], verdict), "agree_rate")
 
 
-@query("a52_false_negative_rate")
+AUDIT = f"""
+, hit AS (SELECT *, lower(abstract) AS t FROM papers),
+pool AS (SELECT * FROM hit WHERE {sql_word_count("abstract")} >= 20 AND NOT ({sql_contains_any("t", [p for p in LOCAL_PHRASES if p not in LOCAL_AMBIGUOUS])}
+  OR ({" + ".join(f"CAST(contains(t, '{p}') AS INT)" for p in LOCAL_AMBIGUOUS)}) >= 2)),
+s AS (SELECT * FROM pool ORDER BY {sql_hash("42", "paper_id")}, paper_id LIMIT 200)"""
+
+
+@query("a52_false_negative_rate", sql_with(PAPERS, AUDIT + f""",
+one AS (SELECT count(direction) AS n, count(*) FILTER (WHERE direction = 1) AS hits, (SELECT count(*) FROM pool) AS pool FROM s),
+b AS (SELECT n, hits, pool, hits / n AS rate, unnest(range(0, n + 1)) AS x FROM one),
+c AS (SELECT *, sum(CASE WHEN rate IN (0, 1) THEN CAST(x = hits AS INT) ELSE exp(lgamma(n + 1.0::DOUBLE) - lgamma(x + 1.0::DOUBLE) - lgamma(n - x + 1.0::DOUBLE) + x * ln(nullif(rate, 0)) + (n - x) * ln(nullif(1 - rate, 0))) END) OVER (ORDER BY x) AS c FROM b),
+q AS (SELECT n, hits, pool, rate, min(x) FILTER (c >= 0.025) / n AS lo, min(x) FILTER (c >= 0.975) / n AS hi FROM c GROUP BY 1, 2, 3, 4)
+SELECT n, hits, pool, {s4("rate")} AS rate, {s4("lo")} AS ci_low, {s4("hi")} AS ci_high, {s4("pool * rate", 1)} AS implied, {s4("pool * lo", 1)} AS implied_low, {s4("pool * hi", 1)} AS implied_high FROM q"""))
 def _(spark, d):
     p = papers(spark, d)
     pool = p.filter(~ru.topic_hit("abstract", LOCAL_PHRASES, LOCAL_AMBIGUOUS) & ru.usable_abstract("abstract"))
@@ -573,9 +603,10 @@ def _(spark, d):
     )
     n, rate = F.col("n").cast("double"), F.col("hits") / F.col("n")
     lo, hi = (st.binomial_ppf(F.lit(q), n, rate) / n for q in (0.025, 0.975))
+    implied = {"implied": rate, "implied_low": lo, "implied_high": hi}
     return one.select(
         "n", "hits", "pool", r4(rate).alias("rate"), r4(lo).alias("ci_low"), r4(hi).alias("ci_high"),
-        r4(F.col("pool") * rate, 1).alias("implied"),
+        *[r4(F.col("pool") * v, 1).alias(name) for name, v in implied.items()],
     )
 
 
@@ -600,6 +631,27 @@ def sql_phrase_count(x, phrases):
     return "(" + " + ".join(f"len(regexp_extract_all(regexp_replace(lower({x}), '[^\\x00-\\x7F\\P{{L}}]', 'x', 'g'), '\\b{p}\\b'))" for p in phrases) + ")"
 
 
+def hedged():
+    """Abstracts with words of the method's lists behind them, by turns."""
+    words = lx.HEDGE_STYLE + lx.HEDGE_NULL
+    turn = F.element_at(F.array(*[F.lit(w) for w in words]), (F.col("paper_id") % len(words) + 1).cast("int"))
+    return F.concat_ws(" ", "title", F.upper(turn), F.repeat(F.concat(turn, F.lit(", ")), (F.col("paper_id") % 4).cast("int")))
+
+
+SQL_HEDGED = f"(SELECT *, concat_ws(' ', title, upper(w), repeat(w || ', ', paper_id % 4)) AS said FROM (SELECT *, ({lx.HEDGE_STYLE + lx.HEDGE_NULL})[paper_id % {len(lx.HEDGE_STYLE + lx.HEDGE_NULL)} + 1] AS w FROM papers) h0) h1"
+
+
+@query("a53_hedge_lists", sql_with(PAPERS, f"""
+, c AS (SELECT published, {sql_word_count("said")} AS n_words, {sql_phrase_count("said", lx.HEDGE_STYLE)} AS s, {sql_phrase_count("said", lx.HEDGE_NULL)} AS u FROM {SQL_HEDGED})
+SELECT published, count(*) AS n, sum(s)::BIGINT AS style, sum(u)::BIGINT AS nulls, {s4("avg(100.0 * s / nullif(n_words, 0))")} AS style_100 FROM c GROUP BY 1"""))
+def _(spark, d):
+    p = papers(spark, d).select("published", hedged().alias("said"))
+    p = p.select("published", tx.word_count("said").alias("w"), ru.phrase_count("said", lx.HEDGE_STYLE).alias("s"), ru.phrase_count("said", lx.HEDGE_NULL).alias("u"))
+    return p.groupBy("published").agg(
+        F.count("*").alias("n"), F.sum("s").cast("long").alias("style"), F.sum("u").cast("long").alias("nulls"), r4(F.avg(100.0 * F.col("s") / F.nullif(F.col("w"), F.lit(0)))).alias("style_100")
+    )
+
+
 @query("a53_hedge_phrases", sql_with(PAPERS, f"""
 , c AS (SELECT published, {sql_word_count("abstract")} AS w, {sql_phrase_count("abstract", STYLE)} AS s, {sql_phrase_count("abstract", NULLS)} AS u FROM papers)
 SELECT published, count(*) AS n, {s4("avg(w)")} AS avg_words, {s4("avg(s)")} AS style, {s4("avg(100.0 * s / nullif(w, 0))")} AS style_100, {s4("avg(u)")} AS nulls, {s4("avg(100.0 * u / nullif(w, 0))")} AS nulls_100 FROM c GROUP BY 1"""))

@@ -122,36 +122,23 @@ def surnames_any_separator(c) -> Column:
     return F.array_distinct(lasts)
 
 
-def programme_surnames(c) -> Column:
-    """At most three surnames from programme author lines, which mix names and affiliations."""
-    s = text_or_empty(c)
-    for pattern, to in (
-        (r"(?i)presented by:.*", ""),
-        (r"(?i)discussant:.*", ""),
-        (r"\([^)]*\)", " "),
-        (r"\s*;\s*", ", "),
-        (r"\s+and\s+", ", "),
-    ):
-        s = F.regexp_replace(s, pattern, to)
-    parts = F.transform(F.split(squeeze(s), ","), lambda p: F.split(F.trim(p), " "))
-    names = F.filter(
-        parts,
-        lambda p: (F.size(p) <= 4) & (p[0] != "") & ~p[0].isin(*lx.AFFILIATION_WORDS),
-    )
-    lasts = F.transform(names, lambda p: F.regexp_replace(F.element_at(p, -1), r"\.+$", ""))
-    good = F.filter(
-        lasts,
-        lambda s: (F.length(s) >= 2)
-        & ~s.isin(*lx.AFFILIATION_WORDS)
-        & ~s.rlike(r"[()]")
-        & ~s.rlike(r"^[IVX\d]+$"),
-    )
-    return F.slice(good, 1, 3)
+def programme_surnames(c, most: int = 3) -> Column:
+    """The first `most` surnames of programme author lines, which mix names and affiliations: the last words of
+    comma-separated parts of up to four words that neither begin nor end with an affiliation word."""
+    line = text_or_empty(c)
+    for pattern, to in lx.PROGRAMME_CLEANUP:
+        line = F.regexp_replace(line, pattern, to)
+    parts = F.transform(F.split(squeeze(line), ","), lambda part: F.split(F.trim(part), " "))
+
+    def surname(words: Column) -> Column:
+        return F.regexp_replace(F.element_at(words, -1), r"\.+$", "")
 
+    def is_name(words: Column) -> Column:
+        last = surname(words)
+        outside = ~words[0].isin(*lx.AFFILIATION_WORDS) & ~last.isin(*lx.AFFILIATION_WORDS)
+        return (F.size(words) <= 4) & (words[0] != "") & outside & (F.length(last) >= 2) & ~last.rlike(r"[()]") & ~last.rlike(lx.ROMAN_OR_NUMBER)
 
-def first_lastname(c) -> Column:
-    head = words(F.split_part(text_or_empty(c), F.lit(","), F.lit(1)))
-    return F.when(F.size(head) > 0, F.element_at(head, -1)).otherwise(F.lit(""))
+    return F.slice(F.transform(F.filter(parts, is_name), surname), 1, most)
 
 
 def mentions_any(names, text) -> Column:
@@ -313,14 +300,13 @@ def bracket_count(c) -> Column:
     return F.regexp_count(text_or_empty(c), F.lit(lx.BRACKET_DECIMAL))
 
 
-def abstract_block(c) -> Column:
-    """Abstract inside document text: up to a section word, else up to the keywords."""
+def abstract_block(c, least: int = 80, most: int | None = None) -> Column:
+    """Abstract inside document text, of `least` to `most` characters: up to a section word, else up to the keywords;
+    without `most` of any length."""
     t = squeeze(c)
-    start = r"(?is)\bAbstract\b[:\s]*(.{80,1500}?)"
-    to_section = start + r"(?:\s+(?:I|1|Introduction|Keywords|JEL|This paper)\b|\z)"
-    to_keywords = start + r"\bKeywords?\b"
-    first = _nonblank(F.regexp_extract(t, to_section, 1))
-    return F.trim(F.coalesce(first, F.regexp_extract(t, to_keywords, 1), F.lit("")))
+    body = lx.ABSTRACT_START + f"(.{{{least},{'' if most is None else most}}}?)"
+    first = _nonblank(F.regexp_extract(t, body + lx.ABSTRACT_SECTION_END, 1))
+    return F.trim(F.coalesce(first, F.regexp_extract(t, body + lx.ABSTRACT_KEYWORD_END, 1), F.lit("")))
 
 
 def chunk_table(df, text_col: str, size: int = 20000, overlap: int = 2000):

@@ -229,6 +229,28 @@ def _(spark, d):
     return papers(spark, d).groupBy("lang").agg(F.count("*").alias("n"), F.count_if(noise).alias("noise"))
 
 
+NOTICES = ["Session Chair: ", "Finance Group", "AFA Lecture ", "Markets in 2008 seen through ", "finance and economics ", "On ", ""]
+
+
+@query("f4_noise_titles", sql_with(PAPERS, f"""
+SELECT regexp_matches(({NOTICES})[paper_id % {len(NOTICES)} + 1] || CASE WHEN paper_id % 2 = 0 THEN title ELSE '' END, '{lx.NOISE_TITLE_PATTERN}') AS noise, count(*) AS n, sum(paper_id)::BIGINT AS ids FROM papers GROUP BY 1"""))
+def _(spark, d):
+    i = F.col("paper_id")
+    notice = F.element_at(F.array(*[F.lit(v) for v in NOTICES]), (i % len(NOTICES) + 1).cast("int"))
+    line = F.concat(notice, F.when(i % 2 == 0, F.col("title")).otherwise(""))
+    return papers(spark, d).groupBy(ru.is_noise_title(line).alias("noise")).agg(F.count("*").alias("n"), F.sum(i).alias("ids"))
+
+
+@query("f5_admin_titles", sql_with(PAPERS, f"""
+SELECT upper(line) = '' OR {sql_contains_any("upper(line)", lx.ADMIN_WORDS)} AS admin, count(*) AS n, sum(paper_id)::BIGINT AS ids FROM (
+  SELECT paper_id, CASE WHEN paper_id % 3 = 0 THEN lower(({lx.ADMIN_WORDS})[paper_id % {len(lx.ADMIN_WORDS)} + 1]) || ' ' || title WHEN paper_id % 7 = 1 THEN '' ELSE title END AS line FROM papers) q GROUP BY 1"""))
+def _(spark, d):
+    i = F.col("paper_id")
+    word = F.lower(F.element_at(F.array(*[F.lit(v) for v in lx.ADMIN_WORDS]), (i % len(lx.ADMIN_WORDS) + 1).cast("int")))
+    line = F.when(i % 3 == 0, F.concat(word, F.lit(" "), F.col("title"))).when(i % 7 == 1, F.lit("")).otherwise(F.col("title"))
+    return papers(spark, d).groupBy(ru.is_admin_title(line, lx.ADMIN_WORDS).alias("admin")).agg(F.count("*").alias("n"), F.sum(i).alias("ids"))
+
+
 @query("f5_admin_and_garbage_titles", sql_with(PAPERS, f"""
 SELECT upper(title) = '' OR {sql_contains_any("upper(title)", ["THE AND", "ENTION"])} AS admin,
   {sql_word_count("title")} < 3 OR starts_with(lower(title), 'discussant') OR starts_with(lower(title), 'session')

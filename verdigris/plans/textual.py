@@ -56,7 +56,18 @@ def _(spark, d):
     return articles(spark, d).select("paper_id", F.array_join(F.array_sort(tx.surnames("authors")), " ").alias("names"))
 
 
-@query("x5_programme_surnames")
+def sql_programme_surnames(x: str) -> str:
+    for pattern, to in lx.PROGRAMME_CLEANUP:
+        x = f"regexp_replace({x}, '{pattern}', '{to}', 'g')"
+    parts = f"list_transform(string_split(trim(regexp_replace({x}, '\\s+', ' ', 'g')), ','), lambda v: string_split(trim(v), ' '))"
+    last = "regexp_replace(w[-1], '\\.+$', '')"
+    ok = f"len(w) <= 4 AND w[1] <> '' AND w[1] NOT IN {sql_in(lx.AFFILIATION_WORDS)} AND {last} NOT IN {sql_in(lx.AFFILIATION_WORDS)} AND length({last}) >= 2 AND NOT regexp_matches({last}, '[()]') AND NOT regexp_matches({last}, '{lx.ROMAN_OR_NUMBER}')"
+    return f"list_transform(list_filter({parts}, lambda w: {ok}), lambda w: {last})[1:3]"
+
+
+@query("x5_programme_surnames", f"""
+SELECT c_custkey, array_to_string({sql_programme_surnames("line")}, '|') AS names FROM (
+  SELECT c_custkey, upper(c_name[1]) || lower(c_name[2:]) || ' Smith, University of X and Ann ' || upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) || ' (Duke); Bo Li; IV' AS line FROM customer) q""")
 def _(spark, d):
     line = F.concat(F.initcap("c_name"), F.lit(" Smith, University of X and Ann "), F.initcap("c_mktsegment"), F.lit(" (Duke); Bo Li; IV"))
     return table(spark, d, "customer").select("c_custkey", F.array_join(tx.programme_surnames(line), "|").alias("names"))
@@ -235,7 +246,8 @@ def _(spark, d):
     return stats(spark, d).select("event_id", r4(ru.quoted_statistic(t)).alias("stat"))
 
 
-@query("x17_quoted_p_values")
+@query("x17_quoted_p_values", sql_with(STATS, f"""
+SELECT CAST({P_QUANTILES} AS DOUBLE) AS stat, count(*) AS n FROM (SELECT CAST('0.0' || (k % 9 + 1) AS DOUBLE) AS p FROM stats) q GROUP BY 1"""))
 def _(spark, d):
     t = F.concat(F.lit("with p < 0.0"), (F.col("k") % 9 + 1).cast("string"))
     return stats(spark, d).groupBy(r4(ru.quoted_statistic(t)).alias("stat")).agg(F.count("*").alias("n"))
@@ -329,11 +341,22 @@ def _(spark, d):
     return docs.select("doc_id", tx.bracket_count(page_text()).cast("bigint").alias("n")).filter("n >= 10")
 
 
-@query("x23_abstract_block")
+ABSTRACT_TEXT = "trim(regexp_replace('A title Abstract: ' || text || CASE doc_id % 3 WHEN 0 THEN ' Keywords: x' WHEN 1 THEN ' Introduction We' ELSE '' END, '\\s+', ' ', 'g'))"
+# the other engine tells word borders by ASCII letters alone, so letters beyond them become x on both sides
+ASCII_ONLY = r"[^\x00-\x7F]"
+
+
+@query("x23_abstract_block", f"""
+WITH t AS (SELECT doc_id, regexp_replace({ABSTRACT_TEXT}, '{ASCII_ONLY}', 'x', 'g') AS t FROM documents),
+m AS (SELECT doc_id, regexp_extract(t, '{lx.ABSTRACT_START}(.{{80,}}?){lx.ABSTRACT_SECTION_END}', 1) AS a, regexp_extract(t, '{lx.ABSTRACT_START}(.{{80,}}?){lx.ABSTRACT_KEYWORD_END}', 1) AS b FROM t)
+SELECT doc_id, length(CASE WHEN trim(a) <> '' THEN trim(a) ELSE trim(b) END) AS n, md5(CASE WHEN trim(a) <> '' THEN trim(a) ELSE trim(b) END) AS h FROM m""")
 def _(spark, d):
-    t = F.concat(F.lit("A title Abstract: "), F.col("text"), F.lit(" Keywords: x"))
     docs = table(spark, d, "documents")
-    return docs.select("doc_id", F.md5(tx.abstract_block(t)).alias("h"))
+    turn = F.col("doc_id") % 3
+    tail = F.when(turn == 0, " Keywords: x").when(turn == 1, " Introduction We").otherwise("")
+    t = F.regexp_replace(tx.squeeze(F.concat(F.lit("A title Abstract: "), F.col("text"), tail)), ASCII_ONLY, "x")
+    found = docs.select("doc_id", tx.abstract_block(t).alias("t"))
+    return found.select("doc_id", F.length("t").cast("long").alias("n"), F.md5("t").alias("h"))
 
 
 INSTITUTIONS = ["nation_1", "nation_7", "brand#2", "insead"]

@@ -33,16 +33,14 @@ def _(spark, d):
 SELECT paper_id, 'Paper ' || paper_id AS paper_title, 2000 + paper_id % 25 AS year, count(*) AS n, {s4("sum(z)", 2)} AS total, count(*) FILTER (WHERE stars = '') AS blank
 FROM (SELECT paper_id, z, CASE WHEN k % 2 = 0 THEN stars ELSE '' END AS stars FROM stats) q GROUP BY 1"""))
 def _(spark, d):
-    # one JSON document per paper, named by the paper; objects leave out title and year
-    s = stats(spark, d)
-    obj = F.struct(F.col("tbl").alias("table"), "variable", F.col("z").alias("z_abs"), F.when(F.col("k") % 2 == 0, F.col("stars")).otherwise("None").alias("stars"))
+    # objects leave out title and year
+    s = stats(spark, d).select("paper_id", F.col("tbl").alias("table"), "variable", F.col("z").alias("z_abs"), F.when(F.col("k") % 2 == 0, F.col("stars")).otherwise("None").alias("stars"))
     path = scratch_path(spark, "json")
-    s.select("paper_id", F.to_json(obj).alias("value")).repartition("paper_id").write.partitionBy("paper_id").text(path)
+    ta.write_statistics_json(s, path, "paper_id")
     p = s.select("paper_id").distinct().select(
         "paper_id", F.concat(F.lit("Paper "), F.col("paper_id").cast("string")).alias("paper_title"), (F.lit(2000) + F.col("paper_id") % 25).cast("int").alias("year")
     )
-    raw = spark.read.schema(ta.SCHEMAS["tstats"]).json(path).withColumn("paper_id", F.regexp_extract(F.input_file_name(), r"paper_id=(\d+)", 1).cast("bigint"))
-    full = raw.drop("paper_title", "year").join(p, "paper_id", "left").withColumn("stars", ta.blank_words(F.col("stars")))
+    full = ta.read_statistics_json(spark, path, p, "paper_id", "bigint")
     return full.groupBy("paper_id", "paper_title", "year").agg(
         F.count("*").alias("n"), r4(F.sum("z_abs"), 2).alias("total"), F.count_if(F.col("stars") == "").alias("blank")
     )
@@ -217,8 +215,10 @@ def _(spark, d):
 def _(spark, d):
     path = scratch_path(spark, "texts")
     docs = table(spark, d, "documents")
-    # every document under its own key; a separator keeps the documents of one file apart
+    # a mark ends every document of a file
     docs.select("lang", F.concat("text", F.lit("\u0001")).alias("value")).write.partitionBy("lang").text(path)
-    files = spark.read.text(path, wholetext=True)
-    texts = files.select("lang", F.explode(F.split("value", "\u0001\n?")).alias("text")).filter("text <> ''")
-    return texts.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+    pieces = ta.read_text_pieces(spark, path, 20_000)
+    marks = F.regexp_count("text", F.lit("\u0001"))
+    lang = F.regexp_extract("file", "lang=([^/]+)/", 1)
+    # a mark and a line feed follow each text
+    return pieces.groupBy(lang.alias("lang")).agg(F.sum(marks).cast("long").alias("n"), (F.sum(F.length("text")) - 2 * F.sum(marks)).cast("long").alias("chars"))

@@ -86,22 +86,35 @@ def read_export_csv(spark: SparkSession, path: str, journal: str, years: tuple[i
     return df.filter(F.col("year").between(*years))
 
 
-def read_statistics_json(spark: SparkSession, path: str, papers: DataFrame, key: str) -> DataFrame:
-    """One JSON array per paper, named by its id; fields missing in an object come from the paper."""
-    raw = (
-        spark.read.schema(SCHEMAS["tstats"])
-        .json(path, multiLine=True)
-        .withColumn(key, F.regexp_extract(F.input_file_name(), r"([^/]+)\.json$", 1))
-    )
-    defaults = ["paper_title", "journal", "year", "direction", "positive", "negative"]
-    known = papers.select(
-        key, *[F.col(c).alias("__p_" + c) for c in defaults if c in papers.columns]
-    )
-    out = raw.join(known, key, "left")
-    for c in defaults:
-        if "__p_" + c in out.columns:
-            out = out.withColumn(c, F.coalesce(F.col(c), F.col("__p_" + c))).drop("__p_" + c)
-    return out.withColumn("stars", blank_words(F.col("stars")))
+def write_statistics_json(df: DataFrame, path: str, key: str, most: int = 500) -> None:
+    """Statistics as JSON lines {key, items}: many papers to a file, a paper of many statistics on several lines of
+    about `most` each, so that neither a line nor a group grows with a paper."""
+    fields = [c for c in df.columns if c != key]
+    sizes = df.groupBy(key).agg(F.ceil(F.count("*") / most).alias("__parts"))
+    dealt = df.join(sizes, key).withColumn("__part", F.pmod(F.xxhash64(*fields), F.col("__parts")))
+    lines = dealt.groupBy(key, "__part").agg(F.collect_list(F.struct(*fields)).alias("items"))
+    lines.select(F.to_json(F.struct(key, "items")).alias("value")).write.text(path)
+
+
+def read_statistics_json(spark: SparkSession, path: str, papers: DataFrame, key: str, key_type: str = "string") -> DataFrame:
+    """One row per statistic of the lines that write_statistics_json leaves; fields missing in an object come from
+    the paper."""
+    inside = ", ".join(f"{c.strip().replace(' ', ':', 1)}" for c in SCHEMAS["tstats"].split(","))
+    lines = spark.read.schema(f"{key} {key_type}, items array<struct<{inside}>>").json(path)
+    return with_paper_defaults(lines.select(key, F.inline("items")), papers, key)
+
+
+def read_landed_statistics(spark: SparkSession, path: str, papers: DataFrame, key: str) -> DataFrame:
+    """The same from one JSON array per paper, in a file named by its id, as extraction leaves them."""
+    raw = spark.read.schema(SCHEMAS["tstats"]).json(path, multiLine=True)
+    return with_paper_defaults(raw.withColumn(key, F.regexp_extract(F.input_file_name(), r"([^/]+)\.json$", 1)), papers, key)
+
+
+def with_paper_defaults(raw: DataFrame, papers: DataFrame, key: str) -> DataFrame:
+    known = [c for c in ("paper_title", "journal", "year", "direction", "positive", "negative") if c in papers.columns]
+    out = raw.join(papers.select(key, *[F.col(c).alias("__p_" + c) for c in known]), key, "left")
+    filled = {c: F.coalesce(F.col(c), F.col("__p_" + c)) for c in known}
+    return out.withColumns(filled | {"stars": blank_words(F.col("stars"))}).drop(*["__p_" + c for c in known])
 
 
 def blank_words(c):
@@ -109,12 +122,22 @@ def blank_words(c):
     return F.when(c.isNull() | c.isin("None", "nan"), F.lit("")).otherwise(c)
 
 
-def read_whole_texts(spark: SparkSession, path: str) -> DataFrame:
-    """(doc, text) with one row per file."""
-    return spark.read.text(path, wholetext=True).select(
-        F.regexp_extract(F.input_file_name(), r"([^/]+)\.[^./]+$", 1).alias("doc"),
-        F.col("value").alias("text"),
+def read_text_pieces(spark: SparkSession, path: str, size: int = 1_000_000) -> DataFrame:
+    """(file, piece, text): text files in pieces of at most about 2 * size characters, numbered from 0 in file order.
+
+    Every line keeps its line feed, and a line longer than `size` is cut, so the pieces of a file joined are the file.
+    Lines are read by splits; within a split their order is the order of reading, and splits are ordered by where
+    they begin, so no task holds a whole file."""
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"), F.concat("value", F.lit("\n")).alias("value")
     )
+    starts = F.sequence(F.lit(0), F.floor((F.length("value") - 1) / size).cast("int"))
+    bits = lines.select("file", "block", "line", F.posexplode(F.transform(starts, lambda i: F.substring(F.col("value"), i * size + 1, F.lit(size)))).alias("bit", "value"))
+    upto = Window.partitionBy("file", "block").orderBy("line", "bit").rowsBetween(Window.unboundedPreceding, -1)
+    placed = bits.withColumn("part", F.floor(F.coalesce(F.sum(F.length("value")).over(upto), F.lit(0)) / size))
+    joined = placed.groupBy("file", "block", "part").agg(F.sort_array(F.collect_list(F.struct("line", "bit", "value"))).alias("bits"))
+    numbered = joined.withColumn("piece", F.row_number().over(Window.partitionBy("file").orderBy("block", "part")) - 1)
+    return numbered.select("file", "piece", F.array_join(F.transform("bits", lambda x: x["value"]), "").alias("text"))
 
 
 def union_sources(sources: list[tuple[str, DataFrame | None, dict[str, str]]]) -> DataFrame:

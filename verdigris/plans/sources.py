@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from verdigris.functions import lexicon as lx
 from verdigris.functions import rules as ru
 from verdigris.functions import text as tx
 from verdigris.operators.windows import best
@@ -151,14 +152,58 @@ def _(spark, d):
     return pg.heading_layout(_as_programme(spark, d), "page_id", "new_html", ["h5"], "h6").select("page_id", "session", "title")
 
 
-@query("s14_dashed_layout")
+# ---------------------------------------------------------------- the same layouts in SQL
+def sql_stream(src: str, out: str, tags: list[str]) -> str:
+    """CTE out(page_id, i, tag, text): the block tags of src(page_id, html) in page order, by splitting at marks."""
+    plain = "html"
+    for pattern in (r"(?is)<script\b.*?</script\s*>", r"(?is)<style\b.*?</style\s*>", r"(?s)<!--.*?-->"):
+        plain = f"regexp_replace({plain}, '{pattern}', ' ', 'g')"
+    cut = f"regexp_replace({plain}, '(?i)<(/?(?:{'|'.join(tags)}|article|footer|div|body))\\b[^>]*>', chr(1) || '\\1' || chr(2), 'g')"
+    return f"""
+{out}_p AS (SELECT page_id, unnest(string_split({cut}, chr(1))) AS part, generate_subscripts(string_split({cut}, chr(1)), 1) AS i FROM {src}),
+{out} AS (SELECT page_id, i, tag, {sql_strip_page("raw")} AS text FROM (SELECT page_id, i, lower(split_part(part, chr(2), 1)) AS tag, split_part(part, chr(2), 2) AS raw FROM {out}_p WHERE i > 1) q WHERE tag IN {sql_in(tags)})"""
+
+
+#: Letters beyond ASCII as x, so that word borders are the same in both engines.
+PLAIN_LETTERS = "regexp_replace({}, '[^\\x00-\\x7F\\P{{L}}]', 'x', 'g')"
+SQL_SKIPPED = "(" + " OR ".join(f"starts_with(lower(trim(text)), '{v}')" for v in lx.SKIP_LINE_PREFIXES) + ")"
+
+
+def sql_dashed(src: str, out: str, dash: str) -> str:
+    return f"""{sql_stream(src, out + "_s", ["h1", "p"])},
+{out}_t AS (SELECT page_id, i, tag, text, coalesce(last_value(CASE WHEN tag = 'h1' THEN text END IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY i), '') AS session, string_split_regex(text, '{dash}') AS parts FROM {out}_s WHERE text <> ''),
+{out}_u AS (SELECT page_id, session, trim(parts[-1]) AS title, array_to_string(parts[1 : len(parts) - 1], ' – ') AS authors FROM {out}_t WHERE tag = 'p' AND len(parts) > 1 AND NOT {SQL_SKIPPED}),
+{out} AS (SELECT * FROM {out}_u WHERE {sql_word_count("title")} >= 2 AND NOT regexp_matches({PLAIN_LETTERS.format("title")}, '{lx.INSTITUTION_PATTERN}') AND length(title) > 8)"""
+
+
+def sql_paragraphs(src: str, out: str, institution: str) -> str:
+    return f"""{sql_stream(src, out + "_s", ["p"])},
+{out}_h AS (SELECT *, lead(text) OVER (PARTITION BY page_id ORDER BY i) AS next, regexp_matches(text, '(?i)^(session\\s*:|01/|0[1-9]/|\\d{{1,2}}/\\d{{1,2}}/20)') AS head FROM {out}_s),
+{out}_c AS (SELECT *, coalesce(text <> '' AND NOT {SQL_SKIPPED} AND NOT head AND {sql_word_count("text")} >= 3 AND regexp_matches({PLAIN_LETTERS.format("coalesce(next, '')")}, '{institution}'), false) AS can FROM {out}_h),
+{out}_b AS (SELECT *, sum(CASE WHEN can THEN 0 ELSE 1 END) OVER w AS brk, coalesce(last_value(CASE WHEN head THEN text END IGNORE NULLS) OVER w, '') AS session FROM {out}_c WINDOW w AS (PARTITION BY page_id ORDER BY i)),
+{out}_k AS (SELECT *, sum(CAST(can AS INT)) OVER (PARTITION BY page_id, brk ORDER BY i) AS k FROM {out}_b),
+{out} AS (SELECT page_id, session, text AS title, next AS authors FROM {out}_k WHERE can AND k % 2 = 1 AND length(text) > 8)"""
+
+
+def sql_headings(src: str, out: str, head: str, title: str) -> str:
+    """Pages with one title heading behind one session heading."""
+    return f"""{sql_stream(src, out + "_s", [head, title, "p"])},
+{out}_t AS (SELECT page_id, i, text AS title, coalesce((SELECT arg_max(h.text, h.i) FROM {out}_s h WHERE h.page_id = t.page_id AND h.tag = '{head}' AND h.text <> '' AND h.i < t.i), '') AS session FROM {out}_s t WHERE tag = '{title}' AND length(text) >= 5),
+{out}_a AS (SELECT t.page_id, t.i, arg_min(p.text, p.i) AS text FROM {out}_t t JOIN {out}_s p ON p.page_id = t.page_id AND p.i > t.i AND p.tag = 'p' AND p.text <> '' GROUP BY 1, 2),
+{out} AS (SELECT page_id, session, title, CASE WHEN text IS NULL OR {SQL_SKIPPED} THEN '' ELSE text END AS authors FROM {out}_t LEFT JOIN {out}_a USING (page_id, i))"""
+
+
+LINE_WORDS = r"(?i)\b(the|que|und)\b"
+
+
+@query("s14_dashed_layout", sql_with(sql_dashed("pages", "d", r"\s*[–—,]\s*"), "SELECT page_id, session, title, authors FROM d"))
 def _(spark, d):
     return pg.dashed_layout(table(spark, d, "pages"), "page_id", "html", ["h1"], dash=r"\s*[–—,]\s*").select("page_id", "session", "title", "authors")
 
 
-@query("s15_paragraph_layout")
+@query("s15_paragraph_layout", sql_with(sql_paragraphs("pages", "d", LINE_WORDS), "SELECT page_id, session, title, authors FROM d"))
 def _(spark, d):
-    line = lambda c: ru.looks_like_institution(c, r"(?i)\b(the|que|und)\b")
+    line = lambda c: ru.looks_like_institution(c, LINE_WORDS)
     return pg.paragraph_layout(table(spark, d, "pages"), "page_id", "html", institution=line).select("page_id", "session", "title", "authors")
 
 
@@ -200,11 +245,20 @@ def _(spark, d):
     return pg.session_page_layout(p, "page_id", "html").select("page_id", "title", "abstract")
 
 
-@query("s17_layout_by_year")
+@query("s17_layout_by_year", sql_with(f"""
+pr AS (SELECT page_id, CAST(2006 + page_id % 19 AS INT) AS year, html, replace(replace(html, '<h1>', '<h5>Morning session</h5><h6>'), '</h1>', '</h6>') AS new_html FROM pages),
+y1 AS (SELECT page_id, html FROM pr WHERE year <= 2012), y2 AS (SELECT page_id, html FROM pr WHERE year BETWEEN 2013 AND 2016),
+y3 AS (SELECT page_id, html FROM pr WHERE year BETWEEN 2017 AND 2023), y4 AS (SELECT page_id, new_html AS html FROM pr WHERE year >= 2024),
+""" + sql_dashed("y1", "d", r"\s*[–—]\s*") + ", y5 AS (SELECT * FROM y1 WHERE page_id NOT IN (SELECT page_id FROM d)), " + sql_paragraphs("y5", "f", LINE_WORDS) + ", "
+    + sql_paragraphs("y2", "g", LINE_WORDS) + ", " + sql_headings("y3", "h", "title", "h1") + ", " + sql_headings("y4", "k", "h5", "h6") + """,
+u AS (SELECT * FROM d UNION ALL SELECT * FROM f UNION ALL SELECT * FROM g UNION ALL SELECT * FROM h UNION ALL SELECT * FROM k),
+v AS (SELECT page_id, year, session, title, authors, regexp_replace(lower(title), '[^a-z0-9]', '', 'g') AS slug FROM u JOIN pr USING (page_id))
+SELECT 'afa_' || year || '_' || substr(slug, 1, 40) AS paper_id, year, session, title, authors FROM v
+QUALIFY row_number() OVER (PARTITION BY year, slug ORDER BY page_id, session, title, authors) = 1"""))
 def _(spark, d):
     p = _as_programme(spark, d)
     dashed = lambda x: pg.dashed_layout(x, "page_id", "html", ["h1"])
-    paired = lambda x: pg.paragraph_layout(x, "page_id", "html", institution=lambda c: ru.looks_like_institution(c, r"(?i)\b(the|que|und)\b"))
+    paired = lambda x: pg.paragraph_layout(x, "page_id", "html", institution=lambda c: ru.looks_like_institution(c, LINE_WORDS))
     heads = lambda x: pg.heading_layout(x, "page_id", "html", ["title"], "h1")
     subs = lambda x: pg.heading_layout(x, "page_id", "new_html", ["h5"], "h6")
     rows = pg.by_year(p, "page_id", "year", [(2006, 2012, dashed, paired), (2013, 2016, paired, None), (2017, 2023, heads, None), (2024, 2099, subs, None)])

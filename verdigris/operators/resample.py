@@ -235,7 +235,7 @@ def histogram(df: DataFrame, by: list, z: str, low: float, high: float, width: f
     )
 
 
-def excess_mass(hist: DataFrame, low: float, high: float, width: float, fit: tuple, test: tuple, n_boot: int = 2000, seed: int = 42) -> DataFrame:
+def excess_mass(hist: DataFrame, low: float, high: float, width: float, fit: tuple, test: tuple, n_boot: int = 2000, seed=42, uniforms=drawn_uniforms) -> DataFrame:
     """Rows in the test range beyond a cubic fitted left of it, with a residual-bootstrap error.
 
     hist(bin, n) has at most a few hundred bins. The bins travel as one array; the replicates are
@@ -261,9 +261,9 @@ def excess_mass(hist: DataFrame, low: float, high: float, width: float, fit: tup
                 beta = np.linalg.lstsq(design, y[fit_mask], rcond=None)[0]
                 base = design @ beta
                 resid = y[fit_mask] - base
-                rng = np.random.default_rng([seed, int(block)])
-                size = min(BLOCK, n_boot - int(block) * BLOCK)
-                shaken = base + rng.choice(resid, (size, len(resid)))
+                iters = int(block) * BLOCK + np.arange(min(BLOCK, n_boot - int(block) * BLOCK))
+                picks = np.stack([(uniforms(seed, (j,), iters) * len(resid)).astype(int) for j in range(len(resid))], axis=1)
+                shaken = base + resid[picks]
                 betas = np.linalg.lstsq(design, shaken.T, rcond=None)[0]
                 actual = y[test_mask].sum()
                 yield pd.DataFrame(

@@ -467,10 +467,34 @@ def _(spark, d):
     return rs.histogram(stats(spark, d), ["subset"], "z", 0.0, 6.0, 0.2)
 
 
-@query("a27_excess_mass")
+def sql_cubic(rows: str) -> str:
+    """CTE solved(b0..b3, z0..z3): least-squares cubic of y over the fitted bins of `rows`, and the weights by which
+    fitted values add up over the tested ones, by Gauss-Jordan elimination with two right-hand sides."""
+    cols = [f"sum(pow(x, {i + j})) FILTER (fitted) AS m{i}_{j}" for i in range(4) for j in range(4)]
+    cols += [f"sum(pow(x, {i}) * y) FILTER (fitted) AS m{i}_4, sum(pow(x, {i})) FILTER (tested) AS m{i}_5" for i in range(4)]
+    ctes = [f"e0 AS (SELECT {', '.join(cols)} FROM {rows})"]
+    for t in range(4):
+        step = [f"m{t}_{j} / m{t}_{t} AS m{i}_{j}" if i == t else f"m{i}_{j} - m{i}_{t} * m{t}_{j} / m{t}_{t} AS m{i}_{j}" for i in range(4) for j in range(6)]
+        ctes.append(f"e{t + 1} AS (SELECT {', '.join(step)} FROM e{t})")
+    return ",\n".join([*ctes, "solved AS (SELECT " + ", ".join(f"m{i}_4 AS b{i}, m{i}_5 AS z{i}" for i in range(4)) + " FROM e4)"])
+
+
+@query("a27_excess_mass", sql_with(STATS, f"""
+, h AS (SELECT least(CAST(floor((z - 0.5) / 0.05 + 1e-9) AS INT), 69) AS bin, count(*) AS n FROM stats WHERE z BETWEEN 0.5 AND 4.0 GROUP BY 1),
+g AS (SELECT bin, coalesce(n, 0)::DOUBLE AS y, 0.5::DOUBLE + 0.05::DOUBLE * (bin + 0.5::DOUBLE) AS c FROM (SELECT CAST(b AS INT) AS bin FROM range(70) t(b)) q LEFT JOIN h USING (bin)),
+f AS (SELECT *, (c - 1.48::DOUBLE) / 0.3::DOUBLE AS x, c >= 1.0 AND c < 1.96 AS fitted, c >= 1.96 AND c <= 2.576 AS tested FROM g),
+{sql_cubic("f")},
+r AS (SELECT row_number() OVER (ORDER BY bin) - 1 AS j, base, y - base AS resid, w, count(*) OVER () AS k FROM (
+  SELECT bin, y, b0 + b1 * x + b2 * x * x + b3 * x * x * x AS base, z0 + z1 * x + z2 * x * x + z3 * x * x * x AS w FROM f, solved WHERE fitted) q),
+s AS (SELECT (SELECT sum(y) FROM f WHERE tested) AS actual, (SELECT sum(b0 + b1 * x + b2 * x * x + b3 * x * x * x) FROM f, solved WHERE tested) AS counterfactual),
+d AS (SELECT iter, j, base, w, CAST(floor({sql_hash("42", "iter", "j")} / 4294967296.0::DOUBLE * k) AS BIGINT) AS pick FROM r, range(2000) t(iter)),
+b AS (SELECT iter, sum(d.w * (d.base + r.resid)) AS total FROM d JOIN r ON r.j = d.pick GROUP BY 1),
+o AS (SELECT actual, counterfactual, stddev_pop(actual - total) AS se, count(*) AS n_boot, actual - counterfactual AS excess FROM b, s GROUP BY 1, 2),
+q AS (SELECT *, excess / se AS t FROM o)
+SELECT actual, {s4("counterfactual", 3)} AS counterfactual, {s4("se", 3)} AS se, n_boot, {s4("excess", 3)} AS excess, {s4("t", 3)} AS t, {s4("2 * " + sql_ncdf("(-abs(t))"), 3)} AS p FROM q"""))
 def _(spark, d):
     h = rs.histogram(stats(spark, d), [], "z", 0.5, 4.0, 0.05)
-    out = rs.excess_mass(h, 0.5, 4.0, 0.05, (1.0, 1.96), (1.96, 2.576))
+    out = rs.excess_mass(h, 0.5, 4.0, 0.05, (1.0, 1.96), (1.96, 2.576), uniforms=rs.hash_uniforms)
     t = F.col("excess") / F.col("se")
     return rounded(out.withColumn("t", t).withColumn("p", st.two_sided_p(t)), "counterfactual", "se", "excess", "t", "p", digits=3)
 

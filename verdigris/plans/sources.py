@@ -213,7 +213,6 @@ SELECT page_id, 'Session: morning' AS session, title, 'A. Author; Univ' AS autho
 WHERE {sql_word_count("title")} >= 3 AND NOT regexp_matches(lower(title), '^(discussant|session|president|location:)')""")
 def _(spark, d):
     html = F.regexp_replace(F.regexp_replace("html", "<h1>", "<p><strong>Session: morning</strong></p><p><i>"), "</h1>", "</i>, A. Author; Univ</p>")
-    html = F.regexp_replace(html, "(?s)</i>, A. Author; Univ</p>.*", "</i>, A. Author; Univ</p>")
     p = table(spark, d, "pages").select("page_id", html.alias("html"))
     # session lines start with "Session:", so only the tag decides here
     return pg.inline_title_layout(p, "page_id", "html", "i").select("page_id", "session", "title", "authors")
@@ -234,12 +233,12 @@ def _(spark, d):
     return pg.session_filtered_layout(p, "page_id", "html", "Finance Association").select("page_id", "session", "title", "authors")
 
 
-@query("s16_session_page_layout", """
-SELECT page_id, 'Talk ' || page_id AS title, 'What we do & find' AS abstract FROM pages""")
+@query("s16_session_page_layout", f"""
+SELECT page_id, 'Talk ' || page_id AS title, trim('What we do & find ' || {sql_strip_page("regexp_extract(html, '(?is)<title>(.*?)<', 1)")}) AS abstract FROM pages""")
 def _(spark, d):
     block = F.concat(
         F.lit('<article class="paper"><h3 class="paper-title">Talk '), F.col("page_id").cast("string"),
-        F.lit('</h3><section class="abstract"><h4>Abstract</h4><p>What we do &amp; find</p></section></article>'), F.regexp_replace("html", "</?article>", " "),
+        F.lit('</h3><section class="abstract"><h4>Abstract</h4><p>What we do &amp; find '), F.regexp_extract("html", "(?is)<title>(.*?)<", 1), F.lit("</p></section></article>"), F.regexp_replace("html", "</?article>", " "),
     )
     p = table(spark, d, "pages").select("page_id", block.alias("html"))
     return pg.session_page_layout(p, "page_id", "html").select("page_id", "title", "abstract")

@@ -260,7 +260,7 @@ def reply_text():
         F.struct(
             (F.length("text") % 3 - 1).alias("direction"),
             F.when(F.col("turn") % 2 == 0, "high").otherwise("low").alias("confidence"),
-            F.substring("text", 1, 40).alias("rationale"),
+            F.col("text").alias("rationale"),
         )
     )
     return (
@@ -273,12 +273,15 @@ def reply_text():
 
 @query("x18_parse_replies", """
 SELECT conv_id, turn, CASE WHEN conv_id % 4 = 3 THEN 0 ELSE length(text) % 3 - 1 END AS direction,
-  CASE WHEN conv_id % 4 = 3 THEN 'low' WHEN turn % 2 = 0 THEN 'high' ELSE 'low' END AS confidence FROM conversations""")
+  CASE WHEN conv_id % 4 = 3 THEN 'low' WHEN turn % 2 = 0 THEN 'high' ELSE 'low' END AS confidence, CASE WHEN conv_id % 4 <> 3 THEN md5(text) END AS rationale FROM conversations""")
 def _(spark, d):
-    default = F.struct(F.lit(0).alias("direction"), F.lit("low").alias("confidence"))
+    default = F.struct(F.lit(0).alias("direction"), F.lit("low").alias("confidence"), F.lit(None).cast("string").alias("rationale"))
     return table(spark, d, "conversations").select(
-        "conv_id", "turn", rp.parse_reply(reply_text(), "struct<direction:int,confidence:string>", default).alias("r")
-    ).select("conv_id", "turn", F.col("r.direction").alias("direction"), rp.checked_label(F.col("r.confidence"), ["high", "medium", "low"]).alias("confidence"))
+        "conv_id", "turn", rp.parse_reply(reply_text(), "struct<direction:int,confidence:string,rationale:string>", default).alias("r")
+    ).select(
+        "conv_id", "turn", F.col("r.direction").alias("direction"), rp.checked_label(F.col("r.confidence"), ["high", "medium", "low"]).alias("confidence"),
+        F.md5("r.rationale").alias("rationale"),
+    )
 
 
 @query("x18_checked_labels", """

@@ -19,6 +19,7 @@ from verdigris.plans.models import _sql_direction
 from verdigris.plans.projections import LOCAL_NEGATIVE, LOCAL_NULL, LOCAL_POSITIVE
 from verdigris.plans.registry import query
 from verdigris.plans.textual import _sql_title_direction
+from verdigris.session import cut_lineage
 
 BOTH = ARTICLES + "," + DRAFTS
 KEYS = BOTH + f""",
@@ -425,7 +426,7 @@ def _(spark, d):
     keys = article_keys(spark, d)
     fuzzy = rounded(si.fuzzy_best(keys, draft_keys(spark, d), 75.0), "score").filter("match_id is not null")
     found = [fuzzy.select(F.col("id").alias("paper_id"), F.col("match_id").alias("wp"), "score", "quality", F.lit("fuzzy").alias("source"))]
-    links = location_links(spark, d)
+    links = cut_lineage(location_links(spark, d))
     for shape in CASCADE_SHAPES:
         found.append(links.filter(F.col("shape") == shape).select("paper_id", "wp", F.lit(0.0).alias("score"), F.lit("api").alias("quality"), F.col("shape").alias("source")))
     first = up.first_source_wins(found, "paper_id", [F.col("wp")]).drop("priority")

@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from verdigris.operators.regress import propensity
 from verdigris.operators.windows import best, hash_number, hashed_rank, range_rank, running_totals
 from verdigris.session import cut_lineage
 
@@ -140,6 +141,15 @@ def propensity_pairs(df: DataFrame, treat: str, x: str, id_col: str, scores: Dat
     return df.filter(F.col(treat)).unionByName(matched)
 
 
+def propensity_matched(df: DataFrame, treat: str, x: str, id_col: str, seed=42) -> DataFrame:
+    """propensity_pairs with scores fitted on df itself.
+
+    df is written out once: a covariate made from floating sums may differ in its last digit from one reading to the
+    next, as parts of a sum arrive in any order, and would then miss its own score."""
+    fixed = cut_lineage(df)
+    return propensity_pairs(fixed, treat, x, id_col, propensity(fixed, treat, x), seed)
+
+
 def two_sample_t(df: DataFrame, group: Column, y: str) -> DataFrame:
     """Equal-variance t statistic of the true group against the rest, from moments in one pass."""
     d = df.select(group.alias("g"), F.col(y).cast("double").alias("y"))

@@ -474,8 +474,7 @@ def _(spark, d):
     df = p.select(
         "paper_id", "positive", F.col("published").cast("int").alias("pub"), ((F.col("year") - mean) / sd).alias("year_norm")
     )
-    scores = re_.propensity(df, "positive", "year_norm")
-    matched = ma.propensity_pairs(df, "positive", "year_norm", "paper_id", scores)
+    matched = ma.propensity_matched(df, "positive", "year_norm", "paper_id")
     t = ma.two_sample_t(matched, F.col("positive"), "pub")
     out = t.select("n1", "n0", "mean1", "mean0", (F.col("mean1") - F.col("mean0")).alias("difference"), "t", st.t_p("t", "df").alias("p"))
     return rounded(out, "mean1", "mean0", "difference", "t", "p")

@@ -24,3 +24,9 @@ def test_propensity_pairs_survive_covariates_that_waver(spark):
     df = spark.range(120).select("id", (F.col("id") % 3 == 0).alias("treat"), wavering((F.col("id") % 7).cast("double")).alias("x"))
     counts = {r.treat: r["count"] for r in ma.propensity_matched(df, "treat", "x", "id").groupBy("treat").count().collect()}
     assert counts == {True: 40, False: 40}
+
+
+def test_inverted_index_moves_no_rows(spark, con):
+    df = QUERIES["x13_inverted_index"](spark, "/root/testdata/sf0.001")
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    assert compare(df, con, ORACLES["x13_inverted_index"]) is None

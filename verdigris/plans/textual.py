@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from verdigris.functions import lexicon as lx
+from verdigris.functions import postings as ix
 from verdigris.functions import replies as rp
 from verdigris.functions import rules as ru
 from verdigris.functions import scoring as sc
@@ -165,12 +166,9 @@ def _(spark, d):
 
 @query("x13_inverted_index", f"SELECT doc_id, md5(array_to_string(list_filter({sql_words('text')}, lambda w: w <> ''), ' ')) AS h FROM documents")
 def _(spark, d):
-    w = table(spark, d, "documents").select("doc_id", F.posexplode(tx.words("text")).alias("pos", "word"))
-    # word -> positions, then back; both sides of a document stay inside its own group
-    per_word = w.groupBy("doc_id", "word").agg(F.collect_list("pos").alias("positions"))
-    index = per_word.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "positions"))).alias("index"))
-    docs = table(spark, d, "documents").select("doc_id")
-    return docs.join(index, "doc_id", "left").select("doc_id", F.md5(tx.inverted_index_text("index")).alias("h"))
+    # word -> positions, then back; an index belongs to one document, so no row leaves its task
+    index = table(spark, d, "documents").select("doc_id", ix.word_positions(tx.words("text")).alias("index"))
+    return index.select("doc_id", F.md5(tx.inverted_index_text("index")).alias("h"))
 
 
 AUTHORSHIPS = "array<struct<author:struct<display_name:string>,institutions:array<struct<display_name:string>>,raw_affiliation_string:string>>"

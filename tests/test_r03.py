@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from oracle_check import compare, connect
 from verdigris.operators import matching as ma
+from verdigris.operators import similarity as si
 from verdigris.plans import ORACLES, QUERIES
 
 
@@ -30,3 +31,26 @@ def test_inverted_index_moves_no_rows(spark, con):
     df = QUERIES["x13_inverted_index"](spark, "/root/testdata/sf0.001")
     assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
     assert compare(df, con, ORACLES["x13_inverted_index"]) is None
+
+
+def sets(seed, n):
+    rng = random.Random(seed)
+    return [rng.sample("abcdefghijklmnop", rng.randint(0, 9)) for _ in range(n)]
+
+
+@pytest.mark.parametrize("jaccard", [False, True])
+@pytest.mark.parametrize("cut", [0.4, 0.5, 0.8])
+def test_set_joins_in_many_blocks_equal_brute_force(spark, monkeypatch, jaccard, cut):
+    for name, value in (("LEFT_TOKENS", 60), ("RIGHT_TOKENS", 50), ("MEETS", 20), ("COMMON_TOKENS", 2)):
+        monkeypatch.setattr(si, name, value)
+    left, right = sets(1, 60), sets(2, 80)
+    side = lambda rows: spark.createDataFrame(list(enumerate(rows)), "id long, tokens array<string>")
+    join = si.jaccard_best if jaccard else si.containment_best
+    got = {r[0]: (r[1], round(r[2], 9)) for r in join(side(left), side(right), cut).collect()}
+    want = {}
+    for i, a in enumerate(left):
+        score = lambda b: len({*a} & {*b}) / (len({*a} | {*b}) if jaccard else len(a))
+        best = max(((score(b), -j) for j, b in enumerate(right) if a and b and score(b) >= cut), default=None)
+        if best:
+            want[i] = (-best[1], round(best[0], 9))
+    assert got == want

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from oracle_check import compare, connect
 from verdigris.operators import matching as ma
 from verdigris.operators import similarity as si
+from verdigris.operators import tfidf as tf
 from verdigris.plans import ORACLES, QUERIES
 
 
@@ -54,3 +55,21 @@ def test_set_joins_in_many_blocks_equal_brute_force(spark, monkeypatch, jaccard,
         if best:
             want[i] = (-best[1], round(best[0], 9))
     assert got == want
+
+
+@pytest.mark.parametrize("cut", [0.3, 0.55, 0.9])
+def test_near_pairs_equal_full_products(spark, monkeypatch, cut):
+    monkeypatch.setattr(si, "CELL_ROWS", 3)
+    rng = random.Random(3)
+    rows = [[(t, rng.random() + 0.1) for t in sorted(rng.sample(range(14), rng.randint(1, 8)))] for _ in range(60)]
+    vecs = spark.createDataFrame([(i, [t for t, _ in v], [w for _, w in v]) for i, v in enumerate(rows)], "rec long, ids array<long>, ws array<double>")
+    got = {(r.l_rec, r.r_rec) for r in tf.near_pairs(vecs.filter("rec < 30"), vecs.filter("rec >= 30"), cut).collect()}
+    dot = lambda a, b: sum(x * dict(b).get(t, 0.0) for t, x in a)
+    cosine = lambda a, b: dot(a, b) / (dot(a, a) * dot(b, b)) ** 0.5
+    assert got == {(i, j) for i in range(30) for j in range(30, 60) if cosine(rows[i], rows[j]) >= cut}
+
+
+def test_candidates_use_all_terms(spark, con):
+    name = "j12_tfidf_candidates"
+    assert "LIMIT" not in ORACLES[name] and "NOT IN" not in ORACLES[name]
+    assert compare(QUERIES[name](spark, "/root/testdata/sf0.001"), con, ORACLES[name]) is None

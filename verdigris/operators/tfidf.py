@@ -1,4 +1,4 @@
-"""Weighted-term vectors, and cosine joins as products of blocks of sparse vectors."""
+"""Weighted-term vectors, cosine joins by bounded lengths, and by products of blocks of sparse vectors."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from verdigris.functions.stats import bound
 from verdigris.functions.text import text_or_empty
+from verdigris.operators.similarity import cell_splits, meet
 from verdigris.operators.windows import top_k
 from verdigris.session import cut_lineage
 
@@ -31,43 +32,128 @@ def terms(c, bigrams: bool = True, stop_words=()) -> Column:
     return bound(t, with_pairs)
 
 
+#: Weights of a batch that are sorted together.
+BATCH_TERMS = 2_000_000
+
+
+def _distinct_counts(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Each record's list of term numbers as distinct ones with their counts."""
+    lists = batch.column("ids")
+    sizes = np.diff(lists.offsets.to_numpy())
+    row, term = np.repeat(np.arange(len(sizes)), sizes), lists.flatten().to_numpy()
+    order = np.lexsort((term, row))
+    row, term = row[order], term[order]
+    first = np.flatnonzero(np.concatenate([[True], (np.diff(row) != 0) | (np.diff(term) != 0)])) if len(row) else np.zeros(0, np.int64)
+    edges = pa.array(np.searchsorted(row[first], np.arange(len(sizes) + 1)), pa.int32())
+    tf = np.diff(np.append(first, len(row)))
+    parts = [batch.column("rec"), batch.column("copies"), pa.ListArray.from_arrays(edges, pa.array(term[first])), pa.ListArray.from_arrays(edges, pa.array(tf, pa.int32()))]
+    return pa.RecordBatch.from_arrays(parts, ["rec", "copies", "ids", "tfs"])
+
+
 def term_counts(df: DataFrame, **kw) -> DataFrame:
-    """(rec, term, tf) of df(rec, text); counts combine inside each map task before the shuffle."""
-    return (
-        df.select("rec", F.explode(terms("text", **kw)).alias("term"))
-        .groupBy("rec", "term")
-        .agg(F.count("*").alias("tf"))
-    )
+    """(rec, copies, tid, tf) of df(rec, text, copies). A record is counted inside its own task; a term is known by
+    64 bits of a hash."""
+    numbered = df.select("rec", "copies", F.transform(terms("text", **kw), lambda t: F.xxhash64(t)).alias("ids"))
+
+    def count(batches):
+        for batch in batches:
+            sizes = np.cumsum(batch.column("ids").value_lengths().to_numpy(zero_copy_only=False))
+            at = 0
+            while at < batch.num_rows:
+                end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + BATCH_TERMS, "right")))
+                yield _distinct_counts(batch.slice(at, end - at))
+                at = end
+
+    counted = numbered.mapInArrow(count, "rec long, copies long, ids array<long>, tfs array<int>")
+    return counted.select("rec", "copies", F.inline(F.arrays_zip("ids", "tfs"))).toDF("rec", "copies", "tid", "tf")
+
+
+def vocabulary(df: DataFrame, min_df: int, max_features: int | None, **kw) -> DataFrame:
+    """(tid, df, idf) over a corpus of distinct records(rec, text, copies), each standing for `copies` equal ones.
+    With `max_features`, the most frequent terms only, ties in the order of the terms."""
+    n = df.agg(F.sum("copies"))
+    if max_features is None:
+        per_term = term_counts(df, **kw).groupBy("tid").agg(F.sum("copies").alias("df")).filter(F.col("df") >= min_df)
+    else:
+        rows = df.select("rec", "copies", F.explode(terms("text", **kw)).alias("term")).groupBy("rec", "term").agg(F.count("*").alias("tf"), F.first("copies").alias("copies"))
+        by_term = rows.groupBy("term").agg(F.sum("copies").alias("df"), F.sum(F.col("tf") * F.col("copies")).alias("total")).filter(F.col("df") >= min_df)
+        per_term = by_term.orderBy(F.desc("total"), "term").limit(max_features).withColumn("tid", F.xxhash64("term"))
+    return per_term.select("tid", "df", (F.log((1 + n.scalar()) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
-def vocabulary(counts: DataFrame, copies: DataFrame, min_df: int, max_features: int | None) -> DataFrame:
-    """(term, tid, idf) over a corpus of distinct records, each standing for `copies` equal ones. tid is a number of
-    its own for every term of the written table."""
-    n = copies.agg(F.sum("copies"))
-    per_term = (
-        counts.join(copies, "rec")
-        .groupBy("term")
-        .agg(F.sum("copies").alias("df"), F.sum(F.col("tf") * F.col("copies")).alias("total"))
-        .filter(F.col("df") >= min_df)
-    )
-    if max_features is not None:
-        per_term = per_term.orderBy(F.desc("total"), "term").limit(max_features)
-    idf = F.log((1 + n.scalar()) / (1 + F.col("df"))) + 1
-    listed = cut_lineage(per_term.select("term", idf.alias("idf")))
-    return listed.withColumn("tid", F.monotonically_increasing_id())
+def weights(counts: DataFrame, vocab: DataFrame) -> DataFrame:
+    """(rec, tid, df, w): logarithmic counts times idf, not yet scaled to unit length."""
+    return counts.join(vocab, "tid").select("rec", "tid", "df", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
 
 
-def vectors(counts: DataFrame, vocab: DataFrame) -> DataFrame:
-    """(rec, ids, ws): a row per record with logarithmic counts times idf, not yet scaled to unit length."""
-    rows = counts.join(vocab, "term").select("rec", "tid", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
-    packed = rows.groupBy("rec").agg(F.collect_list(F.struct("tid", "w")).alias("t"))
+def vectors(weighted: DataFrame) -> DataFrame:
+    """(rec, ids, ws): a row per record, rare terms first."""
+    packed = weighted.groupBy("rec").agg(F.sort_array(F.collect_list(F.struct("df", "tid", "w"))).alias("t"))
     return packed.select("rec", F.col("t.tid").alias("ids"), F.col("t.w").alias("ws"))
 
 
+# ---------------------------------------------------------------- pairs above a high cut
+#: Share of the cut down to which terms of two vectors meet.
+LEVEL = 0.75
+
+
+def _heads(vecs: DataFrame, cut: float) -> DataFrame:
+    """(rec, tid, w, s, rest): the terms of unit vectors from which on, rare ones first, at least the cut of a
+    vector's length s is left, and the length behind the term."""
+
+    def head(batches):
+        for batch in batches:
+            rec, row, ids, w = _unit_entries(pa.Table.from_batches([batch]))
+            left = np.cumsum((w * w)[::-1])[::-1]
+            first = np.searchsorted(row, np.arange(len(rec)))
+            ends = np.append(first[1:], len(row))
+            behind = np.append(left, 0.0)[ends][row]
+            s = np.sqrt(np.maximum(left - behind, 0.0))
+            kept = np.flatnonzero(s >= cut - 1e-6)
+            rest = np.sqrt(np.maximum(s * s - w * w, 0.0))
+            yield pa.RecordBatch.from_arrays([pa.array(x[kept]) for x in (rec[row], ids, w, s, rest)], ["rec", "tid", "w", "s", "rest"])
+
+    return vecs.mapInArrow(head, "rec long, tid long, w double, s double, rest double")
+
+
+def near_pairs(left: DataFrame, right: DataFrame, cut: float) -> DataFrame:
+    """(l_rec, r_rec, cosine): all pairs of vectors(rec, ids, ws), terms in one order on both sides, with cosine at
+    least the cut.
+
+    What two unit vectors have in common from a shared term on is at most the product of the lengths they have left
+    there. Terms meet where that product reaches a level below the cut, rare ones as a rule; the terms behind them
+    add less than the level, and no more than the lengths left behind the last of them. Pairs that can reach the cut
+    with that are multiplied in full."""
+    level = LEVEL * cut
+    side = lambda df, p: _heads(df, level).select("tid", *[F.col(c).alias(f"{p}_{c}") for c in ("rec", "w", "s", "rest")])
+    l, r = side(left, "l"), side(right, "r")
+    size = lambda df, name: df.groupBy("tid").agg(F.count("*").alias(name))
+    grid = size(l, "nl").join(size(r, "nr"), "tid").select("tid", cell_splits(F.greatest("nl", "nr")).alias("splits"))
+    met = meet(l.join(grid, "tid"), r.join(grid, "tid"), ["tid"], "l_rec", "r_rec", F.col("l_s") * F.col("r_s") >= level - 1e-6)
+    bounds = met.groupBy("l_rec", "r_rec").agg(F.sum(F.col("l_w") * F.col("r_w")).alias("sure"), F.min(F.col("l_rest") * F.col("r_rest")).alias("most"))
+    pairs = cut_lineage(bounds.filter(F.col("sure") + F.least(F.col("most"), F.lit(level)) >= cut - 1e-5).select("l_rec", "r_rec"))
+    full = pairs.join(left.select(F.col("rec").alias("l_rec"), F.col("ids").alias("l_ids"), F.col("ws").alias("l_ws")), "l_rec")
+    full = full.join(right.select(F.col("rec").alias("r_rec"), F.col("ids").alias("r_ids"), F.col("ws").alias("r_ws")), "r_rec")
+
+    def multiply(batches):
+        for batch in batches:
+            found = [_cosine(*[batch.column(c)[i].values.to_numpy() for c in ("l_ids", "l_ws", "r_ids", "r_ws")]) for i in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([batch.column("l_rec"), batch.column("r_rec"), pa.array(found, pa.float64())], ["l_rec", "r_rec", "cosine"])
+
+    return full.mapInArrow(multiply, "l_rec long, r_rec long, cosine double").filter(F.col("cosine") >= cut)
+
+
+def _cosine(l_ids: np.ndarray, l_ws: np.ndarray, r_ids: np.ndarray, r_ws: np.ndarray) -> float:
+    _, i, j = np.intersect1d(l_ids, r_ids, assume_unique=True, return_indices=True)
+    return float((l_ws[i] * r_ws[j]).sum() / np.sqrt((l_ws * l_ws).sum() * (r_ws * r_ws).sum()))
+
+
 # ---------------------------------------------------------------- products of blocks
 #: Vectors and weights of one block at most, on average; a term is multiplied densely where listing the pairs of its
 #: records would be more than DENSE_GAIN times a row of the dense product.
 BLOCK_ROWS, BLOCK_WEIGHTS, DENSE_GAIN = 1_024, 4_000_000, 150
+#: Number of the term that stands for all terms of a record that the other side does not have.
+OTHER_TERMS = -(1 << 63)
 
 
 def _unit_entries(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -199,12 +285,10 @@ def tfidf_best(
     r, r_all = _distinct_texts(right, gates)
     # one numbering for both sides: even numbers are left records, odd ones right records
     both = l.select((F.col("rec") * 2).alias("rec"), "text", "copies").unionAll(r.select((F.col("rec") * 2 + 1).alias("rec"), "text", "copies"))
-    counts = cut_lineage(term_counts(both))
-    vocab = vocabulary(counts, both.select("rec", "copies"), min_df, max_features)
-    vecs = cut_lineage(vectors(counts, vocab))
+    vecs = cut_lineage(vectors(weights(term_counts(both), vocabulary(both, min_df, max_features))))
     is_left = F.pmod("rec", F.lit(2)) == 0
     halved = lambda c: F.floor(F.col(c) / 2).cast("long").alias(c)
-    pairs = cosine_pairs(vecs.filter(is_left), vecs.filter(~is_left), min_cosine, top).select(halved("l_rec"), halved("r_rec"), "cosine")
+    pairs = near_pairs(vecs.filter(is_left), vecs.filter(~is_left), min_cosine).select(halved("l_rec"), halved("r_rec"), "cosine")
     if top is not None:
         rows = top_k(r_all.join(r.select("__k", *gates, "rec"), ["__k", *gates]), ["rec"], [F.col("id")], top)
         pairs = pairs.join(rows.select(F.col("rec").alias("r_rec"), F.col("id").alias("r_id")), "r_rec")
@@ -231,10 +315,17 @@ def tfidf_candidates(
     the pool alone. queries(id, text), pool(id, text). Returns (id, match_id, cosine, rank)."""
     q, q_all = _distinct_texts(queries, [])
     p, p_all = _distinct_texts(pool, [])
-    counts = cut_lineage(term_counts(p, stop_words=stop_words))
-    vocab = vocabulary(counts, p.select("rec", "copies"), min_df, max_features)
-    pv = cut_lineage(vectors(counts, vocab))
-    qv = cut_lineage(vectors(term_counts(q, stop_words=stop_words), vocab))
+    vocab = vocabulary(p, min_df, max_features, stop_words=stop_words)
+    qv = cut_lineage(vectors(weights(term_counts(q, stop_words=stop_words), vocab)))
+    asked = qv.select(F.explode("ids").alias("tid")).distinct().withColumn("asked", F.lit(True))
+    # of a pool vector, terms that no query has count for its length only: they become one term of their joint length
+    own = weights(term_counts(p, stop_words=stop_words), vocab).join(asked, "tid", "left")
+    held = own.groupBy("rec").agg(
+        F.collect_list(F.when(F.col("asked"), F.struct("tid", "w"))).alias("t"), F.sqrt(F.coalesce(F.sum(F.when(F.col("asked").isNull(), F.col("w") * F.col("w"))), F.lit(0.0))).alias("rest")
+    ).filter("size(t) > 0")
+    other = F.array(F.struct(F.lit(OTHER_TERMS).alias("tid"), F.col("rest").alias("w")))
+    whole = held.select("rec", F.when(F.col("rest") > 0, F.concat("t", other)).otherwise(F.col("t")).alias("t"))
+    pv = cut_lineage(whole.select("rec", F.col("t.tid").alias("ids"), F.col("t.w").alias("ws")))
     pairs = cosine_pairs(qv, pv, above, top).filter(F.col("cosine") > above)
     rows = top_k(p_all.join(p.select("__k", "rec"), "__k"), ["rec"], [F.col("id")], top)
     wide = pairs.join(rows.select(F.col("rec").alias("r_rec"), F.col("id").alias("match_id")), "r_rec")

@@ -123,3 +123,16 @@ def test_edit_join_costs_less_than_scoring_what_letters_leave():
     start = time.process_time()
     assert sum(map(len, si._score_cells(frame, 75.0, False))) >= 20
     assert share > 0.05 and time.process_time() - start < 0.5 * share * 490_000 * each
+
+
+def test_token_set_join_scores_only_what_can_reach_the_cut(spark, monkeypatch):
+    """A frequent word that two keys share is no reason to score them."""
+    scored = spark.sparkContext.accumulator(0)
+    udf = F.pandas_udf(lambda a, b: (scored.add(len(a)), pd.Series(sc.token_sets(list(a), list(b))))[1], "double")
+    monkeypatch.setattr(si, "token_set_udf", udf)
+    rows = [(i, " ".join(sorted({f"w{i % 5}", f"bank{i % 3}", *(f"x{i}y{k}" for k in range(i % 4))}))) for i in range(80)]
+    side = lambda part: spark.createDataFrame(part, "rec long, key string").withColumn("blocks", F.array(F.lit("#")))
+    got = {(r.l_rec, r.r_rec): r.score for r in si.token_set_pairs(side(rows[:40]), side(rows[40:]), 75.0).collect()}
+    want = {(i, j): sc.token_set(a, b) for i, a in rows[:40] for j, b in rows[40:]}
+    assert got == pytest.approx({k: v for k, v in want.items() if v >= 75.0})
+    assert 0 < scored.value < 1.1 * len(got)

@@ -5,7 +5,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from verdigris.llm.language_id import START, Model, expected, fit, forward, pieces_of, predict
+from verdigris.llm.language_id import START, Model, Pieces, expected, fit, forward, pieces_of, predict
 from verdigris.llm.queries import QUERIES
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
@@ -37,6 +37,17 @@ def test_forward_and_expectation_sum_all_segmentations(word):
     assert np.allclose(expected(pieces, [START + word], np.array([3.0]), logp[:, 0]), want)
 
 
+def test_pieces_in_words_are_found_without_a_look_up_per_piece():
+    pieces, words = Pieces(PATH), [START + w for w in ("thehouse", "zürichte", "漢字theqq_", "intensiv")]
+    words = [w[:9] for w in words]
+    want = {(end, k): [pieces.index.get(w[end - k : end], pieces.size) for w in words] for end in range(1, 10) for k in range(2, end + 1)}
+    assert len({x for row in want.values() for x in row}) > 30
+    assert all(pieces.ending(words, end, k).tolist() == row for (end, k), row in want.items())
+    logp = np.vstack([np.full((pieces.size, 2), -9.0), [[-np.inf] * 2]])
+    pieces.index = None
+    assert np.isfinite(forward(pieces, words, logp)).all() and expected(pieces, words, np.ones(4), logp[:, 0]).sum() > 4
+
+
 def test_long_words_do_not_underflow():
     pieces = pieces_of(PATH)
     logp = np.full((pieces.size + 1, 1), -50.0)

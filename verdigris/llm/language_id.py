@@ -33,6 +33,24 @@ BLOCK_SIZE = 128
 CACHE_WORDS = 1_200_000
 LATTICE = 200_000
 
+#: Bits of the hash that the filter of pieces of one length looks at, and the hash's multiplier.
+PRESENT = 18
+STEP = 0x9E3779B97F4A7C15
+
+
+def code_points(words: list[str]) -> np.ndarray:
+    """Code points of words of one length, a row per place."""
+    flat = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.ascontiguousarray(flat.reshape(len(words), -1).T)
+
+
+def letter_hashes(points: np.ndarray) -> list[np.ndarray]:
+    """Hash of the first k letters of each word, for all k."""
+    out = [np.zeros(points.shape[1], np.uint64)]
+    for row in points:
+        out.append(out[-1] * np.uint64(STEP) + row + np.uint64(1))
+    return out
+
 
 class Pieces:
     """The vocabulary in lower case: piece -> number, for pieces made of letters."""
@@ -47,13 +65,48 @@ class Pieces:
         self.longest = max(map(len, self.names))
         self.size = len(self.names) + BLOCKS
 
+        # single letters by code point; longer pieces by hash, with a filter before the look-up
+        self.powers = [np.uint64(pow(STEP, k, 1 << 64)) for k in range(self.longest + 1)]
+        self.single = len(self.names) + np.arange(0x110000) // BLOCK_SIZE % BLOCKS
+        self.by_hash: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for k in range(1, self.longest + 1):
+            own = [p for p in self.names if len(p) == k]
+            if own and k == 1:
+                self.single[[ord(p) for p in own]] = [self.index[p] for p in own]
+            elif own:
+                hashes = letter_hashes(code_points(own))[k]
+                order = np.argsort(hashes)
+                present = np.zeros(1 << PRESENT, bool)
+                present[hashes >> np.uint64(64 - PRESENT)] = True
+                self.by_hash[k] = present, hashes[order], np.array([self.index[p] for p in own])[order]
+
     def ending(self, words: list[str], end: int, k: int) -> np.ndarray:
         """Numbers of the pieces of k letters that end at `end` in each word; `size` where there is none."""
-        get, none = self.index.get, self.size
-        if k > 1:
-            return np.fromiter((get(w[end - k : end], none) for w in words), np.int64, len(words))
-        first = len(self.names)
-        return np.fromiter((get(c := w[end - 1], first + ord(c) // BLOCK_SIZE % BLOCKS) for w in words), np.int64, len(words))
+        at, found = Lattice(self, words).ending(end, k)
+        out = np.full(len(words), self.size)
+        out[at] = found
+        return out
+
+
+class Lattice:
+    """Which pieces stand where in words of one length. A piece is known by the 64-bit hash of its letters."""
+
+    def __init__(self, pieces: Pieces, words: list[str]):
+        self.pieces, self.points = pieces, code_points(words)
+        self.upto = letter_hashes(self.points)
+
+    def ending(self, end: int, k: int) -> tuple[slice | np.ndarray, np.ndarray]:
+        """Words with a piece of k letters that ends at `end`, and its number; a letter is always one."""
+        if k == 1:
+            return slice(None), self.pieces.single[self.points[end - 1]]
+        if k not in self.pieces.by_hash:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        present, hashes, names = self.pieces.by_hash[k]
+        h = self.upto[end] - self.upto[end - k] * self.pieces.powers[k]
+        at = np.flatnonzero(present[h >> np.uint64(64 - PRESENT)])
+        place = np.minimum(np.searchsorted(hashes, h[at]), len(hashes) - 1)
+        same = hashes[place] == h[at]
+        return at[same], names[place[same]]
 
 
 @lru_cache(maxsize=2)
@@ -61,34 +114,42 @@ def pieces_of(path: str) -> Pieces:
     return Pieces(path)
 
 
-def log_sum(terms: list[np.ndarray]) -> np.ndarray:
-    stack = np.stack(terms)
-    top = stack.max(axis=0)
-    return top + np.log(np.exp(stack - top).sum(axis=0))
+def log_sum(first: np.ndarray, others: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Logarithm of the sum of `first` and of terms that only some rows have, as (rows, terms)."""
+    top = first.copy()
+    for at, term in others:
+        top[at] = np.maximum(top[at], term)
+    total = np.exp(first - top)
+    for at, term in others:
+        total[at] += np.exp(term - top[at])
+    return top + np.log(total)
 
 
 def forward(pieces: Pieces, words: list[str], logp: np.ndarray) -> np.ndarray:
     """Log-probability of words of one length under every column of logp (pieces x languages)."""
+    lattice = Lattice(pieces, words)
     last = deque([np.zeros((len(words), logp.shape[1]))], maxlen=pieces.longest)
     for end in range(1, len(words[0]) + 1):
-        last.append(log_sum([last[-k] + logp[pieces.ending(words, end, k)] for k in range(1, min(end, pieces.longest) + 1)]))
+        first, *others = [(at, last[-k][at] + logp[piece]) for k in range(1, min(end, pieces.longest) + 1) for at, piece in [lattice.ending(end, k)] if len(piece)]
+        last.append(log_sum(first[1], others))
     return last[-1]
 
 
 def expected(pieces: Pieces, words: list[str], n: np.ndarray, logp: np.ndarray) -> np.ndarray:
     """Expected number of uses of every piece in words of one length that occur n times each."""
-    length, k_of = len(words[0]), lambda end: range(1, min(end, pieces.longest) + 1)
-    ids = {(end, k): pieces.ending(words, end, k) for end in range(1, length + 1) for k in k_of(end)}
+    length, lattice = len(words[0]), Lattice(pieces, words)
+    found = {end: [(k, at, piece) for k in range(1, min(end, pieces.longest) + 1) for at, piece in [lattice.ending(end, k)] if len(piece)] for end in range(1, length + 1)}
     ahead = [np.zeros(len(words))]
     for end in range(1, length + 1):
-        ahead.append(log_sum([ahead[end - k] + logp[ids[end, k]] for k in k_of(end)]))
+        first, *others = [(at, ahead[end - k][at] + logp[piece]) for k, at, piece in found[end]]
+        ahead.append(log_sum(first[1], others))
     back = [np.full(len(words), -np.inf) for _ in range(length)] + [np.zeros(len(words))]
     uses = np.zeros(pieces.size + 1)
     for end in range(length, 0, -1):
-        for k in k_of(end):
-            after = logp[ids[end, k]] + back[end]
-            np.add.at(uses, ids[end, k], n * np.exp(ahead[end - k] + after - ahead[length]))
-            back[end - k] = np.logaddexp(back[end - k], after)
+        for k, at, piece in found[end]:
+            after = logp[piece] + back[end][at]
+            uses += np.bincount(piece, n[at] * np.exp(ahead[end - k][at] + after - ahead[length][at]), len(uses))
+            back[end - k][at] = np.logaddexp(back[end - k][at], after)
     return uses[:-1]
 
 

@@ -98,3 +98,16 @@ def test_nulls_repeats_clashing_names_and_empty_tables(spark):
     assert sorted(((r.doc_id, r.text) for r in without_leaks(docs, items).collect()), key=repr) == sorted([(2, "clean"), (3, None), (4, "")], key=repr)
     assert find_leaks(docs.limit(0), items).count() == 0 == find_leaks(docs, items.limit(0)).count()
     assert np.array_equal(sorted(without_leaks(docs, items.limit(0)).columns), sorted(docs.columns))
+
+
+def test_documents_of_a_batch_share_a_frame(spark, monkeypatch):
+    item = "some words that stand in an item of the benchmark"
+    docs = spark.createDataFrame([(d, f"{item} {d}" if d % 10 == 0 else f"{d} some words that {d} stand alone") for d in range(100)], "doc_id long, text string")
+    frames, plain = [], type(docs).mapInPandas
+    monkeypatch.setattr(type(docs), "mapInPandas", lambda df, fn, schema: frames.append((df, fn, schema)) or plain(df, fn, schema))
+    found = find_leaks(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert sorted(r.doc_id for r in found.collect()) == list(range(0, 100, 10))
+    texts, score, _ = next(x for x in frames if "last_word" in x[2])
+    out = list(score(iter([texts.toPandas()])))
+    assert len(out) == 1 and len(out[0]) == 10
+    assert list(score(iter([texts.where("doc_id % 10 > 0").toPandas()]))) == []

@@ -145,8 +145,9 @@ def find_leaks(
         for batch in batches:
             if len(known) > CACHE_ITEMS:
                 known.clear()
+            out = []
             for d, mark, t, rows in zip(batch["doc_id"], batch["mark"], batch["t"], batch["wanted"], strict=True):
-                words_of_text, out = norm_words(t), []
+                words_of_text = norm_words(t)
                 rows = sorted(rows, key=lambda r: (r["item_id"], r["item"], r["low"]))
                 for k in range(0, len(rows), 256):
                     part = []
@@ -166,6 +167,7 @@ def find_leaks(
                     for (item, x, i, _), v, e in zip(part, value, end, strict=True):
                         if v >= least * MATCH * len(x):
                             out.append((d, mark, item, v / (MATCH * len(x)), int(i + e - min(len(x), e)), int(i + e - 1)))
+            if out:  # most documents have none, so a frame of each would cost more than their search
                 yield pd.DataFrame(out, columns=["doc_id", "mark", "item_id", "score", "first_word", "last_word"])
 
     texts = own.join(

@@ -95,6 +95,21 @@ def test_dense_tiles_make_room(monkeypatch):
     assert sum(int(c.sum()) for *_, c in parts) == len(joint)
 
 
+def test_longer_phrases_are_counted_without_a_join(spark, monkeypatch):
+    rows, joins = corpus(5, 250), []
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    plain_join = type(df).join
+    monkeypatch.setattr(type(df), "join", lambda l, r, *on, **kw: joins.append(l.columns) or plain_join(l, r, *on, **kw))
+    assert sorted(tuple(r) for r in col.collocations(df, least=5).collect()) == plain(rows, 5)
+    assert sum("chunk" in columns for columns in joins) == 1  # words only, pairs and threes of chunks meet nothing
+
+
+def test_a_full_filter_changes_nothing(spark, monkeypatch):
+    rows = corpus(6, 250)
+    monkeypatch.setattr(col, "phrase_filter", lambda phrases, k: np.full(col.FILTER_BITS // 8, 255, np.uint8))
+    assert run(spark, rows, least=5) == plain(rows, 5)
+
+
 def test_stretches_without_numbers_are_one_place():
     ids, codes = col.packed(np.array([-1, -1, 7, 3, -1, -1, -1, 7, -1]))
     assert ids.tolist() == [3, 7]

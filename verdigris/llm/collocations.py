@@ -4,13 +4,13 @@ Texts are cut into chunks of bounded size, one language each. Words with enough
 frequency within their language. Neighbouring numbers form pairs, and the square of all pairs is cut into tiles of
 TILE x TILE numbers: a tile that much of a chunk falls into (the corner of frequent words) is counted by direct
 address, one dense bincount that a task carries from chunk to chunk; the rest are sorted (a, b, count) triples of
-their chunk. Spark sums both. The pairs that occur often enough are numbered by frequency again, and a phrase of
-three words is a pair of overlapping pairs, one of four a pair of overlapping threes: each length is the same step on
-the numbers of the length before. A phrase that is frequent has frequent parts, so nothing is lost on the way.
+their chunk. Spark sums both. A phrase of three words is a pair of overlapping pairs, one of four a pair of
+overlapping threes, and is known by the numbers of its words. A phrase that is frequent has frequent parts, so a
+chunk counts only those whose parts pass a fixed number of filter bits (FILTER_BITS); infrequent ones that pass too
+cost effort, their counts stay below the limit.
 
-Numbers reach a chunk by joins on its own distinct words and pairs, never by a broadcast; a fixed number of filter
-bits (FILTER_BITS) keeps most infrequent pairs from that join and decides effort only. The commonest word is one row
-per chunk and one cell of a dense tile.
+Numbers of words reach a chunk by a join on its own distinct words, never by a broadcast; phrases meet no table but
+the counts. The commonest word is one row per chunk and one cell of a dense tile.
 
 Null texts count as empty and hold no phrase; a null language is `und` and one group with a language of that name.
 Repeated rows count as often as they occur, ids and extra columns are not looked at. No documents, or no phrase that
@@ -26,8 +26,8 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark import Broadcast, TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdigris.llm.common import mix, saved
@@ -35,6 +35,8 @@ from verdigris.llm.common import mix, saved
 CHUNK_BYTES, HELD_BYTES = 2_000_000, 16_000_000
 TILE, DENSE_FROM, MOST_DENSE = 512, 8_192, 16
 FILTER_BITS = 1 << 24
+#: A word's number in the id of a phrase.
+NUMBER, NUMBER_BYTES = ">u4", 4
 ENDS = b".,;:!?\n\x0b\x0c\r"
 CAPITALS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 PLAIN = bytes.maketrans(ENDS + CAPITALS, b"\n" * len(ENDS) + CAPITALS.lower())
@@ -235,60 +237,68 @@ def pair_counts(level: DataFrame) -> DataFrame:
     return level.mapInArrow(count, "lang string, a long, b long, c long").groupBy("lang", "a", "b").agg(F.sum("c").alias("f"))
 
 
-def cells_of(lang: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Filter bit of each pair."""
+def cells_of(lang: str, phrases: np.ndarray) -> np.ndarray:
+    """Filter bit of each phrase."""
     seed = np.uint64(int.from_bytes(lang.encode("utf-8", "surrogatepass")[:8].ljust(8, b"\0"), "little"))
+    h = np.full(len(phrases), seed)
     with np.errstate(over="ignore"):
-        h = mix(mix(a.astype(np.uint64) + seed) * np.uint64(0x9E3779B97F4A7C15) + b.astype(np.uint64))
+        for number in phrases.T:
+            h = mix(h * np.uint64(0x9E3779B97F4A7C15) + number.astype(np.uint64))
     return (h & np.uint64(FILTER_BITS - 1)).astype(np.int64)
 
 
-def pair_filter(pairs: DataFrame) -> np.ndarray:
-    """Which filter bits a frequent pair has set; never more than FILTER_BITS / 8 rows of two small numbers reach the
-    driver."""
+def phrase_filter(phrases: DataFrame, k: int) -> np.ndarray:
+    """Which filter bits phrases(lang, id) of k words have set; never more than FILTER_BITS / 8 rows of two small
+    numbers reach the driver."""
 
     def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for lang, rows in batch.groupby("lang"):
-                yield pd.DataFrame({"cell": cells_of(lang, rows["a"].to_numpy(), rows["b"].to_numpy())})
+                numbers = np.frombuffer(b"".join(rows["id"]), NUMBER).reshape(-1, k)
+                yield pd.DataFrame({"cell": cells_of(lang, numbers)})
 
-    octets = pairs.select("lang", "a", "b").mapInPandas(cells, "cell long").groupBy((F.col("cell") / 8).cast("int").alias("at"))
+    octets = phrases.select("lang", "id").mapInPandas(cells, "cell long").groupBy((F.col("cell") / 8).cast("int").alias("at"))
     rows = octets.agg(F.expr("bit_or(shiftleft(1, int(cell % 8)))").alias("bits")).toPandas()
     out = np.zeros(FILTER_BITS // 8, np.uint8)
     out[rows["at"].to_numpy(np.int64)] = rows["bits"]
     return out
 
 
-def next_level(level: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The chunks in numbers of frequent pairs: place p holds the pair of places p and p + 1."""
-    bits = level.sparkSession.sparkContext.broadcast(pair_filter(pairs))
+def grown(phrases: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs of neighbouring places as phrases of one word more, their counts, and which of them starts at
+    each place (-1: none). Phrases are rows of word numbers."""
+    joint = joint_codes(phrases, places)
+    held = np.flatnonzero(joint >= 0)
+    pairs, at, counts = np.unique(joint[held], return_inverse=True, return_counts=True)
+    a, b = pairs // max(len(phrases), 1), pairs % max(len(phrases), 1)
+    out = np.full(len(joint), -1, np.int64)
+    out[held] = at
+    return np.hstack([phrases[a], phrases[b, -1:]]), counts, out
 
-    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, lang, known, codes in rows_of(batches):
-            joint = joint_codes(known, codes)
-            pairs_here = np.unique(joint[joint >= 0])
-            a, b = known[pairs_here // max(len(known), 1)], known[pairs_here % max(len(known), 1)]
-            cell = cells_of(lang, a, b)
-            kept = (bits.value[cell >> 3] >> (cell & 7).astype(np.uint8) & 1).astype(bool)
-            n = int(kept.sum())
-            names, slots = pa.array([lang] * n, pa.string()), np.flatnonzero(kept).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk, np.int64)), names, pa.array(slots), pa.array(a[kept]), pa.array(b[kept])], ["chunk", "lang", "slot", "a", "b"])
 
-    met = level.mapInArrow(candidates, "chunk long, lang string, slot int, a long, b long").join(pairs.select("lang", "a", "b", "id"), ["lang", "a", "b"])
+def phrase_counts(level: DataFrame, bits: list[Broadcast]) -> DataFrame:
+    """(lang, id, f) of the phrases whose parts pass bits, the filters of frequent phrases of two, three, ... words."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, lang, known, places in rows_of(batches):
+            phrases = known[:, None]
+            for shared in bits:
+                phrases, _, places = grown(phrases, places)
+                cell = cells_of(lang, phrases)
+                kept = (shared.value[cell >> 3] >> (cell & 7).astype(np.uint8) & 1).astype(bool)
+                phrases, places = phrases[kept], np.append(np.where(kept, np.cumsum(kept) - 1, -1), -1)[places]
+            phrases, counts, _ = grown(phrases, places)
+            n, width = len(phrases), NUMBER_BYTES * phrases.shape[1]
+            ids = pa.Array.from_buffers(pa.binary(width), n, [None, pa.py_buffer(phrases.astype(NUMBER).tobytes())]).cast(pa.binary())
+            names = pa.DictionaryArray.from_arrays(pa.array(np.zeros(n, np.int32)), pa.array([lang], pa.string())).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([names, ids, pa.array(counts)], ["lang", "id", "c"])
+
+    return level.mapInArrow(count, "lang string, id binary, c long").groupBy("lang", "id").agg(F.sum("c").alias("f"))
 
-    def rename(own: pa.Table, known: pa.Table) -> pa.Table:
-        ids, codes = (large(own.column(c)[0].as_py()) for c in ("ids", "codes"))
-        joint = joint_codes(ids, codes)
-        held = joint >= 0
-        pairs_here, at = np.unique(joint[held], return_inverse=True)
-        slots, found = ordered(known, "slot")
-        table = np.full(len(pairs_here), -1, np.int64)
-        table[slots] = found
-        seq = np.full(len(joint), -1, np.int64)
-        seq[held] = table[at]
-        return level_row(own.column("chunk")[0].as_py(), own.column("lang")[0].as_py(), seq)
 
-    return level.groupBy("chunk").cogroup(met.select(F.col("chunk").alias("of"), "slot", "id").groupBy("of")).applyInArrow(rename, LEVEL)
+def packed_number(name: str) -> Column:
+    """A word's number in the bytes that ids of phrases are made of."""
+    return F.unhex(F.lpad(F.hex(name), 2 * NUMBER_BYTES, "0"))
 
 
 def named(longer: DataFrame, shorter: DataFrame, k: int) -> DataFrame:
@@ -328,10 +338,16 @@ def collocations(docs: DataFrame, least: int = 30, longest: int = 4, covered: in
     total = cut.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda s, c: s + c)).alias("n"))
     words = saved(frequent_words(cut, least), "words-numbered")
     level = saved(first_level(cut, words), "level-1")
-    named_before, listed = words.select("lang", "id", F.col("word").alias("phrase"), "f"), []
+    named_before, listed, bits = words.select("lang", packed_number("id").alias("id"), F.col("word").alias("phrase"), "f"), [], []
     for k in range(2, longest + 1):
-        pairs = saved(numbered(pair_counts(level).where(F.col("f") >= least), ["a", "b"], f"pairs-{k}"), f"pairs-{k}-numbered")
-        phrases = saved(named(pairs, named_before, k), f"phrases-{k}")
+        if k == 2:
+            counted = pair_counts(level).where(F.col("f") >= least).select("lang", F.concat(packed_number("a"), packed_number("b")).alias("id"), "f")
+        else:
+            counted = phrase_counts(level, bits).where(F.col("f") >= least)
+        counted = saved(counted, f"frequent-{k}")
+        width = NUMBER_BYTES * (k - 1)
+        halves = counted.select("lang", "id", F.substring("id", 1, width).alias("a"), F.substring("id", NUMBER_BYTES + 1, width).alias("b"), "f")
+        phrases = saved(named(halves, named_before, k), f"phrases-{k}")
         if listed:  # parts of these phrases that occur seldom without them
             part = lambda side: phrases.join(named_before.select("lang", F.col("id").alias(side), F.col("f").alias("part_f")), ["lang", side]).where(
                 F.expr(f"CAST(100 AS DECIMAL(38, 0)) * f >= CAST({covered} AS DECIMAL(38, 0)) * part_f")
@@ -340,7 +356,7 @@ def collocations(docs: DataFrame, least: int = 30, longest: int = 4, covered: in
         listed.append(scored(phrases, k))
         named_before = phrases
         if k < longest:
-            level = saved(next_level(level, pairs), f"level-{k}")
+            bits.append(docs.sparkSession.sparkContext.broadcast(phrase_filter(counted, k)))
     found = listed[0]
     for other in listed[1:]:
         found = found.unionByName(other)

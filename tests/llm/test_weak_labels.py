@@ -2,7 +2,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from verdigris.llm.queries import QUERIES
-from verdigris.llm.weak_labels import ABSTAIN, NO, YES, estimate, fit, quality_votes, score, shape_of, toxic_votes, train
+from verdigris.llm.weak_labels import ABSTAIN, NO, YES, WordFeatures, estimate, fit, quality_votes, score, shape_of, toxic_votes, train
 
 
 def test_votes():
@@ -22,6 +22,14 @@ def test_shapes_cover_whole_words():
     assert shape_of("a" * 64 + "1#") == "a0#"
 
 
+def test_a_worker_keeps_a_bounded_number_of_words():
+    kept, texts = WordFeatures(), [" ".join(f"w{i}x{j}" for j in range(50_000)) for i in range(8)]
+    for text in texts:
+        own = kept.of([text, text[:9]])
+        assert len(kept.index) <= 300_000
+        assert all((a == b).all() for a, b in zip(own, WordFeatures().of([text, text[:9]]), strict=True))
+
+
 def test_em_finds_the_accuracies_of_planted_labellers():
     rng = np.random.default_rng(3)
     truth = rng.random(40_000) < 0.3

@@ -23,13 +23,17 @@ from verdigris.llm.common import saved, slices
 #: Plain insults of English.
 INSULTS = ["clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless"]
 
-#: Hashed features per task, letters of a stem, and distinct words whose features a worker keeps.
+#: Hashed features per task, letters of a stem.
 FEATURES = 1 << 18
 STEM = 4
 
 #: Standard errors by which the texts with a stem or word must deviate, for it to take part in the toxicity score.
 STRENGTH = 5.0
-CACHE_WORDS = 1_000_000
+
+#: Distinct words whose features a worker keeps, and characters of texts that are looked at together; both bound
+#: memory only.
+CACHE_WORDS = 200_000
+SLICE = 500_000
 
 ABSTAIN, NO, YES = -1, 0, 1
 QUALITY = ("q_symbols", "q_shouting", "q_cries", "q_bars", "q_repeats", "q_label")
@@ -204,7 +208,7 @@ def features(rows: DataFrame, words: set[str], stems: set[str], posteriors: dict
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for part in slices(batch["t"], 500_000):
+            for part in slices(batch["t"], SLICE):
                 own = batch.iloc[part]
                 f, d, again = _features.of(list(own["t"]))
                 given = [[ABSTAIN if pd.isna(v) else int(v) for v in own[c]] for c in ("quality", "toxic")]
@@ -285,7 +289,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     @F.pandas_udf("bad_quality double, toxic double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = [score_texts(list(batch.iloc[part]), shared.value) for part in slices(batch)]
+            out = [score_texts(list(batch.iloc[part]), shared.value) for part in slices(batch, SLICE)]
             yield pd.DataFrame(np.vstack(out) if out else np.zeros((0, 2)), columns=["bad_quality", "toxic"])
 
     found = docs.withColumn("__found", scored(F.col(text)))

@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pytest
 
+from verdigris.llm import jaccard_join
 from verdigris.llm.graph import components
 from verdigris.llm.jaccard_join import SKETCH, Threshold, differing_bits, link, met, parity_map, share_prefixes, token_sets
 from verdigris.llm.queries import QUERIES
@@ -124,3 +125,17 @@ def test_nulls_repeats_clashing_names_and_empty_tables(spark):
     df = spark.createDataFrame([(*r, 7) for r in rows], "doc_id long, text string, rep string")
     assert got(df) == brute(rows)
     assert link(df.limit(0)).count() == 0
+
+
+def test_families_of_half_alike_texts_do_not_meet_pair_by_pair(spark, monkeypatch):
+    rng = random.Random(5)
+    some = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    bodies = [some(60) for _ in range(20)]
+    rows = [(d, " ".join(bodies[d % 20] + some(45))) for d in range(220)]
+    # in one family, two links of a member that comes late
+    rows += [(300 + d, " ".join(rows[200 + d][1].split()[:100] + some(5))) for d in range(2)]
+    met = []
+    monkeypatch.setattr(jaccard_join, "alike", lambda sizes, pairs, at_least, alike=jaccard_join.alike: (met.append(pairs.count()), alike(sizes, pairs, at_least))[1])
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert got(df) == brute(rows)
+    assert len(met) == 2 and met[1] < 100

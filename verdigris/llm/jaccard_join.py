@@ -3,7 +3,8 @@
 Two sets that are similar enough share a token among the first few of each, under any order of all tokens.
 The first order finds the candidates: Spark brings equal prefix tokens together. A candidate must then share
 prefix tokens under the other orders too, before the sets are compared. All orders put frequent tokens last,
-as far as a count sketch of fixed size knows them, and differ in how they mix the others."""
+as far as a count sketch of fixed size knows them, and differ in how they mix the others. Sets that still meet many
+others meet under one more order, by how many of just these sets hold a token."""
 
 from __future__ import annotations
 
@@ -20,6 +21,11 @@ from verdigris.llm.graph import components
 #: Cells of the count sketch, and cells in one row of it.
 SKETCH, SKETCH_ROW = 1 << 18, 1 << 12
 
+#: Classes of a token from which on it is hot, hundredths of its prefix that a crowded set meets others in, marks of
+#: token frequency among crowded sets and in one row of them. They decide effort, never the result.
+HOT, CROWDED = 8, 40
+MARKS, MARKS_ROW = 1 << 20, 1 << 12
+
 #: Bits of a set's parity map: a power of two near its size, between these.
 LEAST_BITS, MOST_BITS = 64, 1 << 16
 
@@ -105,7 +111,7 @@ def frequency_classes(facts: DataFrame) -> np.ndarray:
 def ranks(tokens: np.ndarray, classes: np.ndarray, order: int) -> np.ndarray:
     """Place of every token in one of the global orders."""
     mixed = mix(tokens ^ SALTS[order])
-    return (classes[(tokens & np.uint64(SKETCH - 1)).astype(np.int64)] << np.uint64(58)) | (mixed >> np.uint64(6))
+    return (classes[(tokens & np.uint64(len(classes) - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(58)) | (mixed >> np.uint64(6))
 
 
 class Threshold:
@@ -116,7 +122,8 @@ class Threshold:
 
     def prefix(self, n):
         """Tokens of which a similar set must share one, whatever its size."""
-        return n - (self.percent * n + 99) // 100 + 1
+        most = self.percent * n + 99
+        return n - (F.floor(most / 100) if isinstance(n, Column) else most // 100) + 1
 
     def overlap(self, a, b):
         """Common tokens that sets of sizes a and b need."""
@@ -125,7 +132,7 @@ class Threshold:
 
 
 def postings(docs: DataFrame, shingle: int, at_least: Threshold, classes) -> DataFrame:
-    """token, doc_id, pos: the prefix of every set under the first order."""
+    """token, doc_id, n, pos: the prefix of every set under the first order of these classes."""
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -135,10 +142,43 @@ def postings(docs: DataFrame, shingle: int, at_least: Threshold, classes) -> Dat
                 order = np.lexsort((ranks(tokens, classes.value, 0), owner))
                 pos = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
                 kept = pos < at_least.prefix(sizes)[owner]
-                yield pd.DataFrame({"token": tokens[order][kept].view(np.int64), "doc_id": batch["d"].iloc[part].to_numpy()[owner[kept]], "pos": pos[kept]})
+                yield pd.DataFrame({"token": tokens[order][kept].view(np.int64), "doc_id": batch["d"].iloc[part].to_numpy()[owner[kept]], "n": sizes[owner[kept]], "pos": pos[kept]})
 
     chosen = docs.where("doc_id IS NOT NULL AND t IS NOT NULL").select(F.col("doc_id").alias("d"), "t")
-    return chosen.mapInPandas(emit, "token long, doc_id long, pos int")
+    return chosen.mapInPandas(emit, "token long, doc_id long, n long, pos int")
+
+
+def shared_classes(docs: DataFrame, shingle: int) -> np.ndarray:
+    """For every mark 0, or more the more of these texts hold a token with that mark.
+
+    Every token is counted. Tokens in under 4 texts get no mark, nor do the next more frequent ones while more than a
+    quarter of the marks would be in use. MARKS numbers reach the driver, however many texts there are."""
+
+    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for part in slices(batch["t"]):
+                yield pd.DataFrame({"token": token_sets(list(batch["t"].iloc[part]), shingle)[0].view(np.int64)})
+
+    def packed(rows: pd.DataFrame) -> pd.DataFrame:
+        out = np.zeros(MARKS_ROW, np.uint8)
+        out[rows["at"]] = rows["class"]
+        return pd.DataFrame({"row": rows["row"].iloc[:1], "marks": [out.tobytes()]})
+
+    counted = docs.select("t").mapInPandas(emit, "token long").groupBy("token").count().where("count >= 4")
+    frequent = saved(counted.select("token", F.least(F.lit(63), F.floor(2 * F.log2("count"))).cast("int").alias("class")), "frequent")
+    least, total = 64, 0
+    for r in sorted(frequent.groupBy("class").count().collect(), reverse=True):
+        total += r["count"]
+        if total > MARKS // 4 and least < 64:
+            break
+        least = r["class"]
+    mark = F.col("token").bitwiseAND(MARKS - 1)
+    marks = frequent.where(F.col("class") >= least).groupBy(mark.alias("mark")).agg(F.max("class").alias("class"))
+    rows = marks.select(F.floor(F.col("mark") / MARKS_ROW).cast("int").alias("row"), F.col("mark").bitwiseAND(MARKS_ROW - 1).cast("int").alias("at"), "class")
+    out = np.zeros(MARKS, np.uint8)
+    for r in rows.groupBy("row").applyInPandas(packed, "row int, marks binary").collect():
+        out[r.row * MARKS_ROW : (r.row + 1) * MARKS_ROW] = np.frombuffer(r.marks, np.uint8)
+    return out
 
 
 def met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -214,7 +254,9 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: i
 
     Equal sets are one class. Candidates come in two turns, and no pair is left out: first each class meets
     the first class of each of its prefix tokens, which joins copies of one text without comparing all of
-    them; then classes that share a prefix token and are still in different components meet each other.
+    them; then classes that share a prefix token and are still in different components meet each other. There, a
+    hot token brings no two crowded classes together: crowded ones, whose prefix others share to a large part, are
+    few, so that their tokens can be counted and put in an order in which they meet late or not at all.
     Sizes, places in the prefix and parity maps of the sets discard candidates before texts are read."""
     spark, at_least = docs.sparkSession, Threshold(percent)
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("t"))
@@ -229,7 +271,7 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: i
     sizes = named.join(models, ["doc_id", "n", "k1", "k2"]).select(F.col("doc_id").alias("rep"), "n", "map").dropDuplicates(["rep", "n"])
     sizes = saved(sizes, "sizes")
 
-    posted = postings(own, shingle, at_least, classes).repartition("token").sortWithinPartitions("token", "doc_id")
+    posted = postings(own, shingle, at_least, classes).drop("n").repartition("token").sortWithinPartitions("token", "doc_id")
     common = saved(posted.mapInPandas(met, "token long, doc_id long, pos int"), "common")
     members = common.join(labels, "doc_id").groupBy("token", "rep", "n").agg(F.min("pos").alias("pos"))
     firsts = members.groupBy("token").agg(F.min(F.struct("rep", "n", "pos")).alias("f"), F.max("rep").alias("last")).where("f.rep < last")
@@ -246,11 +288,25 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: i
     reached = components(links)
 
     now = members.join(reached.withColumnRenamed("node", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep"))
-    mixed = now.groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("token")
-    open_members = saved(now.join(mixed, "token").where("rep > f.rep").select("token", "rep", "n", "pos", "c"), "open")
-    x, y = open_members.alias("x"), open_members.alias("y")
-    meets = (F.col("x.token") == F.col("y.token")) & (F.col("x.c") < F.col("y.c")) & possible("x.n", "x.pos", "y.n", "y.pos")
-    cross = x.join(y, meets).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+    mixed = now.groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count(F.lit(1)).alias("k")).where("c0 < c1")
+    meeting = members.groupBy("rep").agg(F.countDistinct("token").alias("common"))
+    rest = F.col("n") - at_least.prefix(F.col("n"))
+    crowded = (F.col("k") > HOT) & (100 * F.col("common") >= CROWDED * (F.col("n") - F.col("rest")))
+    open_members = now.join(mixed.select("token", "k"), "token").where("rep > f.rep").join(meeting, "rep")
+    open_members = saved(open_members.withColumn("rest", rest).withColumn("crowded", crowded).select("token", "rep", "n", "pos", "c", "rest", "common", "crowded"), "open")
+    # of a pair, the prefix that ends first holds no more shared tokens than it has common ones, and the rest follows
+    enough = at_least.overlap(F.col("x.n"), F.col("y.n")) <= F.greatest("x.rest", "y.rest") + F.least("x.common", "y.common")
+
+    def crossing(members: DataFrame, also: Column) -> DataFrame:
+        x, y = members.alias("x"), members.alias("y")
+        meets = (F.col("x.token") == F.col("y.token")) & (F.col("x.c") < F.col("y.c")) & possible("x.n", "x.pos", "y.n", "y.pos") & also
+        return x.join(y, meets).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+
+    crowd = saved(open_members.where("crowded").select(F.col("rep").alias("doc_id"), "c").distinct(), "crowd")
+    few = saved(own.join(crowd, "doc_id"), "crowded")
+    counted = spark.sparkContext.broadcast(shared_classes(few, shingle))
+    again = saved(postings(few, shingle, at_least, counted).withColumnRenamed("doc_id", "rep").join(crowd.withColumnRenamed("doc_id", "rep"), "rep"), "again")
+    cross = crossing(open_members, enough & ~(F.col("x.crowded") & F.col("y.crowded"))).unionByName(crossing(again, F.lit(True))).distinct()
     more = saved(verified(own, alike(sizes, cross, at_least), shingle, at_least, classes, orders), "more")
     reached = components(links.unionByName(more))
 

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from verdigris.llm.common import saved
 
+
 def whole_vectors(table: DataFrame, is_query: Column, vec_id: str, vector: str, scale: int) -> DataFrame:
     """vec_id, is_query, x: components floor(scale * component) as 64-bit numbers, of the vectors that take part."""
     v = F.col("v")
@@ -48,10 +49,12 @@ def distances(x: np.ndarray, p: np.ndarray) -> np.ndarray:
 
 
 class Space:
-    """The lifted space: vectors of at most `width` components, all lifted to squared norm norm2."""
+    """The lifted space: vectors of at most `width` components, none beyond `largest`, all lifted to squared norm
+    norm2."""
 
-    def __init__(self, width: int, norm2: float, exact: bool):
-        self.width, self.norm2, self.exact = width, norm2, exact
+    def __init__(self, width: int, norm2: float, largest: int):
+        self.width, self.norm2, self.exact = width, norm2, largest**2 * width < 1 << 53
+        self.kind = np.int16 if largest < 1 << 15 else np.float64
 
     def plain(self, rows: pd.Series) -> np.ndarray:
         """Rows as a matrix; shorter vectors end in zeros."""
@@ -62,8 +65,21 @@ class Space:
             out[i, : len(r)] = r
         return out
 
-    def read(self, raw: bytes) -> np.ndarray:
-        return np.frombuffer(raw, np.float64).reshape(-1, self.width)
+    def packed(self, x: np.ndarray) -> list[bytes]:
+        return [v.tobytes() for v in x.astype(self.kind)]
+
+    def read(self, raw: pd.Series) -> np.ndarray:
+        return np.frombuffer(b"".join(raw), self.kind).reshape(-1, self.width).astype(np.float64)
+
+    def reach(self, x: np.ndarray, least: np.ndarray, d: np.ndarray) -> np.ndarray:
+        """Distance up to which a vector can reach the score `least` with queries x, which are up to d from pivots."""
+        most = np.sqrt(np.maximum((x**2).sum(axis=1) + self.norm2 - 2 * least, 0))
+        most = np.minimum(most, 2 * np.sqrt(self.norm2) + 1)  # all there is, where the k-th score is unknown
+        return most + 1e-6 * (1 + most + d)
+
+    def bound(self, score) -> float:
+        """A score as a double that is not above it."""
+        return float(score) if self.exact else np.nextafter(float(score), -np.inf)
 
     def lifted(self, x: np.ndarray, query: bool = False) -> np.ndarray:
         more = np.zeros(len(x)) if query else np.sqrt(np.maximum(self.norm2 - (x**2).sum(axis=1), 0))
@@ -95,54 +111,41 @@ def top_pairs(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> t
     return r[nth < k], c[nth < k]
 
 
-def build_index(vectors: DataFrame, pivots: np.ndarray, space: Space, block: int) -> DataFrame:
-    """Blocks of up to `block` vectors of one pivot, neighbours by their distance from it: block_id, pivot,
-    near, far (least and greatest distance), ids, queries (places of query rows), x (whole components).
+def build_index(vectors: DataFrame, pivots: np.ndarray, space: Space, most: int) -> DataFrame:
+    """Vectors as rows of their own: block_id, pivot, distance (from it), vec_id, is_query, x (whole components). A
+    block has up to `most` vectors of one pivot, neighbours by their distance.
 
     Rows are dealt by ranges of (pivot, distance, id): a pivot or a distance that many rows share is still
     many partitions."""
 
     def key(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            d = distances(space.lifted(space.plain(batch["x"])), pivots)
+            x = space.plain(batch["x"])
+            d = distances(space.lifted(x), pivots)
             own = d.argmin(axis=1)
-            yield batch.assign(pivot=own, distance=d[np.arange(len(d)), own])
+            yield batch.assign(x=space.packed(x), pivot=own, distance=d[np.arange(len(d)), own])
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, n, rest = TaskContext.get().partitionId(), 0, None
+        part, block, pivot, n = TaskContext.get().partitionId(), -1, -1, 0
         for batch in batches:
-            rest = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-            if not len(rest):
-                continue
-            left = rest
-            for pivot, group in list(rest.groupby("pivot", sort=True)):
-                last = pivot == rest["pivot"].iloc[-1]
-                whole = len(group) // block * block if last else len(group)
-                for i in range(0, whole, block):
-                    yield row(part << 32 | n, group.iloc[i : min(i + block, whole)])
-                    n += 1
-                if last:
-                    left = group.iloc[whole:]
-            rest = left
-        if rest is not None and len(rest):
-            yield row(part << 32 | n, rest)
-
-    def row(block_id: int, g: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({
-            "block_id": [block_id], "pivot": [g["pivot"].iloc[0]], "near": [g["distance"].min()], "far": [g["distance"].max()],
-            "ids": [g["vec_id"].to_numpy()], "queries": [np.flatnonzero(g["is_query"].to_numpy())], "x": [space.plain(g["x"]).tobytes()],
-        })
-
-    keyed = vectors.mapInPandas(key, "vec_id long, is_query boolean, x array<long>, pivot int, distance double")
+            ids = np.zeros(len(batch), np.int64)
+            for now, at in sorted(batch.groupby("pivot").indices.items()):
+                if now != pivot:
+                    block, pivot, n = block + 1, now, 0
+                nth = n + np.arange(len(at))
+                ids[at] = block + nth // most
+                block, n = int(ids[at[-1]]), int(nth[-1]) % most + 1
+            yield batch.assign(block_id=part << 32 | ids)
+
+    keyed = vectors.mapInPandas(key, "vec_id long, is_query boolean, x binary, pivot int, distance double")
     order = ["pivot", "distance", "vec_id"]
     dealt = keyed.repartitionByRange(*order).sortWithinPartitions(*order)
-    blocks = dealt.mapInPandas(cut, "block_id long, pivot int, near double, far double, ids array<long>, queries array<long>, x binary")
-    return saved(blocks, "annuli")
+    return saved(dealt.mapInPandas(cut, "block_id long, pivot int, distance double, vec_id long, is_query boolean, x binary"), "annuli")
 
 
 def search(
     table: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_id", vector: str = "embedding", scale: int = 256,
-    n_pivots: int = 64, sample: int = 5_000, block: int = 1_000,
+    n_pivots: int = 64, sample: int = 5_000, block: int = 1_000, wide: int = 64,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: for every row of table with is_query its k best other rows, exactly.
 
@@ -152,94 +155,110 @@ def search(
     id. With fewer candidates than k, all are returned; an empty table gives no rows. Scores beyond 64 bits
     are cut off there.
 
-    Pivots are fitted on `sample` rows chosen by hash; every row is indexed. A query first scores the block
-    in which it lies itself, which bounds its k-th score; then it meets only the blocks that the triangle
-    inequality leaves. Blocks and the queries that reach them are merged as sorted streams, so that neither
-    needs to fit into memory, and a (query, block) sends on at most k rows."""
+    Pivots are fitted on `sample` rows chosen by hash; every row is indexed. A query first scores neighbours in its
+    own task, which bounds its k-th score; then it meets only the blocks, of `wide` stretches of `block` vectors,
+    that the triangle inequality leaves, and in them only such stretches. A row is one vector, never a block, and a
+    query travels once to a block. Blocks and the queries that reach them are merged as sorted streams: a task holds
+    one block. A (query, block) sends on at most k rows; of a block, its place and distances reach the driver."""
     vectors = saved(whole_vectors(table, is_query, vec_id, vector, scale), "vectors")
     squares = F.aggregate("x", F.lit(0.0), lambda a, c: a + c.cast("double") * c)
-    facts = vectors.agg(F.max(F.size("x")).alias("width"), F.max(squares).alias("norm2"), F.max(F.array_max(F.transform("x", F.abs))).alias("largest")).first()
+    facts = vectors.agg(F.max(F.size("x")).alias("width"), F.max(squares).alias("norm2"), F.max(F.array_max(F.transform("x", F.abs))).alias("largest"), F.count("*").alias("n")).first()
     if facts.width is None:
         return vectors.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0).cast("long").alias("score"))
-    space = Space(facts.width, facts.norm2, exact=facts.largest**2 * facts.width < 1 << 53)
-    chosen = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("x").toPandas()
+    space = Space(facts.width, facts.norm2, facts.largest)
+    # about twice the sample, so that not every task sends as many rows as are wanted in all
+    turn = F.xxhash64("vec_id")
+    few = vectors.where(turn <= min((1 << 63) - 1, -(1 << 63) + (1 << 64) * 2 * sample // facts.n))
+    first = lambda rows: rows.orderBy(turn, "vec_id").limit(sample).select("x").toPandas()
+    chosen = first(few)
+    chosen = chosen if len(chosen) else first(vectors)
     pivots = pivots_of(space.lifted(space.plain(chosen["x"])), n_pivots)
-    blocks = build_index(vectors, pivots, space, block)
+    index = build_index(vectors, pivots, space, block * wide)
+    rings = index.groupBy("block_id").agg(F.first("pivot").alias("pivot"), F.min("distance").alias("near"), F.max("distance").alias("far")).toPandas()
 
     def inside(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Every query against its own block: its k best there and the k-th score."""
+        """Every query with its k-th score among the rows that come with it."""
         for batch in batches:
-            for b in batch.itertuples(index=False):
-                x, ids, at = space.read(b.x), np.asarray(b.ids), np.unique(b.queries).astype(int)
-                if not len(at):
-                    continue
-                s = space.scores(x[at], x)
-                r, c = top_pairs(s, ids, ids[at], k)
-                counts = np.bincount(r, minlength=len(at))
-                ends = np.cumsum(counts)
-                yield pd.DataFrame({
-                    "query_id": ids[at], "x": [v.tobytes() for v in x[at]], "home": b.block_id,
-                    "least": [float(s[r[e - 1], c[e - 1]]) if n == k else -np.inf for e, n in zip(ends, counts, strict=True)],
-                    "found": [ids[c[e - n : e]] for e, n in zip(ends, counts, strict=True)],
-                    "scores": [space.whole(s[r[e - n : e], c[e - n : e]]) for e, n in zip(ends, counts, strict=True)],
-                })
-
-    begun = blocks.where(F.size("queries") > 0).mapInPandas(
-        inside, "query_id long, x binary, home long, least double, found array<long>, scores array<long>"
-    )
-    begun = saved(begun.dropDuplicates(["query_id", "x"]), "queries")
+            x, ids, at = space.read(batch["x"]), batch["vec_id"].to_numpy(), np.flatnonzero(batch["is_query"].to_numpy(bool))
+            for i in range(0, len(at), 200):
+                some = at[i : i + 200]
+                s = space.scores(x[some], x)
+                r, c = top_pairs(s, ids, ids[some], k)
+                counts = np.bincount(r, minlength=len(some))
+                least = [space.bound(s[r[e - 1], c[e - 1]]) if n == k else -np.inf for e, n in zip(np.cumsum(counts), counts, strict=True)]
+                yield pd.DataFrame({"query_id": ids[some], "x": batch["x"].to_numpy()[some], "least": least})
+
+    bounded = index.select("vec_id", "is_query", "x").mapInPandas(inside, "query_id long, x binary, least double")
+    begun = saved(bounded.dropDuplicates(["query_id", "x"]).withColumn("nth", F.monotonically_increasing_id()), "queries")
 
     def annuli(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """The distances from each pivot at which a vector can still reach the query's k-th score."""
-        between = distances(pivots, pivots)
+        """The blocks in which a vector can still reach the query's k-th score."""
+        between, ring = distances(pivots, pivots), rings["pivot"].to_numpy()
         for batch in batches:
-            for part in np.array_split(np.arange(len(batch)), len(batch) // 2_000 + 1):
-                own = batch.iloc[part]
-                x = np.stack([space.read(v)[0] for v in own["x"]]) if len(own) else np.zeros((0, space.width))
+            for at in range(0, len(batch), 500):
+                own = batch.iloc[at : at + 500]
+                x = space.read(own["x"])
                 d = distances(space.lifted(x, query=True), pivots)
-                reach = np.sqrt(np.maximum((x**2).sum(axis=1) + space.norm2 - 2 * own["least"].to_numpy(), 0))
-                reach = np.minimum(reach, 2 * np.sqrt(space.norm2) + 1)  # all there is, where the k-th score is unknown
-                slack = 1e-6 * (1 + reach + d.max(axis=1))
+                reach = space.reach(x, own["least"].to_numpy(), d.max(axis=1))[:, None]
                 best = d.argmin(axis=1)
                 # a vector is no nearer to the query's pivot than to its own: it lies beyond the middle plane
-                gap = d**2 - d[np.arange(len(d)), best][:, None] ** 2 <= 2 * between[best] * (reach + slack)[:, None]
-                i, p = np.nonzero(gap)
-                low, high = d[i, p] - (reach + slack)[i], d[i, p] + (reach + slack)[i]
-                yield pd.DataFrame({"query_id": own["query_id"].to_numpy()[i], "x": own["x"].to_numpy()[i], "home": own["home"].to_numpy()[i], "least": own["least"].to_numpy()[i], "pivot": p, "low": low, "high": high})
-
-    reached = begun.select("query_id", "x", "home", "least").mapInPandas(
-        annuli, "query_id long, x binary, home long, least double, pivot int, low double, high double"
-    ).alias("q")
-    rings = blocks.select("block_id", "pivot", "near", "far").alias("b")
-    meets = (F.col("q.pivot") == F.col("b.pivot")) & (F.col("b.far") >= F.col("q.low")) & (F.col("b.near") <= F.col("q.high")) & (F.col("b.block_id") != F.col("q.home"))
-    visits = reached.join(rings, meets).select("block_id", "query_id", "q.x", "least")
+                gap = d**2 - d[np.arange(len(d)), best][:, None] ** 2 <= 2 * between[best] * reach
+                met = gap[:, ring] & (rings["far"].to_numpy() >= d[:, ring] - reach) & (rings["near"].to_numpy() <= d[:, ring] + reach)
+                for first in range(0, met.shape[1], 200):
+                    i, b = np.nonzero(met[:, first : first + 200])
+                    yield own.iloc[i].assign(block_id=rings["block_id"].to_numpy()[first + b])
+
+    visits = begun.mapInPandas(annuli, "block_id long, nth long, query_id long, least double, x binary")
+    stream = index.select("block_id", F.lit(-1).cast("long").alias("nth"), F.col("vec_id").alias("id"), F.col("distance").alias("number"), "x", "pivot").unionByName(
+        visits.select("block_id", "nth", F.col("query_id").alias("id"), F.col("least").alias("number"), "x", F.lit(0).alias("pivot"))
+    )
+
+    def answers(own: pd.DataFrame, x: np.ndarray, ids: np.ndarray, distance: np.ndarray, pivot: int) -> pd.DataFrame:
+        """The k best of a block for each of its visitors."""
+        q, own_id, least = space.read(own["x"]), own["id"].to_numpy(), own["number"].to_numpy().copy()
+        d = distances(space.lifted(q, query=True), pivots[pivot : pivot + 1])[:, 0]
+        row, found, scores = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for at in range(0, len(x), block):
+            some = slice(at, at + block)
+            reach = space.reach(q, least, d)
+            met = np.flatnonzero((distance[some][0] <= d + reach) & (distance[some][-1] >= d - reach))
+            if not len(met):
+                continue
+            s = space.scores(q[met], x[some])
+            s = np.where(s >= least[met][:, None], s, -np.inf)
+            r, c = top_pairs(s, ids[some], own_id[met], k)
+            row.append(met[r])
+            found.append(ids[some][c])
+            scores.append(space.whole(s[r, c]))
+            counts = np.bincount(r, minlength=len(met))
+            full = np.flatnonzero(counts == k)
+            last = np.cumsum(counts)[full] - 1
+            least[met[full]] = np.maximum(least[met[full]], [space.bound(v) for v in s[r[last], c[last]]])
+        row, found, scores = np.concatenate(row), np.concatenate(found), np.concatenate(scores)
+        order = np.lexsort((found, ~scores, row))
+        order = order[np.arange(len(row)) - np.searchsorted(row[order], row[order]) < k]
+        return pd.DataFrame({"nth": own["nth"].to_numpy()[row[order]], "query_id": own_id[row[order]], "vec_id": found[order], "score": scores[order]})
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """A block, then the queries that visit it, and so on."""
-        current = x = ids = None
+        """The vectors of a block, then the queries that visit it, and so on."""
+        current, held, whole = None, [], None
         for batch in batches:
             for block_id, g in batch.groupby("block_id", sort=False):
-                if g["ids"].iloc[0] is not None:
-                    current, x, ids = block_id, space.read(g["x"].iloc[0]), np.asarray(g["ids"].iloc[0])
-                    g = g.iloc[1:]
                 if block_id != current:
-                    raise ValueError("a visit came before its block")
+                    current, held, whole = block_id, [], None
+                vector_rows = g["nth"].to_numpy() < 0
+                if vector_rows.any():
+                    held.append(g[vector_rows])
+                g = g[~vector_rows]
+                if len(g) and whole is None:
+                    v = pd.concat(held)
+                    held, whole = [], (space.read(v["x"]), v["id"].to_numpy(), v["number"].to_numpy(), int(v["pivot"].iloc[0]))
                 for i in range(0, len(g), 500):
-                    own = g.iloc[i : i + 500]
-                    s = space.scores(np.stack([space.read(v)[0] for v in own["x"]]), x)
-                    s = np.where(s >= own["least"].to_numpy()[:, None], s, -np.inf)
-                    r, c = top_pairs(s, ids, own["query_id"].to_numpy(), k)
-                    yield pd.DataFrame({"query_id": own["query_id"].to_numpy()[r], "x": own["x"].to_numpy()[r], "vec_id": ids[c], "score": space.whole(s[r, c])})
-
-    none = {"ids": F.lit(None).cast("array<long>"), "query_id": F.lit(None).cast("long"), "least": F.lit(None).cast("double")}
-    stream = blocks.select("block_id", "x", "ids", none["query_id"].alias("query_id"), none["least"].alias("least")).unionByName(
-        visits.withColumn("ids", none["ids"])
-    )
-    sorted_stream = stream.repartition("block_id").sortWithinPartitions("block_id", F.col("ids").isNull())
-    beyond = sorted_stream.mapInPandas(merge, "query_id long, x binary, vec_id long, score long")
-    home = begun.select("query_id", "x", F.explode(F.arrays_zip("found", "scores")).alias("f")).select(
-        "query_id", "x", F.col("f.found").alias("vec_id"), F.col("f.scores").alias("score")
-    )
-    order = Window.partitionBy("query_id", "x").orderBy(F.desc("score"), "vec_id")
-    ranked = home.unionByName(beyond).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+                    yield answers(g.iloc[i : i + 500], *whole)
+
+    # as many partitions as there are: the work of a visit is not visible in its bytes
+    parts = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = stream.repartition(parts, "block_id").sortWithinPartitions("block_id", F.col("nth") >= 0, "number").mapInPandas(merge, "nth long, query_id long, vec_id long, score long")
+    order = Window.partitionBy("nth").orderBy(F.desc("score"), "vec_id")
+    ranked = met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

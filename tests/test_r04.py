@@ -7,7 +7,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from verdigris.functions import scoring as sc
 from verdigris.llm import pivot_index as pi
+from verdigris.operators import similarity as si
 from verdigris.operators import tfidf as tf
 
 
@@ -65,3 +67,23 @@ def test_tfidf_candidates_move_no_single_terms(spark, whole_records):
         got.setdefault(r.id, []).append((-round(r.cosine, 9), r.match_id))
     want = {i: [x for x in c[:6] if x[0] < -0.05] for i, c in cosines(left, right, right).items()}
     assert got == {i: c for i, c in want.items() if c}
+
+
+@pytest.mark.parametrize("cut", [60.0, 75.0, 95.0])
+def test_token_set_join_keeps_pairs_in_their_tasks(spark, monkeypatch, cut):
+    """Neither names in texts nor pairs become tables; many small blocks give what comparing all pairs does."""
+    for name, value in (("contained_names", None), ("token_set_pairs", None), ("SET_ROWS", 20), ("SET_LETTERS", 400), ("SET_CELLS", 50), ("MEETS", 7)):
+        monkeypatch.setattr(si, name, value, raising=False)
+    rng = np.random.default_rng(5)
+    word = lambda: rng.choice(["an", "the", "bank", "banks", "risk", "oak", "é漢", "tax", "taxes", "of"])
+    title = lambda: " ".join(word() for _ in range(rng.integers(0, 7)))
+    left = [(i, title(), sorted({word() for _ in range(rng.integers(0, 3))})) for i in range(60)]
+    right = [(i, title(), rng.choice(["", "Oak, J.; K. Of", "Risk, A."])) for i in range(70)]
+    got = {r.id: (-round(r.score * 1000 + r.exact, 9), r.match_id) for r in si.token_set_best(
+        spark.createDataFrame(left, "id long, title string, names array<string>"), spark.createDataFrame(right, "id long, title string, authors string"), cut).collect()}
+    want = {}
+    for i, a, names in left:
+        may = [(j, b) for j, b, authors in right if a and b and (not names or not authors or any(x in f"{b} {authors}".lower() for x in names))]
+        ranks = [(-round(sc.token_set(a, b) * 1000 + sc.ratio(a, b), 9), j) for j, b in may if sc.token_set(a, b) >= cut]
+        want |= {i: min(ranks)} if ranks else {}
+    assert got == want

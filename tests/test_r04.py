@@ -87,3 +87,41 @@ def test_token_set_join_keeps_pairs_in_their_tasks(spark, monkeypatch, cut):
         ranks = [(-round(sc.token_set(a, b) * 1000 + sc.ratio(a, b), 9), j) for j, b in may if sc.token_set(a, b) >= cut]
         want |= {i: min(ranks)} if ranks else {}
     assert got == want
+
+
+def titles(seed, n):
+    """Titles of few words, some of them near copies of titles of any seed."""
+    rng, same = np.random.default_rng(seed), np.random.default_rng(0)
+    word = lambda r: "".join(r.choice(list("eetaoinshrd"), r.integers(2, 8)))
+    kept = [" ".join(sorted(word(same) for _ in range(6))) for _ in range(30)]
+    return [kept[rng.integers(30)][: rng.integers(12, 40)] + word(rng) if rng.random() < 0.7 else " ".join(word(rng) for _ in range(5)) for _ in range(n)]
+
+
+@pytest.mark.parametrize("keep", [1, 4])
+def test_best_edit_pairs_equal_brute_force(spark, monkeypatch, keep):
+    for name, value in (("KEY_CELL", 20), ("BIG_CELL", 30), ("LEAD", 5)):
+        monkeypatch.setattr(si, name, value, raising=False)
+    left, right = titles(1, 90) + ["", "ab"], titles(2, 110)
+    side = lambda rows: spark.createDataFrame(list(enumerate(rows)), "rec long, key string").withColumn("blocks", F.array(F.lit("#"), F.concat(F.lit("b"), F.col("rec") % 2)))
+    got = {}
+    for r in si.edit_pairs(side(left), side(right), 60.0, keep=keep).collect():
+        got.setdefault(r.l_rec, []).append((-round(r.score, 9), r.r_rec))
+    want = {i: sorted((-round(sc.ratio(a, b), 9), j) for j, b in enumerate(right) if sc.ratio(a, b) >= 60.0) for i, a in enumerate(left) if a}
+    assert {i: sorted(x)[:keep] for i, x in got.items()} == {i: x[:keep] for i, x in want.items() if x}
+
+
+@pytest.mark.parametrize("limit", [None, 3])
+def test_fuzzy_join_hands_on_the_best_pairs_only(spark, monkeypatch, limit):
+    """What was found raises the cut for what comes after, and pairs that are not among the best leave no task."""
+    pairs, edit = [], si.edit_pairs
+    monkeypatch.setattr(si, "edit_pairs", lambda *a, **k: pairs.append(edit(*a, **k).cache()) or pairs[-1])
+    monkeypatch.setattr(si, "LEAD", 20, raising=False)
+    monkeypatch.setattr(si, "BIG_CELL", 1)
+    none = F.array().cast("array<string>")
+    side = lambda rows: spark.createDataFrame(list(enumerate(rows)), "id long, key string").withColumns({"names": none, "year": F.lit(2000)})
+    left, right = sorted({*titles(3, 120)}), sorted({*titles(4, 400)})
+    found = {r.id: (r.match_id, round(r.score, 9)) for r in si.fuzzy_best(side(left), side(right), 60.0, limit=limit).collect()}
+    ranked = {i: sorted((-sc.ratio(a, b), j) for j, b in enumerate(right)) for i, a in enumerate(left)}
+    assert found == {i: (x[0][1], round(-x[0][0], 9)) if x[0][0] <= -60.0 else (None, 0.0) for i, x in ranked.items()}
+    reach = sum(-s >= 60.0 for x in ranked.values() for s, _ in x)
+    assert pairs[0].count() <= (limit or 1) * len(left) < reach
